@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_quality
+from . import golay_dedup, host_quality
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("__row.doc_id").alias("doc_id"), *host_quality.RULES, "host_rate", "host_rejected", "kept")
 
 
-QUERIES: dict[str, Query] = {"op1_host_quality": op1_host_quality}
+def op5_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints once, kept in the shared folder; then the classes of the distinct ones, joined back by fingerprint."""
+    docs = table(spark, sf_dir, "documents")
+    ids = cut(docs.select(F.col("doc_id").alias("id"), golay_dedup.fingerprint(F.col("text")).alias("fp")))
+    df = ids.join(golay_dedup.classes(ids), "fp", "left")
+    return df.select(F.col("id").alias("doc_id"), golay_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {"op1_host_quality": op1_host_quality, "op5_golay_dedup": op5_golay_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
