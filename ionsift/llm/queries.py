@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golay_dedup, host_quality
+from . import binary_packing, bpe_count, golay_dedup, host_quality, token_files
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,20 @@ def op5_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("id").alias("doc_id"), golay_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_host_quality": op1_host_quality, "op5_golay_dedup": op5_golay_dedup}
+def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_packing.packed_sequences(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bpe_count.token_counts(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, folder = token_files.token_files(table(spark, sf_dir, "documents"))
+    return token_files.read(shards, folder, with_ids=False)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_quality, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op10_token_files)}
 
 ORACLE_SQL: dict[str, str] = {}
