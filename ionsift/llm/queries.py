@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, bpe_count, golay_dedup, host_quality, token_files
+from . import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, source_mix, token_files, warc
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(shards, folder, with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_host_quality, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op10_token_files)}
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys are kept once in the shared folder, without texts, for all steps."""
+    rows = source_mix.keyed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = cut(rows.select(F.col("__row.doc_id").alias("doc_id"), "__source", "__size", "__key"))
+    df = source_mix.apply_plan(rows, source_mix.plan(rows))
+    return df.select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = matroska.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", "n_bytes", matroska.digests(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = warc.round_trip(table(spark, sf_dir, "pages"))
+    return df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", prefix_shards.text_bytes(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"))
+    df = prefix_shards.assign(docs, F.col("size"), [F.col("doc_id").asc_nulls_last(), F.col("text_crc32")])
+    return df.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_host_quality, op3_source_mix, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op7_matroska, op8_warc, op9_prefix_shards, op10_token_files)
+}
 
 ORACLE_SQL: dict[str, str] = {}
