@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, source_mix, token_files, warc
+from . import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, source_mix, token_files, toxic_passages, warc
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(shards, folder, with_ids=False)
 
 
+def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxic_passages.fit(docs, labels.where(~toxic_passages.held_out(F.col("doc_id"))))
+    df = toxic_passages.toxicity(docs.select("doc_id", "text"), model)
+    return df.select("doc_id", toxic_passages.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", F.size("passages").alias("n_passages"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys are kept once in the shared folder, without texts, for all steps."""
     rows = source_mix.keyed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -73,7 +80,7 @@ def op9_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_host_quality, op3_source_mix, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op7_matroska, op8_warc, op9_prefix_shards, op10_token_files)
+    for f in (op1_host_quality, op2_toxic_passages, op3_source_mix, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op7_matroska, op8_warc, op9_prefix_shards, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {}
