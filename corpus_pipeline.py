@@ -1,8 +1,60 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, mixing, packing.
 
-STAGES = []
+Each stage takes all documents that the one before it kept and returns the
+columns of documents, the last one the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ionsift.llm import binary_packing, golay_dedup, host_quality, source_mix, toxic_passages
+from ionsift.llm.common import new_folder, table
+
+#: Packing needs a tokenizer, which SQL does not express; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _kept(df: DataFrame, docs: DataFrame, keep: Column) -> DataFrame:
+    return df.where(keep).select(*[f"`{c}`" for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the rules or whose host is rejected."""
+    return _kept(host_quality.host_quality(docs), docs, F.col("kept"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that are predicted toxic; fitted on the labelled ones among those that are left, but the held-out third."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxic_passages.fit(docs, labels.where(~toxic_passages.held_out(F.col("doc_id"))))
+    return _kept(toxic_passages.toxicity(docs, model), docs, F.col("predicted") == 0)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays."""
+    return golay_dedup.one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every time that a document is taken."""
+    return source_mix.mixture(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces and their places; ids_crc32 stands for the ids, which packed_sequences() gives when asked."""
+    return binary_packing.packed_sequences(docs, with_ids=False)
+
+
+STAGES = [("quality_rules", quality_rules), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written in the shared folder and read again."""
+    df = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        at = new_folder(spark, name)
+        stage(spark, df, sf_dir).write.parquet(at)
+        df = spark.read.parquet(at)
+    return STAGES[-1][1](spark, df, sf_dir)
