@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import packed, unpacked
-from .encoders import BYTE_PARTS, WHITE, default_path
+from .encoders import BYTE_PARTS, WHITE, byte_symbols, default_path
 
 #: Counts of parts held at most, about 120 bytes each; emptied when full.
 ENTRIES = 1_000_000
@@ -34,13 +34,6 @@ ENTRIES = 1_000_000
 PRE_TOKENS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte: its own where that is printable, else the next one from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    other = iter(range(256, 512))
-    return [chr(b if b in shown else next(other)) for b in range(256)]
-
-
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """How many symbols are left after all merges.  The list is used up."""
     n = len(symbols)

@@ -82,6 +82,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
         if first is None:
             return
         name, n_docs, n_ids = _write_shard(itertools.chain([first], each), folder, part, width)
+        own.rest()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
     order = F.col("doc_id").asc_nulls_last()
