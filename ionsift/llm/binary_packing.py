@@ -19,9 +19,8 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut
 from .encoders import default_path, encoder
@@ -36,32 +35,34 @@ def binary_lengths(total: int, most: int = LENGTH) -> list[int]:
     return [most] * (total // most) + [1 << b for b in range(most.bit_length() - 2, -1, -1) if total % most >> b & 1]
 
 
-def pieces(text: Column, path: str, most: int = LENGTH, end: int | None = END, with_ids: bool = False) -> Column:
-    """The pieces of a text as an array of (start, length, ids_crc32, ids); ``ids`` (little-endian, 32 bits) only if asked for."""
+def pieces(docs: DataFrame, path: str, most: int = LENGTH, end: int | None = END, with_ids: bool = False) -> DataFrame:
+    """The pieces of a table (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, and ids (little-endian, 32 bits) if asked for."""
     if most < 1 or most & (most - 1):
         raise ValueError("the sequence length is a power of two")
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())]))
     tail = b"" if end is None else end.to_bytes(4, "little")
+    names = ["start", "length", "ids_crc32", "doc_tokens"]
 
-    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ends, starts, lengths, sums, kept = [0], [], [], [], []
-            for t in batch:
+            cols: dict[str, list[int]] = {n: [] for n in names}
+            source, kept = [], []
+            for k, t in enumerate(batch.column(1)):
                 ids, at = own.ids(t.as_py() or "") + tail, 0
                 for n in binary_lengths(len(ids) // 4, most):
                     part = ids[4 * at : 4 * (at + n)]
-                    starts.append(at)
-                    lengths.append(n)
-                    sums.append(zlib.crc32(part))
-                    kept.append(part if with_ids else None)
+                    for name, x in zip(names, (at, n, zlib.crc32(part), len(ids) // 4), strict=True):
+                        cols[name].append(x)
+                    source.append(k)
+                    if with_ids:
+                        kept.append(part)
                     at += n
-                ends.append(len(starts))
-            one = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array(kept, pa.binary())], names=["start", "length", "ids_crc32", "ids"])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one)
+            out = [batch.column(0).take(pa.array(source, pa.int64())), *[pa.array(cols[n], pa.int64()) for n in names]]
+            yield pa.RecordBatch.from_arrays(out + ([pa.array(kept, pa.binary())] if with_ids else []), names=["doc_id", *names] + ["ids"] * with_ids)
+        own.rest()
 
-    split.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(split, kind)(F.coalesce(text.cast("string"), F.lit("")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(split, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids)
 
 
 def packed_sequences(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", most: int = LENGTH, end: int | None = END, with_ids: bool = True) -> DataFrame:
@@ -69,9 +70,8 @@ def packed_sequences(docs: DataFrame, path: str | None = None, text: str = "text
 
     Sequences are numbered from 0, those of the longest bucket first.
     """
-    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), pieces(F.col(f"`{text}`"), path or default_path("byte_bpe_50k.json"), most, end, with_ids).alias("p"))
-    flat = named.select("doc_id", F.expr("aggregate(p, 0L, (s, x) -> s + x.length)").alias("doc_tokens"), F.explode("p").alias("p"))
-    flat = flat.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", *(["p.ids"] if with_ids else []))
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    flat = pieces(named, path or default_path("byte_bpe_50k.json"), most, end, with_ids)
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("ids_crc32")]
     df = numbered(cut(flat), order, "sequence_id")
     return df.withColumn("offset", F.lit(0).cast("long"))
