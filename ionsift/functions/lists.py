@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .peaks import let
+
 SIZE = 25
 
 
@@ -52,18 +54,21 @@ def interleaved(library: Column, analog: Column, top_score: Column, protect_from
 
 def merged_at(base: Column, base_keys: Column, other: Column, other_keys: Column, slots: list[int], size: int = SIZE) -> Column:
     """Values of other, of keys that base lacks, at the slots (from 1); values of base elsewhere; either where the other is used up."""
-    news = F.transform(F.filter(F.arrays_zip(other.alias("v"), other_keys.alias("k")), lambda p: ~F.array_contains(base_keys, p["k"])), lambda p: p["v"])
-    n_news, n_base, mark = F.size(news), F.size(base), F.array(*[F.lit(s) for s in slots])
-
-    def step(acc: Column, pos: Column) -> Column:
-        b, j = acc["b"], acc["j"]
-        use_new = (F.array_contains(mark, pos) & (j < n_news)) | ((b >= n_base) & (j < n_news))
-        use_base = ~use_new & (b < n_base)
-        add = F.when(use_new, F.slice(news, j + 1, 1)).when(use_base, F.slice(base, b + 1, 1)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(acc["out"], add).alias("out"), (b + use_base.cast("int")).alias("b"), (j + use_new.cast("int")).alias("j"))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("b"), F.lit(0).alias("j"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step)["out"]
+    fresh = F.transform(F.filter(F.arrays_zip(other.alias("v"), other_keys.alias("k")), lambda p: ~F.array_contains(base_keys, p["k"])), lambda p: p["v"])
+    mark = F.array(*[F.lit(s) for s in slots])
+
+    def merged(news: Column) -> Column:
+        def step(acc: Column, pos: Column) -> Column:
+            b, j = acc["b"], acc["j"]
+            use_new = (F.array_contains(mark, pos) | (b >= F.size(base))) & (j < F.size(news))
+            use_base = ~use_new & (b < F.size(base))
+            add = F.when(use_new, F.slice(news, j + 1, 1)).when(use_base, F.slice(base, b + 1, 1)).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.concat(acc["out"], add).alias("out"), (b + use_base.cast("int")).alias("b"), (j + use_new.cast("int")).alias("j"))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("b"), F.lit(0).alias("j"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step)["out"]
+
+    return let(fresh, merged)
 
 
 def promoted(base: Column, base_keys: Column, other: Column, other_keys: Column, slots: list[int], size: int = SIZE) -> Column:

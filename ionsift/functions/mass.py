@@ -50,7 +50,8 @@ def formula_counts(formula: Column, most: int = 256) -> Column:
     """How often each element of HILL occurs; null if the formula doesn't parse or a count exceeds ``most``."""
     names, counts = F.regexp_extract_all(formula, F.lit(FORMULA), F.lit(1)), F.regexp_extract_all(formula, F.lit(FORMULA), F.lit(2))
     pairs = F.arrays_zip(names.alias("e"), counts.alias("c"))
-    vector = F.array(*[F.aggregate(F.filter(pairs, lambda p, e=e: p["e"] == e), F.lit(0), lambda s, p: s + _count(p["c"]).cast("int")) for e in HILL])
+    of = lambda e: F.aggregate(F.filter(pairs, lambda p: p["e"] == e), F.lit(0), lambda s, p: s + _count(p["c"]).cast("int"))
+    vector = F.array(*[of(e) for e in HILL])
     fine = formula_mass(formula).isNotNull() & (F.array_max(vector) <= most)
     return F.when(fine, vector)
 

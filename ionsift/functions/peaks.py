@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body names it: an expression inside a lambda would be evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < INF)
 
@@ -41,8 +46,11 @@ def _by_mz(peaks: Column) -> Column:
 
 
 def _unit(peaks: Column) -> Column:
-    norm = F.sqrt(F.aggregate(peaks, F.lit(0.0), lambda s, p: s + p["i"] * p["i"]))
-    return F.transform(peaks, lambda p: F.struct(p["mz"].alias("mz"), F.when(norm > 0, p["i"] / norm).otherwise(p["i"]).alias("i")))
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, p: s + p["i"] * p["i"]))
+        return let(norm, lambda n: F.transform(v, lambda p: F.struct(p["mz"].alias("mz"), F.when(n > 0, p["i"] / n).otherwise(p["i"]).alias("i"))))
+
+    return let(peaks, scaled)
 
 
 def exact_peaks(mz: Column, intensity: Column, precursor: Column, most: int = 100) -> Column:
@@ -58,8 +66,8 @@ def relative_peaks(mz: Column, intensity: Column) -> Column:
     """For evidence: finite positive peaks over their maximum, stably by m/z; arrays of unequal lengths fail the query."""
     fine = lambda p: finite(p["mz"]) & finite(p["i"]) & (p["mz"] > 0) & (p["i"] > 0)
     kept = F.filter(zipped(mz, intensity), fine)
-    top = F.array_max(F.transform(kept, lambda p: p["i"]))
-    scaled = F.transform(kept, lambda p: F.struct(p["mz"].alias("mz"), (p["i"] / top).alias("i"), p["at"].alias("at")))
+    over = lambda v: let(F.array_max(F.transform(v, lambda p: p["i"])), lambda top: F.transform(v, lambda p: F.struct(p["mz"].alias("mz"), (p["i"] / top).alias("i"), p["at"].alias("at"))))
+    scaled = let(kept, over)
     equal = F.coalesce(F.size(mz), F.lit(0)) == F.coalesce(F.size(intensity), F.lit(0))
     return F.when(equal, _by_mz(scaled)).otherwise(F.raise_error(F.lit("peak arrays of unequal lengths")))
 
@@ -68,8 +76,8 @@ def feature_peaks(mz: Column, intensity: Column) -> Column:
     """For features: finite peaks within [0, 1250) of positive intensity, the square root of their share of the maximum, in their order."""
     fine = lambda p: finite(p["mz"]) & finite(p["i"]) & (p["mz"] >= 0) & (p["mz"] < 1250) & (p["i"] > 0)
     kept = F.filter(zipped(mz, intensity), fine)
-    top = F.greatest(F.array_max(F.transform(kept, lambda p: p["i"])), F.lit(1e-12))
-    return F.transform(kept, lambda p: F.struct(p["mz"].alias("mz"), F.sqrt(p["i"] / top).alias("i"), p["at"].alias("at")))
+    over = lambda v: let(F.greatest(F.array_max(F.transform(v, lambda p: p["i"])), F.lit(1e-12)), lambda top: F.transform(v, lambda p: F.struct(p["mz"].alias("mz"), F.sqrt(p["i"] / top).alias("i"), p["at"].alias("at"))))
+    return let(kept, over)
 
 
 def entropy(weights: Column) -> Column:
@@ -78,17 +86,14 @@ def entropy(weights: Column) -> Column:
 
 
 def _normal(weights: Column) -> Column:
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(weights, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+    return let(weights, lambda w: let(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(w, lambda x: F.when(total > 0, x / total).otherwise(0.0))))
 
 
 def entropy_weights(intensity: Column, floor: float = 0.002, most: int = 256, power: float = 1.0) -> Column:
     """Intensities for entropy similarity: those above a share of the maximum, the most intense, to a power, summing to one; if their entropy S is below 3, to the power 0.25 + 0.25 S and summing to one again."""
-    top = F.array_max(intensity)
-    kept = F.slice(F.sort_array(F.filter(intensity, lambda x: finite(x) & (x > 0) & (x >= floor * top)), asc=False), 1, most)
-    p = _normal(F.transform(kept, lambda x: F.pow(x, F.lit(power))))
-    s = entropy(p)
-    return F.when(s < 3, _normal(F.transform(p, lambda x: F.pow(x, 0.25 + 0.25 * s)))).otherwise(p)
+    kept = let(F.array_max(intensity), lambda top: F.slice(F.sort_array(F.filter(intensity, lambda x: finite(x) & (x > 0) & (x >= floor * top)), asc=False), 1, most))
+    flat = lambda p: let(entropy(p), lambda s: F.when(s < 3, _normal(F.transform(p, lambda x: F.pow(x, 0.25 + 0.25 * s)))).otherwise(p))
+    return let(_normal(F.transform(kept, lambda x: F.pow(x, F.lit(power)))), flat)
 
 
 def effective_peaks(intensity: Column) -> Column:
@@ -107,11 +112,11 @@ def sparse_vector(peaks: Column) -> Column:
     In one expression over the array, for vectors that stay in a row;
     similarity.sparse_rows() gives the long form for joins.
     """
-    pairs = F.transform(peaks, lambda p: F.struct(bin_of(p["mz"]).alias("b"), (F.sqrt(p["i"]) * F.sqrt(p["mz"] / 100)).alias("w")))
-    bins = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["b"])))
-    most = F.transform(bins, lambda b: F.array_max(F.transform(F.filter(pairs, lambda p: p["b"] == b), lambda p: p["w"])))
-    norm = F.sqrt(F.aggregate(most, F.lit(0.0), lambda s, w: s + w * w))
-    return F.map_from_arrays(bins, F.transform(most, lambda w: w / norm))
+    pairs = F.array_sort(F.transform(peaks, lambda p: F.struct(bin_of(p["mz"]).alias("b"), (-F.sqrt(p["i"]) * F.sqrt(p["mz"] / 100)).alias("w"))))
+    # sorted by bin, then by falling weight: the first of each bin is its largest
+    firsts = lambda s: F.filter(s, lambda p, at: (at == 0) | (p["b"] != F.get(s, F.greatest(at - 1, F.lit(0)))["b"]))
+    unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, p: s + p["w"] * p["w"])), lambda n: F.map_from_entries(F.transform(v, lambda p: F.struct(p["b"].alias("key"), (-p["w"] / n).alias("value")))))
+    return let(let(pairs, firsts), unit)
 
 
 def positions(mz: Column, loss: Column, frequencies: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> Column:
@@ -126,9 +131,13 @@ def peak_tokens(peaks: Column, protected: Column, most: int = 128) -> Column:
     ``protected`` is an array of booleans beside the peaks.
     """
     marked = F.zip_with(peaks, protected, lambda p, k: F.struct((-p["i"]).alias("k"), p["at"].alias("at"), p.alias("p"), F.coalesce(k, F.lit(False)).alias("safe")))
-    safe = F.slice(F.array_sort(F.filter(marked, lambda m: m["safe"])), 1, most // 4)
-    rest = F.slice(F.array_sort(F.filter(marked, lambda m: ~F.array_contains(F.transform(safe, lambda s: s["at"]), m["at"]))), 1, most - F.size(safe))
-    return F.transform(F.array_sort(F.transform(F.concat(safe, rest), lambda m: F.struct(m["p"]["mz"].alias("mz"), m["at"].alias("at"), m["p"]["i"].alias("i")))), lambda m: F.struct(m["mz"].alias("mz"), m["i"].alias("i")))
+
+    def chosen(all_: Column) -> Column:
+        safe = F.slice(F.array_sort(F.filter(all_, lambda m: m["safe"])), 1, most // 4)
+        return let(safe, lambda s: F.concat(s, F.slice(F.array_sort(F.array_except(all_, s)), F.lit(1), most - F.size(s))))
+
+    by_mz = F.array_sort(F.transform(let(marked, chosen), lambda m: F.struct(m["p"]["mz"].alias("mz"), m["at"].alias("at"), m["p"]["i"].alias("i"))))
+    return F.transform(by_mz, lambda m: F.struct(m["mz"].alias("mz"), m["i"].alias("i")))
 
 
 def attenuated(strength: Column, floor: float = 0.3) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked
 
+#: Scores are compared after rounding: sums come in any order, and what ties on paper is to tie here.
+DIGITS = 12
+
 
 def rrf(rankings: list[DataFrame], group: list[str], weights: list[float] | None = None, offset: float = 60.0, key: str = "key") -> DataFrame:
     """(group, key, score, rank): sums of weight / (offset + rank), ties by key.  Lists of weight 0 vanish with the keys only they hold; without weights all count alike."""
@@ -17,7 +20,7 @@ def rrf(rankings: list[DataFrame], group: list[str], weights: list[float] | None
     all_ = kept[0]
     for k in kept[1:]:
         all_ = all_.unionByName(k)
-    return ranked(all_.groupBy(*group, key).agg(F.sum("__s").alias("score")), group, "score", key)
+    return ranked(all_.groupBy(*group, key).agg(F.round(F.sum("__s"), DIGITS).alias("score")), group, "score", key)
 
 
 def ordered_rrf(rankings: list[DataFrame], group: list[str], weights: list[float], offset: float = 3.0, size: int = 40, key: str = "key", value: str = "value") -> DataFrame:
@@ -26,7 +29,7 @@ def ordered_rrf(rankings: list[DataFrame], group: list[str], weights: list[float
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    sums = all_.groupBy(*group, key).agg(F.sum("__s").alias("score"), F.min_by(value, "__at").alias(value), F.min("__at").alias("__at"))
+    sums = all_.groupBy(*group, key).agg(F.round(F.sum("__s"), DIGITS).alias("score"), F.min_by(value, "__at").alias(value), F.min("__at").alias("__at"))
     w = Window.partitionBy(*group).orderBy(F.col("score").desc(), "__at")
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size).drop("__at")
 
@@ -58,7 +61,7 @@ def rerank(base: DataFrame, evidence: DataFrame, group: list[str], weight: float
     rows = rows.withColumn("__place", F.when(F.col("__e").isNotNull(), F.rank().over(w.orderBy(F.col("__e").desc_nulls_last()))))
     rows = rows.withColumn("__tied", F.min("__e").over(w).eqNullSafe(F.max("__e").over(w)) | F.lit(weight == 0))
     fused = (1 - weight) / (60 + F.col("rank")) + F.coalesce(weight / (60 + F.col("__place")), F.lit(0.0))
-    rows = rows.withColumn("fused", F.when(F.col("__tied"), 1.0 / (60 + F.col("rank"))).otherwise(fused))
+    rows = rows.withColumn("fused", F.round(F.when(F.col("__tied"), 1.0 / (60 + F.col("rank"))).otherwise(fused), DIGITS))
     return rows.withColumn("__old", F.col("rank")).withColumn("rank", F.row_number().over(w.orderBy(F.col("fused").desc(), "__old"))).select(*group, key, "fused", "rank")
 
 

@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from ..functions.mass import mass_tolerance
 
 
-def band_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, width: float, how: str = "inner") -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, width: float) -> DataFrame:
     """Rows of left with the rows of right whose ``value`` lies in [low, high]; low and high are of left, value of right.
 
     ``width`` is that of a bin: about the window's, so that a window touches
-    few bins and a bin holds few rows.  how: inner, left_semi.
+    few bins and a bin holds few rows.
     """
     bins = F.when((low <= high), F.sequence(F.floor(low / width), F.floor(high / width)))
     l = left.withColumn("__low", low).withColumn("__high", high).withColumn("__bin", F.explode(bins))
     r = right.withColumn("__value", value).where(F.col("__value").isNotNull() & ~F.isnan("__value")).withColumn("__rbin", F.floor(F.col("__value") / width))
     on = (l["__bin"] == r["__rbin"]) & r["__value"].between(l["__low"], l["__high"])
-    return l.join(r, on, how).drop("__low", "__high", "__bin", "__value", "__rbin")
+    return l.join(r, on).drop("__low", "__high", "__bin", "__value", "__rbin")
 
 
 def mass_window(centers: DataFrame, catalog: DataFrame, center: str = "center", mass: str = "mass", ppm: float = 35.0, floor: float = 0.006, width: float = 0.05) -> DataFrame:
@@ -35,11 +35,16 @@ def mass_window(centers: DataFrame, catalog: DataFrame, center: str = "center",
 
 
 def near_any(catalog: DataFrame, centers: DataFrame, mass: str = "mass", center: str = "center", ppm: float = 35.0, floor: float = 0.0, width: float = 0.05) -> DataFrame:
-    """Catalog rows with any center within a tolerance of the row's own mass (the nearest is within it exactly if any is)."""
-    m = F.col(mass)
+    """Catalog rows with any center within a tolerance of the row's own mass (the nearest is within it exactly if any is).
+
+    Decided once for each distinct mass, of which rows then are semi-joined.
+    """
+    m = F.col("__m")
     d = mass_tolerance(m, ppm, floor)
     few = centers.select(F.col(center).alias("__center")).where(F.col("__center").isNotNull()).distinct()
-    return band_join(catalog.where(m.isNotNull()), few, m - d, m + d, F.col("__center"), width, how="left_semi")
+    own = catalog.select(F.col(mass).alias("__m")).where(m.isNotNull()).distinct()
+    hit = band_join(own, few, m - d, m + d, F.col("__center"), width).select("__m").distinct()
+    return catalog.join(hit, catalog[mass] == hit["__m"], "left_semi")
 
 
 def with_fallback(centers: DataFrame, catalog: DataFrame, key: str, center: str = "center", mass: str = "mass", ppm: float = 10.0, wider: float = 30.0, width: float = 0.05) -> DataFrame:
