@@ -240,7 +240,7 @@ def fused_arrays(lists: list[Column], weights: list[float | Column], offset: flo
             total = total + F.when(at > 0, (w if isinstance(w, Column) else F.lit(float(w))) / (offset + at)).otherwise(0.0)
         return total
 
-    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct((-score(k)).alias("s"), k.alias("k")))), lambda p: p["k"])
+    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct((-F.round(score(k), 12)).alias("s"), k.alias("k")))), lambda p: p["k"])
 
 
 def route(kind: Column, baseline: Column, current: Column, neural: Column, confidence: Column, margin: Column, threshold: Column, least_margin: Column, weight: Column) -> Column:

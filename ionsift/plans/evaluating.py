@@ -225,8 +225,8 @@ def mass_proposals(t: Tables) -> DataFrame:
 @query()
 def formula_beam(t: Tables) -> DataFrame:
     """The best count vectors of brands, by sums of log probabilities; a beam, so rows only."""
-    logp = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda e: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: -F.abs(c - (F.col("s") + e) % 8) / 2.0))
-    return t.part.groupBy("p_brand").agg(F.max("p_size").alias("s")).select("p_brand", proposals.beam_column(logp, 5).alias("b")).select("p_brand", F.explode_outer("b").alias("b")).select("p_brand", "b.score", "b.counts")
+    logp = F.array(*[F.array(*[-F.abs(c - (F.col("s") + e) % 8) / 2.0 for c in range(8)]) for e in range(4)])  # no lambda: Spark does not hand those to a UDF
+    return t.part.groupBy("p_brand").agg(F.max("p_size").alias("s")).select("p_brand", proposals.beam_column(logp, 5).alias("b")).select("p_brand", F.explode("b").alias("b")).select("p_brand", "b.score", "b.counts")
 
 
 @query(

@@ -207,13 +207,15 @@ def guarded_route(t: Tables) -> DataFrame:
 @query(
     f"""with {CONF}, ex as (select grp, list_concat(a, list_filter(c, lambda x: not list_contains(a, x))) as ext from l),
     gs as (select grp, x, sum(w / (60 + i)) as s from (select grp, unnest(ext) as x, generate_subscripts(ext, 1) as i, 0.6 as w from ex union all select grp, unnest(b), generate_subscripts(b, 1), 0.4 from l) group by 1, 2),
-    gu as (select grp, list(x order by round(s, 12) desc, x) as f2 from gs group by 1), k as (select unnest(['retrieval', 'current_guard', 'protect_top1', 'free_top1']) as kind),
-    o as (select grp, kind, case when kind = 'retrieval' then a when kind = 'current_guard' then case when confidence >= 0.65 then c else c end when confidence >= 0.999 then a
-      when kind = 'protect_top1' then list_concat(list_slice(a, 1, 1), list_filter(f2, lambda x: x <> a[1])) else f2 end as r from l join cf using (grp) join gu using (grp) cross join k)
+    gu as (select grp, list(x order by round(s, 12) desc, x) as f2 from gs group by 1),
+    hs as (select grp, x, sum(w / (60 + i)) as s from (select grp, unnest(c) as x, generate_subscripts(c, 1) as i, 0.25 as w from l union all select grp, unnest(b), generate_subscripts(b, 1), 0.75 from l) group by 1, 2),
+    hu as (select grp, list(x order by round(s, 12) desc, x) as f3 from hs group by 1), k as (select unnest(['retrieval', 'current_guard', 'protect_top1', 'free_top1']) as kind),
+    o as (select grp, kind, case when kind = 'retrieval' then a when kind = 'current_guard' then case when confidence >= 0.65 then c else list_concat(list_slice(c, 1, 1), list_filter(f3, lambda x: x <> c[1])) end when confidence >= 0.999 then a
+      when kind = 'protect_top1' then list_concat(list_slice(a, 1, 1), list_filter(f2, lambda x: x <> a[1])) else f2 end as r from l join cf using (grp) join gu using (grp) join hu using (grp) cross join k)
     select grp, kind, array_to_string(list_slice(r, 1, 10), ';') as ranking from o"""
 )
 def config_router_grid(t: Tables) -> DataFrame:
-    """Each group's ranking under four kinds of configuration; all confidences here pass the current guard."""
+    """Each group's ranking under four kinds of configuration."""
     kinds = t.spark.createDataFrame([(k,) for k in ("retrieval", "current_guard", "protect_top1", "free_top1")], "kind string")
     l = three_lists(t).join(confidence_of(t), "grp").crossJoin(F.broadcast(kinds))  # noqa: E741
     r = lists.route(F.col("kind"), F.col("a"), F.col("c"), F.col("b"), F.col("confidence"), F.lit(0.0), F.lit(0.999), F.lit(0.5), F.lit(0.4))

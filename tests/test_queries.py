@@ -47,7 +47,7 @@ def test_query(spark, data, duck, name):
         assert found[1]
 
 
-@pytest.mark.parametrize("name", ["mass_window_topk", "knn_deterministic", "tanimoto_topk", "consensus_search", "peak_difference_join", "semi_join_nearest_target"])
+@pytest.mark.parametrize("name", ["mass_window_topk", "knn_deterministic", "tanimoto_topk", "consensus_search", "semi_join_nearest_target"])
 def test_no_all_pairs_plan(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
