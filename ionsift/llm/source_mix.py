@@ -63,7 +63,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     df = df.withColumn("open", F.sum("w").over(all_) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
     df = df.withColumn("limited", F.col("limit") < F.col("left") * F.col("w") / F.col("open"))
     # the first that is not limited sets the level for itself and all after it
-    level = F.min(F.when(~F.col("limited"), F.struct((F.col("limit") / F.col("w")).alias("at"), (F.col("left") / F.col("open")).alias("level")))).over(all_)["level"]
+    df = df.withColumn("at", F.row_number().over(Window.orderBy(*order)))
+    level = F.min(F.when(~F.col("limited"), F.struct("at", (F.col("left") / F.col("open")).alias("level")))).over(all_)["level"]
     return df.select("__source", "source_size", F.least("limit", F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
