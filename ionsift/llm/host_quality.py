@@ -60,13 +60,12 @@ def rule_columns(docs: DataFrame, text: str = "text", host: str = "source") -> D
     df = df.withColumn("__at", F.array_sort(at))
     gaps = F.zip_with(F.col("__at"), F.slice("__at", 2, after), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
     covered = F.when(F.size("__at") > 0, F.aggregate(gaps, F.lit(0), lambda s, x: s + x)).otherwise(0)
-    df = df.select(
-        "__row", "__host", F.col("n_words").cast("long"), "word_chars", "n_symbols",
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed)
+    df = df.withColumn("n_words", F.col("n_words").cast("long")).withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    dup = (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")
+    # generated rather than projected: a filter on a rule would else be pushed down with its whole expression, into the lambdas as well
+    one = F.struct("n_words", "word_chars", "n_symbols", dup.alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"))
+    return df.select("__row", "__host", F.inline(F.array(one)))
 
 
 def host_verdicts(rules: DataFrame, limit: float = 0.5, confidence: float = 1.645) -> DataFrame:
