@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, source_mix, token_files, toxic_passages, warc
+from . import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, source_mix, sql, token_files, toxic_passages, warc
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,4 @@ QUERIES: dict[str, Query] = {
     for f in (op1_host_quality, op2_toxic_passages, op3_source_mix, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op7_matroska, op8_warc, op9_prefix_shards, op10_token_files)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
