@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.mass import mass_tolerance
 
 
+#: Width of the bands by which a catalog is numbered: a few thousand for masses, each a small part of the catalog.
+BAND = 0.25
+
+
 def band_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, width: float) -> DataFrame:
     """Rows of left with the rows of right whose ``value`` lies in [low, high]; low and high are of left, value of right.
 
@@ -73,7 +77,7 @@ def ordered(catalog: DataFrame, mass: str, key: str) -> DataFrame:
     Numbered by bands of mass: a small table of their sizes gives each band's
     first number, so that no task orders the whole.
     """
-    band = F.floor(F.col(mass) / 16.0).cast("long")
+    band = F.floor(F.col(mass) / BAND).cast("long")
     sizes = catalog.groupBy(band.alias("__band")).agg(F.count("*").alias("n"))
     first = sizes.select("__band", (F.sum("n").over(Window.orderBy("__band")) - F.col("n")).alias("__first"))
     w = Window.partitionBy("__band").orderBy(mass, key)
@@ -87,10 +91,9 @@ def nearest_positions(centers: DataFrame, catalog: DataFrame, query: str, mass:
     whole bands by their sizes, the center's own by a join.
     """
     rows = ordered(catalog, mass, key)
-    size = 16.0
-    bands = rows.groupBy(F.floor(F.col(mass) / size).cast("long").alias("__band")).agg(F.count("*").alias("n"))
-    cs = centers.where(F.col(center).isNotNull()).withColumn("__band", F.floor(F.col(center) / size).cast("long"))
-    own = rows.select(F.floor(F.col(mass) / size).cast("long").alias("__band"), F.col(mass).alias("__mass"))
+    bands = rows.groupBy(F.floor(F.col(mass) / BAND).cast("long").alias("__band")).agg(F.count("*").alias("n"))
+    cs = centers.where(F.col(center).isNotNull()).withColumn("__band", F.floor(F.col(center) / BAND).cast("long"))
+    own = rows.select(F.floor(F.col(mass) / BAND).cast("long").alias("__band"), F.col(mass).alias("__mass"))
     within = cs.join(own, "__band", "left").groupBy(query, center, "__band").agg(F.count_if(F.col("__mass") < F.col(center)).alias("__within"))
     # bands without rows take the start of the next one: the sum over all lower bands
     marks = within.select("__band").distinct().withColumn("n", F.lit(0).cast("long")).unionByName(bands)
