@@ -252,3 +252,92 @@ def route(kind: Column, baseline: Column, current: Column, neural: Column, confi
         F.when(kind == "retrieval", baseline).when(kind == "current_guard", guard).when(closed, baseline)
         .when(kind == "protect_top1", F.concat(take(baseline, 1), F.array_except(fused, take(baseline, 1)))).otherwise(fused)
     )
+
+
+def second_place(tokens: Column, engine: Column, identity, size: int = SIZE, placeholder: str = "CCO") -> Column:
+    """Struct (ranking, status, moved_from): the first usable value of another engine put at place 2.
+
+    identity is a function of a column; null marks an unusable value.  The
+    row stays if it is empty or led by the placeholder (skipped), without
+    other values (no_eng), if the first usable one has no identity or holds
+    a separator (invalid_x2) or that of the head (same_as_rank1).  Where it
+    holds place 2 already its later twins go (already_rank2); else all twins
+    go, the value comes second, and the list is cut (inserted).
+    """
+    blank = lambda s: s.isNull() | F.trim(s).isin("", placeholder)
+    head = F.get(tokens, F.lit(0))
+    x2 = F.trim(F.get(F.filter(engine, lambda s: ~blank(s)), F.lit(0)))
+    kx = F.when(~x2.rlike("[;\r\n]"), identity(x2))
+    keys = F.transform(tokens, lambda t: identity(t))
+
+    def placed(v: Column) -> Column:
+        ks, k, x = v["ks"], v["k"], v["x"]
+        at = F.array_position(ks, k)
+        others = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), ks.alias("k")), lambda p: ~p["k"].eqNullSafe(k)), lambda p: p["t"])
+        new = take(F.concat(take(others, 1), F.array(x), rest(others, 1)), size)
+        twins = take(F.concat(take(others, 1), F.array(F.get(tokens, F.lit(1))), rest(others, 1)), size)
+        status = (
+            F.when((F.coalesce(F.size(tokens), F.lit(0)) == 0) | blank(head), "skipped").when(F.coalesce(F.size(engine), F.lit(0)) == 0, "no_eng").when(k.isNull(), "invalid_x2")
+            .when(k.eqNullSafe(F.get(ks, F.lit(0))), "same_as_rank1").when(at == 2, "already_rank2").otherwise("inserted")
+        )
+        return let(status, lambda s: F.struct(
+            F.when(s == "inserted", new).when(s == "already_rank2", twins).otherwise(tokens).alias("ranking"), s.alias("status"),
+            F.when(s == "already_rank2", "2").when((s == "inserted") & (at > 0), at.cast("string")).when(s == "inserted", "absent").alias("moved_from"),
+        ))
+
+    return let(F.struct(keys.alias("ks"), kx.alias("k"), x2.alias("x")), placed)
+
+
+def partly_promoted(base: Column, generated: Column, prefix: int, front: int, slots: int = 5) -> Column:
+    """Of the first novel keys some lead, the others follow the prefix."""
+    if not 1 <= front <= slots or prefix < 0:
+        raise ValueError("between one and all slots lead, behind no negative prefix")
+    new = take(novel(base, generated), slots)
+    return F.concat(take(new, front), take(base, prefix), rest(new, front), rest(base, prefix))
+
+
+def leader_promoted(original: Column, selected: Column) -> Column:
+    """The first key inserted behind three moved to the head; null if that is not how the list came about."""
+    new = novel(original, selected)
+    lead = F.get(new, F.lit(0))
+    fine = (F.size(new) > 0) & (inserted(original, new, 3, 3) == selected)
+    return F.when(fine, led(lead, selected))
+
+
+def supported_promoted(original: Column, current: Column, added: Column, critic: Column, fragments: Column, fallback: Column) -> Column:
+    """Struct (ranking, supported): added keys above all of the first three originals by fragments and the head by the critic lead."""
+    level = F.array_max(F.transform(take(original, 3), lambda k: _of(fragments, k)))
+    strong = F.filter(added, lambda k: ~fallback & (_of(fragments, k) > F.greatest(level, F.lit(0.0))) & (_of(critic, k, None) > _of(critic, F.get(original, F.lit(0)), None) + 0.05))
+    return let(strong, lambda s: F.struct(F.concat(s, F.array_except(current, s)).alias("ranking"), s.alias("supported")))
+
+
+def individual_fragment(current: Column, tail: Column, proposed: Column, candidates: Column, critic: Column, fragments: Column, fallback: Column, slots: int = 3, prefix: int = 3) -> Column:
+    """As high_fragment(), with the gate for each proposal on its own."""
+    first = F.get(current, F.lit(0))
+    blind = ~informative(proposed, fragments)
+    none = F.array().cast("array<string>")
+    strong = F.filter(proposed, lambda k: (_of(fragments, k) > _of(fragments, first)) & (_of(critic, k, None) > _of(critic, first, None) + 0.05))
+    any_ = F.size(strong) > 0
+    return F.struct(
+        F.when(fallback | blind, tail).when(any_, inserted(current, strong, prefix, slots)).otherwise(current).alias("ranking"),
+        F.when(fallback | blind, take(candidates, slots)).when(any_, take(strong, slots)).otherwise(none).alias("inserted"),
+        F.when(fallback, "high_fragment_budget_keep_tail").when(blind, "high_fragment_evidence_keep_tail").when(any_, "high_fragment_inserted").otherwise("high_fragment_remove_tail").alias("status"),
+    )
+
+
+def gated_merge(base: Column, base_keys: Column, other: Column, other_keys: Column, library: Column, relative: Column, strength: Column, popularity: Column, size: int = SIZE) -> Column:
+    """Struct (ranking, status): another catalog's values merged by how far they stand out.
+
+    Nothing below a library score of 0.9 stays as it is.  Far outliers take
+    the slots 2, 4, 6, 8, 10, others 4, 8, 12, 16, 20; strong and popular ones, and
+    clear outliers, lead as well.
+    """
+    wide, narrow = [4, 8, 12, 16, 20], [2, 4, 6, 8, 10]
+    none, sure = F.coalesce(F.size(other), F.lit(0)) == 0, library >= 0.9
+    far = F.coalesce(relative > 600, F.lit(False))
+    leads = F.coalesce((strength > 6) & (popularity >= 5), F.lit(False)) | F.coalesce(relative > 250, F.lit(False))
+    merge = lambda slots: F.when(leads, promoted(base, base_keys, other, other_keys, slots, size)).otherwise(merged_at(base, base_keys, other, other_keys, slots, size))
+    return F.struct(
+        F.when(none | sure, take(base, size)).when(far, merge(narrow)).otherwise(merge(wide)).alias("ranking"),
+        F.when(none, "no_other").when(sure, "untouched").when(far & leads, "aggressive_promoted").when(far, "aggressive").when(leads, "gentle_promoted").otherwise("gentle").alias("status"),
+    )

@@ -202,3 +202,28 @@ def diagnostic_ions(peaks: DataFrame, ions: DataFrame, ppm: float = 10.0, absolu
     """All peaks at any of a long list of ion masses (rule, mass), by a band join rather than a broadcast."""
     m = F.col("mass")
     return band_join(ions, peaks, m - _tolerance(m, ppm, absolute), m + _tolerance(m, ppm, absolute), F.col("mz"), 0.05)
+
+
+def compatibility(channels: Column, support: Column) -> Column:
+    """Observed channels (three kinds a rule, in the rules' order) where the candidate supports the rule, else 0."""
+    return F.transform(channels, lambda x, at: x * F.get(support, F.floor(at / 3).cast("int")))
+
+
+def with_bonus(score: Column, channels: Column, support: Column, weights: list[float], budget: float = 0.05) -> Column:
+    """The score plus the weighed compatible channels; weights are not negative and stay within a budget."""
+    if any(not 0 <= w < float("inf") for w in weights) or sum(weights) > budget + 1e-9:
+        raise ValueError("weights are finite, not negative, and within the budget")
+    own = F.array(*[F.lit(float(w)) for w in weights])
+    delta = F.aggregate(F.zip_with(compatibility(channels, support), own, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return F.when(delta > 0, score + delta).otherwise(score)
+
+
+def informative_row(df: DataFrame, group: str, intensities: str, content: list[str]) -> DataFrame:
+    """Each group's row with the most effective peaks; ties by a hash of the content."""
+    from pyspark.sql import Window
+
+    from ..functions.hashing import signature
+    from ..functions.peaks import effective_peaks
+
+    order = [F.round(effective_peaks(F.col(intensities)), 9).desc(), signature(*[F.col(c) for c in content])]
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__n = 1").drop("__n")

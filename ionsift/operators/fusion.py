@@ -87,3 +87,26 @@ def movement(old: DataFrame, new: DataFrame, group: list[str], key: str = "key")
 def deduplicated(df: DataFrame, group: list[str], identity: str, size: int = 25) -> DataFrame:
     """The first row of each identity in the order of rank, ranked anew, up to a size."""
     return one_vote(df, group, identity).where(F.col("rank") <= size)
+
+
+def scoreable_reordered(df: DataFrame, group: list[str], score: str, key: str = "key") -> DataFrame:
+    """Rows with a score permuted among their own places, half by place and half by competition rank of the score; the others stay."""
+    valid = df.where(F.col(score).isNotNull())
+    order = Window.partitionBy(*group).orderBy("rank")
+    base = valid.select(*group, key, F.row_number().over(order).alias("rank"))
+    new = rerank(base, valid.select(*group, key, F.col(score).alias("evidence")), group, 0.5, 2**31 - 1, key)
+    places = valid.select(*group, F.row_number().over(order).alias("__i"), F.col("rank").alias("__place"))
+    moved = new.select(*group, key, F.col("rank").alias("__i")).join(places, [*group, "__i"]).select(*group, key, F.col("__place").alias("rank"))
+    return moved.unionByName(df.where(F.col(score).isNull()).select(*group, key, "rank"))
+
+
+def generated_order(df: DataFrame, group: list[str], alpha: float = 1.0, chemical: float = 0.25, formula: float = 0.25, frequency: float = 0.0, critic: float = 0.0, key: str = "key") -> DataFrame:
+    """(group, key, rank) of generated candidates: by log_probability over length to a power, then reranked by chemical_score, formula_support, sample_count and critic, each with its weight (0: not at all)."""
+    if not 0 <= alpha <= 1:
+        raise ValueError("the length's exponent is within [0, 1]")
+    score = F.round(F.col("log_probability") / F.pow(F.greatest(F.col("length"), F.lit(1)), F.lit(alpha)), DIGITS)
+    ranks = df.withColumn("__s", score).select(*group, key, F.row_number().over(Window.partitionBy(*group).orderBy(F.col("__s").desc(), key)).alias("rank"))
+    for column, weight in (("chemical_score", chemical), ("formula_support", formula), ("sample_count", frequency), ("critic", critic)):
+        if weight:
+            ranks = rerank(ranks, df.select(*group, key, F.col(column).cast("double").alias("evidence")), group, weight, 2**31 - 1, key).select(*group, key, "rank")
+    return ranks

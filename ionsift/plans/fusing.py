@@ -272,3 +272,64 @@ def best_gap(t: Tables) -> DataFrame:
 def rank_movement(t: Tables) -> DataFrame:
     m = fusion.movement(by(t, "price"), by(t, "q"), ["grp"])
     return m.select("grp", "key", F.col("old_rank").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("new_rank"))
+
+
+@query(
+    f"""with {LISTS}, x as (select grp, a, b[1] as x2, substr(b[1], -2) as kx, list_transform(a, lambda t: substr(t, -2)) as ks from l), y as (select *, list_position(ks, kx) as at_, list_filter(a, lambda t: substr(t, -2) <> kx) as others from x),
+    z as (select *, case when kx = ks[1] then 'same_as_rank1' when at_ = 2 then 'already_rank2' else 'inserted' end as status from y)
+    select grp, status, case when status = 'already_rank2' then '2' when status = 'inserted' then coalesce(cast(nullif(at_, 0) as varchar), 'absent') end as moved_from,
+    array_to_string(case when status = 'same_as_rank1' then a else list_slice(list_concat(list_slice(others, 1, 1), case when status = 'inserted' then [x2] else [a[2]] end, list_slice(others, 2, 100)), 1, 25) end, ';') as ranking from z"""
+)
+def second_place_insert(t: Tables) -> DataFrame:
+    l = three_lists(t)  # noqa: E741
+    r = l.select("grp", lists.second_place(F.col("a"), F.col("b"), lambda v: F.substring(v, -2, 2)).alias("r"))
+    return r.select("grp", "r.status", "r.moved_from", text(F.col("r.ranking")).alias("ranking"))
+
+
+@query(
+    f"""with {LISTS}, n as (select grp, a, list_slice(list_filter(b, lambda x: not list_contains(a, x)), 1, 5) as nw from l)
+    select grp, array_to_string(list_concat(list_slice(nw, 1, 2), list_slice(a, 1, 3), list_slice(nw, 3, 5), list_slice(a, 4, 100)), ';') as ranking from n"""
+)
+def partial_promotion(t: Tables) -> DataFrame:
+    l = three_lists(t)  # noqa: E741
+    return l.select("grp", text(lists.partly_promoted(F.col("a"), F.col("b"), 3, 2)).alias("ranking"))
+
+
+@query(
+    f"""with {LISTS}, {_merge_sql()}, u as (select grp, list(value order by pos) as usual from v where value is not null group by 1), c as (select grp, (max(price) - 900) / 100 as top, max(n) as sales from base group by 1)
+    select grp, case when top >= 0.9995 then 'untouched' when sales > 5 then 'gentle_promoted' else 'gentle' end as status,
+    array_to_string(case when top >= 0.9995 then list_slice(a, 1, 25) when sales > 5 then list_slice(list_concat([b[1]], list_filter(usual, lambda x: x <> b[1])), 1, 25) else usual end, ';') as ranking from l join u using (grp) join c using (grp)"""
+)
+def gated_merge(t: Tables) -> DataFrame:
+    c = base(t).groupBy("grp").agg(((F.max("price") - 900) / 100).alias("top"), F.max("n").alias("sales"))
+    l = three_lists(t).join(c, "grp")  # noqa: E741
+    a, b = F.col("a"), F.col("b")
+    sure = F.when(F.col("top") >= 0.9995, 1.0).otherwise(0.0)
+    r = l.select("grp", lists.gated_merge(a, a, b, b, sure, F.lit(0.0), F.lit(7.0), F.when(F.col("sales") > 5, 5).otherwise(0)).alias("r"))
+    return r.select("grp", "r.status", text(F.col("r.ranking")).alias("ranking"))
+
+
+@query(
+    f"""with {KEYS}, s as (select ra.grp, ra.key, ra.rank, case when b.size > 25 then cast(b.n as double) end as sc from ra join base b using (grp, key)), v as (select *, row_number() over (partition by grp order by rank) as i from s where sc is not null),
+    k as (select *, rank() over (partition by grp order by sc desc) as place, min(sc) over (partition by grp) = max(sc) over (partition by grp) as tied from v),
+    f as (select *, row_number() over (partition by grp order by round(case when tied then 1.0 / (60 + i) else 0.5 / (60 + i) + 0.5 / (60 + place) end, 12) desc, i) as j from k)
+    select f.grp, f.key, v.rank from f join v on v.grp = f.grp and v.i = f.j union all select grp, key, rank from s where sc is null"""
+)
+def scoreable_reorder(t: Tables) -> DataFrame:
+    """Large parts permuted among their own places by sales; the others stay."""
+    rows = by(t, "price").join(base(t).select("grp", "key", F.when(F.col("size") > 25, F.col("n").cast("double")).alias("s")), ["grp", "key"])
+    return fusion.scoreable_reordered(rows, ["grp"], "s").select("grp", "key", F.col("rank").cast("long").alias("rank"))
+
+
+def _rerank_sql(name: str, source: str, column: str, weight: float) -> str:
+    return f"""{name}_k as (select r.grp, r.key, r.rank, rank() over (partition by r.grp order by b.{column} desc) as place, min(b.{column}) over (partition by r.grp) = max(b.{column}) over (partition by r.grp) as tied from {source} r join base b using (grp, key)),
+    {name} as (select grp, key, row_number() over (partition by grp order by round(case when tied then 1.0 / (60 + rank) else {1 - weight} / (60 + rank) + {weight} / (60 + place) end, 12) desc, rank) as rank from {name}_k)"""
+
+
+@query(
+    f"""with {KEYS}, g0 as (select grp, key, row_number() over (partition by grp order by round(-price / greatest(size, 1), 12) desc, key) as rank from base), {_rerank_sql('g1', 'g0', 'n', 0.25)}, {_rerank_sql('g2', 'g1', 'size', 0.25)}, {_rerank_sql('g3', 'g2', 'q', 0.5)}
+    select grp, key, rank from g3"""
+)
+def generated_order(t: Tables) -> DataFrame:
+    df = base(t).select("grp", "key", (-F.col("price")).alias("log_probability"), F.col("size").alias("length"), F.col("n").alias("chemical_score"), F.col("size").alias("formula_support"), F.col("q").alias("sample_count"))
+    return fusion.generated_order(df, ["grp"], frequency=0.5).select("grp", "key", F.col("rank").cast("long").alias("rank"))

@@ -204,3 +204,26 @@ def informative_contrast(t: Tables) -> DataFrame:
     f = flat(t)
     c = f.groupBy(F.floor(F.col("spectrum") / 10).alias("grp"), "spectrum", (F.floor("mz") % 7).cast("int").alias("key"), F.floor(F.col("mz") / 20).cast("int").alias("peak")).agg(F.max("i").alias("w")).withColumn("candidates", F.lit(7))
     return evidence.contrasts(c, "grp", "spectrum", "key", "peak", "w").withColumn("contrast", F.round("contrast", 8))
+
+
+@query(
+    f"""with {P}, e as (select spectrum, sum(i) as s from p where i > 0 group by 1), f as (select spectrum, round(exp(-sum(i / s * ln(i / s))), 9) as eff from p join e using (spectrum) where i > 0 group by 1), g as (select *, row_number() over (partition by spectrum // 5 order by eff desc, spectrum) as k from f)
+    select spectrum // 5 as grp, spectrum, eff from g where k = 1"""
+)
+def informative_spectrum(t: Tables) -> DataFrame:
+    """The spectrum of each five users with the most effective peaks."""
+    a = arrays(t).withColumn("grp", F.floor(F.col("spectrum") / 5))
+    best = evidence.informative_row(a, "grp", "ints", ["spectrum"])
+    return best.select("grp", "spectrum", F.round(pk.effective_peaks(F.col("ints")), 9).alias("eff"))
+
+
+@query(
+    f"""with {REL}, c as (select spectrum, coalesce(max(strength) filter (where rule = 'water' and kind = 'precursor_loss'), 0) as wp, coalesce(max(strength) filter (where rule = 'water' and kind = 'peak_loss'), 0) as wk from found group by 1)
+    select spectrum, p_type as key, round(1 + case when length(p_type) % 2 = 0 then 0.02 * wp + 0.03 * wk else 0 end, 9) as score from c, (select distinct p_type from part)"""
+)
+def compatibility_bonus(t: Tables) -> DataFrame:
+    """A score with a bounded bonus where a candidate supports the water rule that a spectrum shows."""
+    wide = evidence.channels(found(t), ["spectrum"], ["water"])
+    rows = wide.crossJoin(F.broadcast(t.part.select(F.col("p_type").alias("key")).distinct()))
+    seen = F.array(*[F.col(f"`water:{k}`") for k in evidence.KINDS])
+    return rows.select("spectrum", "key", F.round(evidence.with_bonus(F.lit(1.0), seen, F.array((F.length("key") % 2 == 0).cast("double")), [0.0, 0.02, 0.03]), 9).alias("score"))
