@@ -7,7 +7,7 @@ import zlib
 
 import brute
 import pytest
-from conftest import CLASHES, ROWS
+from edge import CLASHES, ROWS
 from pyspark.sql import functions as F
 
 from ionsift.llm import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, queries, source_mix, token_files, toxic_passages, warc

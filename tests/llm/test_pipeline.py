@@ -3,7 +3,7 @@
 import collections
 
 import brute
-from conftest import ROWS, SCHEMA, table
+from edge import ROWS, SCHEMA, table
 
 import corpus_pipeline
 from ionsift.llm import binary_packing, toxic_passages
