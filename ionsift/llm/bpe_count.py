@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import packed, release, unpacked
 from .encoders import BYTE_PARTS, WHITE, byte_symbols, default_path
 
 #: Counts of parts held at most, about 120 bytes each; emptied when full.
@@ -111,6 +111,7 @@ def n_tokens(text: Column, path: str) -> Column:
         own = counter(path)
         for batch in batches:
             yield pa.array([own.count(t.as_py()) for t in batch], pa.int64())
+        release()
 
     counted.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(counted, T.LongType())(F.coalesce(text.cast("string"), F.lit("")))

@@ -6,6 +6,8 @@ A *word* is a maximal run of characters other than the ASCII white space
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -66,3 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def unsigned(text: Column) -> Column:
     """A whole non-negative number from the first 13 hex digits of an MD5, below 2**52, in SQL engines alike."""
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def release() -> None:
+    """At a task's end, in a Python worker: memory that is free goes back to the system, for the worker stays and others start beside it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

@@ -19,6 +19,8 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+from .common import release
+
 # A task has one core; the library's own threads would take those of other tasks.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -121,6 +123,7 @@ class Encoder:
     def rest(self) -> None:
         """Between tasks, an idle process holds the parts in use alone."""
         self.pieces.old, self.store.old = {}, {}
+        release()
 
     def ids(self, text: str) -> bytes:
         if self.parts is None or any(a in text for a in self.added):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, cut, packed, unpacked
+from .common import ROW, cut, packed, release, unpacked
 
 #: (first bit, width) of the segments, and the code's generator polynomial (a fixed value).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -70,6 +70,7 @@ def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
 def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array([majority(text_hashes(t.as_py() or "")) for t in batch], pa.int64())
+    release()
 
 
 def fingerprint(text: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import packed, release, unpacked
 
 # The format's element ids (fixed values).
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -274,6 +274,7 @@ def payload_of(text: str | None) -> bytes:
 def _stored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array([mux(payload_of(t.as_py())) for t in batch], pa.binary())
+    release()
 
 
 def stored(text: Column) -> Column:

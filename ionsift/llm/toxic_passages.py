@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, packed, unpacked
+from .common import cut, packed, release, unpacked
 
 TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -51,7 +51,7 @@ DRIFT = 0.5
 BEST = 12
 SIGNIFICANT = 0.05
 #: Scores of tokens held by a process at most.
-ENTRIES = 500_000
+ENTRIES = 300_000
 THRESHOLD = 0.7
 
 
@@ -157,6 +157,7 @@ def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums[toxic > 0].update(own | {f"{n}:{t[:n]}" for t in own for n in PREFIXES if len(t) >= n} | {""})
         units = list(sums[0] | sums[1])
         yield pa.RecordBatch.from_pydict({"unit": pa.array(units, pa.string()), "c": pa.array([sums[0][u] for u in units], pa.int64()), "t": pa.array([sums[1][u] for u in units], pa.int64())})
+    release()
 
 
 def unit_scores(train: DataFrame, most: int = UNITS) -> tuple[dict[str, float], int, int]:
@@ -210,6 +211,8 @@ def _sampled(model: Model):
                     cols[name].append(x)
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)})
+        model.store.clear()
+        release()
 
     return scan
 
@@ -298,6 +301,8 @@ def scored(text: Column, model: Model) -> Column:
                 ends.append(len(cols[0]))
             inner = pa.StructArray.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["start", "end", "score", "expected"])
             yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(evidence, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], names=RESULT.names)
+        model.store.clear()
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, RESULT)(F.coalesce(text.cast("string"), F.lit("")))
