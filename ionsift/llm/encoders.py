@@ -36,7 +36,7 @@ WORD_PARTS = re.compile(r"[^\W\d_\u0130]+(?=[ ,.\n])|[^ \t\n\r\x0b\x0c]+")
 #: What str.split() takes for white space and the tokenizers don't.
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: Parts held at most, twice (those in use, and those of the time before).  About 150 bytes each.
-ENTRIES = 200_000
+ENTRIES = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -81,7 +81,7 @@ class Encoder:
         self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.parts = self._split()
-        self.pieces, self.store = Store(self._piece), Store(self._whole)
+        self.pieces, self.store = Store(self._piece), Store(self._part)
         self.lead, self.symbol = (" ", "Ġ") if self.parts is BYTE_PARTS else ("", "")
         self.ends = {c: self._whole(c) for c in ",.!?;:"}
 
@@ -105,13 +105,20 @@ class Encoder:
 
     def _letters(self, word: str) -> bytes:
         """Of a word of letters: the library's model on the word's byte symbols; the library as a whole for letters beyond U+024F."""
-        if max(word) > "\u024f" or "\u0130" in word:
+        if not word.isascii() and (max(word) > "\u024f" or "\u0130" in word):
             return self._whole(self.lead + word)
         if self.parts is WORD_PARTS and (low := word.lower()) != word:
             return self.pieces[low]
         own = self.symbol + (word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(SYMBOLS))
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        """Of a part as the pattern gives it, which begins with a space only if that belongs to it."""
+        word = part.removeprefix(" ") if self.lead else part
+        if word.isalpha() and len(word) < len(part) + (not self.lead):
+            return self.pieces[word]
+        return self._whole(part)
+
     def _piece(self, piece: str) -> bytes:
         """Of a piece between spaces, with the space before it where that belongs to it."""
         if piece.isalpha():
@@ -132,7 +139,7 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, text.split()))
         if self.parts is BYTE_PARTS and "  " not in text:  # more spaces group in ways that pieces don't show
             first, *rest = text.split(" ")
-            return b"".join([*map(self.store.__getitem__, BYTE_PARTS.findall(first)), *map(self.pieces.__getitem__, rest)])
+            return b"".join(map(self.store.__getitem__, BYTE_PARTS.findall(first))) + b"".join(map(self.pieces.__getitem__, rest))
         return b"".join(map(self.store.__getitem__, self.parts.findall(text)))
 
 
