@@ -1,25 +1,34 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens are runs of letters in lower case.  From a bounded sample of labelled
-documents each token gets a log-odds score, how much likelier toxic documents
-hold it than clean ones, under a Dirichlet prior centred on its prefix of six
-letters, whose own prior is its prefix of five, then four, then even odds; a
-token never seen takes its longest known prefix's score.  The k-th time in a
-text a token that speaks for toxicity counts 1 / k**2, for repetition is no
-new evidence.  A drift is taken off so that the score of clean text falls.
+Tokens are runs of letters in lower case.  Each token gets a log-odds score,
+how much likelier toxic documents hold it than clean ones, under a Dirichlet
+prior centred on its prefix of six letters, whose own prior is its prefix of
+five, then four, then even odds; a token never seen takes its longest known
+prefix's score.  Every token and prefix of the documents learnt from is kept.
+The k-th time in a text a token that speaks for toxicity counts 1 / k**2, for
+repetition is no new evidence.  A drift is taken off so that the score of
+clean text falls.
 
 The linear-time scan for all maximal scoring segments then finds every toxic
 passage of a text.  Under the extreme-value law of such segments, with the
 rate solved from the scores of clean tokens and the constant fitted to clean
-documents, each passage has an expected number by chance, and a document's
-passages combine by the sum statistic.  A logistic curve, fitted on the same
-sample, turns that evidence into a probability.
+documents, the number of segments that reach a score by chance is a Poisson
+number.  A document's evidence is minus the log of the chance that as many
+segments reach the r-th best one's score, at the r for which it is least; all
+of its significant segments take part.  A logistic curve turns it into a
+probability.
+
+A bounded sample of labelled documents (SAMPLE, a parameter) is split by a
+hash of their ids: two thirds give the token scores, and the law and the
+curve are fitted to the other third, whose texts the scores have not seen.
 
 Defined results: null and empty texts have no evidence and the score that no
-evidence gives; repeated label rows count once, as toxic if any is; labels
-that are null or have no document are ignored; with one class only, or
-without labels, the score is the clamped share of toxic labels (0.5 without
-any); computed columns replace input columns of their name.
+evidence gives; repeated label rows count once, as toxic if any is, and of rows with
+one id the text with the smallest hash is learnt from; labels that are null
+or have no document are ignored; where either part of the sample lacks a
+class both steps take all of it; with one class only, or without labels, the
+score is the clamped share of toxic labels (0.5 without any); an empty table
+gives no rows; computed columns replace input columns of their name.
 """
 
 from __future__ import annotations
@@ -32,6 +41,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,22 +52,37 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Labelled documents used at most, those with the smallest hash of their id.
 SAMPLE = 30_000
-#: Tokens and prefixes the model holds at most, those with the most evidence.
-UNITS = 100_000
+#: One in so many of them calibrates, the others are learnt from.
+PARTS = 3
 #: Weight of the prior, in documents.
 PRIOR = 4.0
 DRIFT = 0.5
-#: Passages that the sum statistic combines at most (the best ones), and the expected number by chance below which one is significant.
-BEST = 12
+#: The number expected by chance up to which a passage is significant: reported, and evidence.
 SIGNIFICANT = 0.05
+LEAST = -math.log(SIGNIFICANT)
 #: Scores of tokens held by a process at most.
 ENTRIES = 300_000
 THRESHOLD = 0.7
 
 
+def unit_hash(unit: str) -> int:
+    """A token's, or a prefix's under "4:abcd", as a signed 64-bit number."""
+    h = xxhash.xxh64_intdigest(unit.encode("utf-8"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def parent_of(unit: str) -> str:
+    """The prefix that a token's or prefix's prior comes from; "" for none."""
+    level, _, stem = unit.rpartition(":")
+    longest = int(level) - 1 if level else len(stem)
+    n = next((n for n in reversed(PREFIXES) if n <= longest), 0)
+    return f"{n}:{stem[:n]}" if n else ""
+
+
 @dataclass
 class Model:
-    scores: dict[str, float] = field(default_factory=dict)  # log-odds of tokens, and of prefixes under "4:abcd"
+    units: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of tokens and prefixes, rising
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(0))  # their log-odds
     rate: float = 1.0
     constant: float = 0.1
     weights: tuple[float, float] = (0.0, 0.0)
@@ -66,14 +91,20 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"store": {}}
 
-    def score(self, token: str) -> float:
-        found = self.scores.get(token)
+    def lookup(self, units: list[str]) -> np.ndarray:
+        """The units' scores, NaN where they are unknown."""
+        keys = np.fromiter(map(unit_hash, units), dtype=np.int64, count=len(units))
+        at = np.minimum(np.searchsorted(self.units, keys), max(len(self.units) - 1, 0))
+        known = self.units[at] == keys if len(self.units) else np.zeros(len(keys), bool)
+        return np.where(known, self.scores[at] if len(self.units) else 0.0, np.nan)
+
+    def fresh_scores(self, tokens: list[str]) -> np.ndarray:
+        """Of the token, else of its longest known prefix, else 0; less the drift."""
+        found = self.lookup(tokens)
         for n in reversed(PREFIXES):
-            if found is not None:
-                break
-            if len(token) >= n:
-                found = self.scores.get(f"{n}:{token[:n]}")
-        return (found or 0.0) - DRIFT
+            open_ = [i for i in np.flatnonzero(np.isnan(found)).tolist() if len(tokens[i]) >= n]
+            found[open_] = self.lookup([f"{n}:{tokens[i][:n]}" for i in open_])
+        return np.nan_to_num(found) - DRIFT
 
     def token_scores(self, tokens: list[str]) -> np.ndarray:
         new = set(tokens).difference(self.store)
@@ -81,7 +112,8 @@ class Model:
             if len(self.store) + len(new) > ENTRIES:
                 self.store.clear()
                 new = set(tokens)
-            self.store.update((t, self.score(t)) for t in new)
+            own = list(new)
+            self.store.update(zip(own, self.fresh_scores(own).tolist(), strict=True))
         scores = np.fromiter(map(self.store.__getitem__, tokens), dtype=np.float64, count=len(tokens))
         times: Counter = Counter()
         for i in np.flatnonzero(scores > 0).tolist():
@@ -95,22 +127,29 @@ class Model:
         return self.rate * score - math.log(self.constant * max(n, 1))
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        """Minus the log of the chance of the best few segments together, at the number of them for which it is least."""
-        total, best, facts = 0.0, 0.0, 0.0
-        for r, x in enumerate(sorted((self.normalized(s, n) for _, _, s in segments), reverse=True)[:BEST], start=1):
-            total += x
-            facts += math.log(r) + math.log(max(r - 1, 1))
-            if r == 1:
-                best = x if x > 20 else -math.log(-math.expm1(-math.exp(-x))) if x > -30 else 0.0
-            elif total > r:
-                best = max(best, total - (r - 1) * math.log(total) + facts)
-        return max(best, 0.0)
+        """Minus the log of the chance of so many segments as good as the r-th best, at the r for which it is least.
+
+        All significant segments take part, however many.  The law is one of extremes: it does not count weaker ones well, and a
+        long clean text has many of them.
+        """
+        ranked = sorted((x for _, _, s in segments if (x := self.normalized(s, n)) >= LEAST), reverse=True)
+        return max((surprise(r, x) for r, x in enumerate(ranked, start=1)), default=0.0)
 
     def probability(self, evidence: float) -> float:
         a, b = self.weights
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * evidence))))
 
 
+def surprise(r: int, x: float) -> float:
+    """-ln P(N >= r) of a Poisson number N with mean exp(-x), below one."""
+    mean, term, total, k = math.exp(-min(x, 700.0)), 1.0, 1.0, r
+    while term > 1e-17 * total:
+        k += 1
+        term *= mean / k
+        total += term
+    return max(mean + r * x + math.lgamma(r + 1) - math.log(total), 0.0)
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in order, in linear time.
 
@@ -142,75 +181,67 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, most: int) -> DataFrame:
-    """toxic (0 or 1) and text of the sampled labelled documents.  The sample, of a fixed size at most, is broadcast."""
+    """toxic (0 or 1), text and part (0 calibrates) of the sampled labelled documents, kept in the shared folder.  The sample, of a fixed size at most, is broadcast."""
     own = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("toxic"))
     few = own.orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(few), "__id").select("toxic", "text")
+    part = F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(PARTS)).cast("int")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(few), "__id")
+    once = rows.groupBy("__id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id may have any number of rows
+    return cut(once.select("toxic", "text", part.alias("part")))
 
 
 def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each unit, how many toxic and clean documents hold it, summed over a batch; the documents themselves under the empty unit."""
+    """For each unit, how many clean and toxic documents hold it, summed over a batch; the documents themselves under the empty unit."""
     for batch in batches:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             own = set(tokens_of(text.as_py()))
             sums[toxic > 0].update(own | {f"{n}:{t[:n]}" for t in own for n in PREFIXES if len(t) >= n} | {""})
         units = list(sums[0] | sums[1])
-        yield pa.RecordBatch.from_pydict({"unit": pa.array(units, pa.string()), "c": pa.array([sums[0][u] for u in units], pa.int64()), "t": pa.array([sums[1][u] for u in units], pa.int64())})
+        hashes = lambda names: pa.array(map(unit_hash, names), pa.int64())
+        cols = [hashes(units), hashes(map(parent_of, units)), *[pa.array([s[u] for u in units], pa.int64()) for s in sums]]
+        yield pa.RecordBatch.from_arrays(cols, names=["unit", "parent", "c", "t"])
     release()
 
 
-def unit_scores(train: DataFrame, most: int = UNITS) -> tuple[dict[str, float], int, int]:
-    """The scores that matter, at most so many, and the numbers of toxic and clean documents."""
-    counts = cut(train.mapInArrow(_unit_counts, "unit string, c long, t long").groupBy("unit").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
-    total = counts.where("unit = ''").first()
-    toxic, clean = (total["t"], total["c"]) if total else (0, 0)
+def unit_scores(learnt: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Hashes and scores of all units of a sample, and its numbers of toxic and clean documents.
+
+    What reaches the driver is four numbers a unit, bounded by the sample.
+    """
+    counts = learnt.select("toxic", "text").mapInArrow(_unit_counts, "unit long, parent long, c long, t long").groupBy("unit").agg(F.min("parent").alias("parent"), F.sum("c").alias("c"), F.sum("t").alias("t"))
+    cols = counts.toArrow().sort_by("unit")
+    unit, parent, c, t = (cols.column(n).to_numpy() for n in ("unit", "parent", "c", "t"))
+    whole = unit == unit_hash("")
+    toxic, clean = int(t[whole].sum()), int(c[whole].sum())
     if not toxic or not clean:
-        return {}, toxic, clean
-    scaled = counts.where("unit <> ''").withColumn("c", F.col("c") * (toxic / clean))
-    level = F.when(F.col("unit").contains(":"), F.substring("unit", 1, 1).cast("int")).otherwise(9)
-    scaled = scaled.withColumn("level", level).withColumn("stem", F.when(F.col("level") < 9, F.expr("substring(unit, 3)")).otherwise(F.col("unit")))
-    done, above = None, None
-    for n in (*PREFIXES, 9):
-        parent = F.lit(None).cast("string")
-        for p in PREFIXES:
-            if p < n:
-                parent = F.when(F.length("stem") >= p, F.concat(F.lit(f"{p}:"), F.substring("stem", 1, p))).otherwise(parent)
-        own = scaled.where(F.col("level") == n).withColumn("parent", parent)
-        if above is not None:
-            own = own.join(above.select(F.col("unit").alias("parent"), F.col("share").alias("prior")), "parent", "left")
-        else:
-            own = own.withColumn("prior", F.lit(None).cast("double"))
-        own = own.withColumn("prior", F.coalesce("prior", F.lit(0.5)))
-        own = own.withColumn("share", (F.col("t") + PRIOR * F.col("prior")) / (F.col("t") + F.col("c") + PRIOR)).select("unit", "t", "c", "prior", "share")
-        done = own if done is None else done.union(own)
-        above = own if above is None else above.union(own)
-    odds = lambda x: F.log(x / (1 - x))
-    done = done.withColumn("score", odds(F.col("share"))).withColumn("base", odds(F.col("prior")))
-    kept = done.where((F.abs("score") >= 0.5) | (F.abs("base") >= 0.5)).where(F.col("t") + F.col("c") >= 1.0)
-    kept = kept.orderBy((F.greatest(F.abs("score"), F.abs("base")) * F.sqrt(F.col("t") + F.col("c"))).desc(), "unit").limit(most)
-    return {r["unit"]: r["score"] for r in sorted(kept.select("unit", "score").collect())}, toxic, clean
-
-
-def _sampled(model: Model):
-    """For each document: label, tokens, best segments; and the clean ones' token scores by hundredths."""
+        return np.zeros(0, np.int64), np.zeros(0), toxic, clean
+    unit, parent, c, t = unit[~whole], parent[~whole], c[~whole] * (toxic / clean), t[~whole]
+    share, prior = np.full(len(unit), np.nan), np.full(len(unit), 0.5)
+    at = np.minimum(np.searchsorted(unit, parent), len(unit) - 1)
+    rooted = unit[at] == parent
+    due = ~rooted  # those whose prior is even odds, then those below them, and so on
+    while due.any():
+        share[due] = (t[due] + PRIOR * prior[due]) / (t[due] + c[due] + PRIOR)
+        due = np.isnan(share) & ~np.isnan(share[at])
+        prior[due] = share[at[due]]
+    return unit, np.log(share / (1 - share)), toxic, clean
+
+
+def _token_bins(model: Model):
+    """Of clean documents: tokens and best segment of each, and their token scores by hundredths."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {"toxic": [], "n": [], "best": [], "bin": [], "times": []}
+            rows: list[tuple] = []
             bins: Counter = Counter()
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(0):
                 scores = model.token_scores(tokens_of(text.as_py()))
-                best = sorted((s for _, _, s in maximal_segments(scores)), reverse=True)[:BEST]
-                for k, v in zip(cols, (toxic, len(scores), best, None, None), strict=True):
-                    cols[k].append(v)
-                if not toxic:
-                    bins.update(np.rint(scores * 100).astype(int).tolist())
-            for k, v in bins.items():
-                for name, x in zip(cols, (None, None, None, k, v), strict=True):
-                    cols[name].append(x)
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, kind) for (k, v), kind in zip(cols.items(), kinds, strict=True)})
+                rows.append((len(scores), max((s for _, _, s in maximal_segments(scores)), default=0.0), None, None))
+                bins.update(np.rint(scores * 100).astype(int).tolist())
+            rows += [(None, None, k, v) for k, v in bins.items()]
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["n", "best", "bin", "times"])
         model.store.clear()
         release()
 
@@ -218,7 +249,7 @@ def _sampled(model: Model):
 
 
 def solve_rate(bins: dict[int, int]) -> float:
-    """The positive root of sum p(s) exp(rate s) = 1 over scores in hundredths; 1 where there is none."""
+    """The positive root of sum p(s) exp(rate s) = 1 over scores in hundredths, within 0.05 and 64; 1 where there is none."""
     total = sum(bins.values())
     s, p = np.array(sorted(bins), dtype=float) / 100, np.array([bins[k] for k in sorted(bins)], dtype=float)
     if not total or (s * p).sum() >= 0 or s.max() <= 0:
@@ -249,24 +280,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = SAMPLE) -> Model:
-    """The model of a bounded sample of the labelled documents; what reaches the driver is bounded by it and by UNITS."""
+    """The model of a bounded sample of the labelled documents; what reaches the driver is bounded by it."""
     train = sample(docs, labels, text, doc_id, label, most)
-    scores, toxic, clean = unit_scores(train)
+    sizes = {(r["fits"], r["toxic"] > 0): r["n"] for r in train.groupBy((F.col("part") == 0).alias("fits"), "toxic").agg(F.count("*").alias("n")).collect()}
+    apart = all(sizes.get((fits, kind), 0) for fits in (True, False) for kind in (True, False))
+    learnt, held = (train.where("part <> 0"), train.where("part = 0")) if apart else (train, train)
+    units, scores, toxic, clean = unit_scores(learnt)
     if not toxic or not clean:
         share = min(max((toxic + 0.5) / (toxic + clean + 1), 0.02), 0.98)
         return Model(weights=(math.log(share / (1 - share)), 0.0))
-    model = Model(scores)
-    rows = train.mapInArrow(_sampled(model), "toxic int, n long, best array<double>, bin long, times long").collect()
+    model = Model(units, scores)
+    rows = held.where("toxic <= 0").select("text").mapInArrow(_token_bins(model), "n long, best double, bin long, times long").collect()
     bins: Counter = Counter()
     for r in rows:
         if r["bin"] is not None:
             bins[r["bin"]] += r["times"]
     model.rate = solve_rate(bins)
-    each = sorted((r["toxic"], r["n"], tuple(r["best"])) for r in rows if r["bin"] is None)
-    chance = sum(max(n, 1) * math.exp(-min(model.rate * (best[0] if best else 0.0), 700.0)) for y, n, best in each if not y)
-    model.constant = min(max(clean / max(chance, 1e-9), 1e-6), 10.0)
-    x = np.array([model.evidence([(0, 0, s) for s in best], n) for _, n, best in each])
-    model.weights = logistic(x, np.array([float(y > 0) for y, _, _ in each]))
+    alone = sorted((r["n"], r["best"]) for r in rows if r["bin"] is None)
+    chance = sum(max(n, 1) * math.exp(-min(model.rate * best, 700.0)) for n, best in alone)
+    model.constant = min(max(len(alone) / max(chance, 1e-9), 1e-6), 10.0)
+    pairs = sorted((float(r["toxic"] > 0), r["evidence"]) for r in held.select("toxic", scored(F.col("text"), model)["evidence"].alias("evidence")).collect())
+    model.weights = logistic(np.array([e for _, e in pairs]), np.array([y for y, _ in pairs]))
     return model
 
 
@@ -291,7 +325,7 @@ def scored(text: Column, model: Model) -> Column:
                 e = model.evidence(segments, n)
                 evidence.append(e)
                 score.append(model.probability(e))
-                strong = [(a, b, s, x) for a, b, s in segments if (x := math.exp(min(-model.normalized(s, n), 700))) <= SIGNIFICANT]
+                strong = [(a, b, s, math.exp(-x)) for a, b, s in segments if (x := model.normalized(s, n)) >= LEAST]
                 if strong:
                     spans = [m.span() for m in TOKEN.finditer(own)]
                     exact = len(spans) == n  # a letter whose lower case has a mark moves the tokens; then the passage is the text
