@@ -8,12 +8,19 @@ refer to it and hold no payload.
 The reader cuts archives into byte ranges.  A task scans its range for the
 gzip magic, tries to decode a WARC head at each place it finds, checks that
 the member ends where another begins or the file ends, and owns the records
-that start inside its range, reading past its end for the last one.
+that start inside its range, reading past its end for the last one.  From the
+first record on every place is known where a member must start, and so at the
+start of a file; the member that follows a range's last one is decoded as
+well, for the task that owns it can't tell a damaged first member from chance
+bytes.  A member that must start and doesn't decode raises ValueError: an
+archive is read whole or not at all.
 
 Defined results: a null payload is empty; a null page id is never referred to
 if its group has another, and null ids come back as null; rows that repeat
-both the smallest id and the payload are all responses; an empty table gives
-no archives and no rows.
+both the smallest id and the payload are all responses; a null url is written
+as urn:page:<id>; an empty table gives no archives and no rows.  Of pages only
+page_id, url and html are read: other columns, whatever their names, are not
+part of a record and don't come back.
 """
 
 from __future__ import annotations
@@ -134,20 +141,32 @@ class Window:
         follows = bytes(self.data[end : end + len(MAGIC)])
         return (bytes(out), end) if out.startswith(HEAD) and (not follows or follows == MAGIC) else None
 
+    def due(self, at: int) -> tuple[bytes, int]:
+        """The member that must start at a place."""
+        found = self.member(at)
+        if found is None:
+            raise ValueError(f"no whole WARC member at byte {self.start + at}")
+        return found
+
+    def first(self, end: int) -> int | None:
+        """Where the first member that starts before ``end`` does: at the file's start, else at the first magic that decodes."""
+        at = 0 if not self.start and self.size else self.data.find(MAGIC)
+        while self.start and 0 <= at < end - self.start and self.member(at) is None:
+            at = self.data.find(MAGIC, at + 1)
+        return at if 0 <= at < end - self.start else None
+
 
 def records(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
-    """The records that start within a byte range of an archive."""
-    window, at = Window(file, start, end), 0
-    while True:
-        at = window.data.find(MAGIC, at)
-        if at < 0 or start + at >= end:
-            return
-        found = window.member(at)
-        if found is None:
-            at += 1
-        else:
-            yield found[0]
-            at = found[1]
+    """The records that start within a byte range of an archive; ValueError where one of them, or the one after them, is damaged."""
+    window = Window(file, start, end)
+    at = window.first(end)
+    if at is None:
+        return
+    while start + at < min(end, window.size):
+        data, at = window.due(at)
+        yield data
+    if start + at < window.size:
+        window.due(at)
 
 
 def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -220,6 +239,14 @@ def read(files: DataFrame, size: int = RANGE, payload: bool = True) -> DataFrame
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, payload: bool = False) -> DataFrame:
-    """Writes the pages to archives and reads them back."""
+    """Writes the pages to archives and reads them back; ValueError if the archives hold other records than were written.
+
+    The records without payloads are kept in the shared folder, for their number is held against the writer's first.
+    """
     folder = folder or new_folder(pages.sparkSession, "warc")
-    return read(write(pages, folder, min_bytes), payload=payload)
+    files = write(pages, folder, min_bytes)
+    rows = cut(read(files, payload=False))
+    written, found = files.agg(F.sum("records")).first()[0] or 0, rows.count()
+    if written != found:
+        raise ValueError(f"{written} records were written and {found} read")
+    return read(files) if payload else rows
