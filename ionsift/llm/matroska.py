@@ -7,7 +7,11 @@ gives a packet table: track, timestamp in nanoseconds, cluster, block, frame
 within the block, lacing, keyframe, first byte and bytes.
 
 Defined results: null is empty; a payload has 64 bytes at least; equal
-payloads give equal files; truncated or malformed files raise ValueError.
+payloads, repeated rows among them, give equal files; a null file has null
+packets; whatever is truncated or malformed raises ValueError and nothing
+else, with the format's defaults for what a track may leave out; an empty
+table gives no rows; the computed columns n_bytes and media replace input
+columns of their name, and all others are carried along.
 """
 
 from __future__ import annotations
@@ -143,7 +147,7 @@ def vint(data: bytes, at: int, end: int, keep: bool = False) -> tuple[int | None
     return (None if value == (1 << 7 * width) - 1 else value), at + width
 
 
-def elements(data: bytes, at: int, end: int, within: int = 0) -> Iterator[tuple[int, int, int, int]]:
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, where it starts, where its body starts, where it ends).  A cluster or segment of unknown size ends before the next element of its level, or with its parent."""
     while at < end:
         start = at
@@ -152,12 +156,7 @@ def elements(data: bytes, at: int, end: int, within: int = 0) -> Iterator[tuple[
         if size is None:
             if name not in (CLUSTER, SEGMENT):
                 raise ValueError("unknown size where the format has none")
-            stop = end
-            if name == CLUSTER:
-                for inner, own, _, _ in elements(data, at, end, within=CLUSTER):
-                    if inner in TOP:
-                        stop = own
-                        break
+            stop = _level_end(data, at, end) if name == CLUSTER else end
         else:
             stop = at + size
             if stop > end:
@@ -166,21 +165,49 @@ def elements(data: bytes, at: int, end: int, within: int = 0) -> Iterator[tuple[
         at = stop
 
 
+def _level_end(data: bytes, at: int, end: int) -> int:
+    """Where the first element of the segment's level starts."""
+    while at < end:
+        start = at
+        name, at = vint(data, at, end, keep=True)
+        if name in TOP:
+            return start
+        size, at = vint(data, at, end)
+        if size is None or at + size > end:
+            raise ValueError("an element exceeds its parent")
+        at += size
+    return end
+
+
 def _number(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise ValueError("a number of more than eight bytes")
     return int.from_bytes(data[a:b], "big")
 
 
+def _real(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError("a float of neither four nor eight bytes")
+    return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
+
+
+def _byte(data: bytes, at: int, end: int) -> int:
+    if at >= end:
+        raise ValueError("a block ends within its lace")
+    return data[at]
+
+
 def frame_ranges(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
     """Of a block's body: track, relative time, flags, and the frames' (first byte, bytes)."""
     track, at = vint(data, at, end)
-    if at + 3 > end:
+    if track is None or at + 3 > end:
         raise ValueError("a block without its head")
     relative, flags = struct.unpack(">hB", data[at : at + 3])
     at += 3
     kind = LACINGS[flags >> 1 & 3]
     if kind == "none":
         return track, relative, flags, [(at, end - at)]
-    count, at = data[at] + 1, at + 1
+    count, at = _byte(data, at, end) + 1, at + 1
     sizes: list[int] = []
     if kind == "fixed":
         if (end - at) % count:
@@ -190,11 +217,11 @@ def frame_ranges(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tu
         for k in range(count - 1):
             if kind == "xiph":
                 n = 0
-                while data[at] == 255:
+                while (more := _byte(data, at, end)) == 255:
                     n, at = n + 255, at + 1
-                n, at = n + data[at], at + 1
+                n, at = n + more, at + 1
             else:
-                width = 9 - data[at].bit_length()
+                width = 9 - _byte(data, at, end).bit_length()
                 n, at = vint(data, at, end)
                 if n is None:
                     raise ValueError("an unknown size in a lace")
@@ -211,6 +238,31 @@ def frame_ranges(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tu
     return track, relative, flags, out
 
 
+def _due(own: dict[int, tuple[int, int]], name: int, what: str) -> tuple[int, int]:
+    if name not in own:
+        raise ValueError(f"no {what}")
+    return own[name]
+
+
+def _track(data: bytes, a: int, b: int) -> tuple[int, dict]:
+    """A track entry's number and settings; a sampling rate left out is the format's 8000."""
+    own = {n: (x, y) for n, _, x, y in elements(data, a, b)}
+    audio = {n: (x, y) for n, _, x, y in elements(data, *own[AUDIO])} if AUDIO in own else None
+    rate = None if audio is None else _real(data, *audio[SAMPLING_FREQUENCY]) if SAMPLING_FREQUENCY in audio else 8000.0
+    return _number(data, *_due(own, TRACK_NUMBER, "track number")), {
+        "type": _number(data, *_due(own, TRACK_TYPE, "track type")), "codec": data[slice(*_due(own, CODEC_ID, "codec"))].decode("ascii"),
+        "default_ns": _number(data, *own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0, "rate": rate, "bits": _number(data, *audio[BIT_DEPTH]) if audio and BIT_DEPTH in audio else None,
+    }
+
+
+def _cues(data: bytes, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    own = list(elements(data, a, b))
+    time = _number(data, *_due({n: (x, y) for n, _, x, y in own}, CUE_TIME, "cue time"))
+    for _, _, x, y in (e for e in own if e[0] == CUE_TRACK_POSITIONS):
+        pos = {n: (p, q) for n, _, p, q in elements(data, x, y)}
+        yield time, _number(data, *_due(pos, CUE_TRACK, "cue track")), _number(data, *_due(pos, CUE_CLUSTER_POSITION, "cue position"))
+
+
 def parse(data: bytes) -> Media:
     media, blocks = Media(), 0
     tops = list(elements(data, 0, len(data)))
@@ -223,14 +275,7 @@ def parse(data: bytes) -> Media:
             if top == INFO:
                 media.scale = next((_number(data, x, y) for n, _, x, y in elements(data, a, b) if n == TIMESTAMP_SCALE), media.scale)
             elif top == TRACKS:
-                for entry in (e for e in elements(data, a, b) if e[0] == TRACK_ENTRY):
-                    own = {n: (x, y) for n, _, x, y in elements(data, entry[2], entry[3])}
-                    audio = {n: (x, y) for n, _, x, y in elements(data, *own[AUDIO])} if AUDIO in own else {}
-                    rate = audio.get(SAMPLING_FREQUENCY)
-                    media.tracks[_number(data, *own[TRACK_NUMBER])] = {
-                        "type": _number(data, *own[TRACK_TYPE]), "codec": data[slice(*own[CODEC_ID])].decode("ascii"), "default_ns": _number(data, *own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0,
-                        "rate": struct.unpack(">d" if rate[1] - rate[0] == 8 else ">f", data[slice(*rate)])[0] if rate else None, "bits": _number(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else None,
-                    }
+                media.tracks.update(_track(data, x, y) for n, _, x, y in elements(data, a, b) if n == TRACK_ENTRY)
             elif top == CLUSTER:
                 media.clusters.append(start - body)
                 base = 0
@@ -248,12 +293,7 @@ def parse(data: bytes) -> Media:
                         media.packets.append(Packet(track, (base + relative) * media.scale + k * each, len(media.clusters) - 1, blocks, k, LACINGS[flags >> 1 & 3], n == SIMPLE_BLOCK and flags > 127, at, size))
                     blocks += 1
             elif top == CUES:
-                for point in (e for e in elements(data, a, b) if e[0] == CUE_POINT):
-                    own = list(elements(data, point[2], point[3]))
-                    time = next(_number(data, x, y) for n, _, x, y in own if n == CUE_TIME)
-                    for _, _, x, y in (e for e in own if e[0] == CUE_TRACK_POSITIONS):
-                        pos = {n: _number(data, p, q) for n, _, p, q in elements(data, x, y)}
-                        media.cues.append((time, pos[CUE_TRACK], pos[CUE_CLUSTER_POSITION]))
+                media.cues += [c for n, _, x, y in elements(data, a, b) if n == CUE_POINT for c in _cues(data, x, y)]
     return media
 
 

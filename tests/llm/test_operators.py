@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import brute
+import pyarrow as pa
 import pytest
 from edge import CLASHES, ROWS
 from pyspark.sql import functions as F
@@ -62,7 +63,8 @@ def test_op1_no_pushed_down_lambdas(spark, docs):
     assert not any("Filter" in line and "lambda" in line for line in plan.split("\n"))
 
 
-def toxic_table(spark, n=600):
+def toxic_table(spark, n=600, noise=0):
+    """Every eighth text is toxic; every noise-th clean one holds one of its words."""
     import random
 
     random.seed(7)
@@ -75,6 +77,8 @@ def toxic_table(spark, n=600):
         if toxic:
             for _ in range(3):
                 w.insert(random.randrange(len(w)), random.choice([*bad, random.choice(stems) + random.choice(words)]))
+        elif noise and i % noise == 1:
+            w[0] = random.choice(bad)
         rows.append((i, " ".join(w), None, None, None))
         labels.append((i, 1, int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -91,6 +95,57 @@ def test_op2_accuracy_and_passages(spark):
     assert all(any(b in r["text"][r["p"]["start"] : r["p"]["end"]] for b in ("vile", "rotten", "scummy", "grulo")) for r in hit)
 
 
+def test_op2_against_brute(spark, tmp_path):
+    """The query's scores and evidence, of clean, toxic, empty, repeated and long texts, against a plain version."""
+    docs, labels = toxic_table(spark, 240, 7)
+    rows = [tuple(r) for r in docs.collect()]
+    long = " ".join(t for _, t, *_ in rows)  # all toxic words of the table, far more passages than one text has
+    rows += [(9000, long, None, None, None), (9001, None, None, None, None), (9002, "", None, None, None), (9003, "vile " * 30, None, None, None), (9004, "rotten vile 12 ÄÖ İx scummy", None, None, None)]
+    spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_toxic_passages(spark, str(tmp_path)).collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    part = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(toxic_passages.PARTS)).alias("p")).collect()}
+    learnt, held = ([(t, known[d]) for d, t, *_ in rows if d in known and (part[d] == 0) == fits] for fits in (False, True))
+    assert {y for _, y in learnt} == {y for _, y in held} == {0, 1}
+    for (d, *_), (evidence, score) in zip(rows, brute.toxicity([t for _, t, *_ in rows], learnt, held), strict=True):
+        assert got[d]["evidence"] == pytest.approx(evidence, rel=1e-6, abs=1e-9)
+        assert got[d]["score"] == pytest.approx(score, rel=1e-4, abs=1e-9)
+        assert got[d]["predicted"] == int(got[d]["score"] >= 0.7)
+
+
+def test_op2_all_passages_count():
+    """Evidence of a text with hundreds of significant passages and thousands of weak ones."""
+    import decimal
+
+    model = toxic_passages.Model(rate=1.0, constant=0.01)
+    for n in (1, 13, 40, 400):
+        segments = [(i, i + 1, 9.0 + i / 1000) for i in range(n)] + [(i, i + 1, 0.5) for i in range(5000)]
+        means = sorted(decimal.Decimal(100.0) * decimal.Decimal(-s).exp() for *_, s in segments)
+        want = max(brute.poisson_tail(r, m) for r, m in enumerate(means, 1) if m <= 0.05)
+        assert model.evidence(segments, 10_000) == pytest.approx(want)
+        assert n == 1 or want > model.evidence(segments[: n - 1], 10_000)
+
+
+def test_op2_keeps_every_unit(spark):
+    """Every token and prefix learnt from has its score in the model."""
+    docs, labels = toxic_table(spark, 120)
+    model = toxic_passages.fit(docs, labels)
+    part = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(toxic_passages.PARTS)) != 0).select("doc_id").collect()}
+    learnt = [(r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").collect() if r["doc_id"] in part]
+    score, tokens = brute.toxic_scorer(learnt), sorted({t for text, _ in learnt for t in brute.toxic_tokens(text)} | {"vilex", "grulox", "unheard", "lob"})
+    units = {u for t in tokens[:] for u in (t, *(f"{n}:{t[:n]}" for n in (4, 5, 6) if len(t) >= n))}
+    assert len(model.units) <= len(units) and len(set(model.units.tolist())) == len(model.units)
+    assert [x + toxic_passages.DRIFT for x in model.fresh_scores(tokens)] == pytest.approx([score(t) for t in tokens])
+
+
+def test_op2_one_hot_id(spark):
+    """An id with many rows is learnt from once."""
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(500)] + [(2, "vile")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxic_passages.sample(docs, labels, "text", "doc_id", "toxic", 10).count() == 2
+
+
 def test_op2_edges(spark, folder, clashing, docs):
     rows = queries.op2_toxic_passages(spark, folder).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
@@ -314,6 +369,57 @@ def test_op7_lacing_and_sizes():
             matroska.parse(bad)
 
 
+def test_op7_malformed_files():
+    """Only ValueError, for parts that end early or are missing, and for any cut or changed byte."""
+    import random
+
+    m = matroska
+    head = m._element(m.EBML, m._element(m.DOC_TYPE, b"matroska"))
+    track = m._uint(m.TRACK_NUMBER, 1) + m._uint(m.TRACK_TYPE, 2) + m._element(m.CODEC_ID, b"A_X")
+    whole = lambda *parts: head + m._element(m.SEGMENT, b"".join(parts))
+    tracks = lambda body: m._element(m.TRACKS, m._element(m.TRACK_ENTRY, body))
+    blocks = lambda body: m._element(m.CLUSTER, m._uint(m.TIMESTAMP, 0) + m._element(m.SIMPLE_BLOCK, body))
+    assert m.parse(whole(tracks(track), blocks(m.block(1, 0, [b"ab"], "none")))).packets[0].size == 2
+    xiph, ebml = (m.block(1, 0, [b"a" * 300, b"b" * 10, b"c"], k) for k in ("xiph", "ebml"))
+    for bad in (
+        blocks(xiph[:6]), blocks(xiph[:5]), blocks(xiph[:4]), blocks(ebml[:5]), blocks(ebml[:6]), blocks(xiph[:9]), blocks(m.block(1, 0, [b"ab", b"cd"], "fixed")[:-1]), blocks(b"\x81\0"), blocks(b"\xff\0\0\x80abc"), blocks(b""),
+        tracks(m._uint(m.TRACK_TYPE, 2) + m._element(m.CODEC_ID, b"A_X")), tracks(m._uint(m.TRACK_NUMBER, 1) + m._element(m.CODEC_ID, b"A_X")), tracks(m._uint(m.TRACK_NUMBER, 1) + m._uint(m.TRACK_TYPE, 2)),
+        tracks(track + m._element(m.AUDIO, m._element(m.SAMPLING_FREQUENCY, b"abc"))), tracks(m._element(m.TRACK_NUMBER, b"\1" * 9) + track[3:]), tracks(m._uint(m.TRACK_NUMBER, 1) + m._uint(m.TRACK_TYPE, 2) + m._element(m.CODEC_ID, b"\xff")),
+        m._element(m.CUES, m._element(m.CUE_POINT, b"")), m._element(m.CUES, m._element(m.CUE_POINT, m._uint(m.CUE_TIME, 1) + m._element(m.CUE_TRACK_POSITIONS, m._uint(m.CUE_TRACK, 1)))),
+        m._element(m.CUES, m._element(m.CUE_POINT, m._uint(m.CUE_TIME, 1) + m._element(m.CUE_TRACK_POSITIONS, m._uint(m.CUE_CLUSTER_POSITION, 1)))),
+    ):
+        with pytest.raises(ValueError):
+            m.parse(whole(bad))
+    random.seed(5)
+    data = m.mux(bytes(range(256)) * 300)
+    for _ in range(400):
+        d = bytearray(data[: random.choice([len(data), random.randrange(len(data))])])
+        for _ in range(random.randint(1, 4)):
+            if d:
+                d[random.choice([random.randrange(len(d)), random.randrange(min(len(d), 200))])] = random.randrange(256)
+        try:
+            m.parse(bytes(d))
+        except ValueError:
+            pass
+
+
+def test_op7_many_clusters_of_unknown_size():
+    m = matroska
+    cluster = m.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + m._uint(m.TIMESTAMP, 1) + m._element(m.SIMPLE_BLOCK, m.block(1, 0, [b"x"], "none"))
+    data = m._element(m.EBML, b"") + m.SEGMENT.to_bytes(4, "big") + b"\xff" + cluster * 3000
+    assert len(m.parse(data).packets) == 3000
+
+
+def test_op7_stored_and_read_again(spark, folder, docs, tmp_path):
+    """The media column written as a table and parsed from there gives what the query gives."""
+    matroska.with_media(docs).write.parquet(f"{tmp_path}/media")
+    back = spark.read.parquet(f"{tmp_path}/media")
+    got = back.select("doc_id", "n_bytes", matroska.digests(F.col("media")).alias("d")).select("doc_id", "n_bytes", "d.*")
+    assert counted(tuple(r) for r in got.collect()) == counted(tuple(r) for r in queries.op7_matroska(spark, folder).collect())
+    whole = matroska.packet_table(back).groupBy("doc_id").agg(F.sum("size").alias("s"))
+    assert all(r["s"] % 64 == 0 for r in whole.collect())
+
+
 def test_op7_sizes_round_trip():
     for n in (0, 1, 64, 1023, 1024, 1025, 8192, 65536, 65600, 70000, 200064):
         p = bytes(i % 251 for i in range(n)).ljust(max(64, -(-n // 64) * 64), b"\0")
@@ -358,6 +464,49 @@ def test_op8_damage():
         warc.parsed(zlib.decompress(data, 31).replace(b"hello", b"hullo"))
 
 
+def archive(texts):
+    return [warc.member(warc.record(i, f"http://a/{i}", t)) for i, t in enumerate(texts)]
+
+
+def read_all(data, size):
+    """All ranges of an archive in memory."""
+    return [r for a in range(0, len(data), size) for r in warc.records(pa.BufferReader(data), a, a + size)]
+
+
+@pytest.mark.parametrize("size", [50, 300, 1 << 20])
+def test_op8_damaged_members(size):
+    """A cut member, a flipped byte anywhere, bytes after the last member and a missing piece: an error whatever the ranges, never fewer records."""
+    parts = archive([b"alpha " * 40, bytes(range(256)) * 3, b"omega"])
+    data = b"".join(parts)
+    assert len(read_all(data, size)) == 3
+    bad = [data[:-5], data + b"tail", data[: len(parts[0])] + data[len(parts[0]) + 9 :], b"x" + data]
+    bad += [data[:i] + bytes([data[i] ^ 0x55]) + data[i + 1 :] for i in (0, 12, len(parts[0]) // 2, len(parts[0]), len(parts[0]) + 40, len(data) - 30, len(data) - 2)]
+    for d in bad:
+        with pytest.raises(ValueError):
+            read_all(d, size)
+
+
+def test_op8_round_trip_counts(spark, folder, tmp_path, monkeypatch):
+    """An archive that lost records whole is found by the writer's count."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    real = warc.write
+
+    def losing(*args):
+        return real(*args).withColumn("records", F.col("records") + 1)
+
+    monkeypatch.setattr(warc, "write", losing)
+    with pytest.raises(ValueError, match="written"):
+        warc.round_trip(pages, f"file://{tmp_path}/lost")
+
+
+def test_op8_clashing_columns(spark, clashing, tmp_path):
+    """Other columns of pages, of any name, have no part in it."""
+    pages = clashing.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), *[F.lit("x").alias(c) for c in (*CLASHES, "sha1", "record_type", "path")])
+    rows = warc.round_trip(pages, f"file://{tmp_path}/c", payload=True)
+    assert rows.columns == ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+    assert counted(tuple(r) for r in rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == counted(pages_want())
+
+
 def test_op8_is_standard_gzip(spark, folder, tmp_path):
     import glob
     import gzip
