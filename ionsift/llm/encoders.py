@@ -11,6 +11,7 @@ an added token's string, goes to the library whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -29,10 +30,21 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 
 #: White space as the tokenizers' patterns know it (a fixed value; Python's own class holds four control characters more).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _numerals() -> str:
+    """The characters that Python's \\w holds beside letters and decimal digits, as ranges of a pattern: numbers such as halves, squares and Roman numerals."""
+    own = [c for c in range(sys.maxunicode + 1) if chr(c).isnumeric() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    runs = [list(run) for _, run in itertools.groupby(enumerate(own), lambda p: p[1] - p[0])]
+    return "".join(f"\\U{run[0][1]:08x}-\\U{run[-1][1]:08x}" for run in runs)
+
+
+#: What letters are not: all but word characters, and of those the digits, numerals and the underscore.
+OTHER = rf"\W\d_{_numerals()}"
 #: A space and letters; a space and anything up to the next white space; white space as the byte-level pattern groups it.
-BYTE_PARTS = re.compile(rf" ?[^\W\d_]+| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+BYTE_PARTS = re.compile(rf" ?[^{OTHER}]+| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Letters that a space, comma, full stop or line end follows (but one letter, whose lower case ends in a mark); anything up to the next ASCII white space.
-WORD_PARTS = re.compile(r"[^\W\d_\u0130]+(?=[ ,.\n])|[^ \t\n\r\x0b\x0c]+")
+WORD_PARTS = re.compile(rf"[^{OTHER}\u0130]+(?=[ ,.\n])|[^ \t\n\r\x0b\x0c]+")
 #: What str.split() takes for white space and the tokenizers don't.
 CONTROLS = re.compile("[\x1c-\x1f]")
 #: Parts held at most, twice (those in use, and those of the time before).  About 150 bytes each.
@@ -143,6 +155,14 @@ class Encoder:
         return b"".join(map(self.store.__getitem__, self.parts.findall(text)))
 
 
+@lru_cache(maxsize=2)
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id that a tokenizer file can give."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per process and file."""
