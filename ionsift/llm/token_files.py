@@ -1,21 +1,28 @@
 """Token ids in flat binary files.
 
 A shard is two files: ``<name>.bin`` holds the ids of its documents, one after
-the other, as little-endian unsigned integers of 16 or 32 bits; ``<name>.idx``
-holds a header of four 64-bit integers (magic, width in bytes, documents,
-ids) and then, for each document, its id (64 bits, the smallest value for
-null) and where its ids begin (64 bits, counted in ids), with the end of the
-last one after them.  Both are memory-mapped to be read.
-
-Shards follow the documents' order: range-partitioned by document id, sorted
-within, one shard a task.  A task writes under a name of its own attempt and
-reports it; only reported files are read, so a lost executor or a second
-attempt leaves at most a file that nobody reads.  The shards' bases in the
-whole are prefix sums of their reported totals.
+the other, as little-endian unsigned integers of 16 or 32 bits, 16 where the
+vocabulary allows; ``<name>.idx`` holds a header of five 64-bit integers
+(magic, width in bytes, documents, those without an id, ids) and then, for
+each document, its id (64 bits; those without one come last and have 0) and
+where its ids begin (64 bits, counted in ids), with the end of the last one
+after them.  Both are memory-mapped to be read, or read by ranges where they
+are not local.
+
+Texts are encoded where they lie, and only their ids, half the bytes or less,
+are kept and shuffled: range-partitioned by document id, with a salt so that
+one id may have any share of the rows, sorted within, one shard a task.  A
+task writes under a name of its own attempt and reports it; only reported
+files are read, so a lost executor or a second attempt leaves at most a file
+that nobody reads.  The shards' bases in the whole are prefix sums of their
+reported totals.
 
 Defined results: null and empty texts are the end id alone; null document ids
-come last; repeated rows are documents of their own; an empty table gives no
-shards and no rows.
+come last; document ids are whole numbers of 64 bits, other types raise
+ValueError; a token id that the width can't hold raises ValueError; repeated
+rows are documents of their own, in any order among rows of one id; an empty
+table gives no shards and no rows.  Files hold ids alone: other columns,
+whatever their names, don't come back.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,64 +40,93 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, new_folder
-from .encoders import default_path, encoder
+from .encoders import default_path, encoder, vocabulary_size
+from .prefix import SALT
 
-MAGIC = 0x3149424B4F54
+MAGIC = 0x3249424B4F54
+HEAD = struct.Struct("<5q")
 END = 1
-NONE = -(2**63)
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def _write_shard(ids: Iterator[tuple[int | None, bytes]], folder: str, part: int, width: int) -> tuple[str, int, int]:
+def narrowed(ids: bytes, width: int) -> bytes:
+    """32-bit ids in so many bytes each; ValueError if one doesn't fit."""
+    if width == 4:
+        return ids
+    values = np.frombuffer(ids, dtype="<u4")
+    if len(values) and int(values.max()) >> 16:
+        raise ValueError(f"id {int(values.max())} does not fit into 16 bits")
+    return values.astype("<u2").tobytes()
+
+
+def _write_shard(documents: Iterator[tuple[int | None, bytes]], folder: str, part: int, width: int) -> tuple[str, int, int]:
     """The shard's path without ending, its documents and ids.  Ids are appended as they come; 16 bytes a document are held."""
     where, root = opened(folder)
     name = f"{root}/shard-{part:06d}-{uuid.uuid4().hex}"
-    index, at = [], 0
+    index, at, without = array("q"), 0, 0
     with where.open_output_stream(f"{name}.bin") as out:
-        for doc_id, own in ids:
-            values = np.frombuffer(own, dtype="<u4")
-            out.write((values.astype("<u2") if width == 2 else values).tobytes())
-            index += (NONE if doc_id is None else doc_id, at)
-            at += len(values)
+        for doc_id, own in documents:
+            out.write(own)
+            without += doc_id is None
+            index.extend((doc_id or 0, at))
+            at += len(own) // width
+    index.append(at)
     with where.open_output_stream(f"{name}.idx") as out:
-        out.write(struct.pack("<4q", MAGIC, width, len(index) // 2, at))
-        out.write(np.array([*index, at], dtype="<i8").tobytes())
+        out.write(HEAD.pack(MAGIC, width, len(index) // 2, without, at))
+        out.write(np.frombuffer(index, dtype=np.int64).astype("<i8").tobytes())
     return os.path.basename(name), len(index) // 2, at
 
 
-def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id", end: int | None = END, width: int = 2, shards: int | None = None) -> DataFrame:
-    """Encodes, writes, and returns the shards in order: part, name, docs, ids, base_docs, base_ids."""
-    spark, path = docs.sparkSession, path or default_path("word_bpe_49k.json")
+def encoded(docs: DataFrame, path: str, text: str, doc_id: str, end: int | None, width: int) -> DataFrame:
+    """doc_id and its ids in the files' width.  A map."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"document ids are whole numbers, {doc_id} is {docs.schema[doc_id].dataType.simpleString()}")
     tail = b"" if end is None else end.to_bytes(4, "little")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            ids = [narrowed(own.ids(t.as_py() or "") + tail, width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        own.rest()
+
+    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return named.mapInArrow(encode, "doc_id long, ids binary")
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id", end: int | None = END, width: int | None = None, shards: int | None = None) -> DataFrame:
+    """Encodes, writes, and returns the shards in order: part, name, docs, ids, base_docs, base_ids.
+
+    ``width`` is 2 or 4 bytes, by default what the vocabulary needs.
+    """
+    spark, path = docs.sparkSession, path or default_path("word_bpe_49k.json")
+    width = width or (2 if max(vocabulary_size(path), (end or 0) + 1) <= 1 << 16 else 4)
+    if width not in (2, 4):
+        raise ValueError("ids have two or four bytes")
     opened(folder)[0].create_dir(opened(folder)[1], recursive=True)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, part = encoder(path), TaskContext.get().partitionId()
-
-        def rows() -> Iterator[tuple[int | None, bytes]]:
-            for batch in batches:
-                for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                    yield i.as_py(), own.ids(t.as_py() or "") + tail
-
-        first = next(each := rows(), None)
+        part = TaskContext.get().partitionId()
+        rows = ((i.as_py(), own.as_py()) for batch in batches for i, own in zip(batch.column(0), batch.column(1), strict=True))
+        first = next(rows, None)
         if first is None:
             return
-        name, n_docs, n_ids = _write_shard(itertools.chain([first], each), folder, part, width)
-        own.rest()
+        name, n_docs, n_ids = _write_shard(itertools.chain([first], rows), folder, part, width)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
     order = F.col("doc_id").asc_nulls_last()
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    laid = laid.repartitionByRange(n, order).sortWithinPartitions(order, F.xxhash64("text"))
-    manifest = cut(laid.mapInArrow(store, "part int, name string, docs long, ids long"))
+    flat = cut(encoded(docs, path, text, doc_id, end, width))  # else the sampling of the ranges would encode all texts as well
+    laid = flat.withColumn("__salt", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(SALT))).repartitionByRange(n, order, F.col("__salt"))
+    manifest = cut(laid.sortWithinPartitions(order, "__salt").select("doc_id", "ids").mapInArrow(store, "part int, name string, docs long, ids long"))
     rows, base_docs, base_ids = [], 0, 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):  # a row per shard
         rows.append((r["part"], r["name"], r["docs"], r["ids"], base_docs, base_ids))
@@ -97,34 +134,53 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
     return spark.createDataFrame(rows, "part int, name string, docs long, ids long, base_docs long, base_ids long")
 
 
+class _Ranges:
+    """A file that is not local, read by ranges as a mapped one is."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def __len__(self) -> int:
+        return self.file.size()
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        self.file.seek(at.start or 0)
+        return np.frombuffer(self.file.read((len(self) if at.stop is None else at.stop) - (at.start or 0)), dtype=np.uint8)
+
+
 class Shard:
-    """A shard's files, memory-mapped where they are local and read where not."""
+    """A shard's files, memory-mapped where they are local and read by ranges where not."""
 
     def __init__(self, folder: str, name: str):
         where, root = opened(folder)
-        self.doc_ids = self.starts = self.ids = None
         parts = []
         for ending in ("idx", "bin"):
             at = f"{root}/{name}.{ending}"
             if isinstance(where, fs.LocalFileSystem):
                 parts.append(np.memmap(at, dtype=np.uint8, mode="r") if os.path.getsize(at) else np.zeros(0, np.uint8))
             else:
-                parts.append(np.frombuffer(where.open_input_file(at).readall(), dtype=np.uint8))
-        magic, width, docs, ids = struct.unpack("<4q", parts[0][:32].tobytes())
-        if magic != MAGIC or len(parts[0]) != 40 + 16 * docs or len(parts[1]) != width * ids:
+                parts.append(_Ranges(where.open_input_file(at)))
+        self.index, self.data = parts
+        magic, self.width, self.docs, self.without, ids = HEAD.unpack(self.index[: HEAD.size].tobytes()) if len(self.index) >= HEAD.size else (0,) * 5
+        if magic != MAGIC or len(self.index) != HEAD.size + 8 + 16 * self.docs or len(self.data) != self.width * ids:
             raise ValueError(f"{name} is not a whole shard")
-        table = parts[0][32:].view("<i8")
-        self.doc_ids, self.starts = table[: 2 * docs : 2], np.concatenate([table[1 : 2 * docs : 2], table[2 * docs :]])
-        self.ids = parts[1].view("<u2" if width == 2 else "<u4")
 
     def __len__(self) -> int:
-        return len(self.doc_ids)
+        return self.docs
+
+    def documents(self, a: int, b: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(id, where its ids begin, ids) of the documents a to b - 1."""
+        table = self.index[HEAD.size + 16 * a : HEAD.size + 16 * b + 16 if b < self.docs else None].view("<i8")
+        names, starts = table[: 2 * (b - a) : 2], np.append(table[1 : 2 * (b - a) : 2], table[2 * (b - a) + 1 if b < self.docs else -1])
+        ids = self.data[self.width * int(starts[0]) : self.width * int(starts[-1])].view(f"<u{self.width}")
+        for k in range(b - a):
+            yield None if a + k >= self.docs - self.without else int(names[k]), int(starts[k]), ids[starts[k] - starts[0] : starts[k + 1] - starts[0]]
 
     def document(self, k: int) -> np.ndarray:
-        return self.ids[self.starts[k] : self.starts[k + 1]]
+        return next(self.documents(k, k + 1))[2]
 
 
-def read(shards: DataFrame, folder: str, with_ids: bool = True, step: int = 4096) -> DataFrame:
+def read(shards: DataFrame, folder: str, with_ids: bool = True, step: int = 1024) -> DataFrame:
     """One row per document, from the files: doc_id, start (in the whole), n_tokens, ids_crc32 (of 32-bit ids), and ids if asked for."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +188,15 @@ def read(shards: DataFrame, folder: str, with_ids: bool = True, step: int = 4096
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(folder, name)
                 for a in range(0, len(shard), step):
-                    k = range(a, min(a + step, len(shard)))
-                    own = [shard.document(i).astype("<u4") for i in k]
-                    names = [int(shard.doc_ids[i]) for i in k]
+                    rows = [(i, base + at, ids.astype("<u4")) for i, at, ids in shard.documents(a, min(a + step, len(shard)))]
                     cols = {
-                        "doc_id": pa.array([None if x == NONE else x for x in names], pa.int64()),
-                        "start": pa.array([base + int(shard.starts[i]) for i in k], pa.int64()),
-                        "n_tokens": pa.array([len(x) for x in own], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
+                        "doc_id": pa.array([i for i, *_ in rows], pa.int64()),
+                        "start": pa.array([at for _, at, _ in rows], pa.int64()),
+                        "n_tokens": pa.array([len(x) for *_, x in rows], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for *_, x in rows], pa.int64()),
                     }
                     if with_ids:
-                        cols["ids"] = pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))
+                        cols["ids"] = pa.array([x.astype(np.int64) for *_, x in rows], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(cols)
 
     n = max(1, shards.count())

@@ -551,6 +551,64 @@ def test_op10(spark, folder, library):
         at, last = at + r["n_tokens"], key
 
 
+def test_encoders_cut_no_numerals(library):
+    """A part ends where letters end; halves, squares and Roman numerals are numbers, as the libraries' patterns have it."""
+    from ionsift.llm.encoders import BYTE_PARTS, WORD_PARTS
+
+    assert BYTE_PARTS.findall("½5 ab² xⅧ9 ¾") == ["½5", " ab", "²", " x", "Ⅷ9", " ¾"]
+    assert WORD_PARTS.findall("½5 abc, xⅧ") == ["½5", "abc", ",", "xⅧ"]
+
+
+def test_op10_width(spark, tmp_path):
+    """An id above 65,535 is refused in 16 bits and kept in 32; the width follows the vocabulary; ids of documents are whole numbers."""
+    import numpy as np
+
+    for ids, width, fine in (([70000], 2, False), ([65535], 2, True), ([70000], 4, True), ([], 2, True)):
+        own = np.array(ids, dtype="<u4").tobytes()
+        if fine:
+            assert np.frombuffer(token_files.narrowed(own, width), f"<u{width}").tolist() == ids
+        else:
+            with pytest.raises(ValueError, match="70000"):
+                token_files.narrowed(own, width)
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="70000"):
+        token_files.write(df, f"file://{tmp_path}/w", end=70000, width=2)
+    at = f"file://{tmp_path}/x"
+    rows = token_files.read(token_files.write(df, at, end=70000), at).collect()
+    assert rows[0]["ids"][-1] == 70000
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_files.write(df.withColumn("doc_id", F.col("doc_id").cast("string")), f"file://{tmp_path}/y")
+
+
+def test_op10_odd_ids_and_columns(spark, clashing, tmp_path):
+    """The smallest and largest ids, null ids, one id in most rows, and columns of any name."""
+    rows = [(-(2**63), "a"), (2**63 - 1, "b"), (None, "c"), (0, "d"), (None, None)] + [(7, f"w{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    at = f"file://{tmp_path}/z"
+    shards = token_files.write(df, at, shards=8)
+    assert shards.agg(F.max("docs")).first()[0] < 250
+    got = token_files.read(shards, at).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows if d is not None)) + [None, None]
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(len(got))]
+    files, folder = token_files.token_files(clashing, f"file://{tmp_path}/c")
+    assert token_files.read(files, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    assert token_files.read(files, folder).count() == len(ROWS)
+
+
+def test_op10_files_not_local(spark, docs, tmp_path, monkeypatch):
+    """Shards read by ranges are those that are mapped."""
+    at = f"file://{tmp_path}/r"
+    for r in token_files.write(docs, at, shards=2).collect():
+        near = token_files.Shard(at, r["name"])
+        monkeypatch.setattr(token_files.fs, "LocalFileSystem", type("Other", (), {}))
+        far = token_files.Shard(at, r["name"])
+        monkeypatch.undo()
+        for step in (1, 3, 100):
+            for a in range(0, len(near), step):
+                b = min(a + step, len(near))
+                assert [(i, s, x.tolist()) for i, s, x in near.documents(a, b)] == [(i, s, x.tolist()) for i, s, x in far.documents(a, b)]
+
+
 def test_op10_files(spark, docs, tmp_path, library):
     at = f"file://{tmp_path}/t"
     shards = token_files.write(docs, at, shards=3)
