@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,11 +40,18 @@ def unpacked(df: DataFrame, columns: list[str], *computed: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; one of the machine only where none is set (tests, local mode)."""
+    """The folder of spark.checkpoint.dir, which all executors see.
+
+    Where none is set, one of the machine in local mode (tests); RuntimeError
+    on a cluster, whose executors would not see it.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not at:
+        master = spark.sparkContext.master or ""
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} see")
         at = "file://" + tempfile.mkdtemp(prefix="ionsift-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -51,10 +59,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
+    """A fresh path below the shared folder; nothing is created yet.  What is written there stays until remove_folder()."""
     return f"{shared_folder(spark).rstrip('/')}/ionsift-{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that new_folder() named, once what was read from it is no longer needed; others are refused."""
+    if not folder.startswith(f"{shared_folder(spark).rstrip('/')}/ionsift-"):
+        raise ValueError(f"{folder} is not one of this package's folders")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, read by columns."""
+    at = new_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows through a reliable checkpoint: computed once, and kept in the shared folder when executors go."""
     shared_folder(df.sparkSession)

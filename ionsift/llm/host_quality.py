@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, packed, unpacked, words
+from .common import SPACE_CHARS, cut, packed, unpacked, words, written
 
 SYMBOLS = "#*$%&|<>"
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -106,9 +106,22 @@ def join_verdicts(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
 def host_quality(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
     """All input rows with RULES, VERDICT and ``kept``.
 
-    The texts are read twice (for the sums by host, and for the result) and
-    never shuffled unless there are more hosts than BROADCAST_HOSTS.
+    Rows and rules are written once to a table in the shared folder, whose
+    narrow columns give the sums by host; the texts are never shuffled unless
+    there are more hosts than BROADCAST_HOSTS.
     """
-    rules = rule_columns(docs, text, host)
+    rules = written(rule_columns(docs, text, host), "rules")
     df = join_verdicts(rules, host_verdicts(rules, limit))
     return unpacked(df, docs.columns, *RULES, *VERDICT, "kept")
+
+
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", limit: float = 0.5) -> DataFrame:
+    """The input rows that are kept, in the columns of docs.
+
+    As host_quality(), but a row that fails the rules alone leaves only its
+    host and its failure in the table.
+    """
+    rules = rule_columns(docs, text, host)
+    narrow = written(rules.select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__host", "base_failed"), "kept")
+    df = join_verdicts(narrow, host_verdicts(narrow.select("__host", "base_failed"), limit))
+    return df.where("kept").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
