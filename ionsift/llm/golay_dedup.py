@@ -7,7 +7,7 @@ the perfect [23, 12] Golay code gives every word one index, or six when it
 lies at the code's covering radius, such that any two words at a distance of
 two share an index: both reach the codeword near the word midway.  So the
 keys (segment, its bits, an index of the next segment) lose no pair, and there
-are 16 at most for a distinct fingerprint.
+are 18 at most for a distinct fingerprint.
 
 Copies meet once, as one distinct fingerprint.  Keys of few fingerprints are
 joined and verified pair by pair.  Fingerprints under a crowded key are
@@ -19,7 +19,8 @@ steps on distributed edge tables, with checkpoints.
 
 Defined results: null and empty texts have fingerprint zero and link like
 others; null ids are never a component's id unless it has no other; repeated
-rows fall into one component; an empty table gives an empty result.
+rows fall into one component; an empty table gives an empty result; computed
+columns replace input columns of their name, and all others are carried along.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011
 #: Fingerprints under a key up to which they are paired; above, they are linked through the words at distance one.
 CROWD = 64
+#: A broadcast table of keys has so many rows at most (about 40 bytes each); above, the join is shuffled.
+BROADCAST_KEYS = 50_000
 SEED = 42
 
 
@@ -205,15 +208,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = 2) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest id (null last); of rows with that id, the one whose text has the smallest hash.
+    """The rows that stay: of each component the one with the smallest id (null last); of rows with that id, the one whose text has the smallest hash; of rows equal in both, the first by the other columns as text.
 
     Chosen by ids and text hashes; only then the texts are read again and
-    shuffled once, by id and hash.
+    exchanged once, to meet their key.  Keys of several rows, which are ids
+    that come back with the same text, take another way: their rows meet the
+    keys (broadcast where these are few), are reduced to one in each task, and
+    only then exchanged, so that one key may hold any share of the rows.
     """
-    key = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("hash"))
+    none, hashed = F.col(f"`{doc_id}`").isNull(), F.xxhash64(f"`{text}`")
+    key = F.struct(none.alias("none"), F.col(f"`{doc_id}`").alias("id"), hashed.alias("hash"))
     ids = cut(docs.select(key.alias("id"), fingerprint(F.col(f"`{text}`")).alias("fp")))
-    stay = classes(ids, most).groupBy("component_id").agg(F.count("*").alias("fingerprints")).select("component_id.none", "component_id.id", "component_id.hash")
-    marked = packed(docs, F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(f"`{text}`").alias("__hash"))
-    found = marked.join(stay, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash")), "left_semi")
-    once = found.groupBy("__id", "__hash").agg(F.min_by(ROW, F.struct(*[F.col(f"{ROW}.`{c}`").cast("string") for c in docs.columns if c != text])).alias(ROW))
-    return once.select(f"{ROW}.*")
+    stay = classes(ids, most).groupBy("component_id").agg(F.count("*").alias("fingerprints")).select("component_id.*")
+    again = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id.*")
+    on = ["none", "id", "hash"]  # a null id meets others by its flag
+    named = lambda df: df.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    stay, again = named(stay), cut(named(again))
+    n = again.limit(BROADCAST_KEYS + 1).count()
+    marked = named(packed(docs, none.alias("none"), F.col(f"`{doc_id}`").alias("id"), hashed.alias("hash")))
+    once = marked.join((stay.join(again, on, "left_anti") if n else stay).hint("merge"), on, "left_semi").select(f"{ROW}.*")
+    if not n:
+        return once
+    several = stay.join(again, on)
+    found = marked.join(F.broadcast(several) if n <= BROADCAST_KEYS else several.hint("merge"), on, "left_semi")
+    order = F.struct(*[F.col(f"{ROW}.`{c}`").cast("string") for c in docs.columns if c != text])
+    return once.unionByName(found.groupBy(*on).agg(F.min_by(ROW, order).alias(ROW)).select(f"{ROW}.*"))
