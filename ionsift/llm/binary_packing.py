@@ -10,7 +10,9 @@ begin where the totals of those before it end.
 
 Defined results: a null or empty text is its end id alone, one piece of length
 one; null document ids come last in their bucket; repeated rows give repeated
-pieces in sequences of their own; an empty table gives no pieces.
+pieces in sequences of their own; an empty table gives no pieces.  A piece
+carries its document's id and nothing else: other columns, whatever their
+names, don't come back.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Counts of parts of texts already met are held, up to a bound.
 
 Defined results: null is empty, with no tokens; texts that hold an added
 token's string count it as one, as the library does; repeated rows count
-alike; computed columns replace input columns of their name.
+alike; an empty table gives no rows; computed columns replace input columns of
+their name, and all others are carried along.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ tokenizer's own settings show that a text's ids are the ids of certain parts
 in sequence (a byte-level one without normaliser; one that lower-cases, drops
 white space and splits at it), the text is split there and the library
 encodes each new part once.  Parts may hold several of the tokenizer's own
-pre-tokens but never cut one.  Any other tokenizer, and any text that holds
+pre-tokens but cut none: they end where letters end, and numerals are none.  Any other tokenizer, and any text that holds
 an added token's string, goes to the library whole.
 """
 

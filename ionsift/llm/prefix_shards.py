@@ -9,7 +9,9 @@ first.
 
 Defined results: a null text has size 1; null keys come last; repeated rows
 are separate, and spread over partitions by a salt; an empty table gives no
-rows.  Computed columns replace input columns of their name.
+rows.  Rows that tie in key, CRC-32 and size are alike to the law: which of
+them takes which of their slots may differ between runs if other columns tell
+them apart.  Computed columns replace input columns of their name.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ the taken words follow from it row by row, without a shuffle of texts.
 Defined results: null and empty texts have size 0 and take nothing; null is a
 source of its own, the last; rows that repeat in id, source and text share
 what their key takes evenly, the remainder going unused; an empty table or one
-without words gives targets of 0.
+without words gives targets of 0; computed columns replace input columns of
+their name in mixed(), and in mixture(), which gives the documents' columns,
+input columns of those names go.
 """
 
 from __future__ import annotations
