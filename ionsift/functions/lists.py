@@ -35,6 +35,27 @@ def inserted(base: Column, generated: Column, prefix: Column | int, slots: int)
     return F.concat(take(base, prefix), take(novel(base, generated), slots), rest(base, prefix))
 
 
+def reranked(keys: Column, scores: Column, weight: float, top: int | None = None) -> Column:
+    """A ranking by (1 - w) / (60 + place) and, for the first ``top``, w / (60 + competition rank by score); scores are a map, missing ones 0.  It stays as it is where all scores tie."""
+    if not 0 <= weight <= 1:
+        raise ValueError("weight in [0, 1]")
+    head = take(keys, top) if top else keys
+    evidence = F.transform(head, lambda k: F.coalesce(F.try_element_at(scores, k), F.lit(0.0)))
+
+    def fused(v: Column) -> Column:
+        place = lambda i: F.size(F.filter(v, lambda x: x > F.get(v, i))) + 1
+        total = lambda i: (1 - weight) / (61 + i) + F.when(i < F.size(v), weight / (60 + place(i))).otherwise(0.0)
+        ordered = F.array_sort(F.transform(keys, lambda k, i: F.struct((-F.round(total(i), 12)).alias("s"), i.alias("i"), k.alias("k"))))
+        return F.when(F.array_max(v) > F.array_min(v), F.transform(ordered, lambda p: p["k"])).otherwise(keys)
+
+    return let(evidence, fused) if weight else keys
+
+
+def fragment_ranked_insert(base: Column, candidates: Column, scores: Column, weight: float, prefix: int = 3, slots: int = 5) -> Column:
+    """The candidates that base lacks, reranked by their fragment scores among themselves, inserted behind its prefix."""
+    return inserted(base, reranked(novel(base, candidates), scores, weight), prefix, slots)
+
+
 def led(leader: Column, keys: Column) -> Column:
     """The list with one key moved or added to its head."""
     return F.concat(F.array(leader), F.filter(keys, lambda k: k != leader))
@@ -71,6 +92,15 @@ def merged_at(base: Column, base_keys: Column, other: Column, other_keys: Column
     return let(fresh, merged)
 
 
+def popularity_reranked(keys: Column, generated: Column, z: Column, popularity: Column, weight: float = 0.15) -> Column:
+    """Items of the pool permuted among their own places by z plus weighed popularity (maps; missing: 0), equals in their order; generated ones keep their places."""
+    score = lambda k: F.coalesce(F.try_element_at(z, k), F.lit(0.0)) + weight * F.coalesce(F.try_element_at(popularity, k), F.lit(0.0))
+    pool = F.filter(keys, lambda k: ~F.array_contains(generated, k))
+    best = F.transform(F.array_sort(F.transform(pool, lambda k, i: F.struct((-F.round(score(k), 12)).alias("s"), i.alias("i"), k.alias("k")))), lambda p: p["k"])
+    before = lambda i: F.size(F.filter(take(keys, i), lambda k: ~F.array_contains(generated, k)))
+    return let(best, lambda b: F.transform(keys, lambda k, i: F.when(F.array_contains(generated, k), k).otherwise(F.get(b, before(i)))))
+
+
 def promoted(base: Column, base_keys: Column, other: Column, other_keys: Column, slots: list[int], size: int = SIZE) -> Column:
     """merged_at(), led by the first value of other if there is one."""
     usual = merged_at(base, base_keys, other, other_keys, slots, size)

@@ -89,11 +89,19 @@ def _normal(weights: Column) -> Column:
     return let(weights, lambda w: let(F.aggregate(w, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(w, lambda x: F.when(total > 0, x / total).otherwise(0.0))))
 
 
-def entropy_weights(intensity: Column, floor: float = 0.002, most: int = 256, power: float = 1.0) -> Column:
-    """Intensities for entropy similarity: those above a share of the maximum, the most intense, to a power, summing to one; if their entropy S is below 3, to the power 0.25 + 0.25 S and summing to one again."""
-    kept = let(F.array_max(intensity), lambda top: F.slice(F.sort_array(F.filter(intensity, lambda x: finite(x) & (x > 0) & (x >= floor * top)), asc=False), 1, most))
-    flat = lambda p: let(entropy(p), lambda s: F.when(s < 3, _normal(F.transform(p, lambda x: F.pow(x, 0.25 + 0.25 * s)))).otherwise(p))
-    return let(_normal(F.transform(kept, lambda x: F.pow(x, F.lit(power)))), flat)
+def entropy_peaks(mz: Column, intensity: Column, floor: float = 0.002, most: int = 256, power: float = 1.0) -> Column:
+    """Peaks for entropy similarity, by m/z: those above a share of the largest, the most intense (the lower of equals), to a power, summing to one; if their entropy S is below 3, to the power 0.25 + 0.25 S and summing to one again."""
+    fine = F.filter(zipped(mz, intensity), lambda p: finite(p["mz"]) & finite(p["i"]) & (p["i"] > 0))
+    top = lambda v: let(F.array_max(F.transform(v, lambda p: p["i"])), lambda t: F.filter(v, lambda p: p["i"] >= floor * t))
+    ranked = F.transform(let(fine, top), lambda p: F.struct((-p["i"]).alias("k"), p["mz"].alias("mz"), p["at"].alias("at"), p["i"].alias("i")))
+    kept = _by_mz(F.slice(F.array_sort(ranked), 1, most))
+
+    def weighed(v: Column) -> Column:
+        flat = lambda p: let(entropy(p), lambda s: F.when(s < 3, _normal(F.transform(p, lambda x: F.pow(x, 0.25 + 0.25 * s)))).otherwise(p))
+        weights = let(_normal(F.transform(v, lambda p: F.pow(p["i"], F.lit(power)))), flat)
+        return F.zip_with(v, weights, lambda p, w: F.struct(p["mz"].alias("mz"), w.alias("i")))
+
+    return let(kept, weighed)
 
 
 def effective_peaks(intensity: Column) -> Column:
@@ -125,6 +133,19 @@ def positions(mz: Column, loss: Column, frequencies: tuple[float, ...] = (0.01,
     return F.array(mz / 1250, loss / 1250, *waves)
 
 
+def padded_features(mz: Column, intensity: Column, precursor: Column, most: int = 64) -> Column:
+    """Struct (peaks, mask): the strongest of feature_peaks(), the earlier of equals first, each with its weight and positions(), then rows of zeros up to ``most``; the mask is true for peaks, and for the first row of a spectrum without any."""
+    ranked = F.array_sort(F.transform(feature_peaks(mz, intensity), lambda p: F.struct((-p["i"]).alias("k"), p["at"].alias("at"), p["mz"].alias("mz"), p["i"].alias("i"))))
+    rows = F.transform(F.slice(ranked, 1, most), lambda p: F.concat(F.array(p["i"]), positions(p["mz"], precursor - p["mz"])))
+    zeros = F.array_repeat(F.lit(0.0), 19)
+
+    def padded(v: Column) -> Column:
+        mask = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (i < F.size(v)) | ((i == 0) & (F.size(v) == 0)))
+        return F.struct(F.concat(v, F.array_repeat(zeros, most - F.size(v))).alias("peaks"), mask.alias("mask"))
+
+    return let(F.coalesce(rows, F.expr("cast(array() as array<array<double>>)")), padded)
+
+
 def peak_tokens(peaks: Column, protected: Column, most: int = 128) -> Column:
     """The tokens of a spectrum: protected peaks first, a quarter of the places at most, then the most intense, by m/z.
 

@@ -99,3 +99,10 @@ def one_hot(value: Column, categories: list[str]) -> Column:
     at = F.array_position(F.array(*[F.lit(c) for c in categories]), category(value))
     place = F.when(at > 0, at - 1).otherwise(len(categories))
     return F.transform(F.sequence(F.lit(0), F.lit(len(categories))), lambda i: (i == place).cast("double"))
+
+
+def one_hot_column(value: Column, categories: Column) -> Column:
+    """one_hot() by a fitted vocabulary, an array column."""
+    at = F.array_position(categories, category(value))
+    place = F.when(at > 0, at - 1).otherwise(F.size(categories))
+    return F.transform(F.sequence(F.lit(0), F.size(categories)), lambda i: (i == place).cast("double"))

@@ -46,6 +46,47 @@ def reason_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("reason").agg(F.count("*").alias("rows"))
 
 
+def merged_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables by keys that are unique on both sides; the query fails on a key that comes twice."""
+
+    def once(df: DataFrame) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(*keys))
+        return df.withColumn("__once", F.when(n > 1, F.raise_error(F.lit(f"repeated {', '.join(keys)}")).cast("boolean")).otherwise(F.lit(True))).where("__once").drop("__once")
+
+    return once(left).join(once(right), keys, how)
+
+
+def generated_funnel(rows: DataFrame, group: str, key: str, mass: Column, center: Column, score: str, stages: list[tuple[str, Column]], ppm: float = 35.0, floor: float = 0.006) -> tuple[DataFrame, DataFrame]:
+    """Generated candidates through their checks: (kept, counts).
+
+    ``stages`` are named conditions, after which the mass has to lie in its
+    window; kept has for each (group, key) the row of the best score (equals:
+    the first by all columns), and ``samples``, how many rows had the key.
+    counts has for each group the rows that reach each stage.
+    """
+    from ..functions.mass import mass_tolerance
+
+    steps = [*stages, ("in_window", F.abs(mass - center) <= mass_tolerance(center, ppm, floor))]
+    passed, marks = F.lit(True), {}
+    for name, check in steps:
+        passed = passed & F.coalesce(check, F.lit(False))
+        marks[name] = passed
+    counts = rows.groupBy(group).agg(F.count("*").alias("generated"), *[F.count_if(c).alias(n) for n, c in marks.items()], F.count_distinct(F.when(passed, F.col(key))).alias("kept"))
+    own = [c for c in rows.columns if c not in (group, key)]
+    best = F.max_by(F.struct(*own), F.struct(F.col(score), F.xxhash64(*own)))
+    kept = rows.where(passed).groupBy(group, key).agg(best.alias("__b"), F.count("*").alias("samples"))
+    return kept.select(group, key, *[F.col(f"__b.{c}").alias(c) for c in own], "samples"), counts
+
+
+def unanswered(molecules: DataFrame, rankings: DataFrame, key: str, ranking: str = "ranking") -> DataFrame:
+    """(key, problem): molecules without any ranking, which must count as empty ones, and rankings of unknown molecules; nothing else is let pass in silence."""
+    asked, given = molecules.select(key).distinct(), rankings.select(key, ranking)
+    missing = asked.join(given, key, "left_anti").select(key, F.lit("missing").alias("problem"))
+    stray = given.join(asked, key, "left_anti").select(key, F.lit("unexpected").alias("problem"))
+    empty = given.join(asked, key, "left_semi").where(F.coalesce(F.size(ranking), F.lit(0)) == 0).select(key, F.lit("empty").alias("problem"))
+    return missing.unionByName(stray).unionByName(empty)
+
+
 def without_copies(rows: DataFrame, queries: DataFrame, key: str, content: list[str]) -> DataFrame:
     """Rows whose content, under the same key, is no query's."""
     marked = queries.select(key, signature(*[F.col(c) for c in content]).alias("__sig")).distinct()

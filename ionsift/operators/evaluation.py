@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .range_join import met
+
 
 def per_key(ranking: DataFrame, truth: DataFrame, pool: DataFrame | None = None, group: str = "group", key: str = "key", size: int = 25) -> DataFrame:
     """group, rank (0: not in the first ``size``), reciprocal_rank, top1, top5, top25, covered.  truth has (group, key); covered: whether the pool holds it."""
@@ -33,10 +35,18 @@ def report(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def strata(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """The report for each value of each dimension on its own, by grouping sets: dimension, value, then the report."""
-    view = rows.select(*[F.col(d).cast("string").alias(f"__d{i}") for i, d in enumerate(dimensions)], "covered", "reciprocal_rank", "top1")
-    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"__d{i}").alias("value")) for i, d in enumerate(dimensions)])
-    long = view.select(F.explode(each).alias("__g"), "covered", "reciprocal_rank", "top1").select("__g.dimension", "__g.value", "covered", "reciprocal_rank", "top1")
-    return long.groupBy("dimension", "value").agg(F.count("*").alias("molecules"), F.avg("reciprocal_rank").alias("mrr25"), F.avg("top1").alias("top1"), F.avg("covered").alias("candidate_recall"))
+    names = [f"__d{i}" for i in range(len(dimensions))]
+    view = rows.select(*[F.col(d).cast("string").alias(n) for d, n in zip(dimensions, names, strict=True)], "covered", "reciprocal_rank", "top1")
+    sets = [[F.col(n)] for n in names]
+    out = view.groupingSets(sets, *names).agg(
+        F.grouping_id().alias("__set"), F.count("*").alias("molecules"), F.avg("reciprocal_rank").alias("mrr25"), F.avg("top1").alias("top1"), F.avg("covered").alias("candidate_recall")
+    )
+    # a set's number has a zero where its dimension is
+    which = {((1 << len(names)) - 1) ^ (1 << (len(names) - 1 - i)): (d, n) for i, (d, n) in enumerate(zip(dimensions, names, strict=True))}
+    dimension, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (d, n) in which.items():
+        dimension, value = F.when(F.col("__set") == k, d).otherwise(dimension), F.when(F.col("__set") == k, F.col(n)).otherwise(value)
+    return out.select(dimension.alias("dimension"), value.alias("value"), "molecules", "mrr25", "top1", "candidate_recall")
 
 
 def paired(a: DataFrame, b: DataFrame, group: str, metric: str = "reciprocal_rank") -> DataFrame:
@@ -95,10 +105,53 @@ def movement(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Exact interpolated quantiles: q0, q25, ..."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(a) for a in at])).alias("__q"))
-    return q.select(*by, *[F.col("__q")[i].alias(f"q{round(100 * a)}") for i, a in enumerate(at)])
+def retention(rows: DataFrame, by: list[str], stages: dict[str, Column]) -> DataFrame:
+    """Per stratum: molecules, and for each stage how many hold their truth in it and how many lost it there: n_<stage>, lost_<stage>."""
+    out, before = [F.count("*").alias("molecules")], F.lit(True)
+    for name, there in stages.items():
+        has = F.coalesce(there, F.lit(False))
+        out += [F.count_if(has).alias(f"n_{name}"), F.count_if(before & ~has).alias(f"lost_{name}")]
+        before = has
+    return rows.groupBy(*by).agg(*out)
+
+
+def stability(pairs: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
+    """Per stratum of pairs of sets: pairs, mean Jaccard, and how many are the same, overlap in part, or have nothing in common."""
+    a, b = F.col(first), F.col(second)
+    return pairs.withColumn("__j", jaccard(a, b)).groupBy(*by).agg(
+        F.count("*").alias("pairs"), F.avg("__j").alias("mean_jaccard"), F.count_if(F.col("__j") == 1).alias("same"), F.count_if((F.col("__j") > 0) & (F.col("__j") < 1)).alias("partial"), F.count_if(F.col("__j") == 0).alias("disjoint")
+    )
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), bins: int = 4096) -> DataFrame:
+    """Exact interpolated quantiles: q0, q25, ...  Nulls and NaN don't count.
+
+    No task holds a group: counts by bins of value between the group's least
+    and largest show which bins hold the wanted places, and only the values
+    of those bins are counted one by one.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    range_ = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
+    joined = met(rows, range_.select(*by, "__lo", "__hi"), by)
+    share = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
+    binned = joined.select(*by, "__v", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("__bin"))
+    up = Window.partitionBy(*by).orderBy("__bin")
+    counts = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__c")).withColumn("__to", F.sum("__c").over(up))
+    spot = lambda q: (F.col("__n") - 1) * F.lit(float(q))
+    wanted = range_.select(*by, F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(spot(q)), F.ceil(spot(q))) for q in at])))).alias("__pos"))
+    inside = (F.col("__pos") < F.col("__to")) & (F.col("__pos") >= F.col("__to") - F.col("__c"))
+    need = met(wanted, counts, by).where(inside).select(*by, "__pos", "__bin", (F.col("__pos") - (F.col("__to") - F.col("__c"))).alias("__off"))
+    few = need.select(*by, "__bin").distinct()
+    each = met(binned, few, [*by, "__bin"], "left_semi").groupBy(*by, "__bin", "__v").agg(F.count("*").alias("__c"))
+    each = each.withColumn("__to", F.sum("__c").over(Window.partitionBy(*by, "__bin").orderBy("__v")))
+    off = (F.col("__off") < F.col("__to")) & (F.col("__off") >= F.col("__to") - F.col("__c"))
+    found = met(need, each, [*by, "__bin"]).where(off).select(*by, "__pos", "__v")
+    maps = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__pos", "__v"))).alias("__at"))
+    both = met(range_.select(*by, "__n"), maps, by)
+    value_at = lambda p: F.try_element_at("__at", p)
+    result = lambda q: value_at(F.floor(spot(q))) + (value_at(F.ceil(spot(q))) - value_at(F.floor(spot(q)))) * (spot(q) - F.floor(spot(q)))
+    return both.select(*by, *[result(q).alias(f"q{round(100 * q)}") for q in at])
 
 
 def association(df: DataFrame, strength: str, event: str, edges: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> DataFrame:
@@ -158,10 +211,20 @@ def chosen(models: DataFrame, score: str = "mrr25", parameters: str = "parameter
     return models.withColumn("__best", F.max(score).over(best)).where(F.col(score) >= F.col("__best") - within).orderBy(parameters, F.col(score).desc(), "name").limit(1).drop("__best")
 
 
+def ordinal(x: Column) -> Column:
+    """The place of a double among all doubles, from its bits: neighbours differ by one, and zeros of either sign are one."""
+    size = F.abs(x)
+    exponent = F.floor(F.log2(F.when(size > 0, size)))
+    # the logarithm may round up to the next whole number, or down from it
+    exponent = F.when(F.pow(F.lit(2.0), exponent) > size, exponent - 1).when(F.pow(F.lit(2.0), exponent + 1) <= size, exponent + 1).otherwise(exponent)
+    exponent = F.greatest(exponent, F.lit(-1022))
+    fraction = size / F.pow(F.lit(2.0), exponent)  # exact: a power of two; from 1 up to 2, below 1 for the smallest numbers
+    place = (exponent + 1022) * (1 << 52) + (fraction * float(1 << 52)).cast("long")
+    return F.when(size == 0, F.lit(0).cast("long")).otherwise(F.when(x < 0, -place).otherwise(place).cast("long"))
+
+
 def score_differences(a: DataFrame, b: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """by, a, b, ulps, same: two score maps joined in full, with the distance in units of the last place for positive numbers."""
+    """by, a, b, ulps, same: two score maps joined in full, with the number of doubles from one to the other."""
     x, y = a.select(*by, F.col(score).alias("a")), b.select(*by, F.col(score).alias("b"))
     both = x.join(y, by, "full")
-    exponent = F.floor(F.log2(F.greatest(F.abs("a"), F.abs("b"), F.lit(2.2250738585072014e-308))))
-    ulps = F.abs(F.col("a") - F.col("b")) / F.pow(F.lit(2.0), exponent - 52)
-    return both.select(*by, "a", "b", ulps.alias("ulps"), F.col("a").eqNullSafe(F.col("b")).alias("same"))
+    return both.select(*by, "a", "b", F.abs(ordinal(F.col("a")) - ordinal(F.col("b"))).alias("ulps"), F.col("a").eqNullSafe(F.col("b")).alias("same"))

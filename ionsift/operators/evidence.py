@@ -7,13 +7,11 @@ are joins by bins of mass, then exact tolerances.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mass import ELECTRON, formula_mass, ion_neutral_mass, parse_adduct
+from ..functions.peaks import let
 from ..functions.text import high_resolution
 from .range_join import band_join
 
@@ -144,49 +142,49 @@ def monomer_view(adduct: Column, precursor: Column, instrument: Column, peaks: C
     return F.when(F.coalesce(fine, F.lit(False)), F.struct(single.alias("adduct"), virtual.alias("precursor_mz"), products.alias("peaks")))
 
 
+def _near(mass: Column, other: Column) -> Column:
+    return F.abs(mass - other) <= F.greatest(F.lit(0.002), mass * 1e-5)
+
+
 def merge_peaks(spectra: DataFrame, group: str) -> DataFrame:
     """Spectra (group, row, alias, mass, precursor_mz, mzs, intensities) merged: group, alias, precursor_mz, mzs, intensities, merged.
 
-    Within a group those of one alias whose mass lies within max(0.002, 10
-    ppm) of the first's are one; peaks below the precursor are united from
-    the lowest, each within tolerance of the last kept going to it at the
-    larger intensity.  Sequential by nature: one molecule's spectra, a
-    bounded number, per call.
+    In the order of rows, a spectrum opens a cluster unless one of its alias
+    lies within max(0.002, 10 ppm) of its mass, in which case it joins the
+    first such.  A cluster's peaks below the precursors are cut into runs that
+    begin at the lowest peak and at each one out of tolerance of the run's
+    first, and a run is its first mass with its largest intensity; its
+    precursor is the median.  Spectra without alias or mass, and clusters of
+    one, stay as they are.  Both orders matter, so both are folds over the
+    arrays of one group, a molecule's spectra.
     """
-    kind = spectra.schema[group].dataType.simpleString()
-
-    def merge(batches: Iterator[pa.Table] | pa.Table) -> pa.Table:
-        rows = sorted(batches.to_pylist(), key=lambda r: r["row"])
-        groups: list[tuple[str, float, list[dict]]] = []
-        alone = []
-        for r in rows:
-            if r["alias"] is None or r["mass"] is None:
-                alone.append([r])
-                continue
-            g = next((g for g in groups if g[0] == r["alias"] and abs(g[1] - r["mass"]) <= max(0.002, r["mass"] * 1e-5)), None)
-            if g is None:
-                groups.append(g := (r["alias"], r["mass"], []))
-            g[2].append(r)
-        out = []
-        for own in [*alone, *(g[2] for g in groups)]:
-            if len(own) == 1:
-                peaks = list(zip(own[0]["mzs"] or [], own[0]["intensities"] or [], strict=True))
-                precursor = own[0]["precursor_mz"]
-            else:
-                united = sorted(((m, i) for r in own for m, i in zip(r["mzs"], r["intensities"], strict=True) if m < r["precursor_mz"] - 0.01), key=lambda p: p[0])
-                peaks = []
-                for m, i in united:
-                    if peaks and abs(m - peaks[-1][0]) <= max(0.002, m * 1e-5):
-                        peaks[-1] = (peaks[-1][0], max(peaks[-1][1], i))
-                    else:
-                        peaks.append((m, i))
-                each = sorted(r["precursor_mz"] for r in own)
-                precursor = (each[(len(each) - 1) // 2] + each[len(each) // 2]) / 2
-            out.append({group: own[0][group], "alias": own[0]["alias"], "precursor_mz": precursor, "mzs": [m for m, _ in peaks], "intensities": [i for _, i in peaks], "merged": len(own)})
-        kinds = pa.schema([(group, batches.schema.field(group).type), ("alias", pa.string()), ("precursor_mz", pa.float64()), ("mzs", pa.list_(pa.float64())), ("intensities", pa.list_(pa.float64())), ("merged", pa.int64())])
-        return pa.Table.from_pylist(out, schema=kinds)
-
-    return spectra.groupBy(group).applyInArrow(merge, f"`{group}` {kind}, alias string, precursor_mz double, mzs array<double>, intensities array<double>, merged long")
+    own = F.struct("row", "alias", "mass", "precursor_mz", "mzs", "intensities")
+    all_ = spectra.groupBy(group).agg(F.array_sort(F.collect_list(own)).alias("__rows"))
+    usable = F.filter("__rows", lambda r: r["alias"].isNotNull() & r["mass"].isNotNull())
+    fits = lambda c, r: (c["alias"] == r["alias"]) & _near(r["mass"], c["mass"])
+    opened = F.aggregate(
+        usable, F.expr("cast(array() as array<struct<alias: string, mass: double>>)"),
+        lambda cs, r: F.when(F.exists(cs, lambda c: fits(c, r)), cs).otherwise(F.concat(cs, F.array(F.struct(r["alias"].alias("alias"), r["mass"].cast("double").alias("mass"))))),
+    )
+    # the first cluster that fits, from 1; spectra without one count down from -1
+    joined = let(opened, lambda cs: F.transform("__rows", lambda r, i: F.struct(F.coalesce(F.nullif(F.array_position(F.transform(cs, lambda c: F.coalesce(fits(c, r), F.lit(False))), F.lit(True)), F.lit(0)), -1 - i).alias("cluster"), r.alias("r"))))
+    each = all_.select(group, F.explode(joined).alias("__x")).select(group, "__x.cluster", "__x.r")
+    clusters = each.groupBy(group, "cluster").agg(F.array_sort(F.collect_list("r")).alias("__rows"), F.percentile("r.precursor_mz", 0.5).alias("__middle"))
+    peaks = F.flatten(F.transform("__rows", lambda r: F.filter(F.arrays_zip(r["mzs"].alias("m"), r["intensities"].alias("i")), lambda p: p["m"] < r["precursor_mz"] - 0.01)))
+    run = F.aggregate(
+        F.array_sort(F.transform(peaks, lambda p, at: F.struct(p["m"].cast("double").alias("m"), at.alias("at"), p["i"].cast("double").alias("i")))),
+        F.expr("cast(array() as array<struct<m: double, i: double>>)"),
+        lambda runs, p: let(F.try_element_at(runs, F.lit(-1)), lambda last: F.when(
+            _near(p["m"], last["m"]), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["m"].alias("m"), F.greatest(last["i"], p["i"]).alias("i"))))
+        ).otherwise(F.concat(runs, F.array(F.struct(p["m"].alias("m"), p["i"].alias("i")))))),
+    )
+    first, alone = F.col("__rows")[0], F.size("__rows") == 1
+    merged = clusters.withColumn("__first", first).withColumn("__run", F.when(~alone, run))
+    kept = lambda field, part: F.when(alone, F.coalesce(F.col(f"__first.{field}").cast("array<double>"), F.expr("cast(array() as array<double>)"))).otherwise(F.transform("__run", lambda p: p[part]))
+    return merged.select(
+        group, F.col("__first.alias").alias("alias"), F.when(alone, F.col("__first.precursor_mz")).otherwise(F.col("__middle")).alias("precursor_mz"),
+        kept("mzs", "m").alias("mzs"), kept("intensities", "i").alias("intensities"), F.size("__rows").cast("long").alias("merged"),
+    )
 
 
 def band_evidence(peaks: DataFrame, fragments: DataFrame, by: list[str], tolerance: float = 0.01) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.mass import mass_tolerance
 
-
 #: Width of the bands by which a catalog is numbered: a few thousand for masses, each a small part of the catalog.
 BAND = 0.25
 
@@ -31,6 +30,16 @@ def band_join(left: DataFrame, right: DataFrame, low: Column, high: Column, valu
     return l.join(r, on).drop("__low", "__high", "__bin", "__value", "__rbin")
 
 
+def met(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """The join by columns of either side, nulls equal, with the left side's columns kept."""
+    names = {c: f"__of_{c}" for c in columns}
+    on = F.lit(True)
+    for c, n in names.items():
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    out = left.join(right.withColumnsRenamed(names), on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
 def mass_window(centers: DataFrame, catalog: DataFrame, center: str = "center", mass: str = "mass", ppm: float = 35.0, floor: float = 0.006, width: float = 0.05) -> DataFrame:
     """Catalog rows within the tolerance of each center: max(center * ppm, floor).  Null centers have none."""
     c = F.col(center)
@@ -65,10 +74,17 @@ def analog_window(centers: DataFrame, catalog: DataFrame, center: str = "center"
 
 
 def union_window(centers: DataFrame, catalog: DataFrame, query: str, key: str, center: str = "center", mass: str = "mass", **tolerance: float) -> DataFrame:
-    """The windows of all of a query's distinct centers together, each key once: from the lowest center, then the lowest mass."""
-    found = mass_window(centers.select(query, center).distinct(), catalog, center, mass, **tolerance)
-    w = Window.partitionBy(query, key).orderBy(center, mass)
-    return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The windows of all of a query's distinct centers together, each key once: from the lowest center, then the lowest mass.
+
+    A center that many queries share is joined once; which center a key comes
+    from is settled by a minimum, part of it in each task before the shuffle.
+    """
+    asked = centers.select(query, center).where(F.col(center).isNotNull()).distinct()
+    hits = mass_window(asked.select(center).distinct(), catalog, center, mass, **tolerance)
+    others = [c for c in hits.columns if c not in (center, key, query)]
+    first = F.struct(F.col(center), F.col(mass), *[F.col(c) for c in others if c != mass])
+    found = asked.join(hits, center).groupBy(query, key).agg(F.min(first).alias("__first"))
+    return found.select(query, key, *[F.col(f"__first.{c}").alias(c) for c in (center, *others)])
 
 
 def ordered(catalog: DataFrame, mass: str, key: str) -> DataFrame:
@@ -87,18 +103,21 @@ def ordered(catalog: DataFrame, mass: str, key: str) -> DataFrame:
 def nearest_positions(centers: DataFrame, catalog: DataFrame, query: str, mass: str = "mass", key: str = "key", center: str = "center", either: int = 150) -> DataFrame:
     """The rows either side of the place where each center would be inserted, by order of mass.
 
-    The place is the number of rows below the center, counted through bands:
-    whole bands by their sizes, the center's own by a join.
+    The place is the number of rows below the center.  Centers and masses are
+    put into one order within their band, where a running count of rows gives
+    the part of the band that lies below, so that no center meets a band's
+    rows; whole bands below count by their sizes.
     """
     rows = ordered(catalog, mass, key)
-    bands = rows.groupBy(F.floor(F.col(mass) / BAND).cast("long").alias("__band")).agg(F.count("*").alias("n"))
-    cs = centers.where(F.col(center).isNotNull()).withColumn("__band", F.floor(F.col(center) / BAND).cast("long"))
-    own = rows.select(F.floor(F.col(mass) / BAND).cast("long").alias("__band"), F.col(mass).alias("__mass"))
-    within = cs.join(own, "__band", "left").groupBy(query, center, "__band").agg(F.count_if(F.col("__mass") < F.col(center)).alias("__within"))
-    # bands without rows take the start of the next one: the sum over all lower bands
-    marks = within.select("__band").distinct().withColumn("n", F.lit(0).cast("long")).unionByName(bands)
-    starts = marks.groupBy("__band").agg(F.sum("n").alias("n")).select("__band", (F.sum("n").over(Window.orderBy("__band")) - F.col("n")).alias("__before"))
-    at = within.join(starts, "__band").select(query, center, (F.col("__before") + F.col("__within")).alias("__at"))
+    band = lambda c: F.floor(F.col(c) / BAND).cast("long").alias("__band")
+    marks = rows.select(band(mass), F.col(mass).cast("double").alias("__m"), F.lit(1).alias("__row"), F.lit(None).alias("__query"))
+    asked = centers.where(F.col(center).isNotNull()).select(band(center), F.col(center).cast("double").alias("__m"), F.lit(0).alias("__row"), F.struct(query, center).alias("__query"))
+    both = marks.withColumn("__query", F.lit(None).cast(asked.schema["__query"].dataType)).unionByName(asked)
+    within = Window.partitionBy("__band").orderBy("__m", "__row").rowsBetween(Window.unboundedPreceding, 0)  # a center stands before the rows of its mass
+    counted = both.withColumn("__within", F.sum("__row").over(within)).where("__query is not null")
+    sizes = both.groupBy("__band").agg(F.sum("__row").alias("n"))
+    starts = sizes.select("__band", (F.sum("n").over(Window.orderBy("__band")) - F.col("n")).alias("__before"))
+    at = counted.join(starts, "__band").select("__query.*", (F.col("__before") + F.col("__within")).alias("__at"))
     low, high = F.greatest(F.col("__at") - either, F.lit(0)), F.col("__at") + either - 1
     return band_join(at, rows, low, high, F.col("pos"), float(2 * either)).drop("__at")
 
@@ -115,39 +134,46 @@ def nearest_k(centers: DataFrame, catalog: DataFrame, query: str, k: int, mass:
 
     They lie among the k positions either side of the center's place and the
     rows that tie with the k-th: positions bound the distance, then a window
-    join takes all rows up to it.
+    join takes all rows up to it.  Its bins are as wide as the window, to the
+    next power of four, so that a bin holds few rows more than are asked for.
     """
     around = nearest_positions(centers, catalog, query, mass, key, center, k)
     d = F.abs(F.col(mass) - F.col(center))
     far = around.select(query, center, d.alias("__d"), F.row_number().over(Window.partitionBy(query).orderBy(d)).alias("__n"))
     reach = far.where(F.col("__n") <= k).groupBy(query, center).agg(F.max("__d").alias("__reach"))
     c, r = F.col(center), F.col("__reach") * (1 + 1e-12) + 1e-12
-    found = band_join(reach, catalog, c - r, c + r, F.col(mass), 16.0)
+    level = F.greatest(F.least(F.ceil(F.log(F.greatest(2 * r, F.lit(1e-6))) / F.log(F.lit(4.0))), F.lit(8)), F.lit(-7)).cast("int")
+    found = banded_join(reach, catalog, c - r, c + r, F.col(mass), level, range(-7, 9))
     w = Window.partitionBy(query).orderBy(F.abs(F.col(mass) - F.col(center)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__reach")
 
 
+def banded_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, level: Column, levels: range) -> DataFrame:
+    """band_join() for windows of very different widths: a row of left has bins of 4**level, and a row of right one bin at each level that occurs.
+
+    The levels that occur, a few numbers, are read first.
+    """
+    l = left.withColumn("__low", low).withColumn("__high", high).withColumn("__level", level)  # noqa: E741
+    used = [r["__level"] for r in l.select("__level").distinct().collect()]
+    width = lambda n: F.pow(F.lit(4.0), n)
+    l = l.withColumn("__bin", F.explode(F.when(F.col("__low") <= F.col("__high"), F.sequence(F.floor(F.col("__low") / width(F.col("__level"))), F.floor(F.col("__high") / width(F.col("__level")))))))  # noqa: E741
+    r = right.withColumn("__value", value).where(F.col("__value").isNotNull() & ~F.isnan("__value"))
+    r = r.withColumn("__rlevel", F.explode(F.array(*[F.lit(int(n)) for n in sorted(used)]).cast("array<int>"))).withColumn("__rbin", F.floor(F.col("__value") / width(F.col("__rlevel"))))
+    on = (l["__level"] == r["__rlevel"]) & (l["__bin"] == r["__rbin"]) & r["__value"].between(l["__low"], l["__high"])
+    return l.join(r, on).drop("__low", "__high", "__bin", "__level", "__value", "__rlevel", "__rbin")
+
+
 def nearest_other(catalog: DataFrame, mass: str = "mass", key: str = "key") -> DataFrame:
-    """For each row the other row of nearest mass, by (distance, key): key, other, distance.
+    """For each row the nearer in mass of its two neighbours in the order of (mass, key), the smaller key of two equally near: key, other, distance.
 
-    It is the neighbour below or above in the order of mass; equal masses
-    stand together, so the lowest and highest key of equals are reached by
-    joining positions one either side and resolving by key.
+    Rows offer themselves to the places before and after their own, where one
+    join and one aggregate by place meet them.
     """
     rows = ordered(catalog.select(key, mass), mass, key)
-    lowest = rows.groupBy(mass).agg(F.min(key).alias("__low"), F.count("*").alias("__n"))
-    second = rows.join(lowest, mass).where(F.col(key) > F.col("__low")).groupBy(mass).agg(F.min(key).alias("__next"))
-    lowest = lowest.join(second, mass, "left")
-    groups = ordered(lowest, mass, "__low").select(F.col("pos").alias("__gpos"), F.col(mass), "__low", "__next", "__n")
-    own = rows.join(groups, mass)
-    near = groups.select(F.col("__gpos").alias("__p"), F.col(mass).alias("__m"), F.col("__low").alias("__other"))
-    below = near.select((F.col("__p") + 1).alias("__gpos"), F.struct(F.col("__m").alias("m"), F.col("__other").alias("k")).alias("__below"))
-    above = near.select((F.col("__p") - 1).alias("__gpos"), F.struct(F.col("__m").alias("m"), F.col("__other").alias("k")).alias("__above"))
-    both = own.join(below, "__gpos", "left").join(above, "__gpos", "left")
-    same = F.when(F.col("__n") > 1, F.struct(F.lit(0.0).alias("d"), F.when(F.col("__low") == F.col(key), F.col("__next")).otherwise(F.col("__low")).alias("k")))
-    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["m"] - F.col(mass)).alias("d"), F.col(c)["k"].alias("k")))
-    best = F.array_min(F.array_compact(F.array(same, side("__below"), side("__above"))))
-    return both.select(key, best["k"].alias("other"), best["d"].alias("distance")).where("other is not null")
+    offers = rows.select(F.explode(F.array(F.col("pos") - 1, F.col("pos") + 1)).alias("pos"), F.col(key).alias("__other"), F.col(mass).alias("__m"))
+    near = rows.join(offers, "pos").withColumn("__d", F.abs(F.col("__m") - F.col(mass)))
+    best = near.groupBy("pos").agg(F.first(key).alias(key), F.min(F.struct(F.col("__d").alias("d"), F.col("__other").alias("k"))).alias("__best"))
+    return best.select(key, F.col("__best.k").alias("other"), F.col("__best.d").alias("distance"))
 
 
 def admissible(mass: Column, other: Column, ppm: float = 35.0, floor: float = 0.006) -> Column:

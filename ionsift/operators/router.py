@@ -51,7 +51,7 @@ def out_of_fold(df: DataFrame, key: str, columns: list[str], label: str, folds:
         if model == "logistic":
             last = LogisticRegression(featuresCol="__z", labelCol="__label", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y", regParam=regularization, maxIter=50)
         else:
-            last = GBTClassifier(featuresCol="__z", labelCol="__label", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__y", maxIter=20, maxDepth=3, seed=42)
+            last = GBTClassifier(featuresCol="__z", labelCol="__label", predictionCol="__y", maxIter=20, maxDepth=3, seed=42).setProbabilityCol("__p").setRawPredictionCol("__r")
         fitted = Pipeline(stages=[*steps, last]).fit(rows.where(F.col("fold") != k))
         part = fitted.transform(rows.where(F.col("fold") == k)).withColumn("reliability", vector_to_array("__p")[1]).select(*df.columns, "fold", "reliability")
         out = part if out is None else out.unionByName(part)
@@ -80,6 +80,36 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return each.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
+def fit_preprocessing(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """One row: mean and deviation (population, at least 1) of each number, and each category's values in order, missing among them."""
+    from ..functions.text import category
+
+    means, stds = [F.avg(c) for c in numbers], [F.greatest(F.stddev_pop(c), F.lit(1.0)) for c in numbers]
+    return df.agg(F.array(*means).alias("mean"), F.array(*stds).alias("std"), *[F.array_sort(F.collect_set(category(F.col(c)))).alias(f"values_{c}") for c in categories])
+
+
+def assembled(df: DataFrame, fitted: DataFrame, numbers: list[str], categories: list[str], name: str = "features") -> DataFrame:
+    """The table with its vector: standardised numbers, then a one for each category's value, the last place for values that were not fitted."""
+    from ..functions.text import one_hot_column
+
+    pieces = [F.array(*[(F.col(c) - F.col("mean")[i]) / F.col("std")[i] for i, c in enumerate(numbers)])]
+    both = df.crossJoin(F.broadcast(fitted))  # one row: a vocabulary of categories
+    return both.withColumn(name, F.concat(*pieces, *[one_hot_column(F.col(c), F.col(f"values_{c}")) for c in categories])).drop(*fitted.columns)
+
+
+def ridge_solve(moments: DataFrame, size: int, penalty: float) -> list[float]:
+    """The coefficients that ridge_moments() give, solved on the driver: a system as large as the columns are many."""
+    import numpy as np
+
+    a, b = np.zeros((size, size)), np.zeros(size)
+    for r in moments.collect():
+        if r["j"] < 0:
+            b[r["i"]] = r["value"]
+        else:
+            a[r["i"], r["j"]] = a[r["j"], r["i"]] = r["value"]
+    return np.linalg.solve(a + penalty * np.eye(size), b).tolist()
+
+
 def ridge_moments(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(i, j, value): the sums of products of all pairs of columns, and with the label (j = -1), partial per task and summed."""
     n = len(columns)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.peaks import bin_of
+from ..functions.peaks import bin_of, let
 
 
 def sparse_rows(peaks: DataFrame, ids: list[str], mz: str = "mz", intensity: str = "i") -> DataFrame:
@@ -26,6 +27,14 @@ def unit_rows(rows: DataFrame, ids: list[str], weight: str = "w") -> DataFrame:
     return rows.withColumn("__norm", norm).where("__norm > 0").withColumn(weight, F.col(weight) / F.col("__norm")).drop("__norm")
 
 
+def network_rows(peaks: DataFrame, ids: list[str], mz: str = "mz", intensity: str = "i", floor: float = 0.001, width: float = 50.0, per: int = 8, most: int = 100) -> DataFrame:
+    """Peaks for networks, from one row per peak: of those above a share of their spectrum's largest the ``per`` most intense of every window of m/z, the ``most`` of them; the lower of equals."""
+    own = peaks.withColumn("__top", F.max(intensity).over(Window.partitionBy(*ids))).where(F.col(intensity) >= floor * F.col("__top"))
+    strongest = [F.col(intensity).desc(), F.col(mz)]
+    near = own.withColumn("__n", F.row_number().over(Window.partitionBy(*ids, F.floor(F.col(mz) / width)).orderBy(*strongest))).where(F.col("__n") <= per)
+    return near.withColumn("__n", F.row_number().over(Window.partitionBy(*ids).orderBy(*strongest))).where(F.col("__n") <= most).drop("__n", "__top")
+
+
 def histogram_rows(peaks: DataFrame, ids: list[str], mz: str = "mz", weight: str = "w", size: int = 1250) -> DataFrame:
     """One-dalton histogram: the largest weight of each whole m/z within [0, size), over the norm."""
     fine = (F.col(mz) >= 0) & (F.col(mz) < size)
@@ -58,6 +67,12 @@ def best_per_key(scores: DataFrame, group: list[str], key: str, score: str = "sc
     return scores.groupBy(*group, key).agg(F.max(score).alias(score))
 
 
+def best_row(scores: DataFrame, group: list[str], key: str, value: str, order: str, score: str = "score") -> DataFrame:
+    """The largest score of each key within a group and the value of the row that has it, the first in an order of equals: (group, key, score, value)."""
+    best = F.max_by(F.struct(F.col(score), F.col(value)), F.struct(F.col(score), -F.col(order)))
+    return scores.groupBy(*group, key).agg(best.alias("__b")).select(*group, key, F.col(f"__b.{score}").alias(score), F.col(f"__b.{value}").alias(value))
+
+
 def consensus(scores: Column, top: int = 3, peak: float = 0.65) -> Column:
     """0.65 of the largest, 0.35 of the mean of the three largest of an array."""
     best = F.slice(F.sort_array(scores, asc=False), 1, top)
@@ -89,12 +104,35 @@ def tanimoto_arrays(a: Column, b: Column) -> Column:
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
-def tanimoto_join(left: DataFrame, right: DataFrame, a: str, b: str, bit: str = "bit") -> DataFrame:
-    """(a, b, shared, tanimoto) for pairs with a common bit, from one row per (id, bit).  Distinct rows are expected."""
-    sizes = lambda df, k, n: df.groupBy(k).agg(F.count("*").alias(n))
-    shared = left.select(a, bit).join(right.select(b, bit), bit).groupBy(a, b).agg(F.count("*").alias("shared"))
-    out = shared.join(sizes(left, a, "__na"), a).join(sizes(right, b, "__nb"), b)
-    return out.select(a, b, "shared", (F.col("shared") / F.greatest(F.col("__na") + F.col("__nb") - F.col("shared"), F.lit(1))).alias("tanimoto"))
+def tanimoto_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float, bit: str = "bit") -> DataFrame:
+    """(a, b, shared, tanimoto) for all pairs of at least so much, from one row per (id, bit), each once.
+
+    Bits are ordered by how rare they are.  Two sets that similar share a bit
+    among the first n - ceil(least * n) + 1 of either (the rare ones), so that
+    only those are joined, and common bits hardly ever; their sizes differ by
+    the factor ``least`` at most.  What is found is verified on the whole sets.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a similarity above 0 and up to 1")
+    counts = left.select(bit).unionByName(right.select(bit)).groupBy(bit).agg(F.count("*").alias("__df"))
+
+    def sets(df: DataFrame, key: str) -> DataFrame:
+        rows = df.select(key, bit).join(counts, bit)
+        return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__df", bit))), lambda x: x[bit]).alias("__bits"))
+
+    def prefixes(df: DataFrame, key: str) -> DataFrame:
+        n = F.size("__bits")
+        # a hair less than the product, for it may come out above a whole number that it is
+        return df.select(key, n.alias("__n"), F.explode(F.slice("__bits", F.lit(1), n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias(bit))
+
+    l, r = sets(left, a), sets(right, b)  # noqa: E741
+    x, y = prefixes(l, a), prefixes(r, b).withColumnRenamed("__n", "__m")
+    near = (F.col("__m") >= least * F.col("__n") - 1e-9) & (F.col("__n") >= least * F.col("__m") - 1e-9)
+    met = x.join(y, bit).where(near).select(a, b).distinct()
+    both = met.join(l.withColumnRenamed("__bits", "__x"), a).join(r.withColumnRenamed("__bits", "__y"), b)
+    shared = F.size(F.array_intersect("__x", "__y"))
+    out = both.select(a, b, shared.cast("long").alias("shared"), (F.size("__x") + F.size("__y") - shared).alias("__all"))
+    return out.select(a, b, "shared", (F.col("shared") / F.col("__all")).alias("tanimoto")).where(F.col("tanimoto") >= least)
 
 
 def packed_bits(bits: Column, size: int = 2048) -> Column:
@@ -120,16 +158,17 @@ def logit(p: Column, eps: float = 1e-6) -> Column:
     return F.log(q) - F.log1p(-q)
 
 
-def log_odds_scores(on_bits: DataFrame, probabilities: DataFrame, key: str, group: list[str], bit: str = "bit", p: str = "p", size: int = 2048) -> DataFrame:
-    """Sums of the log-odds of a candidate's on-bits over the fingerprint's size: (group, key, score)."""
-    weighed = probabilities.select(*group, bit, logit(F.col(p)).alias("__w"))
-    return on_bits.select(key, bit).join(weighed, bit).groupBy(*group, key).agg((F.sum("__w") / size).alias("score"))
+def log_odds_of_pairs(pairs: DataFrame, on_bits: DataFrame, probabilities: DataFrame, key: str, group: list[str], prior: DataFrame | None = None, bit: str = "bit", p: str = "p", size: int = 2048) -> DataFrame:
+    """(group, key, score) of the candidate pairs alone: the sum of the log-odds of a candidate's on-bits (key, bit) under its group's probabilities (group, bit, p), less those of a prior (bit, prior) if there is one, over the fingerprint's size.
 
-
-def corrected_scores(on_bits: DataFrame, probabilities: DataFrame, prior: DataFrame, key: str, group: list[str], bit: str = "bit", p: str = "p", size: int = 2048) -> DataFrame:
-    """The same less the log-odds of a prior (bit, prior)."""
-    weighed = probabilities.join(prior, bit).select(*group, bit, (logit(F.col(p)) - logit(F.col("prior"))).alias("__w"))
-    return on_bits.select(key, bit).join(weighed, bit).groupBy(*group, key).agg((F.sum("__w") / size).alias("score"))
+    Bits without a probability add nothing, pairs without any score 0.
+    """
+    w = logit(F.col(p))
+    if prior is not None:
+        probabilities, w = probabilities.join(prior, bit), w - logit(F.col("prior"))
+    weighed = probabilities.select(*group, bit, w.alias("__w"))
+    rows = pairs.select(*group, key).join(on_bits.select(key, bit), key, "left").join(weighed, [*group, bit], "left")
+    return rows.groupBy(*group, key).agg((F.sum(F.coalesce("__w", F.lit(0.0))) / size).alias("score"))
 
 
 def bit_prior(on_bits: DataFrame, key: str, bit: str = "bit", size: int = 2048) -> DataFrame:
@@ -157,6 +196,20 @@ def mean_vectors(rows: DataFrame, group: list[str], vector: str) -> DataFrame:
     return long.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda p: p["__x"]).alias(vector))
 
 
+def masked_mean(rows: DataFrame, group: list[str], vector: str, valid: str) -> DataFrame:
+    """Element-wise mean of a group's valid vectors: (group, vector).  A group without a valid row fails the query."""
+    has = F.bool_or(F.col(valid)).over(Window.partitionBy(*group))
+    checked = rows.withColumn("__has", has).withColumn(valid, F.when(F.coalesce("__has", F.lit(False)), F.col(valid)).otherwise(F.raise_error(F.lit("a group without a valid row")).cast("boolean")))
+    return mean_vectors(checked.where(F.col(valid)), group, vector)
+
+
+def local_prior(neighbors: DataFrame, on_bits: DataFrame, query: str, key: str, bit: str = "bit") -> DataFrame:
+    """(query, bit, prior) from the neighbours (query, key) of each query, as those nearest in mass: (1 + those with the bit) / (2 + all), for bits that any of them has; the others' is 1 / (2 + all), in ``least`` of every row."""
+    n = neighbors.groupBy(query).agg(F.count("*").alias("__n"))
+    counts = neighbors.select(query, key).join(on_bits.select(key, bit), key).groupBy(query, bit).agg(F.count("*").alias("__c"))
+    return counts.join(n, query).select(query, bit, ((F.col("__c") + 1) / (F.col("__n") + 2)).alias("prior"), (1 / (F.col("__n") + 2)).alias("least"))
+
+
 def energy_scale(vector: Column) -> Column:
     """As an aggregate: one over the square root of the mean squared norm."""
     return 1 / F.sqrt(F.avg(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)))
@@ -184,37 +237,39 @@ def pair_score(a: Column, a_precursor: Column, a_adduct: Column, b: Column, b_pr
     return 0.7 * fragment + 0.3 * matched_dot(loss_view(a, a_precursor), loss_view(b, b_precursor))
 
 
-def matched_entropy(qm: np.ndarray, qp: np.ndarray, cm: np.ndarray, cp: np.ndarray, tolerance: float) -> float:
-    """Entropy similarity of two spectra whose intensities sum to one: peaks are matched in one pass, each once, the lower first.
+def matched_entropy(qm: pa.ListArray, qp: pa.ListArray, cm: pa.ListArray, cp: pa.ListArray, tolerance: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Entropy similarity of many pairs of spectra whose intensities sum to one, the second's m/z moved by a shift: peaks are matched in one pass, each once, the lower first.
 
-    1 - (2 S(mix) - S(a) - S(b)) / ln 4, where only matched peaks add.
+    1 - (2 S(mix) - S(a) - S(b)) / ln 4, where only matched peaks add.  All
+    pairs advance together: a step looks at one peak of either spectrum of
+    each pair that is not used up.
     """
-    total, i, j = 0.0, 0, 0
-    f = lambda x: x * np.log2(x) if x > 0 else 0.0
-    while i < len(qm) and j < len(cm):
-        d = qm[i] - cm[j]
-        if d > tolerance:
-            j += 1
-        elif d < -tolerance:
-            i += 1
-        else:
-            total += f(qp[i] + cp[j]) - f(qp[i]) - f(cp[j])
-            i, j = i + 1, j + 1
+    flat = [x.values.to_numpy(zero_copy_only=False) for x in (qm, qp, cm, cp)]
+    starts = [x.offsets.to_numpy().astype(np.int64) for x in (qm, cm)]
+    i, j = starts[0][:-1].copy(), starts[1][:-1].copy()
+    ends = starts[0][1:], starts[1][1:]
+    total = np.zeros(len(qm))
+    open_ = np.flatnonzero((i < ends[0]) & (j < ends[1]))
+    part = lambda x: np.where(x > 0, x * np.log2(np.maximum(x, 1e-300)), 0.0)
+    while len(open_):
+        a, b = i[open_], j[open_]
+        d = flat[0][a] - (flat[2][b] + shift[open_])
+        hit = np.abs(d) <= tolerance[open_]
+        x, y = flat[1][a[hit]], flat[3][b[hit]]
+        total[open_[hit]] += part(x + y) - part(x) - part(y)
+        i[open_] += hit | (d < 0)
+        j[open_] += hit | (d > 0)
+        open_ = open_[(i[open_] < ends[0][open_]) & (j[open_] < ends[1][open_])]
     return total / 2
 
 
 @F.arrow_udf(T.DoubleType())
 def _entropy(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    for qm, qp, cm, cp, tol, shift in batches:
-        out = []
-        for a, b, c, d, t, s in zip(*[x.to_pylist() for x in (qm, qp, cm, cp, tol, shift)], strict=True):
-            if not a or not c:
-                out.append(0.0)
-                continue
-            q, p, m, n = (np.asarray(x, dtype=float) for x in (a, b, c, d))
-            best = matched_entropy(q, p, m, n, t)
-            out.append(max(best, matched_entropy(q, p, m + s, n, t)) if s else best)
-        yield pa.array(out, pa.float64())
+    for *spectra, tol, shift in batches:
+        spectra = [pa.array([[]], x.type).take(pa.array([0] * len(x))) if x.null_count == len(x) else pc.if_else(x.is_null(), pa.scalar([], x.type), x) if x.null_count else x for x in spectra]
+        t, s = (x.to_numpy(zero_copy_only=False).astype(float) for x in (tol, shift))
+        best = matched_entropy(*spectra, t, np.zeros(len(t)))
+        yield pa.array(np.maximum(best, matched_entropy(*spectra, t, s)) if s.any() else best, pa.float64())
 
 
 def entropy_similarity(qm: Column, qp: Column, cm: Column, cp: Column, tolerance: float = 0.02, shift: Column | None = None) -> Column:
@@ -222,11 +277,30 @@ def entropy_similarity(qm: Column, qp: Column, cm: Column, cp: Column, tolerance
     return _entropy(qm, qp, cm, cp, F.lit(float(tolerance)), F.coalesce(shift, F.lit(0.0)) if shift is not None else F.lit(0.0))
 
 
-def explained(peaks: Column, fragments: Column, tolerance: float = 0.01, hydrogens: int = 2, carrier: float = 1.007276466621) -> Column:
-    """The share of the peaks' root intensities that fragment masses, plus or minus some hydrogens and with the charge carrier, explain."""
-    hydrogen = 1.00782503223
-    offsets = F.array(*[F.lit(h * hydrogen + carrier) for h in range(-hydrogens, hydrogens + 1)])
-    hit = lambda p: F.exists(fragments, lambda m: F.exists(offsets, lambda o: F.abs(p["mz"] - m - o) <= tolerance))
-    total = F.aggregate(peaks, F.lit(0.0), lambda s, p: s + F.sqrt(p["i"]))
-    part = F.aggregate(F.filter(peaks, hit), F.lit(0.0), lambda s, p: s + F.sqrt(p["i"]))
-    return F.when(total > 0, part / total).otherwise(0.0)
+# What charges a fragment, by ion mode, and the hydrogen atom.
+CARRIERS = {"positive": {"proton": 1.007276466621, "sodium": 22.989218, "ammonium": 18.033825553, "potassium": 38.963158, "electron": -0.000548579909}, "negative": {"proton": -1.007276466621, "electron": 0.000548579909, "chloride": 34.969402}}
+HYDROGEN = 1.00782503223
+
+
+def carriers(mode: Column, adduct: Column) -> Column:
+    """The masses that may charge a fragment: the proton's of the mode and no atom's but the electron's, and of a salt's ion its own as well."""
+    of = lambda m, *names: F.array(*[F.lit(CARRIERS[m][n]) for n in names])
+    salt = (
+        F.when(adduct.contains("+Na]"), of("positive", "sodium")).when(adduct.contains("+NH4]"), of("positive", "ammonium")).when(adduct.contains("+K]"), of("positive", "potassium"))
+        .when(adduct.contains("+Cl]"), of("negative", "chloride")).otherwise(F.array().cast("array<double>"))
+    )
+    return F.concat(F.when(mode == "negative", of("negative", "proton", "electron")).otherwise(of("positive", "proton", "electron")), F.coalesce(salt, F.array().cast("array<double>")))
+
+
+def explained(peaks: Column, fragments: Column, charged_by: Column, tolerance: float = 0.01, hydrogens: int = 2) -> Column:
+    """The share of the peaks' root intensities that fragment masses, plus or minus some hydrogens and with any of the charge carriers, explain."""
+    shifts = F.flatten(F.transform(charged_by, lambda c: F.array(*[c + h * HYDROGEN for h in range(-hydrogens, hydrogens + 1)])))
+    ions = F.flatten(F.transform(shifts, lambda s: F.transform(fragments, lambda m: m + s)))
+
+    def share(masses: Column) -> Column:
+        hit = lambda p: F.exists(masses, lambda m: F.abs(p["mz"] - m) <= tolerance)
+        total = F.aggregate(peaks, F.lit(0.0), lambda s, p: s + F.sqrt(p["i"]))
+        part = F.aggregate(F.filter(peaks, hit), F.lit(0.0), lambda s, p: s + F.sqrt(p["i"]))
+        return F.when(total > 0, part / total).otherwise(0.0)
+
+    return let(ions, share)

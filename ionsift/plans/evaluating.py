@@ -133,19 +133,29 @@ def model_selection(t: Tables) -> DataFrame:
     return evaluation.chosen(m)
 
 
+GATE = [
+    ("cohort_size_mismatch", "mn <> mo"), ("nonfinite_metrics", "un is null or uo is null or isnan(un)"), ("invalid_metric_range", "not coalesce(un between 0 and 1, false) or not coalesce(uo between 0 and 1, false) or not coalesce(kn between 0 and 1, false) or isnan(un)"), ("invalid_molecule_count", "mn < 1 or mo < 1"),
+    ("insufficient_development_molecules", "least(mn, mo) < 50"), ("absolute_gain_below_gate", "un - uo + 1e-12 < 0.01"), ("relative_gain_below_gate", "(case when uo > 0 then (un - uo) / uo when un - uo > 0 then 1 else 0 end) + 1e-12 < 0.05"),
+    ("known_mrr_protection_failed", "kn + 1e-12 < ko - 0.02"), ("known_top1_protection_failed", "tn + 1e-12 < t_o - 0.1"),
+]
+
+
 @query(
-    f"""with {R}, m as (select n_regionkey as region, avg(pa.rr) as o, avg(pb.rr) as n from pa join pb using (grp) join nation on n_nationkey = grp group by 1),
-    g as (select *, n - o as gain from m) select region, array_to_string(list_filter([case when gain + 1e-12 < 0.01 then 'absolute_gain_below_gate' end, case when (case when o > 0 then gain / o else 1 end) + 1e-12 < 0.05 then 'relative_gain_below_gate' end], lambda x: x is not null), ';') as reasons,
-    round(case when gain / (0.1 + gain) between 0 and 1 then gain / (0.1 + gain) end, 8) as even from g"""
+    f"""with g as (select c_custkey as id, c_custkey % 4 * 30 as mn, case when c_custkey % 9 = 0 then 30 else c_custkey % 4 * 30 end as mo, case when c_custkey % 13 = 0 then null when c_custkey % 17 = 0 then 1.5 when c_custkey % 19 = 0 then 'nan'::double else (c_custkey * 7 % 101) / 100.0::double end as un, (c_custkey * 3 % 101) / 100.0::double as uo,
+    case when c_custkey % 23 = 0 then -0.1::double else (c_custkey * 5 % 101) / 100.0::double end as kn, (c_custkey * 11 % 101) / 100.0::double as ko, (c_custkey * 13 % 101) / 100.0::double as tn, (c_custkey * 17 % 101) / 100.0::double as t_o from customer)
+    select id, array_to_string(list_filter([{', '.join(f"case when coalesce({c}, false) then '{n}' end" for n, c in GATE)}], lambda x: x is not null), ';') as reasons, round(case when uo - ko <> 0.1 and (ko - uo) / (0.1 - (uo - ko)) between 0 and 1 then (ko - uo) / (0.1 - (uo - ko)) end, 8) as even from g"""
 )
 def development_gate(t: Tables) -> DataFrame:
-    n = t.nation.select(F.col("n_nationkey").alias("group"), F.col("n_regionkey").alias("region"))
-    m = evaluation.paired(per_key(t, "s_acctbal"), per_key(t, "s_name"), "group").join(n, "group").groupBy("region").agg(F.avg("a").alias("o"), F.avg("b").alias("n"))
-    one = F.lit(1)
-    row = {"molecules_new": one, "molecules_old": one, "unknown_new": F.col("n"), "unknown_old": F.col("o"), "known_new": F.lit(0.9), "known_old": F.lit(0.9), "known_top1_new": F.lit(0.8), "known_top1_old": F.lit(0.8)}
-    reasons = evaluation.gate(row, {"molecules": 1, "absolute": 0.01, "relative": 0.05, "known_mrr": 0.0, "known_top1": 0.0})
-    even = evaluation.break_even(F.col("o") - F.col("n"), F.lit(0.1))
-    return m.select("region", F.array_join(reasons, ";").alias("reasons"), F.round(even, 8).alias("even"))
+    """Every reason that rejects a system, over metrics that are missing, out of range and odd as well; and the share at which changes cancel."""
+    k = F.col("c_custkey")
+    part = lambda m: (k * m % 101) / 100
+    un = F.when(k % 13 == 0, None).when(k % 17 == 0, 1.5).when(k % 19 == 0, float("nan")).otherwise(part(7))
+    row = {
+        "molecules_new": k % 4 * 30, "molecules_old": F.when(k % 9 == 0, 30).otherwise(k % 4 * 30), "unknown_new": un, "unknown_old": part(3), "known_new": F.when(k % 23 == 0, -0.1).otherwise(part(5)), "known_old": part(11),
+        "known_top1_new": part(13), "known_top1_old": part(17),
+    }
+    reasons = evaluation.gate(row, {"molecules": 50, "absolute": 0.01, "relative": 0.05, "known_mrr": 0.02, "known_top1": 0.1})
+    return t.customer.select(k.alias("id"), F.array_join(reasons, ";").alias("reasons"), F.round(evaluation.break_even(part(3) - part(11), F.lit(0.1)), 8).alias("even"))
 
 
 @query("with b as (select count(distinct p_brand) as before from part where p_size < 10), a as (select count(distinct p_brand) as after from part), u as (select count(distinct p_brand) as truths from part) select truths, before, after from a, b, u")
@@ -154,11 +164,17 @@ def catalog_coverage(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with {R} select coalesce(sa.grp, sb.grp) as grp, coalesce(sa.key, sb.key) as key, cast(sa.rank as double) as a, cast(sb.rank as double) as b, sa.rank is not distinct from sb.rank as same from sa full join sb on sa.grp = sb.grp and sa.key = sb.key"""
+    f"""with {R}, x as (select grp, key, 1.0::double + rank * pow(2.0, -52) * 3 as a from sa where rank <> 2), y as (select grp, key, case when rank % 5 = 0 then -1.0 * pow(2.0, -1074) * rank else 1.0::double + rank * pow(2.0, -52) end as b from sb where rank <> 3)
+    select coalesce(x.grp, y.grp) as grp, coalesce(x.key, y.key) as key, a, b, a is not distinct from b as same,
+    case when a is null or b is null then null when b < 0 then 1022 * 4503599627370496 + cast(round((a - 1) * pow(2.0, 52)) as bigint) + 4503599627370496 + cast(round(-b * pow(2.0, 537) * pow(2.0, 537)) as bigint) else cast(abs(round((a - b) * pow(2.0, 52))) as bigint) end as ulps from x full join y on x.grp = y.grp and x.key = y.key"""
 )
 def score_differences(t: Tables) -> DataFrame:
-    a, b = (ranked(t, s).select(F.col("group").alias("grp"), "key", F.col("rank").cast("double").alias("score")) for s in ("s_acctbal", "s_name"))
-    return evaluation.score_differences(a, b, ["grp", "key"]).drop("ulps")
+    """Scores a few doubles from one, and some of the smallest ones below zero, with the number of doubles between them."""
+    step = lambda e: F.pow(F.lit(2.0), F.lit(float(e)))
+    r = F.col("rank").cast("double")
+    a = ranked(t, "s_acctbal").where("rank <> 2").select(F.col("group").alias("grp"), "key", (1.0 + r * step(-52) * 3).alias("score"))
+    b = ranked(t, "s_name").where("rank <> 3").select(F.col("group").alias("grp"), "key", F.when(F.col("rank") % 5 == 0, -step(-1074) * r).otherwise(1.0 + r * step(-52)).alias("score"))
+    return evaluation.score_differences(a, b, ["grp", "key"])
 
 
 @query("select user_id, event_type, min(ts) as start, count(*) as n from (select *, time_bucket(interval 1 day, ts) as d from events) group by user_id, event_type, d having count(*) >= 5")

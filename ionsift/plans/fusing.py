@@ -209,16 +209,16 @@ def guarded_route(t: Tables) -> DataFrame:
     gs as (select grp, x, sum(w / (60 + i)) as s from (select grp, unnest(ext) as x, generate_subscripts(ext, 1) as i, 0.6 as w from ex union all select grp, unnest(b), generate_subscripts(b, 1), 0.4 from l) group by 1, 2),
     gu as (select grp, list(x order by round(s, 12) desc, x) as f2 from gs group by 1),
     hs as (select grp, x, sum(w / (60 + i)) as s from (select grp, unnest(c) as x, generate_subscripts(c, 1) as i, 0.25 as w from l union all select grp, unnest(b), generate_subscripts(b, 1), 0.75 from l) group by 1, 2),
-    hu as (select grp, list(x order by round(s, 12) desc, x) as f3 from hs group by 1), k as (select unnest(['retrieval', 'current_guard', 'protect_top1', 'free_top1']) as kind),
-    o as (select grp, kind, case when kind = 'retrieval' then a when kind = 'current_guard' then case when confidence >= 0.65 then c else list_concat(list_slice(c, 1, 1), list_filter(f3, lambda x: x <> c[1])) end when confidence >= 0.999 then a
+    hu as (select grp, list(x order by round(s, 12) desc, x) as f3 from hs group by 1), k as (select unnest(['retrieval', 'current_guard', 'margin', 'protect_top1', 'free_top1']) as kind),
+    o as (select grp, kind, case when kind = 'retrieval' then a when kind = 'current_guard' then case when confidence >= 0.65 then c else list_concat(list_slice(c, 1, 1), list_filter(f3, lambda x: x <> c[1])) end when confidence >= 0.999 or (kind = 'margin' and cast(a[1] as int) % 3 / 2.0::double >= 0.5) then a
       when kind = 'protect_top1' then list_concat(list_slice(a, 1, 1), list_filter(f2, lambda x: x <> a[1])) else f2 end as r from l join cf using (grp) join gu using (grp) join hu using (grp) cross join k)
     select grp, kind, array_to_string(list_slice(r, 1, 10), ';') as ranking from o"""
 )
 def config_router_grid(t: Tables) -> DataFrame:
-    """Each group's ranking under four kinds of configuration."""
-    kinds = t.spark.createDataFrame([(k,) for k in ("retrieval", "current_guard", "protect_top1", "free_top1")], "kind string")
+    """Each group's ranking under five kinds of configuration."""
+    kinds = t.spark.createDataFrame([(k,) for k in ("retrieval", "current_guard", "margin", "protect_top1", "free_top1")], "kind string")
     l = three_lists(t).join(confidence_of(t), "grp").crossJoin(F.broadcast(kinds))  # noqa: E741
-    r = lists.route(F.col("kind"), F.col("a"), F.col("c"), F.col("b"), F.col("confidence"), F.lit(0.0), F.lit(0.999), F.lit(0.5), F.lit(0.4))
+    r = lists.route(F.col("kind"), F.col("a"), F.col("c"), F.col("b"), F.col("confidence"), F.col("a")[0].cast("int") % 3 / 2, F.lit(0.999), F.lit(0.5), F.lit(0.4))
     return l.select("grp", "kind", text(lists.take(r, 10)).alias("ranking"))
 
 
@@ -274,15 +274,25 @@ def rank_movement(t: Tables) -> DataFrame:
     return m.select("grp", "key", F.col("old_rank").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
+SECOND = "case right(grp, 1) when '1' then list_concat(['CCO'], a) when '2' then []::varchar[] else a end"
+ENGINE = "case right(grp, 1) when '3' then []::varchar[] when '4' then list_concat(['', ' CCO ', 'bad;value'], b) when '5' then list_concat([' ', a[2]], b) else list_concat(['CCO'], b) end"
+
+
 @query(
-    f"""with {LISTS}, x as (select grp, a, b[1] as x2, substr(b[1], -2) as kx, list_transform(a, lambda t: substr(t, -2)) as ks from l), y as (select *, list_position(ks, kx) as at_, list_filter(a, lambda t: substr(t, -2) <> kx) as others from x),
-    z as (select *, case when kx = ks[1] then 'same_as_rank1' when at_ = 2 then 'already_rank2' else 'inserted' end as status from y)
+    f"""with {LISTS}, x0 as (select grp, {SECOND} as a, {ENGINE} as e from l), x as (select *, trim(list_filter(e, lambda s: trim(s) not in ('', 'CCO'))[1]) as x2, list_transform(a, lambda t: substr(t, -2)) as ks from x0),
+    y0 as (select *, case when x2 not like '%;%' then substr(x2, -2) end as kx from x), y as (select *, list_position(ks, kx) as at_, list_filter(a, lambda t: substr(t, -2) <> kx) as others from y0),
+    z as (select *, case when len(a) = 0 or trim(a[1]) in ('', 'CCO') then 'skipped' when len(e) = 0 then 'no_eng' when kx is null then 'invalid_x2' when kx = ks[1] then 'same_as_rank1' when at_ = 2 then 'already_rank2' else 'inserted' end as status from y)
     select grp, status, case when status = 'already_rank2' then '2' when status = 'inserted' then coalesce(cast(nullif(at_, 0) as varchar), 'absent') end as moved_from,
-    array_to_string(case when status = 'same_as_rank1' then a else list_slice(list_concat(list_slice(others, 1, 1), case when status = 'inserted' then [x2] else [a[2]] end, list_slice(others, 2, 100)), 1, 25) end, ';') as ranking from z"""
+    array_to_string(case when status in ('inserted', 'already_rank2') then list_slice(list_concat(list_slice(others, 1, 1), case when status = 'inserted' then [x2] else [a[2]] end, list_slice(others, 2, 100)), 1, 25) else a end, ';') as ranking from z"""
 )
 def second_place_insert(t: Tables) -> DataFrame:
-    l = three_lists(t)  # noqa: E741
-    r = l.select("grp", lists.second_place(F.col("a"), F.col("b"), lambda v: F.substring(v, -2, 2)).alias("r"))
+    """Another engine's first usable value at place two, with every outcome."""
+    none, last, two = F.array().cast("array<string>"), F.substring("grp", -1, 1), lambda *x: F.array(*[F.lit(v) for v in x])
+    a, b = F.col("a"), F.col("b")
+    own = F.when(last == "1", F.concat(two("CCO"), a)).when(last == "2", none).otherwise(a)
+    other = F.when(last == "3", none).when(last == "4", F.concat(two("", " CCO ", "bad;value"), b)).when(last == "5", F.concat(F.array(F.lit(" "), a[1]), b)).otherwise(F.concat(two("CCO"), b))
+    l = three_lists(t).select("grp", own.alias("a"), other.alias("e"))  # noqa: E741
+    r = l.select("grp", lists.second_place(F.col("a"), F.col("e"), lambda v: F.substring(v, -2, 2)).alias("r"))
     return r.select("grp", "r.status", "r.moved_from", text(F.col("r.ranking")).alias("ranking"))
 
 
@@ -295,17 +305,25 @@ def partial_promotion(t: Tables) -> DataFrame:
     return l.select("grp", text(lists.partly_promoted(F.col("a"), F.col("b"), 3, 2)).alias("ranking"))
 
 
+FAR = "case right(grp, 1) when '1' then 700.0 when '2' then 300.0 when '3' then null else 0.0 end"
+
+
 @query(
-    f"""with {LISTS}, {_merge_sql()}, u as (select grp, list(value order by pos) as usual from v where value is not null group by 1), c as (select grp, (max(price) - 900) / 100 as top, max(n) as sales from base group by 1)
-    select grp, case when top >= 0.9995 then 'untouched' when sales > 5 then 'gentle_promoted' else 'gentle' end as status,
-    array_to_string(case when top >= 0.9995 then list_slice(a, 1, 25) when sales > 5 then list_slice(list_concat([b[1]], list_filter(usual, lambda x: x <> b[1])), 1, 25) else usual end, ';') as ranking from l join u using (grp) join c using (grp)"""
+    f"""with {LISTS}, {_merge_sql()}, {_merge_sql(slots=(2, 4, 6, 8, 10)).replace('m as', 'm2 as').replace('from m)', 'from m2)').replace('g as', 'g2 as').replace('from g)', 'from g2)').replace('s as', 's2 as').replace('from s)', 'from s2)').replace('v as', 'v2 as')},
+    u as (select grp, list(value order by pos) as usual from v where value is not null group by 1), u2 as (select grp, list(value order by pos) as usual2 from v2 where value is not null group by 1), c as (select grp, (max(price) - 900) / 100 as top, max(n) as sales from base group by 1),
+    k as (select *, {FAR} as far, case when right(grp, 1) = '4' then []::varchar[] else b end as o from l join u using (grp) join u2 using (grp) join c using (grp)), q as (select *, coalesce(far > 600, false) as wide, coalesce(sales > 5, false) or coalesce(far > 250, false) as leads, case when coalesce(far > 600, false) then usual2 else usual end as body from k)
+    select grp, case when len(o) = 0 then 'no_other' when top >= 0.9995 then 'untouched' when wide and leads then 'aggressive_promoted' when wide then 'aggressive' when leads then 'gentle_promoted' else 'gentle' end as status,
+    array_to_string(case when len(o) = 0 or top >= 0.9995 then list_slice(a, 1, 25) when leads then list_slice(list_concat([b[1]], list_filter(body, lambda x: x <> b[1])), 1, 25) else body end, ';') as ranking from q"""
 )
 def gated_merge(t: Tables) -> DataFrame:
+    """How far another catalog's values stand out decides where they go; far ones, strong ones, and none among them."""
     c = base(t).groupBy("grp").agg(((F.max("price") - 900) / 100).alias("top"), F.max("n").alias("sales"))
     l = three_lists(t).join(c, "grp")  # noqa: E741
-    a, b = F.col("a"), F.col("b")
+    last = F.substring("grp", -1, 1)
+    a, b = F.col("a"), F.when(last == "4", F.array().cast("array<string>")).otherwise(F.col("b"))
+    far = F.when(last == "1", 700.0).when(last == "2", 300.0).when(last == "3", None).otherwise(0.0)
     sure = F.when(F.col("top") >= 0.9995, 1.0).otherwise(0.0)
-    r = l.select("grp", lists.gated_merge(a, a, b, b, sure, F.lit(0.0), F.lit(7.0), F.when(F.col("sales") > 5, 5).otherwise(0)).alias("r"))
+    r = l.select("grp", lists.gated_merge(a, a, b, b, sure, far, F.lit(7.0), F.when(F.col("sales") > 5, 5).otherwise(0)).alias("r"))
     return r.select("grp", "r.status", text(F.col("r.ranking")).alias("ranking"))
 
 

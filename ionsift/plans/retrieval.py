@@ -82,12 +82,13 @@ def knn_deterministic(t: Tables) -> DataFrame:
 
 
 @query(
-    """with p as (select c_custkey as key, c_acctbal as mass from customer), d as (select a.key, b.key as other, round(abs(a.mass - b.mass), 6) as distance,
-    row_number() over (partition by a.key order by abs(a.mass - b.mass), b.key) as i from p a join p b on a.key <> b.key) select key, other, distance from d where i = 1"""
+    """with p as (select c_custkey as key, round(c_acctbal / 20) as mass from customer), o as (select key, mass, lag(key) over w as k1, lag(mass) over w as m1, lead(key) over w as k2, lead(mass) over w as m2 from p window w as (order by mass, key))
+    select key, case when k1 is null then k2 when k2 is null then k1 when mass - m1 < m2 - mass or (mass - m1 = m2 - mass and k1 < k2) then k1 else k2 end as other, least(coalesce(mass - m1, m2 - mass), coalesce(m2 - mass, mass - m1)) as distance from o"""
 )
 def nearest_negative(t: Tables) -> DataFrame:
-    p = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("mass"))
-    return range_join.nearest_other(p).withColumn("distance", F.round("distance", 6))
+    """The nearer of the two neighbours in the order of mass and key, with many equal masses."""
+    p = t.customer.select(F.col("c_custkey").alias("key"), F.round(F.col("c_acctbal") / 20).alias("mass"))
+    return range_join.nearest_other(p)
 
 
 @query(
@@ -225,11 +226,12 @@ def tokens(df: DataFrame, key: str) -> DataFrame:
 @query(
     f"""with {TOKENS}, nb as (select item_id, count(*) as n from b group by 1), nv as (select conv_id, count(*) as n from v group by 1),
     s as (select item_id, conv_id, count(*) as shared from b join v using (bit) group by 1, 2),
-    j as (select item_id, conv_id, shared, round(shared / (nb.n + nv.n - shared), 8) as tanimoto from s join nb using (item_id) join nv using (conv_id)),
+    j as (select item_id, conv_id, shared, round(shared / (nb.n + nv.n - shared), 8) as tanimoto from s join nb using (item_id) join nv using (conv_id) where shared / (nb.n + nv.n - shared) >= 0.05),
     r as (select *, row_number() over (partition by item_id order by tanimoto desc, conv_id) as rank from j) select item_id, conv_id, shared, tanimoto, rank from r where rank <= 5"""
 )
 def tanimoto_topk(t: Tables) -> DataFrame:
-    j = similarity.tanimoto_join(tokens(t.benchmark, "item_id"), tokens(t.conversations, "conv_id"), "item_id", "conv_id").withColumn("tanimoto", F.round("tanimoto", 8))
+    """The five most similar conversations of each item, of those at 0.05 and above."""
+    j = similarity.tanimoto_pairs(tokens(t.benchmark, "item_id"), tokens(t.conversations, "conv_id"), "item_id", "conv_id", 0.05).withColumn("tanimoto", F.round("tanimoto", 8))
     return ranking.top(j, ["item_id"], 5, "tanimoto", "conv_id").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -249,18 +251,24 @@ def bit_probabilities(t: Tables) -> DataFrame:
     return bits(t.conversations, "role", "turn", "conv_id").groupBy("role", "bit").agg(F.count("*").alias("c")).join(n, "role").select("role", "bit", (F.col("c") / F.col("n")).alias("p"))
 
 
-@query(f"with {BITS} select conv_id, role, round(sum(lo) / 2048, 8) as score from t join lo using (bit) group by 1, 2")
+def role_pairs(t: Tables) -> DataFrame:
+    """The roles that speak in a conversation: the candidate pairs."""
+    return t.conversations.where("turn % 4 < 3").select("role", "conv_id").distinct()
+
+
+@query(f"with {BITS}, w as (select distinct role, conv_id from conversations where turn % 4 < 3) select conv_id, role, round(sum(lo) / 2048, 8) as score from w join t using (conv_id) join lo using (role, bit) group by 1, 2")
 def logodds_score(t: Tables) -> DataFrame:
-    return similarity.log_odds_scores(bits(t.conversations, "conv_id"), bit_probabilities(t), "conv_id", ["role"]).withColumn("score", F.round("score", 8))
+    return similarity.log_odds_of_pairs(role_pairs(t), bits(t.conversations, "conv_id"), bit_probabilities(t), "conv_id", ["role"]).withColumn("score", F.round("score", 8))
 
 
 @query(
     f"""with {BITS}, k as (select count(distinct conv_id) as k from t), q as (select bit, (1 + count(distinct conv_id)) / (2 + max(k)) as q from t, k group by 1)
-    select conv_id, role, round(sum(lo - (ln(q) - ln(1 - q))) / 2048, 8) as score from t join lo using (bit) join q using (bit) group by 1, 2"""
+    , w as (select distinct role, conv_id from conversations where turn % 4 < 3)
+    select conv_id, role, round(sum(lo - (ln(q) - ln(1 - q))) / 2048, 8) as score from w join t using (conv_id) join lo using (role, bit) join q using (bit) group by 1, 2"""
 )
 def prior_corrected(t: Tables) -> DataFrame:
     own = bits(t.conversations, "conv_id")
-    return similarity.corrected_scores(own, bit_probabilities(t), similarity.bit_prior(own, "conv_id"), "conv_id", ["role"]).withColumn("score", F.round("score", 8))
+    return similarity.log_odds_of_pairs(role_pairs(t), own, bit_probabilities(t), "conv_id", ["role"], similarity.bit_prior(own, "conv_id")).withColumn("score", F.round("score", 8))
 
 
 @query(
@@ -284,10 +292,10 @@ def popularity_fallback(t: Tables) -> DataFrame:
     return ranking.popular(t.part.select(F.col("p_brand").alias("value")), "value")
 
 
-@query("select doc_id from documents where text is not null and not (lang = 'en' and text in (select text from benchmark))")
+@query("select p_partkey from part where (p_name, p_type, p_size) not in (select p_name, p_type, p_size from part where p_brand = 'Brand#1')")
 def copy_exclusion_signature(t: Tables) -> DataFrame:
-    """Documents whose content is not, in English, that of a benchmark item."""
-    return catalog.without_copies(t.documents.where("text is not null"), t.benchmark.withColumn("lang", F.lit("en")), "lang", ["text"]).select("doc_id")
+    """Parts whose type and size are, under their name, of no part of the first brand."""
+    return catalog.without_copies(t.part, t.part.where("p_brand = 'Brand#1'"), "p_name", ["p_type", "p_size"]).select("p_partkey")
 
 
 @query(
@@ -324,10 +332,51 @@ def submission_validate(t: Tables) -> DataFrame:
     return sinks.violations(frame, t.customer.select(F.col("c_custkey").cast("string").alias("molecule_id")))
 
 
+ENERGY = """e as (select event_id, user_id, case event_type when 'view' then 'Unknown' when 'signup' then null else event_type end as adduct, case when event_id % 11 = 0 then null else cast(json_extract_string(props, '$.k') as int) % 7 end as k from events),
+    u as (select * from e where k is not null and adduct is not null and lower(trim(adduct)) not in ('', 'unknown', 'none', 'nan', 'n/a'))"""
+
+
+def energies(t: Tables) -> DataFrame:
+    """Events as spectra of a user: kinds as adducts, some of them unknown; few energies, so that signatures repeat, and some missing."""
+    adduct = F.when(F.col("event_type") == "view", "Unknown").when(F.col("event_type") == "signup", None).otherwise(F.col("event_type"))
+    k = F.when(F.col("event_id") % 11 != 0, F.get_json_object("props", "$.k").cast("int") % 7).cast("double")
+    return t.events.select("event_id", "user_id", adduct.alias("adduct"), F.array(k).alias("energy"))
+
+
+@query(f"with {ENERGY} select a.event_id, b.event_id as other from u a join u b on a.user_id = b.user_id and a.adduct = b.adduct and a.k <> b.k")
+def pair_same_group_diff_energy(t: Tables) -> DataFrame:
+    """All pairs of a user's spectra of one known adduct at different energies."""
+    return cohort.energy_pairs(energies(t), ["user_id", "adduct"], "event_id", "energy", ["adduct"])
+
+
 @query(
-    """with e as (select user_id, event_type, min(event_id) as id, json_extract_string(props, '$.k') as k from events group by user_id, event_type, json_extract_string(props, '$.k'))
-    select a.id as event_id, b.id as other from e a join e b on a.user_id = b.user_id and a.event_type = b.event_type and a.k <> b.k"""
+    f"""with {ENERGY} select event_id, count(*) over (partition by user_id, adduct) - count(*) over (partition by user_id, adduct, k) as partners, row_number() over (partition by user_id, adduct, k order by event_id) - 1 as place from u"""
 )
-def pair_same_group_diff_energy(t: Tables) -> DataFrame:
-    e = t.events.withColumn("energy", F.array(F.get_json_object("props", "$.k").cast("double")))
-    return cohort.energy_pairs(e, ["user_id", "event_type"], "event_id", "energy")
+def energy_partner_counts(t: Tables) -> DataFrame:
+    """The same pairs in as many rows as there are spectra."""
+    return cohort.energy_classes(energies(t), ["user_id", "adduct"], "event_id", "energy", ["adduct"]).select("event_id", "partners", F.col("place").cast("long").alias("place"))
+
+
+DIGEST = "cast(('0x' || substr(sha256('{0}:' || cast(event_id as varchar)), 1, 16)) as ubigint)"
+
+
+@query(
+    f"""with {ENERGY}, n as (select *, count(*) over (partition by user_id, adduct) as a, count(*) over (partition by user_id, adduct, k) as o, row_number() over (partition by user_id, adduct order by k, event_id) - 1 as at_ from u),
+    f as (select *, min(at_) over (partition by user_id, adduct, k) as first, case when a > o then cast({DIGEST.format('energy')} % (a - o) as bigint) end as h from n),
+    w as (select *, case when h >= first then h + o else h end as want from f), hit as (select w.event_id, f.event_id as other from w join f on f.user_id = w.user_id and f.adduct = w.adduct and f.at_ = w.want)
+    select event_id, coalesce(other, event_id) as other from events left join hit using (event_id)"""
+)
+def energy_partner_drawn(t: Tables) -> DataFrame:
+    """For every spectrum one partner at another energy, or itself."""
+    return cohort.drawn_partner(energies(t), ["user_id", "adduct"], "event_id", "energy", ["adduct"])
+
+
+@query(
+    f"""with e as (select event_id, user_id, case when event_type = 'view' then null else event_type end as kind from events), n as (select *, row_number() over (partition by user_id, kind order by event_id) - 1 as at_, count(*) over (partition by user_id, kind) as n from e),
+    a as (select *, cast({DIGEST.format('second')} % greatest(n - 1, 1) as bigint) as h from n where event_id % 3 = 0), w as (select *, case when n = 1 then at_ when h >= at_ then h + 1 else h end as want from a)
+    select w.event_id, n.event_id as other from w join n on n.user_id = w.user_id and n.kind is not distinct from w.kind and n.at_ = w.want"""
+)
+def second_rows_drawn(t: Tables) -> DataFrame:
+    """For every third spectrum another one of its user and kind, unknown kinds together; itself where it is alone."""
+    e = t.events.select("event_id", "user_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"))
+    return cohort.second_rows(e, e.where("event_id % 3 = 0"), ["user_id", "kind"], "event_id")

@@ -97,13 +97,12 @@ def evidence_chains(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with {REL} select spectrum, round(coalesce(max(strength) filter (where rule = 'water' and kind = 'precursor_loss'), 0), 8) as water_precursor, round(coalesce(max(strength) filter (where rule = 'water' and kind = 'peak_loss'), 0), 8) as water_peak,
-    round(coalesce(max(strength) filter (where rule = 'carbon_monoxide' and kind = 'peak_loss'), 0), 8) as monoxide_peak from found group by 1"""
+    f"""with {REL} select spectrum, {', '.join(f"round(coalesce(max(strength) filter (where rule = '{r[0]}' and kind = '{k}'), 0), 8) as {r[0]}_{k}" for r in FOUR for k in evidence.KINDS)} from found group by 1"""
 )
 def evidence_channels(t: Tables) -> DataFrame:
+    """All channels of four rules and three kinds."""
     wide = evidence.channels(found(t), ["spectrum"], [r[0] for r in FOUR])
-    pick = {"water_precursor": "water:precursor_loss", "water_peak": "water:peak_loss", "monoxide_peak": "carbon_monoxide:peak_loss"}
-    return wide.select("spectrum", *[F.round(F.col(f"`{c}`"), 8).alias(n) for n, c in pick.items()])
+    return wide.select("spectrum", *[F.round(F.col(f"`{r[0]}:{k}`"), 8).alias(f"{r[0]}_{k}") for r in FOUR for k in evidence.KINDS])
 
 
 SUPPORT = "sup as (select s.spectrum, p_type as key, rule from (select distinct spectrum from rel) s, (select distinct p_type from part), rules where (length(p_type) + length(rule)) % 2 = 0)"
@@ -139,26 +138,6 @@ def nearest_peak_match(t: Tables) -> DataFrame:
     return j.select("spectrum", F.round(similarity.matched_dot(F.col("p"), F.col("other")), 8).alias("score"))
 
 
-@query(
-    f"""with {P}, f as (select spectrum, i, max(i) over (partition by spectrum) as m from p where i > 0), k as (select spectrum, i from f where i >= 0.002 * m), n as (select spectrum, i / sum(i) over (partition by spectrum) as x from k),
-    s as (select spectrum, -sum(x * ln(x)) as s from n group by 1), w as (select spectrum, case when s < 3 then pow(x, 0.25 + 0.25 * s) else x end as y from n join s using (spectrum)), z as (select spectrum, y / sum(y) over (partition by spectrum) as y from w)
-    select spectrum, count(*) as n, round(max(y), 9) as top, round(sum(y * y), 9) as sq from z group by 1"""
-)
-def entropy_weighted_clean(t: Tables) -> DataFrame:
-    w = arrays(t).select("spectrum", pk.entropy_weights(F.col("ints"), most=100000).alias("w")).where(F.size("w") > 0)
-    return w.select("spectrum", F.size("w").cast("long").alias("n"), F.round(F.array_max("w"), 9).alias("top"), F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x), 9).alias("sq"))
-
-
-@query()
-def entropy_similarity(t: Tables) -> DataFrame:
-    """Each spectrum against the next one's, in one pass over both; sequential, so rows only."""
-    p = arrays(t).select("spectrum", F.array_sort(F.filter(F.arrays_zip("mzs", "ints"), lambda x: x["ints"] > 0)).alias("p"))
-    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x["ints"])
-    p = p.select("spectrum", F.transform("p", lambda x: x["mzs"]).alias("m"), F.transform("p", lambda x: x["ints"] / total).alias("w"))
-    j = p.join(p.select((F.col("spectrum") - 1).alias("spectrum"), F.col("m").alias("m2"), F.col("w").alias("w2")), "spectrum")
-    return j.select("spectrum", similarity.entropy_similarity(F.col("m"), F.col("w"), F.col("m2"), F.col("w2"), 0.05, F.lit(1.0)).alias("score"))
-
-
 @query()
 def merged_spectra(t: Tables) -> DataFrame:
     """Greedy union of a group's spectra; order-dependent, so rows only."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import joined, parts
@@ -45,22 +46,60 @@ def write_table(df: DataFrame, path: str, by_mass: str | None = None, partitions
     df.write.mode("overwrite").parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in it: the cluster's, whatever that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is none."""
+    system, at = _file(spark, path)
+    if not system.exists(at):
+        return None
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file through the cluster's file system, whole or not at all: written under another name, then renamed."""
+    system, at = _file(spark, path)
+    _, draft = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = system.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    if system.exists(at):
+        system.delete(at, False)
+    if not system.rename(draft, at):
+        raise OSError(f"{path} could not be written")
+
+
 def write_once(df: DataFrame, path: str, config: dict) -> bool:
-    """Writes unless a table of this very configuration is there; another configuration raises an error.  Whether it wrote."""
-    marker = os.path.join(path, "_config.json")
-    own = json.dumps(config, sort_keys=True)
-    if os.path.exists(marker):
-        with open(marker, encoding="utf-8") as f:
-            if f.read() != own:
-                raise ValueError(f"{path} was made with another configuration")
+    """Writes unless a table of this very configuration is there; another configuration raises an error.  Whether it wrote.  The marker lies beside the table, in the same file system."""
+    marker, own = f"{path.rstrip('/')}/_config.json", json.dumps(config, sort_keys=True)
+    found = read_text(df.sparkSession, marker)
+    if found is not None:
+        if found != own:
+            raise ValueError(f"{path} was made with another configuration")
         return False
     df.write.mode("overwrite").parquet(path)
-    write_json_text(marker, own)
+    write_text(df.sparkSession, marker, own)
     return True
 
 
+def audited(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """The table, and what is counted of it while it is computed: a second output of one plan, there once the first is written."""
+    seen = Observation(name)
+    return df.observe(seen, *[m.alias(n) for n, m in measures.items()]), seen
+
+
 def write_json_text(path: str, text: str) -> None:
-    """On the driver: whole or not at all, by a temporary file that is renamed."""
+    """On the driver's own disk: whole or not at all, by a temporary file that is renamed."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=os.path.dirname(path) or ".", delete=False) as f:
         f.write(text)

@@ -13,55 +13,50 @@ def one(spark, rows, schema, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
 
-def interleave(library, analog, top, size=25):
-    heads = 2 if library and top >= 0.75 else 1
-    out, left = [], {"l": list(library), "a": list(analog)}
-
-    def add(name):
-        while left[name] and left[name][0] in out:
-            left[name].pop(0)
-        if left[name]:
-            out.append(left[name].pop(0))
-
-    for _ in range(heads):
-        add("l")
-    while len(out) < size and (left["l"] or left["a"]):
-        before = len(out)
-        for _ in range(5):
-            if len(out) < size:
-                add("a")
-        if len(out) < size:
-            add("l")
-        if len(out) == before:
-            break
-    return out[:size]
-
-
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(KEYS, KEYS, st.sampled_from([0.5, 0.75, 0.9])), min_size=20, max_size=40))
 def test_interleaved(spark, cases):
+    """What the written rule says of any result: heads, no repeats, both orders, five analogs at most in a row, nothing left out that had room."""
     found = one(spark, cases, "l array<string>, a array<string>, t double", lists.interleaved(F.col("l"), F.col("a"), F.col("t")))
-    assert found == [interleave(*c) for c in cases]
-
-
-def merge(base, other, slots, n=25):
-    new, out, i, j = [x for x in other if x not in set(base)], [], 0, 0
-    for pos in range(1, n + 1):
-        if j < len(new) and (pos in slots or i >= len(base)):
-            out.append(new[j])
-            j += 1
-        elif i < len(base):
-            out.append(base[i])
-            i += 1
-    return out
+    for (library, analog, top), out in zip(cases, found, strict=True):
+        heads = min(len(library), 2 if top >= 0.75 else 1)
+        assert out[:heads] == library[:heads]
+        assert len(out) == len(set(out)) == min(25, len({*library, *analog}))
+        for own, other in ((library, analog), (analog, library)):
+            only = [k for k in out if k not in other]
+            assert only == [k for k in own if k not in other][: len(only)]
+        gap = 0
+        for n, k in enumerate(out[heads:], heads):
+            gap = gap + 1 if k not in library else 0
+            assert gap <= 5 or not set(library) - set(out[:n])
+
+
+def test_interleaved_disjoint(spark):
+    """Lists without a common key: heads, then blocks of five analogs and one library key."""
+    library, analog = [f"l{i}" for i in range(20)], [f"a{i}" for i in range(30)]
+    want = {t: [*library[:h], *[k for b in range(4) for k in (*analog[5 * b : 5 * b + 5], library[h + b])]][:25] for t, h in ((0.5, 1), (0.75, 2))}
+    cases = [(library, analog, 0.5), (library, analog, 0.75), ([], analog, 0.9), (library, [], 0.1), ([], [], 0.9), (library[:1], analog, 0.9)]
+    found = one(spark, cases, "l array<string>, a array<string>, t double", lists.interleaved(F.col("l"), F.col("a"), F.col("t")))
+    assert found == [want[0.5], want[0.75], analog[:25], library, [], [library[0], *analog[:24]]]
 
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(KEYS, KEYS), min_size=20, max_size=40))
 def test_merged_at(spark, cases):
+    """News stand at the slots in order while there are any, base values elsewhere in order, and the rest of the news where the base is used up."""
     a, b = F.col("a"), F.col("b")
-    found = one(spark, cases, "a array<string>, b array<string>", lists.merged_at(a, a, b, b, [2, 4, 8]))
-    assert found == [merge(x, y, {2, 4, 8}) for x, y in cases]
+    slots = [2, 4, 8]
+    found = one(spark, cases, "a array<string>, b array<string>", lists.merged_at(a, a, b, b, slots))
+    for (base, other), out in zip(cases, found, strict=True):
+        news = [k for k in other if k not in base]
+        assert len(out) == len(set(out)) == min(25, len(base) + len(news))
+        places = [i for i, k in enumerate(out, 1) if k in news]
+        assert [out[i - 1] for i in places] == news[: len(places)]
+        old = [k for k in out if k in base]
+        assert old == base[: len(old)]
+        last = max((i for i, k in enumerate(out, 1) if k in base), default=0)
+        early = [i for i in places if i < last]
+        assert early == [s for s in slots[: len(news)] if s < last]
 
 
 def test_small_cases(spark):

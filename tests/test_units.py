@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ionsift import schema
 from ionsift.functions import mass, peaks, text
-from ionsift.operators import evaluation, evidence, proposals, range_join, scorers, similarity
+from ionsift.operators import cohort, evaluation, evidence, proposals, range_join, scorers, similarity
 from ionsift.sources import readers, sinks
 from ionsift.streaming import handoff
 
@@ -98,6 +98,53 @@ def test_merge_keeps_the_first_mass(spark):
     assert (out[2]["mzs"], out[2]["intensities"], out[1]["mzs"]) == ([100.0, 150.0, 200.0], [0.9, 0.2, 1.0], [50.0])
 
 
+def test_merge_runs_and_clusters(spark):
+    """Runs hang on their first mass and don't drift; clusters on the first spectrum; peaks at the precursor go; a lone spectrum keeps all; medians of precursors."""
+    schema_ = "grp string, row int, alias string, mass double, precursor_mz double, mzs array<double>, intensities array<double>"
+    rows = [
+        ("drift", 1, "A", 500.0, 501.0, [100.0, 100.0016, 300.0], [0.1, 0.2, 0.3]), ("drift", 2, "A", 500.0, 501.0, [100.0032, 300.0, 500.995], [0.9, 0.1, 1.0]),
+        ("chain", 1, "A", 500.0, 501.0, [10.0], [1.0]), ("chain", 2, "A", 500.004, 501.5, [20.0], [1.0]), ("chain", 3, "A", 500.008, 503.0, [30.0], [1.0]), ("chain", 4, "B", 500.0, 501.0, [40.0], [1.0]),
+        ("lone", 1, "A", 500.0, 501.0, [600.0, 5.0], [1.0, 0.5]), ("none", 1, None, 500.0, 501.0, None, None), ("none", 2, "A", None, 501.0, [], []),
+    ]
+    out = {}
+    for r in evidence.merge_peaks(spark.createDataFrame(rows, schema_), "grp").collect():
+        out.setdefault(r["grp"], []).append((r["merged"], r["precursor_mz"], list(zip(r["mzs"], r["intensities"], strict=True))))
+    assert out["drift"] == [(2, 501.0, [(100.0, 0.2), (100.0032, 0.9), (300.0, 0.3)])]
+    assert sorted(out["chain"]) == [(1, 501.0, [(40.0, 1.0)]), (1, 503.0, [(30.0, 1.0)]), (2, 501.25, [(10.0, 1.0), (20.0, 1.0)])]
+    assert out["lone"] == [(1, 501.0, [(600.0, 1.0), (5.0, 0.5)])]
+    assert out["none"] == [(1, 501.0, []), (1, 501.0, [])]
+
+
+def test_pairs_keep_repeated_signatures(spark):
+    """Every row meets every row of another energy, rows of one signature alike; unknown adducts meet nobody; a draw is one of them."""
+    rows = [(i, "m", adduct, energy) for i, (adduct, energy) in enumerate([("A", [10.0]), ("A", [10.0]), ("A", [20.0]), ("A", [20.0, 10.0]), ("A", None), ("unknown", [10.0]), ("unknown", [20.0]), (None, [10.0]), (None, [30.0]), ("B", [10.0])])]
+    df = spark.createDataFrame(rows, "row long, mol string, adduct string, energy array<double>")
+    args = (df, ["mol", "adduct"], "row", "energy", ["adduct"])
+    pairs = {tuple(r) for r in cohort.energy_pairs(*args).collect()}
+    assert pairs == {(0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0), (1, 3), (3, 1), (2, 3), (3, 2)}
+    counts = {r["row"]: r["partners"] for r in cohort.energy_classes(*args).collect()}
+    assert counts == {0: 2, 1: 2, 2: 3, 3: 3, 9: 0}
+    drawn = {tuple(r) for r in cohort.drawn_partner(*args).collect()}
+    assert {p for p in drawn if p[0] < 4} <= pairs and {p for p in drawn if p[0] >= 4} == {(i, i) for i in range(4, 10)}
+    assert {tuple(r) for r in cohort.energy_pairs(df, ["mol", "adduct"], "row", "energy").where("row > 4").collect()} == {(5, 6), (6, 5), (7, 8), (8, 7)}
+    second = {tuple(r) for r in cohort.second_rows(df, df, ["mol", "adduct"], "row").collect()}
+    assert len(second) == 10 and (9, 9) in second and all(a != b and rows[a][2] == rows[b][2] for a, b in second if a != 9)
+
+
+def test_nearest_other_looks_at_neighbours(spark):
+    """Of three equal masses the outer ones have one equal neighbour, the middle one two; a distant key of the same mass is no neighbour."""
+    rows = [("a", 1.0), ("b", 5.0), ("c", 5.0), ("d", 5.0), ("e", 6.0), ("z", 9.0)]
+    random.shuffle(rows)
+    out = {r["key"]: (r["other"], r["distance"]) for r in range_join.nearest_other(spark.createDataFrame(rows, "key string, mass double")).collect()}
+    assert out == {"a": ("b", 4.0), "b": ("c", 0.0), "c": ("b", 0.0), "d": ("c", 0.0), "e": ("d", 1.0), "z": ("e", 3.0)}
+
+
+def test_ordered_merge_counts_parts(spark):
+    order = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "key string, position int")
+    parts = [spark.createDataFrame([(k,) for k in ks], "key string") for ks in (["a", "b"], ["b"])]
+    assert {r["key"]: r["count"] for r in cohort.merge_in_order(parts, order, "key", "position").collect()} == {"a": 1, "b": 2, "c": 0}
+
+
 def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(200)], "group long, d double")
     r = evaluation.bootstrap(df, "group", 400).first()
