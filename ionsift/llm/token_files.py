@@ -9,10 +9,11 @@ where its ids begin (64 bits, counted in ids), with the end of the last one
 after them.  Both are memory-mapped to be read, or read by ranges where they
 are not local.
 
-Texts are encoded where they lie, and only their ids, half the bytes or less,
-are kept and shuffled: range-partitioned by document id, with a salt so that
-one id may have any share of the rows, sorted within, one shard a task.  A
-task writes under a name of its own attempt and reports it; only reported
+Texts are encoded where they lie, and only their ids are shuffled: into the
+ranges that quantiles of the document ids give, sorted within, one shard a
+task.  An id that fills several ranges, or no id, may go to any of them: its
+rows are dealt out by their texts and, of equal texts, in turn, which is the
+same whenever a task is run again.  A task writes under a name of its own attempt and reports it; only reported
 files are read, so a lost executor or a second attempt leaves at most a file
 that nobody reads.  The shards' bases in the whole are prefix sums of their
 reported totals.
@@ -33,7 +34,9 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,6 @@ from pyspark.sql import types as T
 
 from .common import cut, new_folder
 from .encoders import default_path, encoder, vocabulary_size
-from .prefix import SALT
 
 MAGIC = 0x3249424B4F54
 HEAD = struct.Struct("<5q")
@@ -83,21 +85,56 @@ def _write_shard(documents: Iterator[tuple[int | None, bytes]], folder: str, par
     return os.path.basename(name), len(index) // 2, at
 
 
-def encoded(docs: DataFrame, path: str, text: str, doc_id: str, end: int | None, width: int) -> DataFrame:
-    """doc_id and its ids in the files' width.  A map."""
-    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
-        raise ValueError(f"document ids are whole numbers, {doc_id} is {docs.schema[doc_id].dataType.simpleString()}")
+@dataclass
+class Ranges:
+    """Where documents go: ``bounds`` between the ranges of ids, rising, and after those so many ranges for documents without an id."""
+
+    bounds: np.ndarray
+    known: int
+    unknown: int
+
+    def of(self, doc_id: int | None) -> tuple[int, int]:
+        """The first range that may hold an id, and how many may."""
+        if doc_id is None:
+            return self.known, self.unknown
+        low, high = (int(np.searchsorted(self.bounds, doc_id, side)) for side in ("left", "right"))
+        return low, high - low + 1
+
+
+def ranges(ids: DataFrame, n: int) -> Ranges:
+    """About n ranges of equal counts, from one aggregate over a column doc_id."""
+    at = [k / n for k in range(1, n)] or [0.5]
+    r = ids.agg(F.count("*").alias("all"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", at, 10_000).alias("at")).first()
+    unknown = max(1, round(n * (1 - r["known"] / r["all"]))) if r["known"] < r["all"] else 0
+    known = max(1, n - unknown) if r["known"] else 0
+    every = np.array(r["at"] or [], dtype=np.int64)
+    # as many of the bounds as there are ranges left for known ids
+    few = every[np.linspace(0, len(every) - 1, known - 1).round().astype(int)] if known > 1 and len(every) and n > 1 else every[:0]
+    return Ranges(few, len(few) + 1 if known else 0, unknown)
+
+
+def encoded(docs: DataFrame, path: str, text: str, doc_id: str, end: int | None, width: int, into: Ranges) -> DataFrame:
+    """part, doc_id and the document's ids in the files' width.  A map."""
     tail = b"" if end is None else end.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, turns = encoder(path), Counter()
         for batch in batches:
-            ids = [narrowed(own.ids(t.as_py() or "") + tail, width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            parts, ids = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                plain = own.ids(t.as_py() or "") + tail
+                low, several = into.of(i)
+                if several > 1:
+                    mark = zlib.crc32(plain)
+                    low += (mark + turns[i, mark]) % several
+                    turns[i, mark] += 1
+                parts.append(low)
+                ids.append(narrowed(plain, width))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
         own.rest()
 
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return named.mapInArrow(encode, "doc_id long, ids binary")
+    return named.mapInArrow(encode, "part int, doc_id long, ids binary")
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "text", doc_id: str = "doc_id", end: int | None = END, width: int | None = None, shards: int | None = None) -> DataFrame:
@@ -106,6 +143,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
     ``width`` is 2 or 4 bytes, by default what the vocabulary needs.
     """
     spark, path = docs.sparkSession, path or default_path("word_bpe_49k.json")
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"document ids are whole numbers, {doc_id} is {docs.schema[doc_id].dataType.simpleString()}")
     width = width or (2 if max(vocabulary_size(path), (end or 0) + 1) <= 1 << 16 else 4)
     if width not in (2, 4):
         raise ValueError("ids have two or four bytes")
@@ -122,11 +161,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, text: str = "te
         name, n_docs, n_ids = _write_shard(itertools.chain([first], rows), folder, part, width)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
-    order = F.col("doc_id").asc_nulls_last()
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat = cut(encoded(docs, path, text, doc_id, end, width))  # else the sampling of the ranges would encode all texts as well
-    laid = flat.withColumn("__salt", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(SALT))).repartitionByRange(n, order, F.col("__salt"))
-    manifest = cut(laid.sortWithinPartitions(order, "__salt").select("doc_id", "ids").mapInArrow(store, "part int, name string, docs long, ids long"))
+    into = ranges(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")), n)
+    flat = encoded(docs, path, text, doc_id, end, width, into)
+    laid = flat.repartitionById(max(1, into.known + into.unknown), "part").sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    manifest = cut(laid.select("doc_id", "ids").mapInArrow(store, "part int, name string, docs long, ids long"))
     rows, base_docs, base_ids = [], 0, 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):  # a row per shard
         rows.append((r["part"], r["name"], r["docs"], r["ids"], base_docs, base_ids))

@@ -595,6 +595,27 @@ def test_op10_odd_ids_and_columns(spark, clashing, tmp_path):
     assert token_files.read(files, folder).count() == len(ROWS)
 
 
+def test_op10_ranges():
+    """Ranges rise with the ids; an id that is several bounds may go to all of theirs, no id to those at the end."""
+    import numpy as np
+
+    r = token_files.Ranges(np.array([5, 7, 7, 7, 9]), 6, 2)
+    assert [r.of(i) for i in (4, 5, 6, 7, 8, 9, 10, None)] == [(0, 1), (0, 2), (1, 1), (1, 4), (4, 1), (4, 2), (5, 1), (6, 2)]
+    for a, b in ((4, 5), (5, 6), (6, 7), (7, 8), (9, 10)):  # the last range of an id is the first of the next at most
+        assert sum(r.of(a)) - 1 <= r.of(b)[0]
+
+
+def test_op10_one_row_many_times(spark, tmp_path):
+    """Rows alike in id and text fill several shards, and all of them come back; so do tables without any id."""
+    rows = [(7, "same words here")] * 400 + [(i, "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for name, own in (("a", df), ("n", df.withColumn("doc_id", F.lit(None).cast("long")))):
+        at = f"file://{tmp_path}/{name}"
+        shards = token_files.write(own, at, shards=10)
+        assert shards.agg(F.max("docs")).first()[0] <= 130
+        assert token_files.read(shards, at).count() == 500
+
+
 def test_op10_files_not_local(spark, docs, tmp_path, monkeypatch):
     """Shards read by ranges are those that are mapped."""
     at = f"file://{tmp_path}/r"
