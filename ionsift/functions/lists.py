@@ -35,6 +35,16 @@ def inserted(base: Column, generated: Column, prefix: Column | int, slots: int)
     return F.concat(take(base, prefix), take(novel(base, generated), slots), rest(base, prefix))
 
 
+def logsumexp(values: Column) -> Column:
+    """ln of the sum of exponentials of an array, without overflow; null for an empty one."""
+    return let(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top))))
+
+
+def softmax(values: Column) -> Column:
+    """Shares of exponentials."""
+    return let(logsumexp(values), lambda total: F.transform(values, lambda x: F.exp(x - total)))
+
+
 def reranked(keys: Column, scores: Column, weight: float, top: int | None = None) -> Column:
     """A ranking by (1 - w) / (60 + place) and, for the first ``top``, w / (60 + competition rank by score); scores are a map, missing ones 0.  It stays as it is where all scores tie."""
     if not 0 <= weight <= 1:

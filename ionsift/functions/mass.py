@@ -115,3 +115,17 @@ def mass_tolerance(center: Column, ppm: float = 35.0, floor: float = 0.006) -> C
 def ppm_fine(error: Column, most: float = 30.0) -> Column:
     """Whether a recorded mass error is missing or within bounds."""
     return error.isNull() | (F.abs(error) <= most)
+
+
+# The names that a fragment engine knows adducts by.
+ENGINE_ALIASES = {
+    "[M+H]+": "[M+H]+", "[M-H]-": "[M-H]-", "[M+Na]+": "[M+Na]+", "[M+K]+": "[M+K]+", "[M+NH4]+": "[M+NH4]+", "[M+Cl]-": "[M+Cl]-", "[M+CH2O2-H]-": "[M+HCOO]-", "[M+C2H4O2-H]-": "[M+CH3COO]-", "[M+CH3OH+H]+": "[M+CH3OH+H]+",
+}
+
+
+def engine_alias(adduct: Column) -> Column:
+    """The engine's name of an adduct, null for those it doesn't know; the query fails if the two names differ in composition."""
+    alias = F.try_element_at(literal_map(ENGINE_ALIASES), adduct)
+    ion, own = parse_adduct(adduct), parse_adduct(alias)
+    same = (ion["molecules"] == own["molecules"]) & (ion["charge"] == own["charge"]) & (F.abs(ion["shift"] - own["shift"]) < 1e-9)
+    return F.when(alias.isNull() | same, alias).otherwise(F.raise_error(F.lit("an alias changes the ion")).cast("string"))

@@ -51,6 +51,10 @@ def token_kind(token: Column) -> Column:
     )
 
 
+#: Tokens of a vocabulary that is broadcast at most.
+VOCABULARY = 20_000
+
+
 def vocabulary(df: DataFrame, smiles: str) -> DataFrame:
     """(token, id): four special tokens, then all tokens in order.  One row per distinct token."""
     found = df.select(F.explode(smiles_tokens(F.col(smiles))).alias("token")).distinct().where(~F.col("token").isin(SPECIAL))
@@ -61,11 +65,13 @@ def vocabulary(df: DataFrame, smiles: str) -> DataFrame:
 
 def encode(df: DataFrame, smiles: str, vocabulary: DataFrame, limit: int = 256) -> DataFrame:
     """The table with ``ids``: begin, tokens, end; null if a token is unknown or there are too many."""
+    if vocabulary.limit(VOCABULARY + 1).count() > VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {VOCABULARY} tokens")
     known = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__ids"))
     tokens = smiles_tokens(F.col(smiles))
     ids = F.transform(tokens, lambda t: F.try_element_at(F.col("__ids"), t))
     fine = (F.size(tokens) + 2 <= limit) & ~F.exists(ids, lambda x: x.isNull())
-    # one row of a token vocabulary, a few hundred entries
+    # one row of a token vocabulary, whose size is checked above
     return df.crossJoin(F.broadcast(known)).withColumn("ids", F.when(fine, F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2))))).drop("__ids")
 
 

@@ -1,4 +1,4 @@
-"""Cutting a plan where it would grow beyond what is analysed or computed again in reason."""
+"""Where a plan is cut, and what is broadcast."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a table that is broadcast at most.
+SMALL = 20_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -24,3 +28,8 @@ def settled(df: DataFrame) -> DataFrame:
             at = "file://" + tempfile.mkdtemp(prefix="ionsift-")
         context.setCheckpointDir(at)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """The table to be broadcast if it has so many rows at most, which is counted; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.mass import ELECTRON, formula_mass, ion_neutral_mass, parse_adduct
 from ..functions.peaks import let
 from ..functions.text import high_resolution
+from ..lineage import small
 from .range_join import band_join
 
 # Names, kinds, formulas (less an electron for the ion), modes, adducts and weights of the rules.
@@ -38,7 +39,7 @@ def rules_for(spectra: DataFrame, rules: DataFrame) -> DataFrame:
     fine = spectra.where(high_resolution(F.col("instrument_type")) & (ion["molecules"] == 1) & (F.abs(ion["charge"]) == 1))
     # exploded modes make it an equi-join with a few broadcast rows
     each = rules.select("rule", "kind", "mass", "weight", F.explode("modes").alias("ionization_mode"), "adducts").select("*", F.explode("adducts").alias("adduct")).drop("adducts")
-    return fine.join(F.broadcast(each), ["ionization_mode", "adduct"])
+    return fine.join(small(each), ["ionization_mode", "adduct"])
 
 
 def _tolerance(x: Column, ppm: float, absolute: float) -> Column:
@@ -103,7 +104,7 @@ def candidate_scores(found: DataFrame, chained: DataFrame, support: DataFrame, r
     """
     if component not in ("diagnostic", "loss", "combined"):
         raise ValueError(component)
-    dim = F.broadcast(rules.select("rule", F.col("kind").alias("__kind"), "weight"))
+    dim = small(rules.select("rule", F.col("kind").alias("__kind"), "weight"))
     values = support.join(strongest(found, [group], ["rule"]), [group, "rule"]).join(dim, "rule").withColumn("__v", F.col("weight") * F.col("strength"))
     single = values.groupBy(group, key).agg(F.sum(F.when(F.col("__kind") == "ion", F.col("__v")).otherwise(0.0)).alias("diagnostic"), F.sum(F.when(F.col("__kind") == "loss", F.col("__v")).otherwise(0.0)).alias("loss"))
     best = strongest(chained, [group], ["first", "second"])

@@ -23,6 +23,14 @@ def rrf(rankings: list[DataFrame], group: list[str], weights: list[float] | None
     return ranked(all_.groupBy(*group, key).agg(F.round(F.sum("__s"), DIGITS).alias("score")), group, "score", key)
 
 
+def ensemble_rrf(baseline: DataFrame, members: list[DataFrame], group: list[str], weight: float, key: str = "key") -> DataFrame:
+    """The members' rankings fused with equal votes first, and that ranking with the baseline by its weight."""
+    if not 0 <= weight <= 1:
+        raise ValueError("weight in [0, 1]")
+    together = rrf(members, group, key=key).select(*group, key, "rank")
+    return rrf([baseline, together], group, [1 - weight, weight], key=key)
+
+
 def ordered_rrf(rankings: list[DataFrame], group: list[str], weights: list[float], offset: float = 3.0, size: int = 40, key: str = "key", value: str = "value") -> DataFrame:
     """Fusion that keeps each key's first value, with ties by where a key came first; null keys count for nothing: (group, key, value, score, rank)."""
     parts = [r.where(F.col(key).isNotNull()).select(*group, key, value, (F.lit(float(w)) / (offset + F.col("rank"))).alias("__s"), F.struct(F.lit(i).alias("l"), F.col("rank").alias("r")).alias("__at")) for i, (r, w) in enumerate(zip(rankings, weights, strict=True))]

@@ -176,6 +176,15 @@ def nearest_other(catalog: DataFrame, mass: str = "mass", key: str = "key") -> D
     return best.select(key, F.col("__best.k").alias("other"), F.col("__best.d").alias("distance"))
 
 
+def hard_negatives(catalog: DataFrame, k: int = 128, either: int = 140, mass: str = "mass", key: str = "key") -> DataFrame:
+    """(key, other, rank): of the rows up to ``either`` places away in the order of mass the k of nearest mass, the lower place of two equally near.  A self-join by blocks of places."""
+    rows = ordered(catalog.select(key, mass), mass, key)
+    others = rows.select(F.col(key).alias("other"), F.col(mass).alias("__m"), F.col("pos").alias("__at"))
+    near = band_join(rows, others, F.col("pos") - either, F.col("pos") + either, F.col("__at"), float(2 * either)).where(F.col("pos") != F.col("__at"))
+    w = Window.partitionBy(key).orderBy(F.abs(F.col("__m") - F.col(mass)), "__at")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "other", "rank")
+
+
 def admissible(mass: Column, other: Column, ppm: float = 35.0, floor: float = 0.006) -> Column:
     """Whether another mass lies within a row's own tolerance."""
     return F.abs(other - mass) <= mass_tolerance(mass, ppm, floor)

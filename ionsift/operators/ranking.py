@@ -99,11 +99,18 @@ def representative(df: DataFrame, group: list[str], order: list[Column]) -> Data
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def two_pass_top(df: DataFrame, group: list[str], cheap: str, popularity: str, full: Column, key: str, keep: int = 5000, popular_keep: int = 200, size: int = SIZE) -> DataFrame:
-    """The rows best by a cheap score, and the most popular ones, ranked by the full score: the first ``size`` of each group."""
+def best_keys(df: DataFrame, group: list[str], key: str = "key", score: str = "score", k: int = 80) -> DataFrame:
+    """(group, key, score, rank): the k keys of the largest best score."""
+    return top(df.groupBy(*group, key).agg(F.max(score).alias(score)), group, k, score, key)
+
+
+def two_pass_top(df: DataFrame, group: list[str], cheap: str, popularity: str, full: Column, key: str, keep: int = 5000, popular_keep: int = 200, size: int = SIZE, pool: DataFrame | None = None) -> DataFrame:
+    """The rows best by a cheap score, and the most popular ones, ranked by the full score: the first ``size`` of each group that have a key and, with a pool (group, key), are not in it."""
     w = Window.partitionBy(*group)
     near = df.withColumn("__c", F.row_number().over(w.orderBy(F.col(cheap).desc(), key))).withColumn("__p", F.row_number().over(w.orderBy(F.col(popularity).desc(), key)))
-    near = near.where((F.col("__c") <= keep) | (F.col("__p") <= popular_keep)).drop("__c", "__p").withColumn("score", full)
+    near = near.where((F.col("__c") <= keep) | (F.col("__p") <= popular_keep)).drop("__c", "__p").withColumn("score", full).where(F.col(key).isNotNull())
+    if pool is not None:
+        near = near.join(pool.select(*group, key).distinct(), [*group, key], "left_anti")
     return top(near, group, size, "score", key)
 
 

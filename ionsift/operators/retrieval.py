@@ -57,6 +57,12 @@ def mass_centers(spectra: DataFrame, variant: str = "legacy") -> DataFrame:
     return each.unionByName(per.where("neutral is null").select("group", F.col("legacy").alias("center")))
 
 
+def plain_centers(spectra: DataFrame, mass: str = "legacy_mass") -> DataFrame:
+    """(group, center): the median of a group's finite masses, whatever their sign; 0 where there is none."""
+    known = F.when(F.col(mass).isNotNull() & ~F.isnan(mass) & (F.abs(mass) < float("inf")), F.col(mass))
+    return spectra.groupBy("group").agg(F.coalesce(F.percentile(known, 0.5), F.lit(0.0)).alias("center"))
+
+
 def reference_rank(spectra: DataFrame, vectors: DataFrame, references: DataFrame, reference_vectors: DataFrame, centers: DataFrame, group: str = "group", fallback: bool = False, either: int = 150) -> DataFrame:
     """(group, key, score, rank): references (ref, key, mass) in the window of each center (group, center), by the consensus over the group's spectra (group, spectrum).
 
@@ -68,7 +74,7 @@ def reference_rank(spectra: DataFrame, vectors: DataFrame, references: DataFrame
     if fallback:
         window = range_join.window_or_nearest(known, references, group, key="ref", either=either).drop("fallback")
         lightest = range_join.ordered(references, "mass", "ref").where(F.col("pos") < either).drop("pos")
-        window = window.unionByName(centers.where(F.col("center").isNull()).join(F.broadcast(lightest)))  # ``either`` rows
+        window = window.unionByName(centers.where(F.col("center").isNull()).crossJoin(F.broadcast(lightest)))  # ``either`` rows
     queries = vectors.join(spectra.select(group, "spectrum").distinct(), "spectrum")
     scores = similarity.candidate_products(window.select(group, "ref"), queries, reference_vectors, "spectrum", "ref", group)
     per = similarity.consensus_rank(scores.join(references.select("ref", "key"), "ref"), group, "spectrum", "key")

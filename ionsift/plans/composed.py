@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import settled
+from ..lineage import settled, small
 from ..operators import ranking, retrieval, similarity
 from .registry import Tables, query
 
@@ -70,7 +70,7 @@ def inputs(t: Tables) -> retrieval.Inputs:
     refs = v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("ref"), (F.col("vec_id") % 300).cast("string").alias("key")).join(catalog.select("key", "mass"), "key")
     on = bits.select(F.explode("bits").alias("bit")).distinct()
     p = (F.col("group") * 13 + F.length("bit") * 7 + F.ascii("bit") * 3) % 97 / 100 + 0.01
-    probabilities = spectra.select("group").distinct().join(F.broadcast(on.limit(100_000))).select("group", "bit", p.alias("p"))  # a vocabulary of bits, bounded as a fingerprint is
+    probabilities = spectra.select("group").distinct().crossJoin(small(on)).select("group", "bit", p.alias("p"))  # a vocabulary of bits
     window = retrieval.candidate_window(retrieval.mass_centers(spectra, "charge_aware_union"), catalog)
     fragments = window.select("group", "key", ((F.col("group") * 31 + F.col("key").cast("int") * 17) % 11 / 10).alias("evidence"))
     expansion = ranking.ranked(window.select("group", "key", F.length("key").alias("score")), ["group"]).select("group", "key", "rank")

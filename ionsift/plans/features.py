@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mass, peaks
+from ..functions import lists, mass, peaks
 from ..functions import text as tx
-from ..operators import evidence, learning, range_join, retrieval, router, similarity
+from ..operators import evidence, learning, range_join, ranking, retrieval, router, similarity
 from ..sources import readers
 from .composed import DATA, inputs
 from .registry import Tables, query
@@ -312,3 +312,49 @@ def library_masses(t: Tables) -> DataFrame:
 def one_hot_places(t: Tables) -> DataFrame:
     """The place of the one, of known and unknown categories."""
     return t.part.select(F.col("p_partkey").alias("key"), (F.array_position(tx.one_hot(F.col("p_brand"), ["Brand#1", "Brand#2"]), F.lit(1.0)) - 1).cast("int").alias("place"))
+
+
+@query(
+    """with e as (select vec_id, list_transform(embedding, lambda x: x::double * 30) as v from embeddings), s as (select vec_id, v, list_max(v) as m from e)
+    select vec_id, round(m + ln(list_sum(list_transform(v, lambda x: exp(x - m)))), 7) as total, round(exp(v[1] - m) / list_sum(list_transform(v, lambda x: exp(x - m))), 9) as first from s"""
+)
+def softmax_values(t: Tables) -> DataFrame:
+    v = F.transform("embedding", lambda x: x.cast("double") * 30)
+    e = t.embeddings.select("vec_id", v.alias("v"))
+    return e.select("vec_id", F.round(lists.logsumexp(F.col("v")), 7).alias("total"), F.round(lists.softmax(F.col("v"))[0], 9).alias("first"))
+
+
+KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in mass.ENGINE_ALIASES.items())
+
+
+@query(f"with k(adduct, alias) as (values {KNOWN}), a as (select p_partkey as key, case when p_partkey % 3 = 0 then (select list(adduct order by adduct) from k)[p_partkey % 9 + 1] else '[' || cast(p_partkey % 4 as varchar) || 'M+H]+' end as adduct from part) select key, adduct, alias from a left join k using (adduct)")
+def engine_aliases(t: Tables) -> DataFrame:
+    """The engine's names of adducts, each checked to be the same ion."""
+    known, k = sorted(mass.ENGINE_ALIASES), F.col("p_partkey")
+    adduct = F.when(k % 3 == 0, F.element_at(F.array(*[F.lit(a) for a in known]), (k % 9 + 1).cast("int"))).otherwise(F.concat(F.lit("["), (k % 4).cast("string"), F.lit("M+H]+")))
+    df = t.part.select(k.alias("key"), adduct.alias("adduct"))
+    return df.select("key", "adduct", mass.engine_alias(F.col("adduct")).alias("alias"))
+
+
+@query(
+    """with r as (select s_suppkey as key, round(s_acctbal / 500) as mass, row_number() over (order by round(s_acctbal / 500), s_suppkey) - 1 as pos from supplier), d as (select a.key, b.key as other, row_number() over (partition by a.key order by abs(b.mass - a.mass), b.pos) as rank from r a join r b on abs(a.pos - b.pos) <= 7 and a.pos <> b.pos)
+    select key, other, rank from d where rank <= 5"""
+)
+def hard_negatives(t: Tables) -> DataFrame:
+    """The five nearest masses of the seven places on either side."""
+    s = t.supplier.select(F.col("s_suppkey").alias("key"), F.round(F.col("s_acctbal") / 500).alias("mass"))
+    return range_join.hard_negatives(s, 5, 7).select("key", "other", F.col("rank").cast("long").alias("rank"))
+
+
+@query("with s as (select l_suppkey as grp, l_partkey % 50 as key, max(l_quantity) as score from lineitem group by 1, 2), r as (select *, row_number() over (partition by grp order by score desc, key) as rank from s) select grp, key, score, rank from r where rank <= 8")
+def analog_rows(t: Tables) -> DataFrame:
+    """The keys of a group with the largest best score."""
+    rows = t.lineitem.select(F.col("l_suppkey").alias("grp"), (F.col("l_partkey") % 50).alias("key"), F.col("l_quantity").alias("score"))
+    return ranking.best_keys(rows, ["grp"], k=8).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("select user_id as grp, coalesce(quantile_cont(value - 50, 0.5) filter (where event_id % 3 = 0), 0) as center from events group by 1")
+def plain_centers(t: Tables) -> DataFrame:
+    """Medians of any sign, 0 without a value."""
+    rows = t.events.select(F.col("user_id").alias("group"), F.when(F.col("event_id") % 3 == 0, F.col("value") - 50).when(F.col("event_id") % 3 == 1, float("nan")).alias("legacy_mass"))
+    return retrieval.plain_centers(rows).withColumnRenamed("group", "grp")

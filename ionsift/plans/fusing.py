@@ -50,6 +50,16 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return ranking.ranked(f, ["grp"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    f"""with {KEYS}, e as (select grp, key, row_number() over (partition by grp order by round(sum(s), 12) desc, key) as rank from (select grp, key, 1.0 / 2 / (60 + rank) as s from rb union all select grp, key, 1.0 / 2 / (60 + rank) from rc) group by 1, 2),
+    f as (select grp, key, round(sum(s), 12) as score from (select grp, key, 0.25 / (60 + rank) as s from ra union all select grp, key, 0.75 / (60 + rank) from e) group by 1, 2) select grp, key, score, row_number() over (partition by grp order by score desc, key) as rank from f"""
+)
+def ensemble_fusion(t: Tables) -> DataFrame:
+    """Two rankings fused with equal votes, then with a third by weight."""
+    f = fusion.ensemble_rrf(by(t, "price"), [by(t, "q"), by(t, "size")], ["grp"], 0.75).withColumn("score", F.round("score", 12)).drop("rank")
+    return ranking.ranked(f, ["grp"]).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     f"""with {KEYS}, s as (select grp, key, 0.7 / (60 + rank) as s from ra where rank <= 10 union all select grp, key, 0.3 / (60 + rank) from rc where rank <= 10),
     f as (select grp, key, round(sum(s), 12) as score from s group by 1, 2) select grp, key, score, row_number() over (partition by grp order by score desc, key) as rank from f"""
@@ -256,10 +266,12 @@ def identity_dedup(t: Tables) -> DataFrame:
 
 @query(
     f"""with {KEYS}, j as (select b.grp, b.key, b.price, b.q, b.n, row_number() over (partition by grp order by price desc, key) as c, row_number() over (partition by grp order by q desc, key) as p from base b),
-    f as (select *, row_number() over (partition by grp order by q + price desc, key) as rank from j where c <= 20 or p <= 5) select grp, key, round(q + price, 6) as score, rank from f where rank <= 10"""
+    f as (select *, row_number() over (partition by grp order by q + price desc, key) as rank from j where (c <= 20 or p <= 5) and cast(key as int) % 4 > 0) select grp, key, round(q + price, 6) as score, rank from f where rank <= 10"""
 )
 def two_pass_topk(t: Tables) -> DataFrame:
-    f = ranking.two_pass_top(base(t), ["grp"], "price", "q", F.col("q") + F.col("price"), "key", 20, 5, 10)
+    """Best by a cheap score or popular, outside the pool, by the full score."""
+    pool = base(t).where(F.col("key").cast("int") % 4 == 0).select("grp", "key")
+    f = ranking.two_pass_top(base(t), ["grp"], "price", "q", F.col("q") + F.col("price"), "key", 20, 5, 10, pool)
     return f.select("grp", "key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
+from ..lineage import small
 from ..operators import evidence, similarity
 from .registry import Tables, query
 
@@ -118,7 +119,7 @@ def candidate_evidence(t: Tables) -> DataFrame:
     """What part types as candidates make of the evidence, by rules they support."""
     rules, f = evidence.rule_table(t.spark, FOUR), found(t)
     keys = t.part.select(F.col("p_type").alias("key")).distinct()
-    pairs = t.events.select(F.col("user_id").alias("spectrum")).distinct().crossJoin(F.broadcast(keys)).crossJoin(F.broadcast(rules.select("rule")))
+    pairs = t.events.select(F.col("user_id").alias("spectrum")).distinct().crossJoin(small(keys)).crossJoin(small(rules.select("rule")))
     support = pairs.where((F.length("key") + F.length("rule")) % 2 == 0)
     s = evidence.candidate_scores(f, evidence.chains(f), support, rules, "spectrum", "key")
     return s.select("spectrum", "key", *[F.round(c, 8).alias(c) for c in ("loss", "combination", "evidence")])
@@ -161,7 +162,7 @@ def fragment_explanation(t: Tables) -> DataFrame:
     """The share of root intensity that a candidate's fragment masses explain."""
     p = flat(t).select("spectrum", "mz", "i")
     few = t.part.select(F.col("p_type").alias("key"), (40 + 5.0 * F.col("p_size")).alias("mass")).distinct()
-    fragments = p.select("spectrum").distinct().crossJoin(F.broadcast(few))
+    fragments = p.select("spectrum").distinct().crossJoin(small(few))
     return evidence.band_evidence(p, fragments, ["spectrum"], 0.2).withColumn("score", F.round("score", 8))
 
 
@@ -203,6 +204,6 @@ def informative_spectrum(t: Tables) -> DataFrame:
 def compatibility_bonus(t: Tables) -> DataFrame:
     """A score with a bounded bonus where a candidate supports the water rule that a spectrum shows."""
     wide = evidence.channels(found(t), ["spectrum"], ["water"])
-    rows = wide.crossJoin(F.broadcast(t.part.select(F.col("p_type").alias("key")).distinct()))
+    rows = wide.crossJoin(small(t.part.select(F.col("p_type").alias("key")).distinct()))
     seen = F.array(*[F.col(f"`water:{k}`") for k in evidence.KINDS])
     return rows.select("spectrum", "key", F.round(evidence.with_bonus(F.lit(1.0), seen, F.array((F.length("key") % 2 == 0).cast("double")), [0.0, 0.02, 0.03]), 9).alias("score"))
