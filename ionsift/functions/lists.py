@@ -381,3 +381,42 @@ def gated_merge(base: Column, base_keys: Column, other: Column, other_keys: Colu
         F.when(none | sure, take(base, size)).when(far, merge(narrow)).otherwise(merge(wide)).alias("ranking"),
         F.when(none, "no_other").when(sure, "untouched").when(far & leads, "aggressive_promoted").when(far, "aggressive").when(leads, "gentle_promoted").otherwise("gentle").alias("status"),
     )
+
+
+def joint_slots(prior: Column, current: Column, proposed: Column, fragments: Column, original_fragments: Column, fallback: Column, prefix: Column | int = 1, critic: Column | None = None, slots: int = 3) -> Column:
+    """Struct (ranking, promoted): proposals put into the prior ranking where the first of them beats its first three by fragments, all of which are known.
+
+    Without a critic the first ``slots`` proposals go in, as they are; with
+    one those that beat the three themselves, and the head by the critic.
+    """
+    firsts = F.transform(take(prior, 3), lambda k: _of(original_fragments, k, None))
+    level = F.array_max(firsts)
+    open_ = ~fallback & ~F.exists(firsts, lambda x: x.isNull()) & (_of(fragments, F.get(proposed, F.lit(0))) > level)
+    strong = proposed if critic is None else F.filter(proposed, lambda k: (_of(fragments, k) > level) & (_of(critic, k, None) > _of(critic, F.get(prior, F.lit(0)), None) + 0.05))
+    fine = F.coalesce(open_, F.lit(False))
+    return F.struct(F.when(fine, inserted(prior, take(strong, slots), prefix, slots)).otherwise(current).alias("ranking"), fine.alias("promoted"))
+
+
+def fused_tail(prior: Column, current: Column, native: Column, critic: Column, prefix: int = 10, slots: int = 3, margin: float = 0.05) -> Column:
+    """Struct (ranking, promoted): proposals in the order of their own ranking and the critic's, fused with equal votes, behind a prefix; only if the first of them beats the prior's head by a margin."""
+    by_critic = F.transform(F.array_sort(F.transform(native, lambda k: F.struct((-_of(critic, k, None)).alias("s"), k.alias("k")))), lambda p: p["k"])
+    order = fused_arrays([by_critic, native], [0.5, 0.5])
+
+    def placed(o: Column) -> Column:
+        better = F.coalesce(_of(critic, F.get(o, F.lit(0)), None) > _of(critic, F.get(prior, F.lit(0)), None) + margin, F.lit(False))
+        return F.struct(F.when(better, inserted(prior, o, prefix, slots)).otherwise(current).alias("ranking"), better.alias("promoted"))
+
+    return let(order, placed)
+
+
+def runner_up(tokens: Column, engine: Column, identity, size: int = SIZE, looked_at: int = 3) -> Column:
+    """second_place(), and where its value is the head's own twin, the first of the engine's first three values with another identity instead."""
+    usable = lambda s: F.when(~s.rlike("[;\r\n]"), identity(F.trim(s)))
+    other = F.filter(take(engine, looked_at), lambda s: usable(s).isNotNull() & (usable(s) != identity(F.get(tokens, F.lit(0)))))
+    first, second = second_place(tokens, engine, identity, size), second_place(tokens, take(other, 1), identity, size)
+    return F.when((first["status"] == "same_as_rank1") & (F.size(other) > 0), second).otherwise(first)
+
+
+def evidence_order(ordered: Column, existing: Column, scores: Column, weight: float) -> Column:
+    """Generated keys that a ranking lacks, reranked among themselves by a score (a map; missing: 0)."""
+    return reranked(novel(existing, ordered), scores, weight)

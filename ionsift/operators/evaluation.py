@@ -205,6 +205,15 @@ def gate(row: dict[str, Column], minimum: dict[str, float]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in reasons]))
 
 
+def deployment(mode: Column, accepted: Column, checkpoints: Column, holdout: Column, baseline: Column, known_accepted: Column) -> Column:
+    """Struct (mode, note) of what may be deployed: a guarded system only with its own report accepted ('refused' otherwise), a neural one only if it beats the baseline on the holdout and known spectra don't reject it (a missing report does not); else retrieval alone."""
+    guarded, retrieval = mode == "confidence_guarded", mode == "historical_hybrid"
+    known = ~F.coalesce(known_accepted, F.lit(True))
+    beaten = F.coalesce((checkpoints > 0) & (holdout <= baseline), F.lit(False))
+    note = F.when(guarded & ~F.coalesce(accepted, F.lit(False)), "no_passing_report").when(guarded | retrieval, None).when(known, "known_spectrum_failure").when(beaten, "not_above_baseline")
+    return F.struct(F.when(note == "no_passing_report", "refused").when(note.isNotNull(), "historical_hybrid").otherwise(mode).alias("mode"), note.alias("note"))
+
+
 def chosen(models: DataFrame, score: str = "mrr25", parameters: str = "parameters", within: float = 0.005) -> DataFrame:
     """Of models within a distance of the best, the one with the fewest parameters; ties by score, then name."""
     best = Window.partitionBy()

@@ -337,3 +337,70 @@ def leaked_keys(t: Tables) -> DataFrame:
     a, b = t.supplier.where("s_acctbal > 0").select(F.col("s_nationkey").alias("key")), t.customer.where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select(F.col("c_nationkey").alias("key"))
     return catalog.overlap(a, b, "key")
 
+
+
+def _joint_sql(prefix: str, strong: str) -> str:
+    used = "list_slice(list_filter(list_slice({0}, 1, 3), lambda x: not list_contains(a, x)), 1, 3)".format(strong)
+    return f"array_to_string(case when fine then list_concat(list_slice(a, 1, {prefix}), {used}, list_slice(a, {prefix} + 1, 1000)) else c end, ';')"
+
+
+@query(
+    f"""with {S}, g as (select *, greatest({fr('a[1]')}, {fr('a[2]')}, {fr('a[3]')}) as level, {DEEP} as deep, cast(a[1] as int) % 5 = 0 or cast(a[2] as int) % 5 = 0 or cast(a[3] as int) % 5 = 0 as unknown from s),
+    h as (select *, not late and not unknown and {fr('p[1]')} > level as fine, list_filter(p, lambda x: {fr('x')} > level and {cr('x')} > {cr('a[1]')} + 0.05::double) as strong from g)
+    select grp, fine as promoted, {_joint_sql('1', 'p')} as original_evidence, {_joint_sql('deep', 'p')} as joint_evidence, {_joint_sql('deep', 'strong')} as backfill from h"""
+)
+def slot_variants(t: Tables) -> DataFrame:
+    """Promotions that ask the first three originals' evidence: behind the first place, behind the observed prefix, and with a critic."""
+    p, deep = lists.take(_b(), 6), lists.supported_prefix(_a(), _c())
+    args = (_a(), _c(), p, F.col("fr"), F.col("fr"), F.col("late"))
+    r = scores(t).select("grp", lists.joint_slots(*args).alias("x"), lists.joint_slots(*args, deep).alias("y"), lists.joint_slots(*args, deep, F.col("cr")).alias("z"))
+    return r.select("grp", "x.promoted", text(F.col("x.ranking")).alias("original_evidence"), text(F.col("y.ranking")).alias("joint_evidence"), text(F.col("z.ranking")).alias("backfill"))
+
+
+@query(
+    f"""with {S}, e as (select grp, unnest(p) as k, generate_subscripts(p, 1) as i from s), q as (select *, row_number() over (partition by grp order by {cr('k')} desc, k) as j from e),
+    o as (select grp, list(k order by round(0.5 / (60 + i) + 0.5 / (60 + j), 12) desc, k) as o from q group by 1), g as (select *, {cr('o[1]')} > {cr('a[1]')} + 0.05::double as promoted from s join o using (grp))
+    select grp, promoted, array_to_string(case when promoted then {ins('a', 'o', 10, 3)} else c end, ';') as ranking from g"""
+)
+def score_fused_tail(t: Tables) -> DataFrame:
+    """Proposals by their order and the critic's together, behind ten places."""
+    r = scores(t).select("grp", lists.fused_tail(_a(), _c(), lists.take(_b(), 6), F.col("cr")).alias("r"))
+    return r.select("grp", "r.promoted", text(F.col("r.ranking")).alias("ranking"))
+
+
+@query(
+    f"""with {S}, f_in as (select grp, list_filter(b, lambda x: not list_contains(list_slice(a, 1, 10), x)) as keys from s), {_rerank_array_sql('keys', cr, 0.25, 'f')} select grp, coalesce(array_to_string(ranking, ';'), '') as ranking from s left join f using (grp)"""
+)
+def evidence_order(t: Tables) -> DataFrame:
+    """Keys that a ranking's head lacks, reranked by evidence among themselves."""
+    return scores(t).select("grp", text(lists.evidence_order(_b(), lists.take(_a(), 10), F.col("cr"), 0.25)).alias("ranking"))
+
+
+TWIN = "case when late then list_concat([a[1]], b) else list_concat([a[1], '7' || a[1]], list_slice(b, 1, 3)) end"
+
+
+@query(
+    f"""with {S}, x as (select grp, a, {TWIN} as e, list_transform(a, lambda t: substr(t, -2)) as ks from s), y as (select *, list_filter(list_slice(e, 1, 3), lambda t: substr(t, -2) <> ks[1])[1] as o from x),
+    z as (select *, substr(o, -2) as kx, list_position(ks, substr(o, -2)) as at_, list_filter(a, lambda t: substr(t, -2) <> substr(o, -2)) as others from y)
+    select grp, case when o is null then 'same_as_rank1' when at_ = 2 then 'already_rank2' else 'inserted' end as status,
+    array_to_string(case when o is null then a else list_slice(list_concat(list_slice(others, 1, 1), case when at_ = 2 then [a[2]] else [o] end, list_slice(others, 2, 100)), 1, 25) end, ';') as ranking from z"""
+)
+def runner_up_insert(t: Tables) -> DataFrame:
+    """Where another engine's first value is the head's twin, its next distinct one comes second."""
+    twin = F.concat(F.array(_a()[0], F.concat(F.lit("7"), _a()[0])), lists.take(_b(), 3))
+    e = F.when(F.col("late"), F.concat(F.array(_a()[0]), _b())).otherwise(twin)
+    r = scores(t).select("grp", lists.runner_up(_a(), e, lambda v: F.substring(v, -2, 2)).alias("r"))
+    return r.select("grp", "r.status", text(F.col("r.ranking")).alias("ranking"))
+
+
+@query(
+    """with g as (select c_custkey as id, case c_custkey % 3 when 0 then 'confidence_guarded' when 1 then 'historical_hybrid' else 'neural' end as m, case when c_custkey % 7 = 0 then null else c_custkey % 2 = 0 end as ok, c_custkey % 4 as n, (c_custkey % 11) / 10.0 as h, (c_custkey % 5) / 5.0 as b, case when c_custkey % 5 = 0 then null else c_custkey % 13 > 2 end as k from customer),
+    t as (select id, m, case when m = 'confidence_guarded' and not coalesce(ok, false) then 'no_passing_report' when m <> 'neural' then null when not coalesce(k, true) then 'known_spectrum_failure' when n > 0 and h <= b then 'not_above_baseline' end as note from g)
+    select id, case when note = 'no_passing_report' then 'refused' when note is not null then 'historical_hybrid' else m end as mode, note from t"""
+)
+def deployment_gate(t: Tables) -> DataFrame:
+    """What of a frozen system may be deployed."""
+    k = F.col("c_custkey")
+    mode = F.when(k % 3 == 0, "confidence_guarded").when(k % 3 == 1, "historical_hybrid").otherwise("neural")
+    d = evaluation.deployment(mode, F.when(k % 7 != 0, k % 2 == 0), k % 4, (k % 11) / 10, (k % 5) / 5, F.when(k % 5 != 0, k % 13 > 2))
+    return t.customer.select(k.alias("id"), d.alias("d")).select("id", "d.mode", "d.note")
