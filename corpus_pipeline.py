@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionsift.llm import binary_packing, golay_dedup, host_quality, source_mix, toxic_passages
-from ionsift.llm.common import new_folder, remove_folder, table
+from ionsift.llm.common import new_folder, remove_folder, scratch, table
 
 #: Packing needs a tokenizer, which SQL does not express; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -71,7 +71,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         at = new_folder(spark, name)
-        stage(spark, df, sf_dir).write.parquet(at)
+        with scratch(spark):
+            stage(spark, df, sf_dir).write.parquet(at)
         df = spark.read.parquet(at)
         if last:
             remove_folder(spark, last)
