@@ -6,12 +6,15 @@ A *word* is a maximal run of characters other than the ASCII white space
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,9 +74,26 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_scratch = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, in this thread, what written() makes lasts until its end: for a caller that writes down there what is read from it."""
+    outer, _scratch.folders = getattr(_scratch, "folders", None), []
+    try:
+        yield
+    finally:
+        own, _scratch.folders = _scratch.folders, outer
+        for folder in own:
+            remove_folder(spark, folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, read by columns."""
+    """The rows as a table in the shared folder: computed once, read by columns.  It stays, unless it is made within scratch()."""
     at = new_folder(df.sparkSession, name)
+    if getattr(_scratch, "folders", None) is not None:
+        _scratch.folders.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
