@@ -238,11 +238,15 @@ def mass_proposals(t: Tables) -> DataFrame:
     return proposals.mass_proposals(c, f, "grp", floor=0.3).select("grp", "formula", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(
+    """with b as (select p_brand, max(p_size) as s from part group by 1), c as (select p_brand, w.c as w, x.c as x, y.c as y, z.c as z, -(abs(w.c - s % 8) + abs(x.c - (s + 1) % 8) + abs(y.c - (s + 2) % 8) + abs(z.c - (s + 3) % 8)) / 2.0::double as score from b, range(8) w(c), range(8) x(c), range(8) y(c), range(8) z(c)),
+    r as (select *, row_number() over (partition by p_brand order by score desc, w, x, y, z) as k from c) select p_brand, score, concat_ws(',', w, x, y, z) as counts from r where k <= 5"""
+)
 def formula_beam(t: Tables) -> DataFrame:
-    """The best count vectors of brands, by sums of log probabilities; a beam, so rows only."""
+    """The best count vectors of brands, by sums of log probabilities, against all vectors in SQL."""
     logp = F.array(*[F.array(*[-F.abs(c - (F.col("s") + e) % 8) / 2.0 for c in range(8)]) for e in range(4)])  # no lambda: Spark does not hand those to a UDF
-    return t.part.groupBy("p_brand").agg(F.max("p_size").alias("s")).select("p_brand", proposals.beam_column(logp, 5).alias("b")).select("p_brand", F.explode("b").alias("b")).select("p_brand", "b.score", "b.counts")
+    beams = t.part.groupBy("p_brand").agg(F.max("p_size").alias("s")).select("p_brand", proposals.beam_column(logp, 5).alias("b")).select("p_brand", F.explode("b").alias("b"))
+    return beams.select("p_brand", "b.score", F.array_join(F.transform("b.counts", lambda x: x.cast("string")), ",").alias("counts"))
 
 
 @query(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..operators import catalog, cohort, evaluation, ranking, router, scorers
+from ..sources import sinks
 from ..streaming import handoff
 from .fusing import KEYS, LISTS, base, text, three_lists
-from .registry import Tables, query
+from .registry import ORACLE_SQL, Tables, query
 
 
 def _a() -> Column:
@@ -404,3 +405,10 @@ def deployment_gate(t: Tables) -> DataFrame:
     mode = F.when(k % 3 == 0, "confidence_guarded").when(k % 3 == 1, "historical_hybrid").otherwise("neural")
     d = evaluation.deployment(mode, F.when(k % 7 != 0, k % 2 == 0), k % 4, (k % 11) / 10, (k % 5) / 5, F.when(k % 5 != 0, k % 13 > 2))
     return t.customer.select(k.alias("id"), d.alias("d")).select("id", "d.mode", "d.note")
+
+
+@query(f"select status, count(*) as molecules, count(*) filter (where inserted <> '') as changed, min(grp) as first from ({ORACLE_SQL['low_branch']}) group by 1")
+def branch_audit(t: Tables) -> DataFrame:
+    """The branches taken, counted beside the rankings from one computation."""
+    _, audit = sinks.audited(low_branch(t), ["status"], molecules=F.count("*"), changed=F.count_if(F.col("inserted") != ""), first=F.min("grp"))
+    return audit

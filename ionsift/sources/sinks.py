@@ -7,10 +7,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import joined, parts
+from ..lineage import settled
 from ..operators.ranking import lists
 from ..schema import symmetric_difference, unique
 
@@ -92,10 +93,10 @@ def write_once(df: DataFrame, path: str, config: dict) -> bool:
     return True
 
 
-def audited(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
-    """The table, and what is counted of it while it is computed: a second output of one plan, there once the first is written."""
-    seen = Observation(name)
-    return df.observe(seen, *[m.alias(n) for n, m in measures.items()]), seen
+def audited(df: DataFrame, by: list[str], **measures: Column) -> tuple[DataFrame, DataFrame]:
+    """The table, and what is counted of it by some columns: two outputs of one plan, which is computed once and kept in the shared folder for both."""
+    rows = settled(df)
+    return rows, rows.groupBy(*by).agg(*[m.alias(n) for n, m in measures.items()])
 
 
 def write_json_text(path: str, text: str) -> None:
