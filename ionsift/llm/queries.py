@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_packing, bpe_count, golay_dedup, host_quality, matroska, prefix_shards, source_mix, sql, token_files, toxic_passages, warc
+from . import alignment, binary_packing, bpe_count, golay_dedup, host_quality, language_id, matroska, prefix_shards, source_mix, spelling, sql, token_files, toxic_passages, warc
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,9 +78,27 @@ def op9_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    df = spelling.spelling_variants(spelling.word_counts(docs, drop_every=199))
+    return df.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", *alignment.COMPUTED)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    df = language_id.identified(docs.select("doc_id", "text"), model)
+    return df.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_host_quality, op2_toxic_passages, op3_source_mix, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op7_matroska, op8_warc, op9_prefix_shards, op10_token_files)
+    for f in (op1_host_quality, op2_toxic_passages, op3_source_mix, op4_binary_packing, op5_golay_dedup, op6_bpe_count, op7_matroska, op8_warc, op9_prefix_shards, op10_token_files, op11_spelling_variants, op12_alignment, op13_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)
