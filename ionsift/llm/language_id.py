@@ -253,7 +253,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", most: int = BL
         n, total = n + len(names), total + own.sum(axis=0)
     for names, own in blocks(model, most):
         df = _judged(df, names, _unit(own - total / n) if n > 1 else own)  # one language alone has nothing to be centred on
-    df = df.select(ROW, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score"))), F.lit(0.0)).alias("score"))
+    df = df.select(ROW, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col("__score") > 0, F.least(F.lit(1.0), F.col("__score"))).otherwise(0.0).alias("score"))
     return unpacked(df, docs.columns, "lang_pred", "score")
 
 

@@ -14,7 +14,8 @@ the taken words follow from it row by row, without a shuffle of texts.
 
 Defined results: null and empty texts have size 0 and take nothing; null is a
 source of its own, the last; rows that repeat in id, source and text share
-what their key takes evenly, the remainder going unused; an empty table or one
+what their key takes evenly, some of them a word more, so that nothing of the
+budget is lost; texts are taken whole, however long; an empty table or one
 without words gives targets of 0; computed columns replace input columns of
 their name in mixed(), and in mixture(), which gives the documents' columns,
 input columns of those names go.
@@ -78,7 +79,7 @@ def _bin(step: int) -> Column:
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per source: __source, source_size, target, __epochs, __cut (the key at the budget, null: none), __rest (words it gives), __tied (words of rows with that key).
+    """One row per source: __source, source_size, target, __epochs, __cut (the key at the budget, null: none), __rest (words it gives), __ties (rows with that key).
 
     ``rows`` has __source, __size and __key, and is read once a step.
     """
@@ -100,9 +101,9 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
         at = F.col("__at") * BINS + F.col("__bin") if step else F.col("__bin")
         now = cut(sums.select("__none", "__source", (F.col("__need") - (F.col("to") - F.col("s"))).alias("__need"), at.alias("__at")))
     last = here.join(F.broadcast(now) if few else now.hint("merge"), ["__none", "__source"]).where(F.col("__at") == _path(3))
-    ties = last.groupBy("__none", "__source", "__key", "__need").agg(F.sum("__size").alias("s"))
+    ties = last.groupBy("__none", "__source", "__key", "__need").agg(F.sum("__size").alias("s"), F.count("*").alias("__ties"))
     ties = ties.withColumn("to", F.sum("s").over(Window.partitionBy("__none", "__source").orderBy("__key"))).where((F.col("to") >= F.col("__need")) & (F.col("to") - F.col("s") < F.col("__need")))
-    ties = ties.select("__none", "__source", F.col("__key").alias("__cut"), (F.col("__need") - (F.col("to") - F.col("s"))).alias("__rest"), F.col("s").alias("__tied"))
+    ties = ties.select("__none", "__source", F.col("__key").alias("__cut"), (F.col("__need") - (F.col("to") - F.col("s"))).alias("__rest"), "__ties")
     return cut(name(goal).join(ties, ["__none", "__source"], "left"))
 
 
@@ -114,12 +115,32 @@ def _path(steps: int) -> Column:
 
 
 def apply_plan(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """The rows with source_size, target, taken."""
+    """The rows with source_size, target, taken.
+
+    Rows that share the key at the budget are copies, and give as many words
+    each, the first of them one more where that doesn't come out even.  Only
+    then they are numbered, each partition by itself, from what the
+    partitions before it hold.
+    """
     few = of.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     df = rows.withColumn("__none", F.col("__source").isNull()).withColumn("__source", F.coalesce("__source", F.lit("")))
     df = df.join(F.broadcast(of) if few else of.hint("merge"), ["__none", "__source"])
-    more = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.floor(F.col("__size") * F.col("__rest") / F.col("__tied")).cast("long")).otherwise(0)
-    return df.withColumn("taken", (F.col("__epochs") * F.col("__size") + more).cast("long"))
+    at = F.coalesce((F.col("__key") == F.col("__cut")) & (F.col("__size") > 0), F.lit(False))
+    each, over = F.floor(F.col("__rest") / F.col("__ties")).cast("long"), F.col("__rest") % F.col("__ties")
+    more = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(at, each).otherwise(0)
+    taken = (F.col("__epochs") * F.col("__size") + more).cast("long")
+    if not of.where(over > 0).limit(1).count():
+        return df.withColumn("taken", taken)
+    uneven = at & (over > 0)
+    tied = cut(df.where(uneven)).withColumn("__part", F.spark_partition_id())
+    by = ["__none", "__source"]
+    held = tied.groupBy("__part", *by).agg(F.count("*").alias("__n"))
+    before = held.select("__part", *by, (F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part", *by).orderBy("__key"))
+    numbered = tied.withColumn("__place", place).join(before, ["__part", *by])
+    extra = F.when(F.col("__before") + F.col("__place") <= over, 1).otherwise(0)
+    numbered = numbered.withColumn("taken", (taken + extra).cast("long")).drop("__part", "__place", "__before")
+    return df.where(~uneven).withColumn("taken", taken).unionByName(numbered)
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:

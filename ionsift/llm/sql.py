@@ -47,10 +47,10 @@ l as (select *, (budget - coalesce(sum(lim) over (order by n rows between unboun
 v as (select *, first_value(case when not lim < lft * w / opn then lft / opn end ignore nulls) over (order by n rows between unbounded preceding and unbounded following) as level from l),
 t as (select source, source_size, cast(least(lim, coalesce(level, 'inf'::double) * w) as double) as target from v),
 p as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as epochs from t),
-q as (select k.doc_id, k.size, p.*, cast(floor(target) as bigint) - epochs * source_size as budget, sum(k.size) over (partition by k.source, k.ky) as tied,
+q as (select k.doc_id, k.size, p.*, cast(floor(target) as bigint) - epochs * source_size as budget, sum(k.size) over (partition by k.source, k.ky) as tied, count(*) over (partition by k.source, k.ky) as ties, row_number() over (partition by k.source, k.ky) as place,
   sum(k.size) over (partition by k.source order by k.ky range between unbounded preceding and current row) as upto from k join p on k.source is not distinct from p.source)
 select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target,
-  cast(epochs * size + case when upto <= budget then size when upto - tied < budget then size * (budget - (upto - tied)) // tied else 0 end as bigint) as taken from q
+  cast(epochs * size + case when upto <= budget then size when upto - tied < budget then (budget - (upto - tied)) // ties + (place <= (budget - (upto - tied)) % ties)::int else 0 end as bigint) as taken from q
 """
 
 OP8 = """

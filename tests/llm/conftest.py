@@ -1,5 +1,5 @@
 import pytest
-from edge import ROWS, table
+from edge import REPEATS, ROWS, table
 
 
 @pytest.fixture(scope="session")
@@ -29,6 +29,19 @@ def folder(spark, docs, tmp_path_factory):
     return at
 
 
+@pytest.fixture(scope="session")
+def repeats(spark, tmp_path_factory):
+    """Tables of repeated rows, over several files."""
+    from pyspark.sql import functions as F
+
+    at = str(tmp_path_factory.mktemp("repeats"))
+    docs = table(spark, REPEATS, False)
+    docs.repartition(5).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x.example/a b").alias("url"), F.col("text").alias("html")).write.parquet(f"{at}/pages.parquet")
+    return at
+
+
 @pytest.fixture(scope="session")
 def bare(spark, nothing, tmp_path_factory):
     """Empty tables."""

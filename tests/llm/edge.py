@@ -21,6 +21,8 @@ ROWS = [
     (None, None, None, None, None),
     (10, "\x1fctrl\x1c words\x85 İstanbul ΣΑΣ don't we'll 12 345,6.7!", "de", "", 5),
 ]
+#: Rows that are all alike, a source of rows that are alike by threes, and one without repeats.
+REPEATS = [(1, "a", "en", "s", 1)] * 1000 + [(2, "two words", "en", "t", 9)] * 3 + [(3, "more than three words here", "en", "t", 26)] * 3 + [(4, "one two three", "en", None, 13), (None, "x y", "en", None, 3), (None, "x y", "en", None, 3)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -187,6 +187,23 @@ def test_op3(spark, folder, clashing):
     keeps_columns(source_mix.mixed(clashing), ["size", "taken"], {"size", "taken", "target"})
 
 
+def test_op3_repeats(spark, repeats):
+    """Copies of one row, a thousand or three, give their source's words to the last one."""
+    got = queries.op3_source_mix(spark, repeats).collect()
+    texts = spark.read.parquet(f"{repeats}/documents.parquet").select("doc_id", "text", "source").collect()
+    of = {(r["doc_id"], len((r["text"] or "").split())): r["source"] for r in texts}
+    taken, goal, each = collections.Counter(), {}, collections.defaultdict(set)
+    for r in got:
+        s = of[r["doc_id"], r["size"]]
+        taken[s] += r["taken"]
+        goal[s] = r["target"]
+        each[r["doc_id"], r["size"]].add(r["taken"])
+        assert r["taken"] <= 2 * r["size"]
+    assert len(got) == len(texts) and goal.keys() == {"s", "t", None}
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+    assert all(max(k) - min(k) <= 1 for k in each.values())
+
+
 def test_op3_mixture(spark, docs):
     rows = source_mix.mixture(docs).collect()
     _, _, goal, taken = brute.mix([(d, t, s) for d, t, _, s, _ in ROWS])

@@ -13,9 +13,9 @@ def bag(rows):
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-@pytest.mark.parametrize("which", ["edges", "tables"])
-def test_sql(spark, data, folder, name, which):
-    at = folder if which == "edges" else data
+@pytest.mark.parametrize("which", ["edges", "repeats", "tables"])
+def test_sql(spark, data, folder, repeats, name, which):
+    at = {"edges": folder, "repeats": repeats, "tables": data}[which]
     con = duckdb.connect()
     for t in ("documents", "pages", "labels"):
         rows = spark.read.parquet(f"{at}/{t}.parquet").toArrow()  # noqa: F841
