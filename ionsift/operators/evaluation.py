@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +69,33 @@ def bootstrap(pairs: DataFrame, group: str, resamples: int = 2000, seed: int = 4
     """gain, low, high: the mean difference and its 95 % interval by a paired Poisson bootstrap.
 
     Every row gets for every resample a Poisson(1) weight from a hash of both,
-    so reruns agree in any partitioning; weighted sums are made per task
-    before the shuffle, and no resample is materialised.
+    so reruns agree in any partitioning.  A task adds up vectors with a place
+    for every resample, and passes on these alone.
     """
-    steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(12):
-        total += p
-        steps.append(total)
+    steps, p = [], math.exp(-1)
+    for k in range(16):
+        steps.append(p + (steps[-1] if steps else 0.0))
         p /= k + 1
-    u = (F.pmod(F.xxhash64(F.col(group), F.col("__b"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    rows = pairs.select(group, "d").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__w", weight)
-    means = rows.groupBy("__b").agg((F.sum(F.col("__w") * F.col("d")) / F.sum("__w")).alias("m"))
-    interval = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        with np.errstate(over="ignore"):
+            place = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for b in batches:
+                h, d = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+                for at in range(0, len(h), 512):
+                    z = h[at : at + 512, None] + place  # a counter-based generator: one state for each row and resample
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+                    u = ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(float) / float(1 << 53)
+                    w = np.searchsorted(steps, u, side="right").astype(float)
+                    weight += w.sum(0)
+                    total += d[at : at + 512] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(range(resamples), pa.int32()), pa.array(weight), pa.array(total)], names=["b", "w", "t"])
+
+    rows = pairs.where(F.col("d").isNotNull()).select(F.xxhash64(F.col(group), F.lit(seed)).alias("h"), F.col("d").cast("double").alias("d"))
+    drawn = rows.mapInArrow(sums, "b int, w double, t double").groupBy("b").agg((F.sum("t") / F.sum("w")).alias("m"))
+    interval = drawn.agg(F.percentile(F.round("m", 12), F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     return pairs.agg(F.avg("d").alias("gain")).crossJoin(F.broadcast(interval))  # one row each
 
 
@@ -123,35 +142,34 @@ def stability(pairs: DataFrame, by: list[str], first: str, second: str) -> DataF
     )
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), bins: int = 4096) -> DataFrame:
+def quantiles(df: DataFrame, value: str, by: list[str], at: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int = 2000) -> DataFrame:
     """Exact interpolated quantiles: q0, q25, ...  Nulls and NaN don't count.
 
-    No task holds a group: counts by bins of value between the group's least
-    and largest show which bins hold the wanted places, and only the values
-    of those bins are counted one by one.
+    A sketch of each group gives, for each quantile, two values between which
+    it lies, with few values between them however the group is spread.  What
+    lies below is counted, what lies between is counted by value, so that no
+    task holds more of a group than about two parts in a thousand.
     """
     v = F.col(value).cast("double")
-    rows = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    range_ = rows.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
-    joined = met(rows, range_.select(*by, "__lo", "__hi"), by)
-    share = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
-    binned = joined.select(*by, "__v", F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias("__bin"))
-    up = Window.partitionBy(*by).orderBy("__bin")
-    counts = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__c")).withColumn("__to", F.sum("__c").over(up))
-    spot = lambda q: (F.col("__n") - 1) * F.lit(float(q))
-    wanted = range_.select(*by, F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(spot(q)), F.ceil(spot(q))) for q in at])))).alias("__pos"))
-    inside = (F.col("__pos") < F.col("__to")) & (F.col("__pos") >= F.col("__to") - F.col("__c"))
-    need = met(wanted, counts, by).where(inside).select(*by, "__pos", "__bin", (F.col("__pos") - (F.col("__to") - F.col("__c"))).alias("__off"))
-    few = need.select(*by, "__bin").distinct()
-    each = met(binned, few, [*by, "__bin"], "left_semi").groupBy(*by, "__bin", "__v").agg(F.count("*").alias("__c"))
-    each = each.withColumn("__to", F.sum("__c").over(Window.partitionBy(*by, "__bin").orderBy("__v")))
-    off = (F.col("__off") < F.col("__to")) & (F.col("__off") >= F.col("__to") - F.col("__c"))
-    found = met(need, each, [*by, "__bin"]).where(off).select(*by, "__pos", "__v")
-    maps = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__pos", "__v"))).alias("__at"))
-    both = met(range_.select(*by, "__n"), maps, by)
-    value_at = lambda p: F.try_element_at("__at", p)
-    result = lambda q: value_at(F.floor(spot(q))) + (value_at(F.ceil(spot(q))) - value_at(F.floor(spot(q)))) * (spot(q) - F.floor(spot(q)))
-    return both.select(*by, *[result(q).alias(f"q{round(100 * q)}") for q in at])
+    rows = df.select(*by, (v + 0.0).alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    error = 1.0 / accuracy  # the sketch's rank is off by as much at most; twice that for places between two values
+    ends = [min(1.0, max(0.0, q + s)) for q in at for s in (-2 * error, 2 * error)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.percentile_approx("__v", ends, accuracy).alias("__ends"))
+    few = F.col("__n") <= accuracy  # a group of so few values is taken whole: places between two of them are wider than the sketch's error
+    bound = lambda k, least: F.when(few, F.col("__least" if least else "__most")).otherwise(F.col("__least") if ends[k] <= 0 else F.col("__most") if ends[k] >= 1 else F.col("__ends")[k])
+    sketch = sketch.withColumn("__spans", F.array(*[F.struct(F.lit(i).alias("i"), bound(2 * i, True).alias("lo"), bound(2 * i + 1, False).alias("hi")) for i in range(len(at))]))
+    spans = met(rows, sketch.select(*by, "__spans"), by).select(*by, "__v", F.explode("__spans").alias("__s")).where(F.col("__v") <= F.col("__s.hi"))
+    # a null value stands for all that lies below
+    counts = spans.groupBy(*by, F.col("__s.i").alias("__i"), F.when(F.col("__v") >= F.col("__s.lo"), F.col("__v")).alias("__x")).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__to", F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy(F.col("__x").asc_nulls_first())))
+    spot = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in at]), F.col("__i") + 1)
+    placed = met(counts.where("__x is not null"), sketch.select(*by, "__n"), by)
+    holds = lambda p: (p < F.col("__to")) & (p >= F.col("__to") - F.col("__c"))
+    low, high = F.max(F.when(holds(F.floor(spot)), F.col("__x"))), F.max(F.when(holds(F.ceil(spot)), F.col("__x")))
+    each = placed.groupBy(*by, "__i", spot.alias("__spot")).agg(low.alias("__a"), high.alias("__b"))
+    sure = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("a quantile lies beyond its bounds")).cast("double"))
+    each = each.select(*by, "__i", F.coalesce(sure, F.col("__a") + (F.col("__b") - F.col("__a")) * (F.col("__spot") - F.floor("__spot"))).alias("__q"))
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"q{round(100 * q)}") for i, q in enumerate(at)])
 
 
 def association(df: DataFrame, strength: str, event: str, edges: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> DataFrame:
@@ -189,18 +207,25 @@ def seeds(df: DataFrame, by: list[str], metric: str) -> DataFrame:
 
 
 def gate(row: dict[str, Column], minimum: dict[str, float]) -> Column:
-    """The reasons that reject a new system, of the columns molecules_new, molecules_old, unknown_new, unknown_old, known_new, known_old, known_top1_new, known_top1_old; empty: eligible."""
-    gain = row["unknown_new"] - row["unknown_old"]
-    relative = F.when(row["unknown_old"] > 0, gain / row["unknown_old"]).otherwise(F.when(gain > 0, 1.0).otherwise(0.0))
-    values = [row[k] for k in ("unknown_new", "unknown_old", "known_new", "known_old", "known_top1_new", "known_top1_old")]
+    """The reasons that reject a new system; empty: eligible.
+
+    The columns are <cohort>_<measure>_<system>: known and unknown molecules;
+    molecules, mrr and top1; new and old.
+    """
+    of = lambda measure: [row[f"{cohort}_{measure}_{system}"] for cohort in ("known", "unknown") for system in ("new", "old")]
+    new, old = row["unknown_mrr_new"], row["unknown_mrr_old"]
+    gain = new - old
+    relative = F.when(old > 0, gain / old).otherwise(F.when(gain > 0, 1.0).otherwise(0.0))
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     any_ = lambda xs: F.exists(F.array(*xs), lambda x: x)
+    fell = lambda measure: row[f"known_{measure}_new"] + 1e-12 < row[f"known_{measure}_old"] - minimum[f"known_{measure}"]
     reasons = [
-        ("cohort_size_mismatch", row["molecules_new"] != row["molecules_old"]), ("nonfinite_metrics", any_([odd(v) for v in values])),
-        ("invalid_metric_range", any_([~F.coalesce(v.between(0, 1), F.lit(False)) for v in values])), ("invalid_molecule_count", (row["molecules_new"] < 1) | (row["molecules_old"] < 1)),
-        ("insufficient_development_molecules", F.least(row["molecules_new"], row["molecules_old"]) < minimum["molecules"]), ("absolute_gain_below_gate", gain + 1e-12 < minimum["absolute"]),
-        ("relative_gain_below_gate", relative + 1e-12 < minimum["relative"]), ("known_mrr_protection_failed", row["known_new"] + 1e-12 < row["known_old"] - minimum["known_mrr"]),
-        ("known_top1_protection_failed", row["known_top1_new"] + 1e-12 < row["known_top1_old"] - minimum["known_top1"]),
+        ("cohort_size_mismatch", any_([row[f"{c}_molecules_new"] != row[f"{c}_molecules_old"] for c in ("known", "unknown")])),
+        ("nonfinite_metrics", any_([odd(x) for x in (new, old, *(row[f"known_{m}_{s}"] for m in ("mrr", "top1") for s in ("new", "old")))])),
+        ("invalid_metric_range", any_([~F.coalesce(x.between(0, 1), F.lit(False)) for x in (*of("mrr"), *of("top1"))])),
+        ("invalid_molecule_count", any_([x < 1 for x in of("molecules")])), ("insufficient_development_molecules", F.least(*of("molecules")[2:]) < minimum["molecules"]),
+        ("absolute_gain_below_gate", gain + 1e-12 < minimum["absolute"]), ("relative_gain_below_gate", relative + 1e-12 < minimum["relative"]),
+        ("known_mrr_protection_failed", fell("mrr")), ("known_top1_protection_failed", fell("top1")), ("no_known_evaluation", F.least(*of("molecules")[:2]) < 1),
     ]
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in reasons]))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mass import mass_tolerance
+from ..lineage import settled
 
 #: Width of the bands by which a catalog is numbered: a few thousand for masses, each a small part of the catalog.
 BAND = 0.25
@@ -73,18 +74,33 @@ def analog_window(centers: DataFrame, catalog: DataFrame, center: str = "center"
     return band_join(centers.where(c.isNotNull()), catalog, c - span, c + span, F.col(mass), span)
 
 
-def union_window(centers: DataFrame, catalog: DataFrame, query: str, key: str, center: str = "center", mass: str = "mass", **tolerance: float) -> DataFrame:
+def union_window(centers: DataFrame, catalog: DataFrame, query: str, key: str, center: str = "center", mass: str = "mass", distinct_keys: bool = True, ppm: float = 35.0, floor: float = 0.006, width: float = 0.05) -> DataFrame:
     """The windows of all of a query's distinct centers together, each key once: from the lowest center, then the lowest mass.
 
-    A center that many queries share is joined once; which center a key comes
-    from is settled by a minimum, part of it in each task before the shuffle.
+    A query's windows that overlap are merged, so that a structure meets one
+    of them; windows rise with their centers, so the lowest center that holds
+    it is the first whose upper end it doesn't exceed, in an array of that
+    window's centers.  The catalog's keys are distinct (as candidate_pool()
+    leaves them); else, with ``distinct_keys`` off, a key's rows are reduced.
     """
-    asked = centers.select(query, center).where(F.col(center).isNotNull()).distinct()
-    hits = mass_window(asked.select(center).distinct(), catalog, center, mass, **tolerance)
-    others = [c for c in hits.columns if c not in (center, key, query)]
-    first = F.struct(F.col(center), F.col(mass), *[F.col(c) for c in others if c != mass])
-    found = asked.join(hits, center).groupBy(query, key).agg(F.min(first).alias("__first"))
-    return found.select(query, key, *[F.col(f"__first.{c}").alias(c) for c in (center, *others)])
+    end = lambda c: c + mass_tolerance(c, ppm, floor)
+    asked = centers.where(F.col(center).isNotNull()).groupBy(query).agg(F.array_sort(F.collect_set(center)).alias("__all"))
+    # a query has a bounded number of spectra; its centers are gathered, then joined to windows in order
+    each = asked.select(query, F.posexplode("__all").alias("__at", "__c"), F.col("__all"))
+    before = F.get("__all", F.col("__at") - 1)
+    opens = (F.col("__at") == 0) | (F.col("__c") - mass_tolerance(F.col("__c"), ppm, floor) > end(before))
+    whole = Window.partitionBy(query).orderBy("__at")
+    windows = each.select(query, "__c", "__at", F.sum(opens.cast("int")).over(whole).alias("__window")).groupBy(query, "__window").agg(F.array_sort(F.collect_list("__c")).alias("__centers"))
+    first, last = F.col("__centers")[0], F.element_at("__centers", -1)
+    hits = band_join(windows, catalog, first - mass_tolerance(first, ppm, floor), end(last), F.col(mass), width)
+    lowest = F.filter("__centers", lambda c: end(c) >= F.col(mass))[0]
+    others = [c for c in catalog.columns if c not in (center, key, query)]
+    found = hits.select(query, key, lowest.alias(center), *others)
+    if distinct_keys:
+        return found
+    pick = F.min(F.struct(F.col(center), F.col(mass), *[F.col(c) for c in others if c != mass])).alias("__first")
+    reduced = found.groupBy(query, key).agg(pick)
+    return reduced.select(query, key, *[F.col(f"__first.{c}").alias(c) for c in (center, *others)])
 
 
 def ordered(catalog: DataFrame, mass: str, key: str) -> DataFrame:
@@ -140,7 +156,7 @@ def nearest_k(centers: DataFrame, catalog: DataFrame, query: str, k: int, mass:
     around = nearest_positions(centers, catalog, query, mass, key, center, k)
     d = F.abs(F.col(mass) - F.col(center))
     far = around.select(query, center, d.alias("__d"), F.row_number().over(Window.partitionBy(query).orderBy(d)).alias("__n"))
-    reach = far.where(F.col("__n") <= k).groupBy(query, center).agg(F.max("__d").alias("__reach"))
+    reach = settled(far.where(F.col("__n") <= k).groupBy(query, center).agg(F.max("__d").alias("__reach")))  # a row per query, read for the levels and for the join
     c, r = F.col(center), F.col("__reach") * (1 + 1e-12) + 1e-12
     level = F.greatest(F.least(F.ceil(F.log(F.greatest(2 * r, F.lit(1e-6))) / F.log(F.lit(4.0))), F.lit(8)), F.lit(-7)).cast("int")
     found = banded_join(reach, catalog, c - r, c + r, F.col(mass), level, range(-7, 9))

@@ -81,33 +81,45 @@ def reference_rank(spectra: DataFrame, vectors: DataFrame, references: DataFrame
     return ranking.ranked(per.withColumn("score", F.round("score", fusion.DIGITS)), [group])
 
 
-def baseline(centers: DataFrame, pool: DataFrame, bits: DataFrame, library: DataFrame, group: str = "group", refs: int = 25) -> DataFrame:
-    """(group, ranking, confidence): library hits of the pool and their analogs, interleaved, then the other analogs, then the rest of the pool by mass.
+def followed(*rankings: DataFrame, group: str = "group") -> DataFrame:
+    """(group, key, rank): the keys of the first ranking in order, then those that only later ones have, each where it comes first."""
+    tiers = [r.select(group, "key", F.struct(F.lit(i).alias("tier"), F.col("rank").cast("long").alias("place")).alias("__at")) for i, r in enumerate(rankings)]
+    all_ = tiers[0]
+    for t in tiers[1:]:
+        all_ = all_.unionByName(t)
+    first = all_.groupBy(group, "key").agg(F.min("__at").alias("__at"))
+    return first.select(group, "key", F.row_number().over(Window.partitionBy(group).orderBy("__at")).alias("rank"))
+
+
+def confidences(centers: DataFrame, library: DataFrame, group: str = "group") -> DataFrame:
+    """(group, confidence): the best library score of every group, 0 without any."""
+    best = library.groupBy(group).agg(F.max("score").alias("confidence"))
+    return centers.select(group).distinct().join(best, group, "left").select(group, F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def baseline(centers: DataFrame, pool: DataFrame, bits: DataFrame, library: DataFrame, group: str = "group", refs: int = 25, size: int = 25) -> DataFrame:
+    """(group, key, rank): library hits of the pool and their analogs, interleaved, then the other analogs, then the rest of the pool by mass.
 
     pool has (group, key, mass), bits (key, bits), library (group, key,
     score).  An analog's score is its best Tanimoto with one of the first
     ``refs`` hits, weighed by that hit's, times the penalty for its mass.
-    The confidence is the best library score, 0 without any.
+    Only the interleaved beginning, ``size`` of either, is ever an array.
     """
     fine = pool.select(group, "key", "mass").distinct().join(bits, "key")
     hits = ranking.ranked(library.select(group, "key", "score").join(fine.select(group, "key"), [group, "key"]), [group])
     references = hits.where(F.col("rank") <= refs).join(bits, "key").select(group, "bits", "score")
-    analogs = similarity.analog_scores(fine.join(centers.select(group, "center"), group), references, group, "key").withColumn("score", F.round("score", fusion.DIGITS))
-    whole = 2**31 - 1
-    parts = centers.select(group).distinct()
-    for name, rows in (("__l", hits), ("__a", ranking.ranked(analogs, [group])), ("__p", fine.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("mass", "key"))))):
-        parts = parts.join(ranking.lists(rows, [group], k=whole).withColumnRenamed("ranking", name), group, "left")
-    best = library.groupBy(group).agg(F.max("score").alias("confidence"))
-    first = hits.where("rank = 1").select(group, F.col("score").alias("__top"))
-    parts = parts.join(best, group, "left").join(first, group, "left")
+    scores = similarity.analog_scores(fine.join(centers.select(group, "center"), group), references, group, "key").withColumn("score", F.round("score", fusion.DIGITS))
+    analogs = ranking.ranked(scores, [group])
+    by_mass = fine.select(group, "key", F.row_number().over(Window.partitionBy(group).orderBy("mass", "key")).alias("rank"))
     none = F.expr("cast(array() as array<string>)")
-    l, a, p = (F.coalesce(c, none) for c in ("__l", "__a", "__p"))  # noqa: E741
-    mixed = lists.interleaved(l, a, F.coalesce("__top", F.lit(0.0)))
-    return parts.select(group, lists.extended(lists.extended(mixed, a), p).alias("ranking"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    own = ranking.lists(hits, [group], k=size).withColumnRenamed("ranking", "__l").join(hits.where("rank = 1").select(group, F.col("score").alias("__top")), group)
+    heads = own.join(ranking.lists(analogs, [group], k=size).withColumnRenamed("ranking", "__a"), group, "full")
+    mixed = heads.select(group, lists.interleaved(F.coalesce("__l", none), F.coalesce("__a", none), F.coalesce("__top", F.lit(0.0)), size=size).alias("ranking"))
+    return followed(ranking.exploded(mixed, [group]), analogs, by_mass, group=group)
 
 
 def hypothesis_baseline(spectra: DataFrame, vectors: DataFrame, references: DataFrame, reference_vectors: DataFrame, catalog: DataFrame, bits: DataFrame, variant: str) -> DataFrame:
-    """(group, ranking): the baseline of each of a group's mass hypotheses over the candidates of all of them, fused with equal votes."""
+    """(group, key, rank): the baseline of each of a group's mass hypotheses over the candidates of all of them, fused with equal votes."""
     centers = mass_centers(spectra, variant)
     pool = candidate_window(centers, catalog)
     each = centers.where(F.col("center").isNotNull()).withColumn("hypothesis", F.concat_ws("#", F.col("group").cast("string"), F.row_number().over(Window.partitionBy("group").orderBy("center")).cast("string")))
@@ -115,10 +127,68 @@ def hypothesis_baseline(spectra: DataFrame, vectors: DataFrame, references: Data
     library = settled(reference_rank(own, vectors, references, reference_vectors, each.select("hypothesis", "center"), "hypothesis"))
     ranks = baseline(each.select("hypothesis", "center"), pool.join(each.select("group", "hypothesis"), "group").select("hypothesis", "key", "mass"), bits, library, "hypothesis")
     votes = each.groupBy("group").agg(F.count("*").alias("__n"))
-    rows = ranking.exploded(ranks.join(each.select("group", "hypothesis"), "hypothesis"), ["group"])
-    fused = rows.join(votes, "group").groupBy("group", "key").agg(F.round(F.sum(1 / F.col("__n") / (60 + F.col("rank"))), fusion.DIGITS).alias("score"))
-    out = ranking.lists(ranking.ranked(fused, ["group"]), ["group"], k=2**31 - 1)
-    return centers.select("group").distinct().join(out, "group", "left").select("group", F.coalesce("ranking", F.expr("cast(array() as array<string>)")).alias("ranking"))
+    rows = ranks.join(each.select("group", "hypothesis"), "hypothesis").join(votes, "group")
+    fused = rows.groupBy("group", "key").agg(F.round(F.sum(1 / F.col("__n") / (60 + F.col("rank"))), fusion.DIGITS).alias("score"))
+    return ranking.ranked(fused, ["group"]).select("group", "key", "rank")
+
+
+def reference_scores(spectra: DataFrame, vectors: DataFrame, references: DataFrame, reference_vectors: DataFrame, centers: DataFrame, group: str = "group") -> DataFrame:
+    """(group, spectrum, ref, key, score): the dot products of a group's spectra with the references (ref, key, mass) in the window of its center."""
+    window = range_join.mass_window(centers.where(F.col("center").isNotNull()), references)
+    queries = vectors.join(spectra.select(group, "spectrum").distinct(), "spectrum")
+    scores = similarity.candidate_products(window.select(group, "ref"), queries, reference_vectors, "spectrum", "ref", group)
+    return scores.join(references.select("ref", "key"), "ref")
+
+
+@dataclass(frozen=True)
+class Cascade:
+    """A ranking in two precisions: all references by sparse vectors, then the best spectra of the best structures by their peaks.
+
+    ``mode``: 'enhanced' is both; 'consensus' and 'baseline' stop after the
+    first, by the consensus over a group's spectra or by the best of them.
+    """
+
+    mode: str = "enhanced"
+    shortlist: int = 100
+    spectra: int = 3
+    size: int = 25
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("enhanced", "consensus", "baseline"):
+            raise ValueError(f"unknown mode {self.mode}")
+
+    def coarse(self, scores: DataFrame, group: str = "group") -> DataFrame:
+        """(group, key, score, rank) of the shortlist, from reference_scores()."""
+        per = similarity.best_per_key(scores, [group], "key") if self.mode == "baseline" else similarity.consensus_rank(scores, group, "spectrum", "key")
+        return ranking.top(per.withColumn("score", F.round("score", fusion.DIGITS)), [group], self.shortlist)
+
+    def chosen(self, scores: DataFrame, shortlist: DataFrame, group: str = "group") -> DataFrame:
+        """(group, key, ref, place): the references of the shortlist's structures that any of the group's spectra matches best."""
+        best = scores.groupBy(group, "key", "ref").agg(F.round(F.max("score"), fusion.DIGITS).alias("__best"))
+        few = best.join(shortlist.select(group, "key"), [group, "key"], "left_semi")
+        order = Window.partitionBy(group, "key").orderBy(F.col("__best").desc(), "ref")
+        return few.select(group, "key", "ref", F.row_number().over(order).alias("place")).where(F.col("place") <= self.spectra)
+
+    def rank(self, scores: DataFrame, spectra: DataFrame, references: DataFrame, group: str = "group") -> DataFrame:
+        """(group, key, ref, score, rank): ref is the structure's spectrum that matches best, which represents it.
+
+        spectra has (group, spectrum, precursor, adduct, peaks) and
+        references (ref, precursor, adduct, peaks), with peaks as of
+        peaks.exact_peaks(); they are joined for the chosen references alone.
+        """
+        scores = settled(scores.select(group, "spectrum", "ref", "key", "score"))  # read for the shortlist and for its spectra
+        shortlist = settled(self.coarse(scores, group))
+        chosen = settled(self.chosen(scores, shortlist, group))
+        first = chosen.where("place = 1").select(group, "key", "ref")
+        if self.mode != "enhanced":
+            return ranking.top(shortlist.select(group, "key", "score").join(first, [group, "key"]), [group], self.size)
+        r = references.select("ref", F.col("precursor").alias("__rp"), F.col("adduct").alias("__ra"), F.col("peaks").alias("__rk"))
+        met = chosen.select(group, "key", "ref").join(spectra.select(group, "spectrum", "precursor", "adduct", "peaks"), group).join(r, "ref")
+        exact = similarity.pair_scores(F.col("peaks"), F.col("precursor"), F.col("adduct"), F.col("__rk"), F.col("__rp"), F.col("__ra"))
+        fine = similarity.consensus_rank(met.select(group, "spectrum", "key", exact.alias("score")), group, "spectrum", "key").select(group, "key", F.col("score").alias("__fine"))
+        both = shortlist.select(group, "key", "score").join(fine, [group, "key"]).join(first, [group, "key"])
+        mean = F.round(0.5 * F.col("score") + 0.5 * F.col("__fine"), fusion.DIGITS)
+        return ranking.top(both.select(group, "key", "ref", mean.alias("score")), [group], self.size)
 
 
 def candidate_window(centers: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -217,48 +287,44 @@ class Recipe:
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
-    def ranking(self, of: Inputs) -> DataFrame:
-        """(group, ranking, confidence), the whole order.
+    def ranking(self, of: Inputs) -> tuple[DataFrame, DataFrame]:
+        """(group, key, rank), the whole order, and (group, confidence) of every group.
 
-        Each step's result, a row a group, is settled before the next one reads
-        it: the plans of all of them in one would be analysed many times over.
+        Rankings stay in rows of a key each.  Each step's result is settled
+        before the next one reads it: the plans of all of them in one would be
+        analysed many times over.
         """
         legacy = mass_centers(of.spectra)
         pool = candidate_window(legacy, of.catalog)
         library = settled(reference_rank(of.spectra, of.vectors, of.references, of.reference_vectors, legacy))
+        known = settled(confidences(legacy, library))
         historical = settled(baseline(legacy, pool, of.bits, library))
-        current, wide = historical.select("group", F.col("ranking").alias("__current")), pool
+        voted, wide = historical, pool
         if self.mass_hypothesis != "legacy":
             wide = candidate_window(mass_centers(of.spectra, self.mass_hypothesis), of.catalog)
-            current = settled(hypothesis_baseline(of.spectra, of.vectors, of.references, of.reference_vectors, of.catalog, of.bits, self.mass_hypothesis)).withColumnRenamed("ranking", "__current")
-        neural = settled(ranking.lists(neural_rank(wide, of.bits, of.probabilities), ["group"], k=2**31 - 1)).withColumnRenamed("ranking", "__neural")
-        all_ = historical.join(current, "group", "left").join(neural, "group", "left")
-        none = F.expr("cast(array() as array<string>)")
-        h, c, n = F.col("ranking"), F.coalesce("__current", none), F.coalesce("__neural", none)
-        free = lists.fused_arrays([lists.extended(h, c), n], [1 - self.neural_weight, self.neural_weight])
-        out = settled(all_.select("group", F.when(F.col("confidence") >= self.confidence_guard, h).otherwise(free).alias("ranking"), "confidence"))
+            current = hypothesis_baseline(of.spectra, of.vectors, of.references, of.reference_vectors, of.catalog, of.bits, self.mass_hypothesis)
+            voted = settled(followed(historical, current))
+        neural = neural_rank(wide, of.bits, of.probabilities).select("group", "key", "rank")
+        free = fusion.rrf([voted, neural], ["group"], [1 - self.neural_weight, self.neural_weight]).select("group", "key", "rank")
+        sure = known.where(F.col("confidence") >= self.confidence_guard).select("group")
+        out = settled(historical.join(sure, "group", "left_semi").unionByName(free.join(sure, "group", "left_anti")))
         if self.chemistry:
-            rows = chemical_ranking(ranking.exploded(out, ["group"]), out, {"fragment": of.fragments}, self.chemistry, self.chemistry_weight)
-            out = settled(_relisted(out, rows))
+            out = settled(chemical_ranking(out, known, {"fragment": of.fragments}, self.chemistry, self.chemistry_weight))
         if self.expansion_weight is not None:
-            merged = settled(_relisted(out, merged_expansion(ranking.exploded(out, ["group"]), of.expansion, self.expansion_weight)))
+            asked = of.expansion.join(known.select("group"), "group", "left_semi")
+            merged = merged_expansion(out, asked, self.expansion_weight)
             if self.reference_guard is not None:
-                firsts = ranking.exploded(out, ["group"]).where(F.col("rank") <= self.reference_guard).join(of.observed.select("key").distinct(), "key", "left_semi").select("group").distinct().withColumn("__kept", F.lit(True))
-                both = out.join(merged.select("group", F.col("ranking").alias("__new")), "group").join(firsts, "group", "left")
-                merged = both.select("group", F.when(F.coalesce("__kept", F.lit(False)) | (F.col("confidence") >= 0.5), F.col("ranking")).otherwise(F.col("__new")).alias("ranking"), "confidence")
-            out = merged
-        return out
+                firsts = out.where(F.col("rank") <= self.reference_guard).join(of.observed.select("key").distinct(), "key", "left_semi").select("group")
+                kept = settled(firsts.union(known.where("confidence >= 0.5").select("group")).distinct())
+                merged = out.join(kept, "group", "left_semi").unionByName(merged.join(kept, "group", "left_anti"))
+            out = settled(merged)
+        return out, known
 
     def predict(self, of: Inputs) -> DataFrame:
         """The submission: molecule_id and its structures, best first, in one field; the default where there are none."""
         from ..sources import sinks
 
-        rows = ranking.exploded(self.ranking(of), ["group"]).where(F.col("rank") <= self.size).join(of.catalog.select("key", "smiles"), "key")
+        rows = self.ranking(of)[0].where(F.col("rank") <= self.size).join(of.catalog.select("key", "smiles"), "key")
         rows = rows.select(F.col("group").cast("string").alias("molecule_id"), "smiles", "rank")
         ids = of.spectra.select(F.col("group").cast("string").alias("molecule_id")).distinct()
         return sinks.submission(rows, ids, k=self.size, default=self.default)
-
-
-def _relisted(old: DataFrame, rows: DataFrame) -> DataFrame:
-    new = ranking.lists(rows, ["group"], k=2**31 - 1).withColumnRenamed("ranking", "__new")
-    return old.join(new, "group", "left").select("group", F.coalesce("__new", "ranking").alias("ranking"), "confidence")

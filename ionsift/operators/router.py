@@ -111,8 +111,9 @@ def ridge_solve(moments: DataFrame, size: int, penalty: float) -> list[float]:
 
 
 def ridge_moments(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(i, j, value): the sums of products of all pairs of columns, and with the label (j = -1), partial per task and summed."""
+    """(i, j, value): the sums of products of all pairs of columns, and with the label (j = -1)."""
+    from .learning import products
+
     n = len(columns)
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col(columns[i]) * F.col(columns[j])).alias("value")) for i in range(n) for j in range(i, n)]
-    labels = [F.struct(F.lit(i).alias("i"), F.lit(-1).alias("j"), F.sum(F.col(columns[i]) * F.col(label)).alias("value")) for i in range(n)]
-    return df.agg(F.array(*pairs, *labels).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    sums = products(df, [*columns, label]).where(F.col("i") < n)
+    return sums.select("i", F.when(F.col("j") == n, -1).otherwise(F.col("j")).alias("j"), "value")

@@ -107,13 +107,33 @@ def tanimoto_arrays(a: Column, b: Column) -> Column:
 def tanimoto_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float, bit: str = "bit") -> DataFrame:
     """(a, b, shared, tanimoto) for all pairs of at least so much, from one row per (id, bit), each once.
 
-    Bits are ordered by how rare they are.  Two sets that similar share a bit
+    From 0.5 on, pairs are found by their rarest bits (``_by_rare_bits``);
+    below, where those are most bits, all shared bits are counted
+    (``_by_counts``), each pair's partly in every task.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a similarity above 0 and up to 1")
+    return (_by_rare_bits if least >= 0.5 else _by_counts)(left, right, a, b, least, bit)
+
+
+def _by_counts(left: DataFrame, right: DataFrame, a: str, b: str, least: float, bit: str) -> DataFrame:
+    """Sizes go along with the bits, so that pairs too unlike in size are not met, and a pair's count says all."""
+
+    def sized(df: DataFrame, key: str, size: str) -> DataFrame:
+        return df.select(key, bit, F.count("*").over(Window.partitionBy(key)).alias(size))
+
+    x, y = sized(left, a, "__n"), sized(right, b, "__m")
+    near = (F.col("__m") >= least * F.col("__n") - 1e-9) & (F.col("__n") >= least * F.col("__m") - 1e-9)
+    shared = x.join(y, bit).where(near).groupBy(a, b, "__n", "__m").agg(F.count("*").alias("shared"))
+    return shared.select(a, b, "shared", (F.col("shared") / (F.col("__n") + F.col("__m") - F.col("shared"))).alias("tanimoto")).where(F.col("tanimoto") >= least)
+
+
+def _by_rare_bits(left: DataFrame, right: DataFrame, a: str, b: str, least: float, bit: str) -> DataFrame:
+    """Bits are ordered by how rare they are.  Two sets that similar share a bit
     among the first n - ceil(least * n) + 1 of either (the rare ones), so that
     only those are joined, and common bits hardly ever; their sizes differ by
     the factor ``least`` at most.  What is found is verified on the whole sets.
     """
-    if not 0 < least <= 1:
-        raise ValueError("a similarity above 0 and up to 1")
     counts = left.select(bit).unionByName(right.select(bit)).groupBy(bit).agg(F.count("*").alias("__df"))
 
     def sets(df: DataFrame, key: str) -> DataFrame:
@@ -237,6 +257,43 @@ def pair_score(a: Column, a_precursor: Column, a_adduct: Column, b: Column, b_pr
     return 0.7 * fragment + 0.3 * matched_dot(loss_view(a, a_precursor), loss_view(b, b_precursor))
 
 
+def _nearest_products(a_mz: np.ndarray, a_w: np.ndarray, b_mz: np.ndarray, b_w: np.ndarray, tolerance: float, ppm: float) -> float:
+    """matched_dot() of two lists by m/z: the middle between two neighbours of b is where the nearest changes; distances decide what rounding leaves open there, and of equal peaks the first is taken."""
+    if not len(a_mz) or not len(b_mz):
+        return 0.0
+    first = np.flatnonzero(np.diff(b_mz, prepend=-np.inf))  # of peaks with one m/z
+    b_mz, b_w = b_mz[first], b_w[first]
+    near = np.searchsorted((b_mz[1:] + b_mz[:-1]) / 2, a_mz)
+    for other, closer in ((np.maximum(near - 1, 0), np.less_equal), (np.minimum(near + 1, len(b_mz) - 1), np.less)):
+        near = np.where(closer(np.abs(a_mz - b_mz[other]), np.abs(a_mz - b_mz[near])), other, near)
+    hit = np.abs(a_mz - b_mz[near]) <= np.maximum(tolerance, a_mz * (ppm * 1e-6))
+    return float(a_w[hit] @ b_w[near[hit]])
+
+
+def _losses(mz: np.ndarray, w: np.ndarray, precursor: float) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((w, precursor - mz))
+    return (precursor - mz)[order], w[order]
+
+
+@F.arrow_udf(T.DoubleType())
+def _pair_scores(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for a_mz, a_w, a_prec, b_mz, b_w, b_prec, same in batches:
+        lists = [[np.asarray(v, dtype=float) for v in x.fill_null([]).to_numpy(zero_copy_only=False)] for x in (a_mz, a_w, b_mz, b_w)]
+        out = []
+        for am, aw, bm, bw, p, q, alike in zip(*lists, a_prec.to_pylist(), b_prec.to_pylist(), same.to_pylist(), strict=True):
+            fragment = _nearest_products(am, aw, bm, bw, 0.025, 15.0)
+            loss = _nearest_products(*_losses(am, aw, p), *_losses(bm, bw, q), 0.025, 15.0) if p is not None and q is not None else 0.0
+            out.append(0.7 * fragment * (1.0 if alike else 0.7) + 0.3 * loss)
+        yield pa.array(out, pa.float64())
+
+
+def pair_scores(a: Column, a_precursor: Column, a_adduct: Column, b: Column, b_precursor: Column, b_adduct: Column) -> Column:
+    """pair_score() by one search per list rather than a lambda over all pairs of peaks: for many pairs of long lists.  Without a precursor losses don't count, and a missing adduct is unlike any."""
+    of = lambda x, f: F.transform(x, lambda p: p[f].cast("double"))
+    same = F.coalesce(a_adduct.endswith("+") == b_adduct.endswith("+"), F.lit(False))
+    return _pair_scores(of(a, "mz"), of(a, "i"), a_precursor.cast("double"), of(b, "mz"), of(b, "i"), b_precursor.cast("double"), same)
+
+
 def matched_entropy(qm: pa.ListArray, qp: pa.ListArray, cm: pa.ListArray, cp: pa.ListArray, tolerance: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """Entropy similarity of many pairs of spectra whose intensities sum to one, the second's m/z moved by a shift: peaks are matched in one pass, each once, the lower first.
 
@@ -277,19 +334,20 @@ def entropy_similarity(qm: Column, qp: Column, cm: Column, cp: Column, tolerance
     return _entropy(qm, qp, cm, cp, F.lit(float(tolerance)), F.coalesce(shift, F.lit(0.0)) if shift is not None else F.lit(0.0))
 
 
-# What charges a fragment, by ion mode, and the hydrogen atom.
-CARRIERS = {"positive": {"proton": 1.007276466621, "sodium": 22.989218, "ammonium": 18.033825553, "potassium": 38.963158, "electron": -0.000548579909}, "negative": {"proton": -1.007276466621, "electron": 0.000548579909, "chloride": 34.969402}}
+# The masses that may charge a fragment, by the precursor's adduct, and the hydrogen atom.
+CARRIERS = {
+    "[M+H]+": [1.007276466621], "[M-H2O+H]+": [1.007276466621], "[M-2H2O+H]+": [1.007276466621], "[M+NH4]+": [1.007276466621, 18.033825553], "[M+Na]+": [1.007276466621, 22.989218],
+    "[M+K]+": [1.007276466621, 38.963158], "[M-H]-": [-1.007276466621], "[M-H2O-H]-": [-1.007276466621], "[M+CH2O2-H]-": [-1.007276466621, 44.998202836379], "[M+Cl]-": [-1.007276466621, 34.969402],
+}
 HYDROGEN = 1.00782503223
 
 
-def carriers(mode: Column, adduct: Column) -> Column:
-    """The masses that may charge a fragment: the proton's of the mode and no atom's but the electron's, and of a salt's ion its own as well."""
-    of = lambda m, *names: F.array(*[F.lit(CARRIERS[m][n]) for n in names])
-    salt = (
-        F.when(adduct.contains("+Na]"), of("positive", "sodium")).when(adduct.contains("+NH4]"), of("positive", "ammonium")).when(adduct.contains("+K]"), of("positive", "potassium"))
-        .when(adduct.contains("+Cl]"), of("negative", "chloride")).otherwise(F.array().cast("array<double>"))
-    )
-    return F.concat(F.when(mode == "negative", of("negative", "proton", "electron")).otherwise(of("positive", "proton", "electron")), F.coalesce(salt, F.array().cast("array<double>")))
+def carriers(adduct: Column) -> Column:
+    """The masses that may charge a fragment of an adduct: the proton's of its sign, and what else the adduct holds.  Those not listed have the proton alone, a null none."""
+    listed = F.try_element_at(F.create_map(*[x for k, v in CARRIERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), adduct)
+    proton = CARRIERS["[M+H]+"][0]
+    sign = F.when(F.substring(adduct, -2, 2).contains("+"), F.array(F.lit(proton))).otherwise(F.array(F.lit(-proton)))
+    return F.coalesce(listed, F.when(adduct.isNotNull(), sign), F.array().cast("array<double>"))
 
 
 def explained(peaks: Column, fragments: Column, charged_by: Column, tolerance: float = 0.01, hydrogens: int = 2) -> Column:

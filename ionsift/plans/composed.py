@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import peaks
 from ..lineage import settled, small
 from ..operators import ranking, retrieval, similarity
 from .registry import Tables, query
@@ -12,9 +13,9 @@ from .registry import Tables, query
 # A molecule of four spectra has a mass of 101 possible ones, the last spectrum another by one; a structure's mass comes from its key, a reference spectrum's structure from its id.
 DATA = """vec as (select vec_id, generate_subscripts(embedding, 1) - 1 as bin, cast(unnest(embedding) as double) as x from embeddings), unit as (select vec_id, bin, x / sqrt(sum(x * x) over (partition by vec_id)) as w from vec where x > 0),
     spec as (select vec_id as spectrum, vec_id // 4 as grp, 100.0 + (vec_id // 4 * 7) % 101 as legacy, 100.0 + (vec_id // 4 * 7) % 101 + case when vec_id % 4 = 3 then 1 else 0 end as neutral from embeddings),
-    cat as (select cast(p_partkey as varchar) as key, 100.0 + (p_partkey * 7) % 101 as mass, p_name as smiles from part where p_partkey % 1000 < 400),
-    bits as (select distinct cast(p_partkey as varchar) as key, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type, p_brand, 'z' || cast(p_size % 5 as varchar)]) as bit from part where p_partkey % 1000 < 400), nb as (select key, count(*) as n from bits group by 1),
-    ref as (select vec_id as ref, cast(vec_id % 300 as varchar) as key, cat.mass from embeddings join cat on cat.key = cast(vec_id % 300 as varchar) where vec_id % 5 <> 0),
+    cat as (select cast(p_partkey as varchar) as key, 100.0 + (p_partkey * 7) % 101 as mass, p_name as smiles from part),
+    bits as (select distinct cast(p_partkey as varchar) as key, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), p_type, p_brand, 'z' || cast(p_size % 5 as varchar)]) as bit from part), nb as (select key, count(*) as n from bits group by 1),
+    ref as (select vec_id as ref, cast(vec_id // 2 + 1 as varchar) as key, cat.mass from embeddings join cat on cat.key = cast(vec_id // 2 + 1 as varchar) where vec_id % 5 <> 0),
     ctr as (select grp, 0 as h, quantile_cont(legacy, 0.5) as center from spec group by 1), hyp as (select grp, row_number() over (partition by grp order by neutral) as h, neutral as center from (select distinct grp, neutral from spec))"""
 
 
@@ -62,12 +63,12 @@ def inputs(t: Tables) -> retrieval.Inputs:
     group = F.floor(F.col("vec_id") / 4)
     legacy = 100.0 + (group * 7) % 101
     spectra = v.select(F.col("vec_id").alias("spectrum"), group.alias("group"), legacy.alias("legacy_mass"), (legacy + F.when(F.col("vec_id") % 4 == 3, 1).otherwise(0)).alias("neutral_mass"))
-    parts = t.part.where("p_partkey % 1000 < 400")
+    parts = t.part
     key = F.col("p_partkey").cast("string")
     catalog = parts.select(key.alias("key"), F.col("p_name").alias("smiles"), (100.0 + (F.col("p_partkey") * 7) % 101).alias("mass"))
     words = F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), "p_type", "p_brand", F.concat(F.lit("z"), (F.col("p_size") % 5).cast("string")))
     bits = parts.select(key.alias("key"), F.array_distinct(words).alias("bits"))
-    refs = v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("ref"), (F.col("vec_id") % 300).cast("string").alias("key")).join(catalog.select("key", "mass"), "key")
+    refs = v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("ref"), (F.floor(F.col("vec_id") / 2) + 1).cast("string").alias("key")).join(catalog.select("key", "mass"), "key")
     on = bits.select(F.explode("bits").alias("bit")).distinct()
     p = (F.col("group") * 13 + F.length("bit") * 7 + F.ascii("bit") * 3) % 97 / 100 + 0.01
     probabilities = spectra.select("group").distinct().crossJoin(small(on)).select("group", "bit", p.alias("p"))  # a vocabulary of bits
@@ -78,8 +79,10 @@ def inputs(t: Tables) -> retrieval.Inputs:
     return retrieval.Inputs(spectra, vectors, refs, vectors.withColumnRenamed("spectrum", "ref"), catalog, bits, probabilities, fragments, expansion, observed)
 
 
-def _text() -> Column:
-    return F.array_join("ranking", ";").alias("ranking")
+def _text(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every group's whole ranking as text, for the comparison with SQL."""
+    text = ranking.lists(rows, ["group"], k=2**31 - 1)
+    return groups.select("group").distinct().join(text, "group", "left").select(F.col("group").alias("grp"), F.coalesce(F.array_join("ranking", ";"), F.lit("")).alias("ranking"))
 
 
 @query(f"with recursive {BASE} select grp, round(conf, 9) as confidence, array_to_string(ranking, ';') as ranking from b_out")
@@ -89,7 +92,8 @@ def baseline_rank(t: Tables) -> DataFrame:
     centers = retrieval.mass_centers(i.spectra)
     library = settled(retrieval.reference_rank(i.spectra, i.vectors, i.references, i.reference_vectors, centers))
     b = retrieval.baseline(centers, retrieval.candidate_window(centers, i.catalog), i.bits, library)
-    return b.select(F.col("group").alias("grp"), F.round("confidence", 9).alias("confidence"), _text())
+    sure = retrieval.confidences(centers, library).select(F.col("group").alias("grp"), F.round("confidence", 9).alias("confidence"))
+    return _text(centers, b).join(sure, "grp")
 
 
 @query(f"with recursive {UNION} select grp, array_to_string(coalesce(cur, []), ';') as ranking from alone left join cur using (grp)")
@@ -97,14 +101,14 @@ def hypothesis_rank(t: Tables) -> DataFrame:
     """The baselines of all of a molecule's mass hypotheses, fused."""
     i = inputs(t)
     h = retrieval.hypothesis_baseline(i.spectra, i.vectors, i.references, i.reference_vectors, i.catalog, i.bits, "charge_aware_union")
-    return h.select(F.col("group").alias("grp"), _text())
+    return _text(i.spectra, h)
 
 
 @query(f"with recursive {FREE}, {FRAGMENT} select grp, array_to_string(list(key order by rank), ';') as ranking from rr group by 1")
 def expanded_rank(t: Tables) -> DataFrame:
     """Library, hypotheses and log-odds fused below a confidence, then reranked by fragments."""
-    r = retrieval.Recipe(mass_hypothesis="charge_aware_union", chemistry="fragment", chemistry_weight=0.5).ranking(inputs(t))
-    return r.where(F.size("ranking") > 0).select(F.col("group").alias("grp"), _text())
+    rows, _ = retrieval.Recipe(mass_hypothesis="charge_aware_union", chemistry="fragment", chemistry_weight=0.5).ranking(inputs(t))
+    return _text(rows, rows)
 
 
 @query(
@@ -149,9 +153,52 @@ def chemical_rerank(t: Tables) -> DataFrame:
     i = inputs(t)
     centers = retrieval.mass_centers(i.spectra)
     library = settled(retrieval.reference_rank(i.spectra, i.vectors, i.references, i.reference_vectors, centers))
-    b = settled(retrieval.baseline(centers, retrieval.candidate_window(centers, i.catalog), i.bits, library))
-    rows = ranking.exploded(b, ["group"]).where("rank <= 100")
+    rows = settled(retrieval.baseline(centers, retrieval.candidate_window(centers, i.catalog), i.bits, library).where("rank <= 100"))
     of = lambda g, k, n: rows.select("group", "key", ((F.col("group") * g + F.col("key").cast("int") * k) % n / 10).alias("evidence"))
-    out = retrieval.chemical_ranking(rows, b, {"combined": of(31, 17, 11), "fragment": of(5, 3, 7)}, "combined_fragment", 0.25)
+    out = retrieval.chemical_ranking(rows, retrieval.confidences(centers, library), {"combined": of(31, 17, 11), "fragment": of(5, 3, 7)}, "combined_fragment", 0.25)
     return out.select(F.col("group").alias("grp"), "key", F.col("rank").cast("long").alias("rank"))
 
+
+# Peaks at high precision: an embedding's places as m/z that differ by a few thousandths, with a precursor that cuts some and two ion modes.
+EXACT = """pk as (select vec_id, round(50 + 10 * bin + (vec_id * 7 + bin * 3) % 11 * 0.004, 3) as mz, x as i from vec where x >= 0.01), pm as (select vec_id, 500.0 + vec_id % 5 * 40 as prec, vec_id % 3 = 0 as neg from embeddings),
+    pf as (select vec_id, mz, prec, neg, sqrt(i) * sqrt(mz / 100) as w from pk join pm using (vec_id) where mz <= prec + 2), pu as (select *, w / sqrt(sum(w * w) over (partition by vec_id)) as u from pf),
+    best as (select w.grp, w.key, w.ref, round(max(coalesce(d.d, 0)), 12) as best from b_win w join spec s on s.grp = w.grp left join b_dot d on d.grp = w.grp and d.spectrum = s.spectrum and d.ref = w.ref group by 1, 2, 3),
+    cc as (select grp, key, score, row_number() over (partition by grp order by score desc, key) as r from b_lib), ch as (select b.*, row_number() over (partition by b.grp, b.key order by best desc, ref) as place from best b join cc on cc.grp = b.grp and cc.key = b.key and cc.r <= 100),
+    met as (select ch.grp, ch.key, ch.ref, s.spectrum from ch join spec s on s.grp = ch.grp where place <= 3),
+    near as (select m.grp, m.key, m.ref, m.spectrum, a.mz, a.u, a.neg <> b.neg as cross_mode, min({'d': abs(a.mz - b.mz), 'm': b.mz, 'u': b.u}) as f, min({'d': abs((a.prec - a.mz) - (b.prec - b.mz)), 'm': b.prec - b.mz, 'u': b.u}) as l, a.prec - a.mz as loss
+      from met m join pu a on a.vec_id = m.spectrum join pu b on b.vec_id = m.ref group by all),
+    ps as (select grp, key, spectrum, ref, 0.7 * sum(case when f.d <= greatest(0.025, mz * 15e-6) then u * f.u else 0 end) * max(case when cross_mode then 0.7 else 1.0 end) + 0.3 * sum(case when l.d <= greatest(0.025, loss * 15e-6) then u * l.u else 0 end) as s from near group by 1, 2, 3, 4),
+    pq as (select m.grp, m.key, m.spectrum, max(coalesce(ps.s, 0)) as s from met m left join ps using (grp, key, spectrum, ref) group by 1, 2, 3), pn as (select *, row_number() over (partition by grp, key order by s desc) as i from pq),
+    fine as (select grp, key, 0.65 * max(s) + 0.35 * avg(s) filter (where i <= 3) as f from pn group by 1, 2)"""
+
+
+def cascade_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """scores of all references in the window, the queries' peaks, the references' peaks."""
+    i = inputs(t)
+    scores = retrieval.reference_scores(i.spectra, i.vectors, i.references, i.reference_vectors, retrieval.mass_centers(i.spectra))
+    v, at = t.embeddings, F.sequence(F.lit(0), F.lit(63))
+    mz = F.transform(at, lambda b: F.round(50 + 10 * b + (F.col("vec_id") * 7 + b * 3) % 11 * 0.004, 3))
+    precursor, adduct = 500.0 + F.col("vec_id") % 5 * 40, F.when(F.col("vec_id") % 3 == 0, "[M-H]-").otherwise("[M+H]+")
+    rows = v.select("vec_id", precursor.alias("precursor"), adduct.alias("adduct"), peaks.exact_peaks(mz, F.transform("embedding", lambda x: x.cast("double")), precursor).alias("peaks"))
+    spectra = rows.withColumnRenamed("vec_id", "spectrum").join(i.spectra.select("spectrum", "group"), "spectrum")
+    return scores, spectra, rows.withColumnRenamed("vec_id", "ref")
+
+
+@query(
+    f"""with recursive {BASE}, {EXACT}, fin as (select cc.grp, cc.key, ch.ref, round(0.5 * cc.score + 0.5 * f, 12) as score from cc join fine using (grp, key) join ch on ch.grp = cc.grp and ch.key = cc.key and place = 1)
+    select * from (select grp, key, ref, round(score, 8) as score, row_number() over (partition by grp order by score desc, key) as rank from fin) where rank <= 25"""
+)
+def cascade_rank(t: Tables) -> DataFrame:
+    """A shortlist by sparse vectors, then exact matching of each structure's three best spectra."""
+    out = retrieval.Cascade().rank(*cascade_tables(t))
+    return out.select(F.col("group").alias("grp"), "key", "ref", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""with recursive {BASE}, bk as (select w.grp, w.key, w.ref, round(max(coalesce(d.d, 0)), 12) as best from b_win w join spec s on s.grp = w.grp left join b_dot d on d.grp = w.grp and d.spectrum = s.spectrum and d.ref = w.ref group by 1, 2, 3),
+    r as (select grp, key, max(best) as score, arg_min(ref, struct_pack(b := -best, r := ref)) as ref from bk group by 1, 2) select grp, key, ref, round(score, 8) as score, row_number() over (partition by grp order by score desc, key) as rank from r qualify rank <= 25"""
+)
+def cascade_coarse(t: Tables) -> DataFrame:
+    """The first precision alone, by the best single match, with the spectrum that represents a structure."""
+    out = retrieval.Cascade(mode="baseline").rank(*cascade_tables(t))
+    return out.select(F.col("group").alias("grp"), "key", "ref", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))

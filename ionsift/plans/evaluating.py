@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fold_of
-from ..operators import catalog, evaluation, proposals, range_join, ranking, router
+from ..operators import catalog, evaluation, learning, proposals, range_join, ranking, router
 from ..streaming import handoff
 from .registry import Tables, query
 
@@ -134,14 +134,15 @@ def model_selection(t: Tables) -> DataFrame:
 
 
 GATE = [
-    ("cohort_size_mismatch", "mn <> mo"), ("nonfinite_metrics", "un is null or uo is null or isnan(un)"), ("invalid_metric_range", "not coalesce(un between 0 and 1, false) or not coalesce(uo between 0 and 1, false) or not coalesce(kn between 0 and 1, false) or isnan(un)"), ("invalid_molecule_count", "mn < 1 or mo < 1"),
+    ("cohort_size_mismatch", "mn <> mo or xn <> xo"), ("nonfinite_metrics", "un is null or uo is null or isnan(un)"), ("invalid_metric_range", "not coalesce(un between 0 and 1, false) or not coalesce(kn between 0 and 1, false) or isnan(un)"), ("invalid_molecule_count", "least(mn, mo, xn, xo) < 1"),
     ("insufficient_development_molecules", "least(mn, mo) < 50"), ("absolute_gain_below_gate", "un - uo + 1e-12 < 0.01"), ("relative_gain_below_gate", "(case when uo > 0 then (un - uo) / uo when un - uo > 0 then 1 else 0 end) + 1e-12 < 0.05"),
-    ("known_mrr_protection_failed", "kn + 1e-12 < ko - 0.02"), ("known_top1_protection_failed", "tn + 1e-12 < t_o - 0.1"),
+    ("known_mrr_protection_failed", "kn + 1e-12 < ko - 0.02"), ("known_top1_protection_failed", "tn + 1e-12 < t_o - 0.1"), ("no_known_evaluation", "least(xn, xo) < 1"),
 ]
 
 
 @query(
-    f"""with g as (select c_custkey as id, c_custkey % 4 * 30 as mn, case when c_custkey % 9 = 0 then 30 else c_custkey % 4 * 30 end as mo, case when c_custkey % 13 = 0 then null when c_custkey % 17 = 0 then 1.5 when c_custkey % 19 = 0 then 'nan'::double else (c_custkey * 7 % 101) / 100.0::double end as un, (c_custkey * 3 % 101) / 100.0::double as uo,
+    f"""with g as (select c_custkey as id, c_custkey % 4 * 30 as mn, case when c_custkey % 9 = 0 then 30 else c_custkey % 4 * 30 end as mo, c_custkey % 7 * 10 as xn, case when c_custkey % 8 = 0 then 20 else c_custkey % 7 * 10 end as xo,
+    case when c_custkey % 13 = 0 then null when c_custkey % 17 = 0 then 1.5 when c_custkey % 19 = 0 then 'nan'::double else (c_custkey * 7 % 101) / 100.0::double end as un, (c_custkey * 3 % 101) / 100.0::double as uo,
     case when c_custkey % 23 = 0 then -0.1::double else (c_custkey * 5 % 101) / 100.0::double end as kn, (c_custkey * 11 % 101) / 100.0::double as ko, (c_custkey * 13 % 101) / 100.0::double as tn, (c_custkey * 17 % 101) / 100.0::double as t_o from customer)
     select id, array_to_string(list_filter([{', '.join(f"case when coalesce({c}, false) then '{n}' end" for n, c in GATE)}], lambda x: x is not null), ';') as reasons, round(case when uo - ko <> 0.1 and (ko - uo) / (0.1 - (uo - ko)) between 0 and 1 then (ko - uo) / (0.1 - (uo - ko)) end, 8) as even from g"""
 )
@@ -151,8 +152,8 @@ def development_gate(t: Tables) -> DataFrame:
     part = lambda m: (k * m % 101) / 100
     un = F.when(k % 13 == 0, None).when(k % 17 == 0, 1.5).when(k % 19 == 0, float("nan")).otherwise(part(7))
     row = {
-        "molecules_new": k % 4 * 30, "molecules_old": F.when(k % 9 == 0, 30).otherwise(k % 4 * 30), "unknown_new": un, "unknown_old": part(3), "known_new": F.when(k % 23 == 0, -0.1).otherwise(part(5)), "known_old": part(11),
-        "known_top1_new": part(13), "known_top1_old": part(17),
+        "unknown_molecules_new": k % 4 * 30, "unknown_molecules_old": F.when(k % 9 == 0, 30).otherwise(k % 4 * 30), "known_molecules_new": k % 7 * 10, "known_molecules_old": F.when(k % 8 == 0, 20).otherwise(k % 7 * 10),
+        "unknown_mrr_new": un, "unknown_mrr_old": part(3), "known_mrr_new": F.when(k % 23 == 0, -0.1).otherwise(part(5)), "known_mrr_old": part(11), "unknown_top1_new": part(19), "unknown_top1_old": part(2), "known_top1_new": part(13), "known_top1_old": part(17),
     }
     reasons = evaluation.gate(row, {"molecules": 50, "absolute": 0.01, "relative": 0.05, "known_mrr": 0.02, "known_top1": 0.1})
     return t.customer.select(k.alias("id"), F.array_join(reasons, ";").alias("reasons"), F.round(evaluation.break_even(part(3) - part(11), F.lit(0.1)), 8).alias("even"))
@@ -220,6 +221,19 @@ def standardization(t: Tables) -> DataFrame:
     return s.select("column", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
+@query(
+    """with m as (select avg(l_quantity) as a, avg(l_discount) as b, avg(l_tax) as c, avg(l_extendedprice / 1e5) as d, var_pop(l_quantity) + 0.01 as aa, var_pop(l_discount) + 0.01 as bb, covar_pop(l_quantity, l_discount) as ab,
+      covar_pop(l_quantity, l_tax) as ac, covar_pop(l_discount, l_tax) as bc, covar_pop(l_quantity, l_extendedprice / 1e5) as ad, covar_pop(l_discount, l_extendedprice / 1e5) as bd from lineitem),
+    w as (select *, (bb * ac - ab * bc) / (aa * bb - ab * ab) as t1, (aa * bc - ab * ac) / (aa * bb - ab * ab) as t2, (bb * ad - ab * bd) / (aa * bb - ab * ab) as p1, (aa * bd - ab * ad) / (aa * bb - ab * ab) as p2 from m)
+    select l_orderkey, l_linenumber, round(greatest(0, least(1, c - t1 * a - t2 * b + t1 * l_quantity + t2 * l_discount)), 8) as tax, round(greatest(0, least(1, d - p1 * a - p2 * b + p1 * l_quantity + p2 * l_discount)), 8) as price from lineitem, w"""
+)
+def ridge_targets(t: Tables) -> DataFrame:
+    """Two targets by one penalised fit with free intercepts, predicted for every row."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"), F.col("l_tax").cast("double").alias("c"), (F.col("l_extendedprice") / 1e5).cast("double").alias("d"))
+    fit = learning.ridge(rows, ["a", "b"], ["c", "d"])
+    return rows.select("l_orderkey", "l_linenumber", F.round(fit.predicted(0), 8).alias("tax"), F.round(fit.predicted(1), 8).alias("price"))
+
+
 @query(
     """select 0 as i, 0 as j, round(sum(l_quantity * l_quantity), 2) as value from lineitem union all select 0, 1, round(sum(l_quantity * l_discount), 2) from lineitem union all select 1, 1, round(sum(l_discount * l_discount), 2) from lineitem
     union all select 0, -1, round(sum(l_quantity * l_tax), 2) from lineitem union all select 1, -1, round(sum(l_discount * l_tax), 2) from lineitem"""

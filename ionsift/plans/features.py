@@ -99,18 +99,21 @@ def pair_score(t: Tables) -> DataFrame:
     return j.select("spectrum", F.round(score, 8).alias("score"))
 
 
+ADDUCTS = [*similarity.CARRIERS, "[M+2H]2+", "[M+C2H4O2-H]-"]
+CHARGED = ", ".join(f"({i}, {d!r}::double)" for i, a in enumerate(ADDUCTS) for d in similarity.CARRIERS.get(a, [mass.PROTON if "+" in a[-2:] else -mass.PROTON]))
+
+
 @query(
-    f"""with {P}, h as (select spectrum, 40.0 + 20 * (spectrum % 7) + 3.7 * j as m from (select distinct spectrum from p), range(5) r(j)), c(mode, d) as (values ('p', {similarity.CARRIERS['positive']['proton']!r}), ('p', {similarity.CARRIERS['positive']['electron']!r}), ('n', {similarity.CARRIERS['negative']['proton']!r}), ('n', {similarity.CARRIERS['negative']['electron']!r}), ('s', {similarity.CARRIERS['positive']['sodium']!r})),
-    ions as (select spectrum, m + d + k * {similarity.HYDROGEN!r} as m from h, c, range(-2, 3) g(k) where mode = 'p' and spectrum % 3 <> 1 or mode = 'n' and spectrum % 3 = 1 or mode = 's' and spectrum % 3 = 2),
+    f"""with {P}, h as (select spectrum, 40.0 + 20 * (spectrum % 7) + 3.7 * j as m from (select distinct spectrum from p), range(5) r(j)), c(kind, d) as (values {CHARGED}),
+    ions as (select spectrum, m + d + k * {similarity.HYDROGEN!r} as m from h, c, range(-2, 3) g(k) where kind = spectrum % {len(ADDUCTS) + 1}),
     hit as (select distinct p.spectrum, event_id from p join ions on ions.spectrum = p.spectrum and abs(p.mz - ions.m) <= 0.05), s as (select spectrum, sum(sqrt(i)) as a from p group by 1), x as (select spectrum, sum(sqrt(i)) as b from p join hit using (spectrum, event_id) group by 1)
     select spectrum, round(case when a > 0 then coalesce(b, 0) / a else 0 end, 8) as share from s left join x using (spectrum)"""
 )
 def explained_share(t: Tables) -> DataFrame:
-    """What fragment masses explain, by the carriers of a spectrum's mode and ion."""
-    kind = F.col("spectrum") % 3
+    """What fragment masses explain, by the carriers of every listed adduct, of two that are not, and of a missing one."""
     fragments = F.array(*[40.0 + 20 * (F.col("spectrum") % 7) + 3.7 * j for j in range(5)])
-    charged = similarity.carriers(F.when(kind == 1, "negative").otherwise("positive"), F.when(kind == 2, "[M+Na]+").when(kind == 1, "[M-H]-").otherwise("[M+H]+"))
-    rows = arrays(t).select("spectrum", peaks.zipped(F.col("mzs"), F.col("ints")).alias("p"), fragments.alias("f"), charged.alias("c"))
+    adduct = F.get(F.array(*map(F.lit, ADDUCTS)), (F.col("spectrum") % (len(ADDUCTS) + 1)).cast("int"))
+    rows = arrays(t).select("spectrum", peaks.zipped(F.col("mzs"), F.col("ints")).alias("p"), fragments.alias("f"), similarity.carriers(adduct).alias("c"))
     return rows.select("spectrum", F.round(similarity.explained(F.col("p"), F.col("f"), F.col("c"), 0.05), 8).alias("share"))
 
 
@@ -194,9 +197,9 @@ def assembled_vectors(t: Tables) -> DataFrame:
 
 @query()
 def latent_rank(t: Tables) -> DataFrame:
-    """How many directions embeddings vary in; singular values are not SQL's, so the tests hold it against a decomposition."""
-    d = learning.latent_diagnostics(t.embeddings, "embedding")
-    return t.spark.createDataFrame([(d["collapsed"], d["mean_std"], d["effective_rank"])], "collapsed boolean, mean_std double, effective_rank double")
+    """How many axes embeddings vary along; eigenvalues are not SQL's, so the tests ask for those of known spectra."""
+    out = learning.latent_summary(learning.principal_axes(t.embeddings, "embedding"))
+    return out.select("collapsed", F.round("spread", 9).alias("spread"), F.round("axes", 6).alias("axes"))
 
 
 @query()
@@ -213,8 +216,9 @@ def critic_fit(t: Tables) -> DataFrame:
 def weighted_tree_ranker(t: Tables) -> DataFrame:
     """The chance of a return by boosted trees over classes that count alike; a learner, so rows only, and the tests ask for its accuracy."""
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"), F.col("l_tax").cast("double").alias("x"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
-    train = rows.where("l_orderkey % 5 = 0")
-    return learning.weighted_trees(train, rows.where("l_orderkey % 5 = 1"), ["q", "d", "x"], "y", trees=5).select("l_orderkey", "l_linenumber", F.round("probability", 6).alias("probability"))
+    folds = [rows.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == k) for k in (0, 1)]  # every row by the trees of the other half's orders
+    out = [learning.weighted_trees(folds[1 - k], folds[k], ["q", "d", "x"], "y", trees=5) for k in (0, 1)]
+    return out[0].unionByName(out[1]).select("l_orderkey", "l_linenumber", F.round("probability", 6).alias("probability"))
 
 
 FORMULA_OF = "'C' || cast(p_partkey % 23 + 1 as varchar) || 'H' || case when p_partkey % 9 = 0 then '' else cast(p_partkey % 41 + 2 as varchar) end || case p_partkey % 5 when 0 then 'O2' when 1 then 'NaCl' when 2 then 'Br' when 3 then 'N3OSi' else '' end || case when p_partkey % 17 = 0 then 'Xx2' when p_partkey % 19 = 0 then '(' when p_partkey % 13 = 0 then '+' when p_partkey % 11 = 0 then '-' else '' end"

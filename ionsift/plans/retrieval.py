@@ -253,17 +253,17 @@ def bit_probabilities(t: Tables) -> DataFrame:
 
 def role_pairs(t: Tables) -> DataFrame:
     """The roles that speak in a conversation: the candidate pairs."""
-    return t.conversations.where("turn % 4 < 3").select("role", "conv_id").distinct()
+    return t.conversations.select("role", "conv_id").distinct()
 
 
-@query(f"with {BITS}, w as (select distinct role, conv_id from conversations where turn % 4 < 3) select conv_id, role, round(sum(lo) / 2048, 8) as score from w join t using (conv_id) join lo using (role, bit) group by 1, 2")
+@query(f"with {BITS}, w as (select distinct role, conv_id from conversations) select conv_id, role, round(sum(lo) / 2048, 8) as score from w join t using (conv_id) join lo using (role, bit) group by 1, 2")
 def logodds_score(t: Tables) -> DataFrame:
     return similarity.log_odds_of_pairs(role_pairs(t), bits(t.conversations, "conv_id"), bit_probabilities(t), "conv_id", ["role"]).withColumn("score", F.round("score", 8))
 
 
 @query(
     f"""with {BITS}, k as (select count(distinct conv_id) as k from t), q as (select bit, (1 + count(distinct conv_id)) / (2 + max(k)) as q from t, k group by 1)
-    , w as (select distinct role, conv_id from conversations where turn % 4 < 3)
+    , w as (select distinct role, conv_id from conversations)
     select conv_id, role, round(sum(lo - (ln(q) - ln(1 - q))) / 2048, 8) as score from w join t using (conv_id) join lo using (role, bit) join q using (bit) group by 1, 2"""
 )
 def prior_corrected(t: Tables) -> DataFrame:

@@ -1,5 +1,6 @@
 """Learners, matching and audits against plain versions."""
 
+import collections
 import math
 import random
 
@@ -83,18 +84,37 @@ def test_critic_against_newton(spark):
         learning.critic_weights(df.limit(0))
 
 
-def test_latent_diagnostics(spark):
+def summary(spark, rows, **k):
+    df = spark.createDataFrame([(r,) for r in rows], "v array<double>").repartition(3)
+    axes = learning.principal_axes(df, "v")
+    return [r["variance"] for r in axes.orderBy("axis").collect()], learning.latent_summary(axes, **k).first()
+
+
+def test_axes_of_known_spectra(spark):
+    """Corners of a box, points on a line, one point, and too few."""
+    for n in (2, 3, 5):  # plus and minus a unit along each axis: all alike
+        corners = [[s * float(i == k) for i in range(n)] for k in range(n) for s in (1, -1)]
+        variances, r = summary(spark, corners)
+        assert variances == pytest.approx([1 / n] * n) and r["axes"] == pytest.approx(n) and r["spread"] == pytest.approx(n**-0.5) and not r["collapsed"]
+    variances, r = summary(spark, [[3.0 * x, 4.0 * x, 7.0] for x in (-1, 0, 1)])
+    assert variances == pytest.approx([50 / 3, 0, 0], abs=1e-9) and r["axes"] == pytest.approx(1) and r["collapsed"]
+    assert not summary(spark, [[3.0 * x, 4.0 * x] for x in (-1, 0, 1)], least_axes=1.0)[1]["collapsed"]
+    variances, r = summary(spark, [[1e-5, 0.0], [-1e-5, 0.0], [0.0, 1e-5], [0.0, -1e-5]])
+    assert r["axes"] == pytest.approx(2) and r["collapsed"] and not summary(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.0, 0.0]], flat=0.1)[1]["collapsed"]
+    for few in ([[5.0, 5.0]] * 4, [[1.0, 2.0]], [], [[float("nan"), 1.0], [0.0, 1.0]]):
+        r = summary(spark, few)[1]
+        assert (r["axes"], r["spread"], r["collapsed"]) == (0.0, 0.0, True)
+
+
+def test_axes_keep_lengths(spark):
+    """Turning and shifting a cloud changes nothing; scaling it scales its spread."""
     rng = np.random.default_rng(3)
-    for x in (rng.normal(size=(200, 6)) * [1, 2, 3, 0.5, 0, 1], np.outer(rng.normal(size=50), [1.0, 2.0, 3.0]), np.ones((5, 4)), np.ones((1, 3))):
-        got = learning.latent_diagnostics(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(4), "v")
-        if len(x) < 2:
-            assert got == {"collapsed": True, "mean_std": 0.0, "effective_rank": 0.0}
-            continue
-        power = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
-        share = power / max(power.sum(), 1e-12)
-        assert got["effective_rank"] == pytest.approx(math.exp(-sum(p * math.log(p) for p in share if p > 1e-12)), rel=1e-6)
-        assert got["mean_std"] == pytest.approx(x.std(0).mean(), abs=1e-9)
-        assert got["collapsed"] == (got["mean_std"] < 0.001 or got["effective_rank"] < 2)
+    x = rng.normal(size=(120, 4)) * [4, 2, 1, 0.5]
+    turn, _ = np.linalg.qr(rng.normal(size=(4, 4)))
+    first, r = summary(spark, x.tolist())
+    second, s = summary(spark, (x @ turn + 9).tolist())
+    third, q = summary(spark, (3 * x).tolist())
+    assert second == pytest.approx(first) and third == pytest.approx([9 * v for v in first]) and (s["axes"], q["axes"]) == pytest.approx((r["axes"], r["axes"])) and q["spread"] == pytest.approx(3 * r["spread"])
 
 
 def test_weighted_trees_and_router(spark):
@@ -121,13 +141,34 @@ def test_ridge(spark):
     assert got == pytest.approx(np.linalg.solve(x.T @ x + 2 * np.eye(3), x.T @ y).tolist())
 
 
+def test_ridge_of_many_columns_and_targets(spark):
+    """Sixty columns and five targets against least squares on stacked rows; one pass, and one matrix a task in the shuffle."""
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(700, 60)) + 3, rng.normal(size=(60, 5)) / 60
+    y = x @ w + 0.2 + rng.normal(size=(700, 5)) / 50
+    names, targets = [f"x{i}" for i in range(60)], [f"y{i}" for i in range(5)]
+    df = spark.createDataFrame(np.hstack([x, y]).tolist(), ", ".join(f"{c} double" for c in names + targets)).repartition(5).cache()
+    fit = learning.ridge(df, names, targets, penalty=0.3)
+    # the penalty as rows of their own, an intercept as a column that has none
+    a = np.vstack([np.hstack([x, np.ones((700, 1))]) / 700**0.5, np.hstack([0.3**0.5 * np.eye(60), np.zeros((60, 1))])])
+    want = np.linalg.lstsq(a, np.vstack([y / 700**0.5, np.zeros((60, 5))]), rcond=None)[0]
+    assert np.allclose(fit.weights.T, want[:-1], atol=1e-9) and np.allclose(fit.intercepts, want[-1], atol=1e-8)
+    got = [r[0] for r in df.select(fit.predicted(2, None, None)).collect()]
+    assert sorted(got) == pytest.approx(sorted((x @ want[:-1] + want[-1])[:, 2].tolist()))
+    clipped = [r[0] for r in df.select(fit.predicted(0, -0.1, 0.1)).collect()]
+    assert min(clipped) >= -0.1 and max(clipped) <= 0.1
+    for bad in (df.limit(0), df.withColumn("x3", F.lit(None).cast("double")), df.withColumn("y1", F.lit(float("inf")))):
+        with pytest.raises(ValueError):
+            learning.ridge(bad, names, targets)
+
+
 def test_quantiles(spark):
     """Skewed, tied, single, odd and missing values against sorting."""
     random.seed(6)
     groups = {"skew": [math.exp(random.gauss(0, 4)) for _ in range(301)], "ties": [float(random.choice([1, 1, 1, 2, 50])) for _ in range(200)], "one": [3.5], None: [-1.0, 4.0], "negative": [-random.random() for _ in range(64)]}
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("ties", float("nan"))]
     at = (0.0, 0.1, 0.5, 0.99, 1.0)
-    got = {r["g"]: r for r in evaluation.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], at, bins=16).collect()}
+    got = {r["g"]: r for r in evaluation.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], at, accuracy=40).collect()}
     assert got.keys() == groups.keys()
     for g, vs in groups.items():
         assert [got[g][f"q{round(100 * q)}"] for q in at] == pytest.approx(np.quantile(vs, at).tolist())
@@ -190,6 +231,96 @@ def test_similar_sets_against_all_pairs(spark):
         assert got == want
 
 
+def test_quantiles_of_skewed_values(spark):
+    """Lognormal values: what lies between the bounds of a quantile is a hundredth of the rows at most, so no window holds more."""
+    rng = np.random.default_rng(9)
+    v = np.exp(rng.normal(0, 4, 60_000))
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(6).cache()
+    got = evaluation.quantiles(df, "v", [], (0.25, 0.5, 0.999), accuracy=2000)
+    assert [got.first()[c] for c in ("q25", "q50", "q99" if "q99" in got.columns else "q100")] == pytest.approx(np.quantile(v, [0.25, 0.5, 0.999]).tolist())
+    bounds = df.agg(F.percentile_approx("v", [0.499, 0.501], 2000)).first()[0]
+    assert df.where(F.col("v").between(*bounds)).count() <= 600
+
+
+def test_bootstrap_against_counts(spark):
+    """The interval of a mean of coin tosses is near the binomial's, and a group's own weights are Poisson."""
+    df = spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "group long, d double")
+    r = evaluation.bootstrap(df, "group", 2000).first()
+    assert r["gain"] == 0.5 and r["low"] == pytest.approx(0.5 - 1.96 * 0.025, abs=0.006) and r["high"] == pytest.approx(0.5 + 1.96 * 0.025, abs=0.006)
+    other = evaluation.bootstrap(df, "group", 2000, seed=7).first()
+    assert (other["low"], other["high"]) != (r["low"], r["high"])
+
+
+def test_union_window_against_all_pairs(spark):
+    """Overlapping and separate windows, shared and missing centers, at the bounds; keys that are distinct and keys that repeat."""
+    from ionsift.operators import range_join
+
+    random.seed(12)
+    asked = [(f"q{i % 40}", round(random.choice([100.0, 100.004, 100.01, 100.5, 300.0]) + random.choice([0, 0.001, 0.006, 0.0061]), 4)) for i in range(200)] + [("none", None), ("q1", None)]
+    rows = [(f"k{i}", round(random.choice([100.0, 100.5, 300.0]) + random.uniform(-0.02, 0.03), 3), i) for i in range(400)]
+    centers, catalog = spark.createDataFrame(asked, "grp string, center double"), spark.createDataFrame(rows, "key string, mass double, extra int")
+    again = catalog.withColumn("key", F.concat(F.lit("k"), F.col("extra") % 50))
+
+    def plain(rows):
+        out = {}
+        for q, c in sorted({p for p in asked if p[1] is not None}, key=lambda p: p[1]):
+            for k, m, x in sorted(rows, key=lambda r: (r[1], r[2])):
+                if c - max(c * 35e-6, 0.006) <= m <= c + max(c * 35e-6, 0.006):
+                    out.setdefault((q, k), (c, m, x))
+        return {(*k, *v) for k, v in out.items()}
+
+    found = range_join.union_window(centers, catalog, "grp", "key")
+    assert sorted(tuple(r) for r in found.select("grp", "key", "center", "mass", "extra").collect()) == sorted(plain(rows))
+    found = range_join.union_window(centers, again, "grp", "key", distinct_keys=False)
+    assert {tuple(r) for r in found.select("grp", "key", "center", "mass", "extra").collect()} == plain([(f"k{x % 50}", m, x) for _, m, x in rows])
+
+
+def test_matched_pairs_against_lambdas(spark):
+    """The two forms of the pair score, over peaks that tie, meet bounds, repeat, or are not there."""
+    random.seed(2)
+    peaks_ = lambda n: sorted((round(random.choice([60.0, 80.0, 120.0]) + random.choice([0, 0.01, 0.02, 0.024, 0.03, 5.0]), 3), random.random()) for _ in range(n))
+    rows = [(peaks_(random.randint(0, 9)), 200.0 + i % 3, "[M+H]+" if i % 2 else "[M-H]-", peaks_(random.randint(0, 9)), 201.0, "[M+H]+") for i in range(120)]
+    rows += [(None, 1.0, "[M+H]+", peaks_(3), 2.0, None), (peaks_(2), None, None, peaks_(3), 2.0, "[M+H]+")]
+    kind = "array<struct<mz:double,i:double>>"
+    df = spark.createDataFrame(rows, f"a {kind}, ap double, aa string, b {kind}, bp double, ba string")
+    cols = [F.col(c) for c in ("a", "ap", "aa", "b", "bp", "ba")]
+    for plain, fast in df.select(similarity.pair_score(*cols), similarity.pair_scores(*cols)).collect()[:120]:
+        assert fast == pytest.approx(plain, abs=1e-12)
+    assert [r[0] for r in df.select(similarity.pair_scores(*cols)).collect()[120:]] == [0.0, pytest.approx(df.select(similarity.matched_dot(F.col("a"), F.col("b"))).collect()[-1][0] * 0.7 * 0.7)]
+
+
+def test_cascade_reads_few_peaks(spark):
+    """However many references a window holds, peaks are matched for so many structures, and so many spectra of each."""
+    n = 900
+    refs = spark.range(n).select(F.col("id").alias("ref"), (F.col("id") % 300).cast("string").alias("key"), F.lit(100.0).alias("mass"))
+    spectra = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3)], "group string, spectrum int")
+    scores = spectra.crossJoin(refs).select("group", "spectrum", "ref", "key", (F.pmod(F.xxhash64("spectrum", "ref"), F.lit(1000)) / 1000).alias("score"))
+    own = retrieval.Cascade(shortlist=7, spectra=2, size=5)
+    short = own.coarse(scores)
+    chosen = own.chosen(scores, short).collect()
+    assert collections.Counter(r["group"] for r in chosen) == {"g": 14, "h": 14}
+    assert {(r["group"], r["key"]) for r in chosen} == {(r["group"], r["key"]) for r in short.collect()}
+    best = collections.defaultdict(dict)
+    for r in scores.collect():
+        best[r["group"], r["key"]][r["ref"]] = max(r["score"], best[r["group"], r["key"]].get(r["ref"], 0))
+    for r in chosen:
+        order = sorted(best[r["group"], r["key"]].items(), key=lambda p: (-p[1], p[0]))
+        assert order[r["place"] - 1][0] == r["ref"]
+    peak = F.array(F.struct((50.0 + F.col("ref") % 4).alias("mz"), F.lit(1.0).alias("i")))
+    library = refs.select("ref", F.lit(200.0).alias("precursor"), F.lit("[M+H]+").alias("adduct"), peak.alias("peaks"))
+    asked = spectra.select("group", "spectrum", F.lit(200.0).alias("precursor"), F.lit("[M+H]+").alias("adduct"), F.array(F.struct(F.lit(51.0).alias("mz"), F.lit(1.0).alias("i"))).alias("peaks"))
+    out = own.rank(scores, asked, library).collect()
+    coarse, exact = {(r["group"], r["key"]): r["score"] for r in short.collect()}, collections.defaultdict(float)
+    for r in chosen:  # a spectrum either matches wholly or not at all
+        exact[r["group"], r["key"]] = max(exact[r["group"], r["key"]], float(r["ref"] % 4 == 1))
+    want = {g: sorted(((0.5 * c + 0.5 * exact[g, k], k) for (q, k), c in coarse.items() if q == g), key=lambda p: (-p[0], p[1]))[:5] for g in "gh"}
+    for g in "gh":
+        got = sorted((r for r in out if r["group"] == g), key=lambda r: r["rank"])
+        assert [(r["score"], r["key"]) for r in got] == [(pytest.approx(s), k) for s, k in want[g]]
+    with pytest.raises(ValueError):
+        retrieval.Cascade(mode="quick")
+
+
 def test_recipes():
     """What a recipe refuses, and its text."""
     r = retrieval.Recipe(mass_hypothesis="charge_aware_union", expansion_weight=0.25, reference_guard=1)

@@ -59,18 +59,22 @@ def test_merged_at(spark, cases):
         assert early == [s for s in slots[: len(news)] if s < last]
 
 
-def test_small_cases(spark):
-    row = [(["A", "B", "C"], ["X", "Y"], ["a", "b", "c"], ["c", "a", "b"])]
-    schema = "b array<string>, p array<string>, x array<string>, n array<string>"
-    b, p, x, n = (F.col(c) for c in "bpxn")
-    assert one(spark, row, schema, lists.merged_at(b, b, p, p, [2, 4])) == [["A", "X", "B", "Y", "C"]]
-    assert one(spark, row, schema, lists.promoted(b, b, p, p, [2, 4])) == [["X", "A", "B", "Y", "C"]]
-    assert one(spark, row, schema, lists.guarded(x, n, F.lit(0.9), 0.65)) == [["a", "b", "c"]]
-    assert one(spark, row, schema, lists.guarded(x, n, F.lit(0.3), 0.65)) == [["a", "c", "b"]]
-    assert one(spark, row, schema, lists.fused_arrays([x, F.reverse(x)], [0.0, 1.0])) == [["c", "b", "a"]]
-    assert one(spark, row, schema, lists.inserted(b, p, 1, 1)) == [["A", "X", "B", "C"]]
-    assert one(spark, row, schema, lists.never_worse(x, n)) == [False]
-    assert one(spark, row, schema, lists.keeps_prefix(x, x)) == [True]
+def test_slots_and_guards(spark):
+    """Two shelves of books: what goes between, what goes first, and who decides."""
+    row = [(["atlas", "bible", "codex", "diary"], ["essay", "bible", "fable"], ["fable", "diary", "codex"])]
+    schema = "shelf array<string>, cart array<string>, wish array<string>"
+    shelf, cart, wish = (F.col(c) for c in ("shelf", "cart", "wish"))
+    assert one(spark, row, schema, lists.merged_at(shelf, shelf, cart, cart, [1, 4])) == [["essay", "atlas", "bible", "fable", "codex", "diary"]]
+    assert one(spark, row, schema, lists.inserted(shelf, cart, 3, 1)) == [["atlas", "bible", "codex", "essay", "diary"]]
+    assert one(spark, row, schema, lists.inserted(shelf, cart, 0, 9)) == [["essay", "fable", "atlas", "bible", "codex", "diary"]]
+    sure = one(spark, row, schema, lists.guarded(shelf, wish, F.lit(0.71), 0.7))[0]
+    assert sure == ["atlas", "bible", "codex", "diary"]
+    assert one(spark, row, schema, lists.fused_arrays([shelf, wish], [1.0, 0.0])) == [["atlas", "bible", "codex", "diary"]]
+    assert one(spark, row, schema, lists.fused_arrays([F.reverse(wish), wish], [0.5, 0.5])) == [["codex", "fable", "diary"]]
+    assert one(spark, row, schema, lists.never_worse(F.slice(shelf, 1, 2), shelf)) == [True]
+    assert one(spark, row, schema, lists.never_worse(F.slice(shelf, 2, 2), shelf)) == [False]
+    assert one(spark, row, schema, lists.keeps_prefix(shelf, F.concat(F.slice(shelf, 1, 2), cart), 2)) == [True]
+    assert one(spark, row, schema, lists.keeps_prefix(shelf, wish, 1)) == [False]
 
 
 def test_branches(spark):
@@ -88,8 +92,9 @@ def test_branches(spark):
     assert one(spark, row, schema, lists.promotion_prefix(cur, pro, cr, 2, 0.1)) == [0]
 
 
-def test_scores_tie_at_zero(spark):
+def test_signed_zeros_tie(spark):
     from ionsift.operators.ranking import ranked
 
-    df = spark.createDataFrame([("g", "z", 0.0), ("g", "a", -0.0), ("g", "b", 1.0), ("g", "c", 1.0000000000000002), ("g", "x", -1.0)], "grp string, key string, score double")
-    assert [r["key"] for r in ranked(df, ["grp"]).orderBy("rank").collect()] == ["c", "b", "a", "z", "x"]
+    rows = [("g", k, v) for k, v in (("pear", -0.0), ("fig", 0.0), ("lime", -2.5), ("kiwi", 1e-300), ("date", -0.0))]
+    df = spark.createDataFrame(rows, "grp string, key string, score double")
+    assert [r["key"] for r in ranked(df, ["grp"]).orderBy("rank").collect()] == ["kiwi", "date", "fig", "pear", "lime"]
