@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import graphs
 from ..functions.hashing import signature
 from ..functions.text import identity_key
 
@@ -46,6 +47,48 @@ def reason_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("reason").agg(F.count("*").alias("rows"))
 
 
+ORIGINS = ("pubchemlite", "chembl", "chebi")
+
+
+def imported(rows: DataFrame, origin: str, computed_key: Column | None = None) -> DataFrame:
+    """A reader's every row with ``reason`` ('retained', or why it is rejected), ``formula`` and the computed ``mass`` (null where the structure isn't read).
+
+    rows are as the reader of that origin gives them: inchikey14,
+    normalized_smiles; for pubchemlite the declared mass as ``mass``; for chebi
+    ``reviewed``.  The structure's own key needs a chemistry runtime: where
+    ``computed_key`` gives it, it must be the declared one; else a declared key
+    must have its form.
+    """
+    if origin not in ORIGINS:
+        raise ValueError(f"unknown origin {origin}")
+    declared = F.col("mass") if "mass" in rows.columns else F.lit(None).cast("double")
+    own = rows.withColumn("__declared", declared.cast("double")).drop("mass", "reason", "formula").withColumn("__graph", graphs.graph(F.col("normalized_smiles")))
+    own = own.withColumn("__c", graphs.composition(F.col("__graph")))
+    c, key = F.col("__c"), F.coalesce(F.col("inchikey14"), F.lit(""))
+    formed = key.rlike("^[A-Z]{14}$")
+    identical = formed & (computed_key.eqNullSafe(key) if computed_key is not None else F.lit(True))
+    read = c.isNotNull()
+    if origin == "pubchemlite":
+        d = F.col("__declared")
+        checks = [("invalid", read & d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < float("inf"))), ("identity_mismatch", identical), ("mass_disagreement", F.abs(c["mass"] - d) <= 0.01)]
+    else:
+        plain = ~c["generic"] & ~c["isotopes"] & (c["charge"] == 0)
+        same = identical if origin == "chembl" else identical | (key == "")
+        checks = [("invalid", read), ("mixture_or_nonorganic", (c["parts"] == 1) & (c["carbons"] > 0)), ("charged_generic_or_isotopic", plain), ("identity_disagreement", same), ("invalid_mass", c["mass"] > 0)]
+        checks = [("not_reviewed_default", F.col("reviewed")), *checks] if origin == "chebi" else checks
+    out = with_reason(own, checks).withColumn("formula", c["formula"]).withColumn("mass", c["mass"])
+    return out.drop("__declared", "__graph", "__c")
+
+
+def catalog_of(rows: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """imported() tables as one catalog, each key once, of the earliest table that has it; and the rows of each origin by reason.  Read the tables from a checkpoint if both are needed."""
+    kept = [r.where("reason = 'retained'").select("inchikey14", "normalized_smiles", "mass", "formula", "origin") for r in rows]
+    counts = [r.groupBy("origin", "reason").agg(F.count("*").alias("rows")) for r in rows]
+    for c in counts[1:]:
+        counts[0] = counts[0].unionByName(c)
+    return union_first(kept, "inchikey14", ["mass", "normalized_smiles"]), counts[0]
+
+
 def merged_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """The join of two tables by keys that are unique on both sides; the query fails on a key that comes twice."""
 

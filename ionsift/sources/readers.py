@@ -50,26 +50,27 @@ def coconut(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.COCONUT).parquet(path)
 
 
-def pubchem(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV catalog as inchikey14, normalized_smiles, mass, origin, pubchem_cid, annotation_count; rows without key, structure or positive mass go."""
+def pubchem(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """A CSV catalog as inchikey14, normalized_smiles, mass, origin, pubchem_cid, annotation_count; rows without key, structure or positive mass go, unless ``every`` row is wanted, as by catalog.imported()."""
     df = spark.read.schema(schema.PUBCHEM).option("header", True).csv(path)
     out = df.select(F.col("FirstBlock").alias("inchikey14"), F.col("SMILES").alias("normalized_smiles"), F.col("MonoisotopicMass").alias("mass"), F.lit("pubchemlite").alias("origin"), F.col("Identifier").alias("pubchem_cid"), F.col("AnnoTypeCount").alias("annotation_count"))
-    return out.where("inchikey14 is not null and normalized_smiles is not null and mass > 0")
+    return out if every else out.where("inchikey14 is not null and normalized_smiles is not null and mass > 0")
 
 
-def chembl(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def chembl(spark: SparkSession, path: str, partitions: int | None = None, every: bool = False) -> DataFrame:
     """A TSV, gzipped or not, as inchikey14, normalized_smiles, chembl_id, origin.  A gzip file is read by one task, so it is dealt out after."""
     df = spark.read.schema(schema.CHEMBL).option("header", True).option("sep", "\t").csv(path)
     out = df.select(identity_key(F.col("standard_inchi_key")).alias("inchikey14"), F.col("canonical_smiles").alias("normalized_smiles"), "chembl_id", F.lit("chembl").alias("origin"))
-    out = out.where("inchikey14 is not null and normalized_smiles is not null")
+    out = out if every else out.where("inchikey14 is not null and normalized_smiles is not null")
     return out.repartition(partitions) if partitions else out
 
 
-def chebi(spark: SparkSession, path: str) -> DataFrame:
-    """The same of compounds with status 1 or 3 and their default structures."""
+def chebi(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
+    """The same of compounds with status 1 or 3 and their default structures; of all compounds, with ``reviewed``, if ``every`` row is wanted."""
     df = spark.read.schema(schema.CHEBI).option("header", True).option("sep", "\t").csv(path)
     fine = F.col("status_id").isin(1, 3) & (F.lower("default_structure") == "true")
-    return df.where(fine).select(identity_key(F.col("standard_inchi_key")).alias("inchikey14"), F.col("smiles").alias("normalized_smiles"), F.col("compound_id").alias("chebi_id"), F.lit("chebi").alias("origin"))
+    out = df.select(identity_key(F.col("standard_inchi_key")).alias("inchikey14"), F.col("smiles").alias("normalized_smiles"), F.col("compound_id").alias("chebi_id"), F.lit("chebi").alias("origin"), F.coalesce(fine, F.lit(False)).alias("reviewed"))
+    return out if every else out.where("reviewed").drop("reviewed")
 
 
 def records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:

@@ -321,6 +321,86 @@ def test_cascade_reads_few_peaks(spark):
         retrieval.Cascade(mode="quick")
 
 
+def bonus_loss(x, s, w, scale=20.0, penalty=0.01):
+    z = scale * (s + x @ w)
+    return (np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[:, 0]).mean() + penalty * (w @ w) / 2
+
+
+def test_listwise_bonus(spark):
+    """The loss at the solution against projected steps on all rows at once, with the budget binding and not, and against a grid."""
+    rng = np.random.default_rng(4)
+    for pull, budget in ((0.35, 0.05), (0.02, 0.05), (0.3, 5.0)):
+        x = rng.uniform(size=(60, 6, 3)) * 0.6
+        x[:, 0, :2] += pull
+        s = rng.normal(0, 0.05, size=(60, 6))
+        rows = [(g, float(s[g, c]), x[g, c].tolist(), bool(c == 0)) for g in range(60) for c in rng.permutation(6)]
+        df = spark.createDataFrame(rows, "group int, score double, features array<double>, right boolean").repartition(5)
+        w = np.array(learning.listwise_bonus(df, budget=budget))
+        assert (w >= 0).all() and w.sum() <= budget + 1e-12
+        v = np.zeros(3)
+        for _ in range(20_000):  # plain projected gradient
+            z = 20 * (s + x @ v)
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = 20 * (np.einsum("gc,gcd->gd", p, x) - x[:, 0]).mean(0) + 0.01 * v
+            v = learning.onto_budget(v - 0.01 * g, budget)
+        assert bonus_loss(x, s, w) <= bonus_loss(x, s, v) + 1e-9 and abs(bonus_loss(x, s, w) - bonus_loss(x, s, v)) < 1e-6
+        for _ in range(300):
+            other = learning.onto_budget(rng.exponential(budget / 2, 3), budget)
+            assert bonus_loss(x, s, w) <= bonus_loss(x, s, other) + 1e-12
+    good = [("a", 0.1, [0.5], True), ("a", 0.1, [0.2], False)]
+    schema = "group string, score double, features array<double>, right boolean"
+    assert learning.listwise_bonus(spark.createDataFrame(good, schema))[0] == pytest.approx(0.05)
+    for bad in ([], good + [("b", 0.1, [0.5], False)], good + [("b", 0.1, [0.5, 0.1], True)], good + [("b", 0.1, [1.5], True)], good + [("b", None, [0.5], True)], good + [("b", 0.1, None, True)], good + good):
+        with pytest.raises(ValueError):
+            learning.listwise_bonus(spark.createDataFrame(bad, schema))
+
+
+def test_onto_budget():
+    """Nearest by a grid of points within the budget."""
+    rng = np.random.default_rng(8)
+    grid = np.array([(a, b) for a in np.linspace(0, 1, 101) for b in np.linspace(0, 1, 101) if a + b <= 1 + 1e-9])
+    for _ in range(50):
+        w = rng.normal(0, 1.2, 2)
+        got = learning.onto_budget(w, 1.0)
+        assert got.min() >= 0 and got.sum() <= 1 + 1e-12 and np.linalg.norm(w - got) <= np.linalg.norm(w - grid, axis=1).min() + 1e-9
+
+
+def test_feature_ranker_beats_its_best_feature(spark):
+    """Right candidates show in several sources a little; trees over all features, grown on other groups, rank them better than any one feature."""
+    from ionsift.operators import ranker
+
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for g in range(160):
+        for k in range(8):
+            right = k == g % 8
+            row = {c: float(rng.uniform()) for c in ranker.SOURCES} | {"mass": 300 + rng.normal(0, 0.003), "center": 300.0, "bits": float(rng.integers(20, 60))}
+            if right:
+                for c in ("library", "analog", "log_odds", "fragments"):
+                    row[c] += 0.35 * rng.uniform()
+            rows.append((g, f"k{k}", *[row[c] for c in ranker.SOURCES]))
+            labels.append((g, f"k{k}", float(right)))
+    df = spark.createDataFrame(rows, "group int, key string, " + ", ".join(f"{c} double" for c in ranker.SOURCES))
+    truth = spark.createDataFrame(labels, "group int, key string, label double")
+    features = ranker.candidate_features(df).cache()
+    plan = features._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") >= 1 and len(ranker.names(features)) == 49
+    exchanged = ranker.candidate_features(df)._jdf.queryExecution().executedPlan().toString()
+    assert exchanged.count("Exchange") == 1
+    ranked_ = ranker.out_of_fold(features, truth).join(truth, ["group", "key"]).where("label = 1")
+    mrr = ranked_.agg(F.avg(1 / F.col("rank"))).first()[0]
+    best = 0.0
+    own = {(r["group"], r["key"]): r for r in features.collect()}
+    for c, sign in [(c, s) for c in ranker.names(features) for s in (1, -1)]:
+        total = 0.0
+        for g in range(160):
+            v = [own[g, f"k{k}"][c] for k in range(8)]
+            total += 1 / (1 + sum(sign * x > sign * v[g % 8] for x in v) + sum(x == v[g % 8] for x in v[: g % 8]))
+        best = max(best, total / 160)
+    assert mrr > best
+
+
 def test_recipes():
     """What a recipe refuses, and its text."""
     r = retrieval.Recipe(mass_hypothesis="charge_aware_union", expansion_weight=0.25, reference_guard=1)
