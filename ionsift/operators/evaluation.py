@@ -16,7 +16,8 @@ from .range_join import met
 def per_key(ranking: DataFrame, truth: DataFrame, pool: DataFrame | None = None, group: str = "group", key: str = "key", size: int = 25) -> DataFrame:
     """group, rank (0: not in the first ``size``), reciprocal_rank, top1, top5, top25, covered.  truth has (group, key); covered: whether the pool holds it."""
     t = truth.select(group, F.col(key).alias("__t"))
-    hit = ranking.join(t, (ranking[group] == t[group]) & (ranking[key] == t["__t"]) & (ranking["rank"] <= size), "inner").groupBy(t[group]).agg(F.min(ranking["rank"]).alias("rank"))
+    placed = ranking.where(F.col("rank") <= size).select(group, F.col(key).alias("__t"), "rank")
+    hit = placed.join(t, [group, "__t"]).groupBy(group).agg(F.min("rank").alias("rank"))
     rows = t.join(hit, group, "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
     if pool is not None:
         p = pool.select(group, F.col(key).alias("__t")).distinct().withColumn("__c", F.lit(1))

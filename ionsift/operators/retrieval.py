@@ -191,6 +191,38 @@ class Cascade:
         return ranking.top(both.select(group, "key", "ref", mean.alias("score")), [group], self.size)
 
 
+SCENARIOS = ("known", "unknown")
+
+
+def scenarios(library: DataFrame, truth: DataFrame, group: str = "group") -> DataFrame:
+    """(case, group, scenario, key, score): library scores (group, key, score) as they are, and as they would be if no library spectrum of the group's own structure (truth: group, key) were known.
+
+    The own key is left out of what is already added up, so that both
+    scenarios come from one retrieval; groups without a truth are in neither.
+    """
+    own = truth.select(group, F.col("key").alias("__own")).distinct()
+    rows = library.select(group, "key", "score").join(own, group)
+    which = F.when(F.col("key") == F.col("__own"), F.array(F.lit(SCENARIOS[0]))).otherwise(F.array(*map(F.lit, SCENARIOS)))
+    return cased(rows.select(group, F.explode(which).alias("scenario"), "key", "score"), group)
+
+
+def cased(rows: DataFrame, group: str = "group") -> DataFrame:
+    """Rows with ``case``, one name of their scenario and group."""
+    return rows.select(F.concat_ws("#", "scenario", F.col(group).cast("string")).alias("case"), *rows.columns)
+
+
+def masked_baselines(centers: DataFrame, pool: DataFrame, bits: DataFrame, library: DataFrame, truth: DataFrame, group: str = "group") -> tuple[DataFrame, DataFrame]:
+    """baseline() in both scenarios, from one library retrieval: (case, group, scenario, key, rank), and (case, group, scenario, confidence) of every case."""
+    both = F.explode(F.array(*map(F.lit, SCENARIOS))).alias("scenario")
+    asked = centers.join(truth.select(group).distinct(), group, "left_semi")
+    cases = cased(asked.select(group, both, "center"), group)
+    masked = settled(scenarios(library, truth, group))
+    candidates = cased(pool.join(truth.select(group).distinct(), group, "left_semi").select(group, both, "key", "mass"), group)
+    ranks = baseline(cases.select("case", "center"), candidates.select("case", "key", "mass"), bits, masked.select("case", "key", "score"), "case")
+    names = cases.select("case", group, "scenario").distinct()
+    return ranks.join(names, "case"), confidences(cases, masked, "case").join(names, "case")
+
+
 def candidate_window(centers: DataFrame, catalog: DataFrame) -> DataFrame:
     """(group, center, key, mass): the catalog's structures in the window of any of a group's centers, each once."""
     return range_join.union_window(centers, catalog.select("key", "mass"), "group", "key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks
 from ..lineage import settled, small
-from ..operators import ranking, retrieval, similarity
+from ..operators import evaluation, ranking, retrieval, similarity
 from .registry import Tables, query
 
 # A molecule of four spectra has a mass of 101 possible ones, the last spectrum another by one; a structure's mass comes from its key, a reference spectrum's structure from its id.
@@ -19,13 +19,13 @@ DATA = """vec as (select vec_id, generate_subscripts(embedding, 1) - 1 as bin, c
     ctr as (select grp, 0 as h, quantile_cont(legacy, 0.5) as center from spec group by 1), hyp as (select grp, row_number() over (partition by grp order by neutral) as h, neutral as center from (select distinct grp, neutral from spec))"""
 
 
-def _rank_sql(tag: str, centers: str, pool: str) -> str:
+def _rank_sql(tag: str, centers: str, pool: str, mask: str = "") -> str:
     """The steps to a baseline for each (grp, h) of a table of centers, over a pool (grp, key, mass); ends in {tag}_rank (grp, h, key, rank) and {tag}_lib."""
     return f"""{tag}_win as (select c.grp, c.h, r.ref, r.key from {centers} c join ref r on abs(r.mass - c.center) <= greatest(c.center * 35e-6, 0.006)),
     {tag}_dot as (select w.grp, w.h, s.spectrum, w.ref, w.key, sum(a.w * b.w) as d from {tag}_win w join spec s on s.grp = w.grp join unit a on a.vec_id = s.spectrum join unit b on b.vec_id = w.ref and b.bin = a.bin group by 1, 2, 3, 4, 5),
     {tag}_per as (select w.grp, w.h, w.key, s.spectrum, max(coalesce(d.d, 0)) as s from {tag}_win w join spec s on s.grp = w.grp left join {tag}_dot d on d.grp = w.grp and d.h = w.h and d.spectrum = s.spectrum and d.ref = w.ref group by 1, 2, 3, 4),
     {tag}_num as (select *, row_number() over (partition by grp, h, key order by s desc) as i from {tag}_per),
-    {tag}_lib as (select grp, h, key, round(0.65 * max(s) + 0.35 * avg(s) filter (where i <= 3), 12) as score from {tag}_num group by 1, 2, 3),
+    {tag}_lib as (select grp, h, key, round(0.65 * max(s) + 0.35 * avg(s) filter (where i <= 3), 12) as score from {tag}_num {mask} group by 1, 2, 3),
     {tag}_pool as (select distinct c.grp, c.h, c.center, p.key, p.mass from {centers} c join {pool} p on p.grp = c.grp),
     {tag}_hit as (select l.*, row_number() over (partition by l.grp, l.h order by score desc, l.key) as rank from {tag}_lib l join {tag}_pool p on p.grp = l.grp and p.h = l.h and p.key = l.key),
     {tag}_sh as (select p.grp, p.h, p.key, p.mass, p.center, r.key as rkey, r.score, count(y.bit) as sh from {tag}_pool p join {tag}_hit r on r.grp = p.grp and r.h = p.h and r.rank <= 25 join bits x on x.key = p.key left join bits y on y.key = r.key and y.bit = x.bit group by 1, 2, 3, 4, 5, 6, 7),
@@ -202,3 +202,27 @@ def cascade_coarse(t: Tables) -> DataFrame:
     """The first precision alone, by the best single match, with the spectrum that represents a structure."""
     out = retrieval.Cascade(mode="baseline").rank(*cascade_tables(t))
     return out.select(F.col("group").alias("grp"), "key", "ref", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+MASKED = f"""{DATA}, {POOL}, c2 as (select c.grp, h.h, c.center from ctr c, (values (0), (1)) h(h) where c.grp >= 1), {_rank_sql('m', 'c2', 'pool', 'where not (h = 1 and key = cast(grp as varchar))')},
+    hit as (select c.grp, c.h, coalesce(min(r.rank) filter (where r.rank <= 25), 0) as rank, max(case when p.key is not null then 1 else 0 end) as covered from c2 c left join m_rank r on r.grp = c.grp and r.h = c.h and r.key = cast(c.grp as varchar)
+      left join pool p on p.grp = c.grp and p.key = cast(c.grp as varchar) group by 1, 2), rr as (select *, case when rank > 0 then 1.0 / rank else 0 end as x from hit)"""
+
+
+@query(
+    f"""with recursive {MASKED} select case h when 0 then 'known' else 'unknown' end as scenario, count(*) as molecules, round(avg(covered), 8) as candidate_recall, round(avg(x), 8) as mrr25, round(avg(case when rank = 1 then 1 else 0 end), 8) as top1,
+    round(avg(case when rank between 1 and 5 then 1 else 0 end), 8) as top5, round(avg(case when rank > 0 then 1 else 0 end), 8) as top25, round(avg(x) filter (where covered = 1), 8) as conditional_mrr25 from rr group by h"""
+)
+def masked_reports(t: Tables) -> DataFrame:
+    """Molecules whose structure the library knows, and the same ones as if it didn't: both reports from one retrieval."""
+    i = inputs(t)
+    centers = retrieval.mass_centers(i.spectra)
+    library = settled(retrieval.reference_rank(i.spectra, i.vectors, i.references, i.reference_vectors, centers))
+    truth = i.spectra.where("group >= 1").select("group", F.col("group").cast("string").alias("key")).distinct()  # the structure of the molecule's own number, which has its mass
+    pool = retrieval.candidate_window(centers, i.catalog)
+    ranks, cases = retrieval.masked_baselines(centers, pool, i.bits, library, truth)
+    own = cases.join(truth, "group").select("case", "key")
+    covers = cases.select("case", "group").join(pool.select("group", "key"), "group").select("case", "key")
+    rows = evaluation.per_key(ranks.select("case", "key", "rank"), own, covers, "case").join(cases.select("case", "scenario"), "case")
+    out = evaluation.report(rows, ["scenario"])
+    return out.select("scenario", "molecules", *[F.round(c, 8).alias(c) for c in out.columns[2:]])

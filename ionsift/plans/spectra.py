@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
 from ..lineage import small
-from ..operators import evidence, similarity
+from ..operators import evidence, generators, similarity
 from .registry import Tables, query
 
 P = "p as (select user_id as spectrum, value + 40 as mz, (event_id % 100) / 100.0 as i, event_id from events)"
@@ -78,11 +78,14 @@ def relative(t: Tables) -> DataFrame:
     return p.select("spectrum", F.posexplode("p").alias("at", "x")).select("spectrum", "at", F.col("x.mz").alias("mz"), F.col("x.i").alias("intensity"))
 
 
-def found(t: Tables) -> DataFrame:
-    spectra = t.events.select(F.col("user_id").alias("spectrum")).distinct().withColumns(
+def spectra_of(t: Tables) -> DataFrame:
+    return t.events.select(F.col("user_id").alias("spectrum")).distinct().withColumns(
         {"adduct": F.lit("[M+H]+"), "ionization_mode": F.lit("positive"), "instrument_type": F.lit("Orbitrap"), "precursor_mz": F.lit(400.0)}
     )
-    return evidence.matches(spectra, relative(t), evidence.rule_table(t.spark, FOUR), absolute=0.02)
+
+
+def found(t: Tables) -> DataFrame:
+    return evidence.matches(spectra_of(t), relative(t), evidence.rule_table(t.spark, FOUR), absolute=0.02)
 
 
 @query(f"with {REL} select spectrum, rule, kind, round(mz, 6) as mz, round(error_da, 6) as error_da, round(strength, 8) as strength, from_at, to_at from found")
@@ -91,6 +94,13 @@ def peak_difference_join(t: Tables) -> DataFrame:
     return f.select("spectrum", "rule", "kind", F.round("mz", 6).alias("mz"), F.round("error_da", 6).alias("error_da"), F.round("strength", 8).alias("strength"), F.col("from_at").cast("long").alias("from_at"), F.col("to_at").cast("long").alias("to_at"))
 
 
+@query(f"with {REL} select spectrum, rule, kind, round(mz, 6) as mz, round(error_da, 6) as error_da, round(strength, 8) as strength, from_at, to_at from found")
+def evidence_generator(t: Tables) -> DataFrame:
+    """The same matches through a table function, a spectrum at a time."""
+    f = generators.evidence_matches(spectra_of(t), relative(t), evidence.rule_table(t.spark, FOUR), absolute=0.02)
+    return f.select("spectrum", "rule", "kind", F.round("mz", 6).alias("mz"), F.round("error_da", 6).alias("error_da"), F.round("strength", 8).alias("strength"), F.col("from_at").cast("long").alias("from_at"), F.col("to_at").cast("long").alias("to_at"))
+
+
 @query(f"with {REL} select a.spectrum, a.rule as first, b.rule as second, round(max(least(a.strength, b.strength)), 8) as strength from found a join found b on a.spectrum = b.spectrum and a.to_at = b.from_at group by 1, 2, 3")
 def evidence_chains(t: Tables) -> DataFrame:
     c = evidence.strongest(evidence.chains(found(t)), ["spectrum"], ["first", "second"])

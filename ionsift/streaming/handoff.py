@@ -6,12 +6,16 @@ that surround it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from ..sources.sinks import read_text, write_text
 
 HANDOFF = "molecule_id string, ranking array<string>, confidence double, expired boolean"
 
@@ -31,6 +35,95 @@ def consume(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
     return stream.dropDuplicates([key]).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A hand-off's events: a molecule that was asked for with its original ranking, its revised ranking, or the end of all ('end', far in the future).
+EVENT = "kind string, molecule_id string, ranking array<string>, at timestamp"
+ANSWER = "molecule_id string, ranking array<string>, status string"
+END = "9999-01-01 00:00:00"
+MARKER = "complete.json"
+
+
+class Deadlines(StatefulProcessor):
+    """For each molecule: its original ranking until the revised one comes, or its time is up.
+
+    A revised ranking within its time is given out with status 'revised', and
+    a second one for the molecule fails the query.  When the watermark passes
+    the deadline, a molecule without one is given its original ranking, with
+    status 'expired', and its state is dropped either way; so is what is known
+    of answered ones, which makes the state as large as the molecules that are
+    under way.  A ranking for a molecule that isn't under way is 'unexpected'.
+    """
+
+    def __init__(self, patience_ms: int):
+        self.patience = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.under_way = handle.getValueState("under_way", "ranking array<string>, answered boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        for r in sorted(rows, key=lambda r: (r["kind"] != "asked", r["at"])):  # of one batch, what was asked goes first
+            if r["kind"] == "end":
+                continue
+            state = self.under_way.get() if self.under_way.exists() else None
+            if r["kind"] == "asked":
+                if state is not None:
+                    raise ValueError(f"molecule {key[0]} was asked for twice")
+                due = int(r["at"].timestamp() * 1000) + self.patience
+                if due <= timerValues.getCurrentWatermarkInMs():  # its time was up before it came
+                    yield Row(molecule_id=key[0], ranking=r["ranking"], status="expired")
+                else:
+                    self.under_way.update((r["ranking"], False))
+                    self.handle.registerTimer(due)
+            elif state is None:
+                yield Row(molecule_id=key[0], ranking=r["ranking"], status="unexpected")
+            elif state[1]:
+                raise ValueError(f"molecule {key[0]} was handed off twice")
+            else:
+                self.under_way.update((state[0], True))
+                yield Row(molecule_id=key[0], ranking=r["ranking"], status="revised")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        if self.under_way.exists():
+            ranking, answered = self.under_way.get()
+            self.under_way.clear()
+            if not answered:
+                yield Row(molecule_id=key[0], ranking=list(ranking), status="expired")
+
+    def close(self) -> None:
+        pass
+
+
+def answered(events: DataFrame, patience_ms: int, late: str = "0 seconds") -> DataFrame:
+    """(molecule_id, ranking, status) of a stream of EVENT rows, each molecule once.  Needs the RocksDB state store, which timers rest on."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.withWatermark("at", late).groupBy("molecule_id").transformWithState(statefulProcessor=Deadlines(patience_ms), outputStructType=ANSWER, outputMode="append", timeMode="eventTime")
+
+
+def complete(spark: SparkSession, folder: str) -> None:
+    """Ends a folder of events: an event in the far future, so that all deadlines pass, and then the marker."""
+    spark.sql(f"select 'end' as kind, '' as molecule_id, cast(array() as array<string>) as ranking, timestamp '{END}' as at").write.mode("append").json(folder)
+    write_text(spark, f"{folder.rstrip('/')}/_{MARKER}", "{}")
+
+
+def until_complete(spark: SparkSession, folder: str, start: Callable[[DataFrame], StreamingQuery], wait: float = 1.0, most: int | None = None) -> int:
+    """Runs passes over the folder's events until one has begun after the marker was there; the number of passes.
+
+    ``start`` begins a query of a stream that ends with what is available;
+    TimeoutError after ``most`` passes without a marker.
+    """
+    passes = 0
+    while True:
+        last = read_text(spark, f"{folder.rstrip('/')}/_{MARKER}") is not None
+        query = start(spark.readStream.schema(EVENT).json(folder))
+        query.awaitTermination()
+        passes += 1
+        if last:
+            return passes
+        if most is not None and passes >= most:
+            raise TimeoutError(f"{folder} was not completed within {most} passes")
+        time.sleep(wait)
+
+
 def settled(df: DataFrame, original: str = "original", revised: str = "ranking") -> DataFrame:
     """``final``: the revised ranking, or the original where the deadline passed."""
     return df.withColumn("final", F.when(F.coalesce("expired", F.lit(False)), F.col(original)).otherwise(F.col(revised)))
