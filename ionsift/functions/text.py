@@ -51,7 +51,7 @@ def token_kind(token: Column) -> Column:
     )
 
 
-#: Tokens of a vocabulary that is broadcast at most.
+#: Tokens of a vocabulary that is broadcast at most; a larger one is joined.
 VOCABULARY = 20_000
 
 
@@ -66,7 +66,7 @@ def vocabulary(df: DataFrame, smiles: str) -> DataFrame:
 def encode(df: DataFrame, smiles: str, vocabulary: DataFrame, limit: int = 256) -> DataFrame:
     """The table with ``ids``: begin, tokens, end; null if a token is unknown or there are too many."""
     if vocabulary.limit(VOCABULARY + 1).count() > VOCABULARY:
-        raise ValueError(f"a vocabulary of more than {VOCABULARY} tokens")
+        return _encoded_by_join(df, smiles, vocabulary, limit)
     known = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("__ids"))
     tokens = smiles_tokens(F.col(smiles))
     ids = F.transform(tokens, lambda t: F.try_element_at(F.col("__ids"), t))
@@ -75,6 +75,17 @@ def encode(df: DataFrame, smiles: str, vocabulary: DataFrame, limit: int = 256)
     return df.crossJoin(F.broadcast(known)).withColumn("ids", F.when(fine, F.concat(F.array(F.lit(1)), ids, F.array(F.lit(2))))).drop("__ids")
 
 
+def _encoded_by_join(df: DataFrame, smiles: str, vocabulary: DataFrame, limit: int) -> DataFrame:
+    """encode() for any vocabulary: each distinct string's tokens meet it by a join."""
+    own = df.select(F.col(smiles).alias("__s")).where(F.col("__s").isNotNull()).distinct()
+    tokens = smiles_tokens(F.col("__s"))
+    rows = own.where(F.size(tokens) + 2 <= limit).select("__s", F.posexplode_outer(tokens).alias("__at", "token"))
+    met = rows.join(vocabulary.select("token", "id"), "token", "left").groupBy("__s")
+    found = met.agg(F.array_sort(F.collect_list(F.struct("__at", "id"))).alias("__l"), F.count_if(F.col("token").isNotNull() & F.col("id").isNull()).alias("__odd")).where("__odd = 0")
+    ids = F.concat(F.array(F.lit(1)), F.transform(F.filter("__l", lambda p: p["id"].isNotNull()), lambda p: p["id"]), F.array(F.lit(2)))
+    return df.join(found.select(F.col("__s"), ids.alias("ids")), df[smiles] == F.col("__s"), "left").drop("__s")
+
+
 def decode(ids: Column, tokens: Column) -> Column:
     """The string of ids up to the end token; ``tokens`` is the vocabulary in the order of its ids."""
     end = F.array_position(ids, F.lit(2)).cast("int")

@@ -140,6 +140,16 @@ def reference_scores(spectra: DataFrame, vectors: DataFrame, references: DataFra
     return scores.join(references.select("ref", "key"), "ref")
 
 
+def supported_keys(spectra: DataFrame, vectors: DataFrame, references: DataFrame, reference_vectors: DataFrame, group: str = "group", least: float = 0.5) -> DataFrame:
+    """(group, key, score): structures whose best consensus score, over all of a group's mass hypotheses, is at least so much."""
+    centers = mass_centers(spectra, "charge_aware_union").where(F.col("center").isNotNull())
+    each = centers.withColumn("__case", F.concat_ws("#", F.col(group).cast("string"), F.col("center").cast("string")))
+    own = spectra.select(group, "spectrum").join(each.select(group, "__case"), group).select("__case", "spectrum")
+    scores = reference_rank(own, vectors, references, reference_vectors, each.select("__case", "center"), "__case")
+    best = scores.join(each.select("__case", group), "__case").groupBy(group, "key").agg(F.max("score").alias("score"))
+    return best.where(F.col("score") >= least)
+
+
 @dataclass(frozen=True)
 class Cascade:
     """A ranking in two precisions: all references by sparse vectors, then the best spectra of the best structures by their peaks.

@@ -56,9 +56,9 @@ def candidate_products(pairs: DataFrame, queries: DataFrame, library: DataFrame,
     """
     spectra = queries.select(group, query).distinct()
     wanted = pairs.select(group, reference).distinct().join(spectra, group)
-    q = queries.select(query, "bin", F.col("w").alias("__a"))
+    q = queries.select(group, query, "bin", F.col("w").alias("__a"))  # a spectrum may be of several groups, and counts once in each
     r = library.select(reference, "bin", F.col("w").alias("__b"))
-    hit = wanted.join(q, query).join(r, [reference, "bin"]).groupBy(group, query, reference).agg(F.sum(F.col("__a") * F.col("__b")).alias("score"))
+    hit = wanted.join(q, [group, query]).join(r, [reference, "bin"]).groupBy(group, query, reference).agg(F.sum(F.col("__a") * F.col("__b")).alias("score"))
     return wanted.join(hit, [group, query, reference], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

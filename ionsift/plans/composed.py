@@ -204,6 +204,14 @@ def cascade_coarse(t: Tables) -> DataFrame:
     return out.select(F.col("group").alias("grp"), "key", "ref", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"with recursive {UNION} select grp, key, round(max(score), 8) as score from u_lib group by 1, 2 having max(score) >= 0.2")
+def supported_keys(t: Tables) -> DataFrame:
+    """Structures that library spectra support under any mass hypothesis."""
+    i = inputs(t)
+    found = retrieval.supported_keys(i.spectra, i.vectors, i.references, i.reference_vectors, least=0.2)
+    return found.select(F.col("group").alias("grp"), "key", F.round("score", 8).alias("score"))
+
+
 MASKED = f"""{DATA}, {POOL}, c2 as (select c.grp, h.h, c.center from ctr c, (values (0), (1)) h(h) where c.grp >= 1), {_rank_sql('m', 'c2', 'pool', 'where not (h = 1 and key = cast(grp as varchar))')},
     hit as (select c.grp, c.h, coalesce(min(r.rank) filter (where r.rank <= 25), 0) as rank, max(case when p.key is not null then 1 else 0 end) as covered from c2 c left join m_rank r on r.grp = c.grp and r.h = c.h and r.key = cast(c.grp as varchar)
       left join pool p on p.grp = c.grp and p.key = cast(c.grp as varchar) group by 1, 2), rr as (select *, case when rank > 0 then 1.0 / rank else 0 end as x from hit)"""

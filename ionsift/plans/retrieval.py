@@ -319,17 +319,21 @@ def submission_sink(t: Tables) -> DataFrame:
 
 
 @query(
-    """with f as (select cast(c_custkey as varchar) as molecule_id, case c_mktsegment when 'BUILDING' then '' when 'MACHINERY' then 'A;B;A' else 'A;B' end as smiles from customer where c_mktsegment <> 'HOUSEHOLD'
-      union all select 'x' || cast(s_suppkey as varchar), 'A' from supplier),
+    """with f as (select cast(c_custkey as varchar) as molecule_id, case when c_custkey % 7 = 0 then 'A;;B;C;D;E' when c_custkey % 11 = 0 then 'A;x?' when c_mktsegment = 'BUILDING' then '' when c_mktsegment = 'MACHINERY' then 'A;B;A' else 'A; B' end as smiles,
+      case when c_custkey % 7 = 0 then 'too_many' when c_custkey % 11 = 0 then 'invalid' when c_mktsegment = 'BUILDING' then 'empty' when c_mktsegment = 'MACHINERY' then 'duplicate' end as problem from customer where c_mktsegment <> 'HOUSEHOLD'
+      union all select 'x' || cast(s_suppkey as varchar), 'A', null from supplier union all select cast(c_custkey as varchar), 'A', null from customer where c_custkey % 13 = 0 and c_mktsegment <> 'HOUSEHOLD'),
     m as (select cast(c_custkey as varchar) as molecule_id from customer)
-    select molecule_id, case when smiles = '' then 'empty' else 'duplicate' end as problem from f where smiles in ('', 'A;B;A')
-    union all select molecule_id, 'unexpected' from f where molecule_id not in (select molecule_id from m) union all select molecule_id, 'missing' from m where molecule_id not in (select molecule_id from f)"""
+    select molecule_id, problem from f where problem is not null union all select distinct molecule_id, 'unexpected' from f where molecule_id not in (select molecule_id from m)
+    union all select molecule_id, 'missing' from m where molecule_id not in (select molecule_id from f) union all select molecule_id, 'repeated' from f group by 1 having count(*) > 1"""
 )
 def submission_validate(t: Tables) -> DataFrame:
-    values = F.when(F.col("c_mktsegment") == "BUILDING", "").when(F.col("c_mktsegment") == "MACHINERY", "A;B;A").otherwise("A;B")
-    given = t.customer.where("c_mktsegment <> 'HOUSEHOLD'").select(F.col("c_custkey").cast("string").alias("molecule_id"), values.alias("smiles"))
-    frame = given.unionByName(t.supplier.select(F.concat(F.lit("x"), F.col("s_suppkey").cast("string")).alias("molecule_id"), F.lit("A").alias("smiles")))
-    return sinks.violations(frame, t.customer.select(F.col("c_custkey").cast("string").alias("molecule_id")))
+    """Every problem that a submission may have: too many values, values that don't parse, none, equal ones, and molecules that are missing, unknown or there twice."""
+    k = F.col("c_custkey")
+    values = F.when(k % 7 == 0, "A;;B;C;D;E").when(k % 11 == 0, "A;x?").when(F.col("c_mktsegment") == "BUILDING", "").when(F.col("c_mktsegment") == "MACHINERY", "A;B;A").otherwise("A; B")
+    given = t.customer.where("c_mktsegment <> 'HOUSEHOLD'").select(k.cast("string").alias("molecule_id"), values.alias("smiles"))
+    again = t.customer.where("c_custkey % 13 = 0 and c_mktsegment <> 'HOUSEHOLD'").select(k.cast("string").alias("molecule_id"), F.lit("A").alias("smiles"))
+    frame = given.unionByName(t.supplier.select(F.concat(F.lit("x"), F.col("s_suppkey").cast("string")).alias("molecule_id"), F.lit("A").alias("smiles"))).unionByName(again)
+    return sinks.violations(frame, t.customer.select(k.cast("string").alias("molecule_id")), most=4, identity=lambda x: F.when(x.rlike("^[A-Z]$"), x))
 
 
 ENERGY = """e as (select event_id, user_id, case event_type when 'view' then 'Unknown' when 'signup' then null else event_type end as adduct, case when event_id % 11 = 0 then null else cast(json_extract_string(props, '$.k') as int) % 7 end as k from events),

@@ -1,4 +1,4 @@
-"""Scalar functions over small tables written out here, and over documents and events."""
+"""Scalar functions over parts, each with one of a few written-out values, and over documents and events."""
 
 from __future__ import annotations
 
@@ -22,66 +22,71 @@ def values(rows: list, kind: str = "varchar") -> str:
     return ", ".join("(" + ", ".join(show(x) for x in (r if isinstance(r, tuple) else (r,))) + ")" for r in rows)
 
 
+def fed(t: Tables, rows: list, columns: list[str]) -> DataFrame:
+    """Every part's key with the one of the rows that its key points at."""
+    each = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(columns, r if isinstance(r, tuple) else (r,), strict=True)]) for r in rows])
+    return t.part.select(F.col("p_partkey").alias("key"), F.get(each, (F.col("p_partkey") % len(rows)).cast("int")).alias("x")).select("key", "x.*")
+
+
+def _fed(sql: str, rows: list, columns: list[str]) -> str:
+    """The SQL of one value's results, for every part."""
+    numbered = values([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)])
+    same = " and ".join(f"q.{c} is not distinct from lit.{c}" for c in columns)
+    return f"with q as ({sql}), lit(i, {', '.join(columns)}) as (values {numbered}) select p_partkey as key, q.* from part join lit on i = p_partkey % {len(rows)} join q on {same}"
+
+
 MASS = f"""atoms(el, am) as (values {ATOMS}), f(formula) as (values {values(FORMULAS)}),
     p as (select formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) as el, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) as ct from f where regexp_full_match(formula, '([A-Z][a-z]?[0-9]*)+')),
     m as (select formula, case when count(*) = count(am) then sum(am * case when ct = '' then 1 else cast(ct as int) end) end as mass from p left join atoms using (el) group by 1)"""
 
 
-@query(f"with {MASS} select f.formula, round(mass, 8) as mass from f left join m using (formula)")
+@query(_fed(f"with {MASS} select f.formula, round(mass, 8) as mass from f left join m using (formula)", FORMULAS, ['formula']))
 def formula_mass_parse(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(f,) for f in FORMULAS], "formula string")
-    return df.select("formula", F.round(mass.formula_mass(F.col("formula")), 8).alias("mass"))
+    df = fed(t, FORMULAS, ["formula"])
+    return df.select("key", "formula", F.round(mass.formula_mass(F.col("formula")), 8).alias("mass"))
 
 
-@query(
-    f"""with f(formula) as (values {values(FORMULAS)}), p as (select formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) as el, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) as ct
+@query(_fed(f"""with f(formula) as (values {values(FORMULAS)}), p as (select formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) as el, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) as ct
     from f where formula in ('C6H12O6', 'H2O', 'CH4', 'NaCl', 'C10H16N5O13P3', 'C8H10N4O2', 'BrCl', 'C0', 'C2H6OSi')), c as (select formula, el, case when ct = '' then 1 else cast(ct as int) end as n from p)
     select formula, cast(coalesce(sum(n) filter (where el = 'C'), 0) as int) as carbons, cast(coalesce(sum(n) filter (where el = 'H'), 0) as int) as hydrogens, cast(coalesce(sum(n) filter (where el = 'O'), 0) as int) as oxygens from c group by 1
-    union all select formula, null, null, null from f where formula not in (select formula from p)"""
-)
+    union all select formula, null, null, null from f where formula not in (select formula from p)""", FORMULAS, ['formula']))
 def formula_count_vectors(t: Tables) -> DataFrame:
     v = mass.formula_counts(F.col("formula"))
-    df = t.spark.createDataFrame([(f,) for f in FORMULAS], "formula string").withColumn("v", v)
+    df = fed(t, FORMULAS, ["formula"]).withColumn("v", v)
     at = {e: i for i, e in enumerate(mass.HILL)}
-    return df.select("formula", F.col("v")[at["C"]].alias("carbons"), F.col("v")[at["H"]].alias("hydrogens"), F.col("v")[at["O"]].alias("oxygens"))
+    return df.select("key", "formula", F.col("v")[at["C"]].alias("carbons"), F.col("v")[at["H"]].alias("hydrogens"), F.col("v")[at["O"]].alias("oxygens"))
 
 
 H, NA, O2, E = mass.ATOMIC_MASS["H"], mass.ATOMIC_MASS["Na"], mass.ATOMIC_MASS["O"], mass.ELECTRON
 
 
-@query(
-    f"""with a(adduct, mz) as (values {values(ADDUCTS)}), i(adduct, molecules, charge, shift) as (values ('[M+H]+', 1, 1, {H - E!r}), ('[M-H]-', 1, -1, {-H + E!r}), ('[M+2H]2+', 1, 2, {2 * H - 2 * E!r}), ('[M+3H]3+', 1, 3, {3 * H - 3 * E!r}),
+@query(_fed(f"""with a(adduct, mz) as (values {values(ADDUCTS)}), i(adduct, molecules, charge, shift) as (values ('[M+H]+', 1, 1, {H - E!r}), ('[M-H]-', 1, -1, {-H + E!r}), ('[M+2H]2+', 1, 2, {2 * H - 2 * E!r}), ('[M+3H]3+', 1, 3, {3 * H - 3 * E!r}),
     ('[2M+Na]+', 2, 1, {NA - E!r}), ('[2M-H]-', 2, -1, {-H + E!r}), ('[M]+', 1, 1, {-E!r}), ('[M-2H2O+H]+', 1, 1, {H - 2 * (2 * H + O2) - E!r}))
-    select adduct, mz, molecules, charge, round(shift, 9) as shift, round(case when (abs(charge) * mz - shift) / molecules > 0 then (abs(charge) * mz - shift) / molecules end, 7) as neutral from a left join i using (adduct)"""
-)
+    select adduct, mz, molecules, charge, round(shift, 9) as shift, round(case when (abs(charge) * mz - shift) / molecules > 0 then (abs(charge) * mz - shift) / molecules end, 7) as neutral from a left join i using (adduct)""", ADDUCTS, ['adduct', 'mz']))
 def adduct_parse(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame(ADDUCTS, "adduct string, mz double").withColumn("ion", mass.parse_adduct(F.col("adduct")))
-    return df.select("adduct", "mz", "ion.molecules", "ion.charge", F.round("ion.shift", 9).alias("shift"), F.round(mass.ion_neutral_mass(F.col("ion"), F.col("mz")), 7).alias("neutral"))
+    df = fed(t, ADDUCTS, ["adduct", "mz"]).withColumn("ion", mass.parse_adduct(F.col("adduct")))
+    return df.select("key", "adduct", "mz", "ion.molecules", "ion.charge", F.round("ion.shift", 9).alias("shift"), F.round(mass.ion_neutral_mass(F.col("ion"), F.col("mz")), 7).alias("neutral"))
 
 
-@query(f"with a(adduct, mz) as (values {values(ADDUCTS)}), i(adduct, shift) as (values {values(list(mass.ADDUCT_MASS.items()))}) select adduct, mz, round(mz - shift, 7) as neutral from a left join i using (adduct)")
+@query(_fed(f"with a(adduct, mz) as (values {values(ADDUCTS)}), i(adduct, shift) as (values {values(list(mass.ADDUCT_MASS.items()))}) select adduct, mz, round(mz - shift, 7) as neutral from a left join i using (adduct)", ADDUCTS, ['adduct', 'mz']))
 def table_neutral_mass(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame(ADDUCTS, "adduct string, mz double")
-    return df.select("adduct", "mz", F.round(mass.table_neutral_mass(F.col("adduct"), F.col("mz")), 7).alias("neutral"))
+    df = fed(t, ADDUCTS, ["adduct", "mz"])
+    return df.select("key", "adduct", "mz", F.round(mass.table_neutral_mass(F.col("adduct"), F.col("mz")), 7).alias("neutral"))
 
 
-@query(
-    f"""with s(smiles) as (values {values(SMILES)}), k as (select smiles, regexp_extract_all(smiles, '(\\[[^\\]]+\\]|Br|Cl|Si|Na|Li|Ca|Mg|Al|Se|se|@@|%[0-9][0-9]|.)', 1) as tok from s)
-    select smiles, len(tok) as n, array_to_string(tok, ' ') as tokens from k"""
-)
+@query(_fed(f"""with s(smiles) as (values {values(SMILES)}), k as (select smiles, regexp_extract_all(smiles, '(\\[[^\\]]+\\]|Br|Cl|Si|Na|Li|Ca|Mg|Al|Se|se|@@|%[0-9][0-9]|.)', 1) as tok from s)
+    select smiles, len(tok) as n, array_to_string(tok, ' ') as tokens from k""", SMILES, ['smiles']))
 def smiles_tokenizer(t: Tables) -> DataFrame:
     tok = tx.smiles_tokens(F.col("smiles"))
-    return t.spark.createDataFrame([(s,) for s in SMILES], "smiles string").select("smiles", F.size(tok).cast("long").alias("n"), F.array_join(tok, " ").alias("tokens"))
+    return fed(t, SMILES, ["smiles"]).select("key", "smiles", F.size(tok).cast("long").alias("n"), F.array_join(tok, " ").alias("tokens"))
 
 
-@query(
-    f"""with i(name) as (values {values(INSTRUMENTS)}) select name, regexp_matches(regexp_replace(lower(coalesce(name, '')), '[- ]', '', 'g'), 'qtof|orbitrap|qexactive|ft|timstof|toftime') as high, coalesce(nullif(name, ''), '<missing>') as category,
-    trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug from i"""
-)
+@query(_fed(f"""with i(name) as (values {values(INSTRUMENTS)}) select name, regexp_matches(regexp_replace(lower(coalesce(name, '')), '[- ]', '', 'g'), 'qtof|orbitrap|qexactive|ft|timstof|toftime') as high, coalesce(nullif(name, ''), '<missing>') as category,
+    trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug from i""", INSTRUMENTS, ['name']))
 def instrument_predicates(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(i,) for i in INSTRUMENTS], "name string")
+    df = fed(t, INSTRUMENTS, ["name"])
     c = F.col("name")
-    return df.select("name", tx.high_resolution(c).alias("high"), tx.category(c).alias("category"), tx.slug(c).alias("slug"))
+    return df.select("key", "name", tx.high_resolution(c).alias("high"), tx.category(c).alias("category"), tx.slug(c).alias("slug"))
 
 
 SPLIT = "cast(('0x' || substr(sha256('42:' || cast(doc_id as varchar)), 1, 16)) as ubigint) % 10000"

@@ -117,8 +117,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 100) -> str:
-    """A small result as a table in Markdown."""
-    rows = df.limit(most).collect()
+    """A small result as a table in Markdown; ValueError for more than ``most`` rows, for a report that leaves some out would look whole."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: aggregate them, or raise the bound")
     show = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(x) for x in r) + " |" for r in rows]) + "\n"
