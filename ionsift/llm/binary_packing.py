@@ -8,7 +8,7 @@ numbered without gaps in the order of documents: the pieces, without ids, are
 range-partitioned by (length, document, start), and each partition's numbers
 begin where the totals of those before it end.
 
-Defined results: a null or empty text is its end id alone, one piece of length
+Defined results: texts are cut into as many pieces as they take, however long; a null or empty text is its end id alone, one piece of length
 one; null document ids come last in their bucket; repeated rows give repeated
 pieces in sequences of their own; an empty table gives no pieces.  A piece
 carries its document's id and nothing else: other columns, whatever their

@@ -6,7 +6,7 @@ is popped and merged, and its new neighbours are pushed, until no pair is
 left.  The count is the initial symbols less the merges; no ids are made.
 Counts of parts of texts already met are held, up to a bound.
 
-Defined results: null is empty, with no tokens; texts that hold an added
+Defined results: texts are taken whole, however long; null is empty, with no tokens; texts that hold an added
 token's string count it as one, as the library does; repeated rows count
 alike; an empty table gives no rows; computed columns replace input columns of
 their name, and all others are carried along.

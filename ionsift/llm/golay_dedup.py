@@ -17,7 +17,7 @@ has 65 such fingerprints at most, so that this costs 65 rows a fingerprint
 and no pairs.  Components come from alternating large-star and small-star
 steps on distributed edge tables, with checkpoints.
 
-Defined results: null and empty texts have fingerprint zero and link like
+Defined results: texts are taken whole, however long; null and empty ones have fingerprint zero and link like
 others; null ids are never a component's id unless it has no other; repeated
 rows fall into one component; an empty table gives an empty result; computed
 columns replace input columns of their name, and all others are carried along.

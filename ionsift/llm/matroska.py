@@ -6,7 +6,7 @@ blocks and block groups with Xiph, EBML and fixed-size lacing, and cues, and
 gives a packet table: track, timestamp in nanoseconds, cluster, block, frame
 within the block, lacing, keyframe, first byte and bytes.
 
-Defined results: null is empty; a payload has 64 bytes at least; equal
+Defined results: texts are stored whole, however long; null is empty; a payload has 64 bytes at least; equal
 payloads, repeated rows among them, give equal files; a null file has null
 packets; whatever is truncated or malformed raises ValueError and nothing
 else, with the format's defaults for what a track may leave out; an empty

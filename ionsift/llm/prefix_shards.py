@@ -7,7 +7,7 @@ shard its midpoint falls into, so shards are contiguous and differ from the
 target by one row at most.  A row's slot is its position less its shard's
 first.
 
-Defined results: a null text has size 1; null keys come last; repeated rows
+Defined results: texts count whole, however long; a null one has size 1; null keys come last; repeated rows
 are separate, and spread over partitions by a salt; an empty table gives no
 rows.  Rows that tie in key, CRC-32 and size are alike to the law: which of
 them takes which of their slots may differ between runs if other columns tell

@@ -20,8 +20,8 @@ reported totals.
 
 Defined results: null and empty texts are the end id alone; null document ids
 come last; document ids are whole numbers of 64 bits, other types raise
-ValueError; a token id that the width can't hold raises ValueError; repeated
-rows are documents of their own, in any order among rows of one id; an empty
+ValueError; a token id that the width can't hold raises ValueError; texts of
+any length are encoded whole, one at a time; repeated rows are documents of their own, in any order among rows of one id; an empty
 table gives no shards and no rows.  Files hold ids alone: other columns,
 whatever their names, don't come back.
 """
@@ -104,7 +104,7 @@ class Ranges:
 def ranges(ids: DataFrame, n: int) -> Ranges:
     """About n ranges of equal counts, from one aggregate over a column doc_id."""
     at = [k / n for k in range(1, n)] or [0.5]
-    r = ids.agg(F.count("*").alias("all"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", at, 10_000).alias("at")).first()
+    r = ids.agg(F.count("*").alias("all"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", at, max(10_000, 50 * n)).alias("at")).first()
     unknown = max(1, round(n * (1 - r["known"] / r["all"]))) if r["known"] < r["all"] else 0
     known = max(1, n - unknown) if r["known"] else 0
     every = np.array(r["at"] or [], dtype=np.int64)
@@ -118,9 +118,9 @@ def encoded(docs: DataFrame, path: str, text: str, doc_id: str, end: int | None,
     tail = b"" if end is None else end.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, turns = encoder(path), Counter()
+        own = encoder(path)
         for batch in batches:
-            parts, ids = [], []
+            parts, ids, turns = [], [], Counter()  # of equal texts in a batch; those of other batches are dealt out by their texts alike
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 plain = own.ids(t.as_py() or "") + tail
                 low, several = into.of(i)

@@ -22,7 +22,7 @@ A bounded sample of labelled documents (SAMPLE, a parameter) is split by a
 hash of their ids: two thirds give the token scores, and the law and the
 curve are fitted to the other third, whose texts the scores have not seen.
 
-Defined results: null and empty texts have no evidence and the score that no
+Defined results: texts are taken whole, however long; null and empty ones have no evidence and the score that no
 evidence gives; repeated label rows count once, as toxic if any is, and of rows with
 one id the text with the smallest hash is learnt from; labels that are null
 or have no document are ignored; where either part of the sample lacks a

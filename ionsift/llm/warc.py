@@ -15,7 +15,7 @@ well, for the task that owns it can't tell a damaged first member from chance
 bytes.  A member that must start and doesn't decode raises ValueError: an
 archive is read whole or not at all.
 
-Defined results: a null payload is empty; a null page id is never referred to
+Defined results: payloads are written whole, however long; a null one is empty; a null page id is never referred to
 if its group has another, and null ids come back as null; rows that repeat
 both the smallest id and the payload are all responses; a null url is written
 as urn:page:<id>; an empty table gives no archives and no rows.  Of pages only
