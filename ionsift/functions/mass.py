@@ -17,6 +17,15 @@ ADDUCT_MASS = {
     "[M+H]+": PROTON, "[M+NH4]+": 18.033825553, "[M-H2O+H]+": PROTON - WATER, "[M-2H2O+H]+": PROTON - 2 * WATER, "[M+Na]+": 22.989218, "[M+K]+": 38.963158,
     "[M-H]-": -PROTON, "[M-H2O-H]-": -WATER - PROTON, "[M+CH2O2-H]-": 46.005479303 - PROTON, "[M+Cl]-": 34.969402,
 }
+# The ions of a second table, each with its molecules, charge, atoms added and taken, protons, and electrons added.
+IONS = {
+    "[M+H]+": (1, 1, "", "", 1, 0), "[M+NH4]+": (1, 1, "NH4", "", 0, -1), "[M+Na]+": (1, 1, "Na", "", 0, -1), "[M+K]+": (1, 1, "K", "", 0, -1), "[M-H2O+H]+": (1, 1, "", "H2O", 1, 0),
+    "[M-2H2O+H]+": (1, 1, "", "H4O2", 1, 0), "[M+2H]2+": (1, 2, "", "", 2, 0), "[M]+": (1, 1, "", "", 0, -1), "[M-H2O]+": (1, 1, "", "H2O", 0, -1), "[M+CH3OH+H]+": (1, 1, "CH4O", "", 1, 0),
+    "[M+CH3CN+H]+": (1, 1, "C2H3N", "", 1, 0), "[M-H]-": (1, 1, "", "", -1, 0), "[M-H2O-H]-": (1, 1, "", "H2O", -1, 0), "[M+CH2O2-H]-": (1, 1, "CH2O2", "", -1, 0), "[M+C2H4O2-H]-": (1, 1, "C2H4O2", "", -1, 0),
+    "[M+Cl]-": (1, 1, "Cl", "", 0, 1), "[M]-": (1, 1, "", "", 0, 1), "[M-2H]-": (1, 2, "", "", -2, 0), "[M+Na-2H]-": (1, 1, "Na", "", -2, 0), "[2M+H]+": (2, 1, "", "", 1, 0), "[2M+Na]+": (2, 1, "Na", "", 0, -1),
+    "[2M+NH4]+": (2, 1, "NH4", "", 0, -1), "[2M+K]+": (2, 1, "K", "", 0, -1), "[2M-H]-": (2, 1, "", "", -1, 0), "[2M+CH2O2-H]-": (2, 1, "CH2O2", "", -1, 0), "[2M+C2H4O2-H]-": (2, 1, "C2H4O2", "", -1, 0),
+    "[2M+Na-2H]-": (2, 1, "Na", "", -2, 0), "[3M+H]+": (3, 1, "", "", 1, 0), "[3M-H]-": (3, 1, "", "", -1, 0),
+}
 FORMULA = "([A-Z][a-z]?)([0-9]*)"
 ADDUCT = r"^\[([0-9]*)M((?:[+-][A-Za-z0-9]+)*)\]([0-9]*)([+-])$"
 
@@ -99,6 +108,14 @@ def table_neutral_mass(adduct: Column, mz: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
+def ion_table_mass(adduct: Column, mz: Column) -> Column:
+    """(charge * mz - shift) / molecules by the table IONS, where finite and positive; null for other adducts."""
+    part = lambda i: F.try_element_at(literal_map({name: row[i] for name, row in IONS.items()}), adduct)
+    weight = lambda i: F.when(part(i) == "", F.lit(0.0)).otherwise(formula_mass(part(i)))
+    shift = weight(2) - weight(3) + part(4) * F.lit(PROTON) + part(5) * F.lit(ELECTRON)
+    return finite_positive((part(1) * mz - shift) / part(0))
+
+
 def ppm_error(mass: Column, center: Column) -> Column:
     return F.abs(mass - center) / center * 1e6
 

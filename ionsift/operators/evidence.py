@@ -7,9 +7,12 @@ are joins by bins of mass, then exact tolerances.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import motifs
 from ..functions.mass import ELECTRON, formula_mass, ion_neutral_mass, parse_adduct
 from ..functions.peaks import let
 from ..functions.text import high_resolution
@@ -24,6 +27,22 @@ RULES = [
     ("carbon_dioxide", "loss", "CO2", 0.0, BOTH, PROTONATED, 0.5), ("hexose_residue", "loss", "C6H10O5", 0.0, BOTH, PROTONATED, 0.7), ("deoxyhexose_residue", "loss", "C6H10O4", 0.0, BOTH, PROTONATED, 0.6),
     ("pentose_residue", "loss", "C5H8O4", 0.0, BOTH, PROTONATED, 0.6), ("phosphocholine", "ion", "C5H15NO4P", -ELECTRON, ["positive"], ["[M+H]+"], 1.0),
 ]
+# Broader rules of the same form, all of weight 1.
+POSITIVE, NEGATIVE = (-ELECTRON, ["positive"], ["[M+H]+"], 1.0), (ELECTRON, ["negative"], ["[M-H]-"], 1.0)
+BROAD_LOSS = (0.0, BOTH, PROTONATED, 1.0)
+BROAD = [
+    ("phenyl_ion", "ion", "C6H5", *POSITIVE), ("benzyl_tropylium_ion", "ion", "C7H7", *POSITIVE), ("benzoyl_ion", "ion", "C7H5O", *POSITIVE), ("benzoate_ion", "ion", "C7H5O2", *NEGATIVE),
+    ("phosphate_ion", "ion", "PO3", *NEGATIVE), ("dihydrogen_phosphate_ion", "ion", "H2PO4", *NEGATIVE), ("methanol", "loss", "CH4O", *BROAD_LOSS), ("sulfur_dioxide", "loss", "SO2", *BROAD_LOSS),
+    ("sulfur_trioxide", "loss", "SO3", *BROAD_LOSS), ("phosphoric_acid", "loss", "H3PO4", *BROAD_LOSS), ("metaphosphoric_acid", "loss", "HPO3", *BROAD_LOSS), ("acetic_acid", "loss", "C2H4O2", *BROAD_LOSS),
+]
+# The motif with which a structure supports each rule.
+PHOSPHATE = "[P](=[O])([O])([O])[O]"
+MOTIFS = {
+    "water": "[O;H1,H2]", "ammonia": "[N;H1,H2,H3]", "carbon_monoxide": "[C,c]=[O]", "carbon_dioxide": "[C](=[O])[O]", "hexose_residue": "[O;R]1[C;R][C;R][C;R][C;R][C;R]1",
+    "deoxyhexose_residue": "[O;R]1[C;R][C;R][C;R][C;R][C;R]1", "pentose_residue": "[O;R]1[C;R][C;R][C;R][C;R]1", "phosphocholine": "[P](=[O])([O])([O])[O]CC[N+](C)(C)C",
+    "phenyl_ion": "c1ccccc1", "benzyl_tropylium_ion": "c1ccccc1", "benzoyl_ion": "c1ccccc1[C](=[O])", "benzoate_ion": "c1ccccc1[C](=[O])[O]", "phosphate_ion": PHOSPHATE, "dihydrogen_phosphate_ion": PHOSPHATE,
+    "methanol": "[O][CH3]", "sulfur_dioxide": "[S](=[O])(=[O])", "sulfur_trioxide": "[S](=[O])(=[O])[O]", "phosphoric_acid": PHOSPHATE, "metaphosphoric_acid": PHOSPHATE, "acetic_acid": "[CH3][C](=[O])[O]",
+}
 KINDS = ["ion", "precursor_loss", "peak_loss"]
 
 
@@ -203,20 +222,123 @@ def diagnostic_ions(peaks: DataFrame, ions: DataFrame, ppm: float = 10.0, absolu
     return band_join(ions, peaks, m - _tolerance(m, ppm, absolute), m + _tolerance(m, ppm, absolute), F.col("mz"), 0.05)
 
 
+def support(g: Column, rules: list[str]) -> Column:
+    """How often a structure's graph has each rule's motif, in the rules' order; null for a null graph."""
+    return motifs.counts(g, [MOTIFS[r] for r in rules])
+
+
+def pooled(found: DataFrame, spectra: DataFrame, group: str, pooling: str = "mean") -> DataFrame:
+    """Each rule and kind's strength over a group's spectra (spectrum, group): (group, rule, kind, strength).
+
+    ``max`` is the largest, ``mean`` the mean over all spectra of the group,
+    those without the evidence at 0, and ``intensity`` the mean of the squares,
+    the peaks' intensities.  A group without evidence has no rows.
+    """
+    if pooling not in ("max", "mean", "intensity"):
+        raise ValueError(pooling)
+    own, s = spectra.select("spectrum", group), F.col("strength")
+    top = strongest(found, ["spectrum"], ["rule", "kind"]).join(own, "spectrum")
+    if pooling == "max":
+        return top.groupBy(group, "rule", "kind").agg(F.max(s).alias("strength"))
+    n = own.groupBy(group).agg(F.count("*").alias("__n"))
+    total = top.groupBy(group, "rule", "kind").agg(F.sum(s if pooling == "mean" else s * s).alias("__s"))
+    return total.join(n, group).select(group, "rule", "kind", (F.col("__s") / F.col("__n")).alias("strength"))
+
+
+def channel_rows(strengths: DataFrame, by: list[str], rules: list[str]) -> DataFrame:
+    """channels() as one array: (by, channels), three kinds a rule in the rules' order."""
+    wide = channels(strengths, by, rules)
+    return wide.select(*by, F.array(*[F.col(f"`{r}:{k}`") for r in rules for k in KINDS]).alias("channels"))
+
+
 def compatibility(channels: Column, support: Column) -> Column:
     """Observed channels (three kinds a rule, in the rules' order) where the candidate supports the rule, else 0."""
     return F.transform(channels, lambda x, at: x * F.get(support, F.floor(at / 3).cast("int")))
 
 
-def with_bonus(score: Column, channels: Column, support: Column, weights: list[float], budget: float = 0.05) -> Column:
-    """The score plus the weighed compatible channels; weights are not negative and stay within a budget."""
+def multiplicity(channels: Column, counts: Column) -> Column:
+    """Observed channels by how often the candidate has the rule's motif beyond once, (n - 1) / (n + 1)."""
+    more = F.transform(counts, lambda n: F.greatest(n - 1, F.lit(0)) / (n + 1))
+    return compatibility(channels, more)
+
+
+def bonus(score: Column, evidence: Column, weights: list[float], budget: float = 0.05) -> Column:
+    """The score plus the weighed evidence (an array, null counts as 0); weights are not negative and stay within a budget."""
     if any(not 0 <= w < float("inf") for w in weights) or sum(weights) > budget + 1e-9:
         raise ValueError("weights are finite, not negative, and within the budget")
     own = F.array(*[F.lit(float(w)) for w in weights])
-    delta = F.aggregate(F.zip_with(compatibility(channels, support), own, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    delta = F.aggregate(F.zip_with(evidence, own, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     return F.when(delta > 0, score + delta).otherwise(score)
 
 
+def with_bonus(score: Column, channels: Column, support: Column, weights: list[float], budget: float = 0.05) -> Column:
+    """bonus() by the compatible channels."""
+    return bonus(score, compatibility(channels, support), weights, budget)
+
+
+@dataclass(frozen=True)
+class Bonus:
+    """A way of adding evidence to candidates' scores: rules, how spectra are pooled, the weights' budget, and what is weighed beside the compatible channels.
+
+    ``extra``: "counts" (multiplicity()), "predicted" (channels by the
+    candidate's predicted ones, cut to 0..1), "conditional" (conditional()).
+    """
+
+    rules: tuple[str, ...]
+    pooling: str = "mean"
+    budget: float = 0.05
+    extra: str | None = None
+
+    @property
+    def dimension(self) -> int:
+        return len(self.rules) * len(KINDS) * (2 if self.extra else 1)
+
+
+FIRST_RULES = tuple(r[0] for r in RULES)
+ALL_RULES = (*FIRST_RULES, *(r[0] for r in BROAD))
+BONUSES = {
+    "first": Bonus(FIRST_RULES), "extended": Bonus(ALL_RULES), "max": Bonus(ALL_RULES, "max"), "intensity": Bonus(ALL_RULES, "intensity"), "full_gap": Bonus(ALL_RULES, budget=2.0),
+    "count": Bonus(ALL_RULES, budget=2.0, extra="counts"), "forward": Bonus(ALL_RULES, budget=2.0, extra="predicted"), "energy": Bonus(ALL_RULES, budget=2.0, extra="conditional"),
+}
+
+
+def candidate_bonus(candidates: DataFrame, found: DataFrame, spectra: DataFrame, group: str, way: Bonus, weights: list[float]) -> DataFrame:
+    """Candidates (group, key, score, counts, and predicted or conditional if the way asks for them) with their scores raised: all their columns.
+
+    counts are support()'s, in the way's order of rules.  Scores never fall,
+    and stay as they are for groups without evidence and candidates whose
+    structure is unknown (null counts).
+    """
+    if len(weights) != way.dimension:
+        raise ValueError(f"{way.dimension} weights are needed, not {len(weights)}")
+    seen = channel_rows(pooled(found.where(F.col("rule").isin(*way.rules)), spectra, group, way.pooling), [group], list(way.rules))
+    c, n = F.col("channels"), F.col("counts")
+    has = F.transform(n, lambda k: (k > 0).cast("double"))
+    evidence = compatibility(c, has)
+    if way.extra == "counts":
+        evidence = F.concat(evidence, multiplicity(compatibility(c, has), n))
+    elif way.extra == "predicted":
+        evidence = F.concat(evidence, F.zip_with(c, "predicted", lambda x, p: x * F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))))
+    elif way.extra == "conditional":
+        evidence = F.concat(evidence, F.coalesce("conditional", F.transform(c, lambda x: F.lit(0.0))))
+    rows = candidates.join(seen, group, "left")
+    return rows.withColumn("score", F.when(c.isNotNull() & n.isNotNull(), bonus(F.col("score"), evidence, weights, way.budget)).otherwise(F.col("score"))).select(*candidates.columns)
+
+
+def conditional(found: DataFrame, spectra: DataFrame, predicted: DataFrame, group: str, key: str, rules: list[str]) -> DataFrame:
+    """Each spectrum's channels by those predicted for a candidate at the spectrum's conditions, cut to 0..1, summed over spectra and divided by the number of all the group's: (group, key, conditional).
+
+    predicted is (spectrum, key, predicted); spectra without evidence or a
+    prediction add nothing.
+    """
+    own = spectra.select("spectrum", group)
+    n = own.groupBy(group).agg(F.count("*").alias("__n"))
+    rows = channel_rows(strongest(found, ["spectrum"], ["rule", "kind"]), ["spectrum"], rules).join(own, "spectrum").join(predicted.select("spectrum", key, "predicted"), "spectrum")
+    part = lambda i: F.sum(F.col("channels")[i] * F.least(F.greatest(F.get("predicted", F.lit(i)), F.lit(0.0)), F.lit(1.0)))
+    total = rows.groupBy(group, key).agg(F.array(*[F.coalesce(part(i), F.lit(0.0)) for i in range(len(rules) * len(KINDS))]).alias("__s"))
+    return total.join(n, group).select(group, key, F.transform("__s", lambda x: x / F.col("__n")).alias("conditional"))
+
+
 def informative_row(df: DataFrame, group: str, intensities: str, content: list[str]) -> DataFrame:
     """Each group's row with the most effective peaks; ties by a hash of the content."""
     from pyspark.sql import Window

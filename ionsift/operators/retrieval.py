@@ -233,6 +233,28 @@ def masked_baselines(centers: DataFrame, pool: DataFrame, bits: DataFrame, libra
     return ranks.join(names, "case"), confidences(cases, masked, "case").join(names, "case")
 
 
+def records(rankings: DataFrame, known: DataFrame, group: str = "group", key: str = "key", library: str = "library", size: int = 25) -> DataFrame:
+    """One row for each group with all variants of its ranking: (group, rankings, confidence, margin, candidates, known).
+
+    rankings is long (group, variant, key, score), a key once a variant; what
+    becomes an array is each variant's first ``size`` keys, by falling score,
+    then key.  confidence is the best score of the variant ``library``, margin
+    how far the second is below it (0 and the confidence where there is none);
+    candidates counts the group's distinct keys over all variants, and known
+    says whether the group is in ``known``.
+    """
+    ordered = ranking.ranked(rankings.where(F.col("variant").isNotNull()), [group, "variant"], key=key)
+    first = lambda i: F.max(F.when((F.col("variant") == library) & (F.col("rank") == i), F.col("score")))
+    few = ordered.where(F.col("rank") <= max(size, 2))
+    lists_ = few.groupBy(group, "variant").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= size, F.struct("rank", F.col(key).alias("key"))))).alias("l"), first(1).alias("a"), first(2).alias("b"))
+    variants = F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", F.transform("l", lambda x: x["key"]).alias("keys")))))
+    wide = lists_.groupBy(group).agg(variants.alias("rankings"), F.coalesce(F.max("a"), F.lit(0.0)).alias("confidence"), F.coalesce(F.max("b"), F.lit(0.0)).alias("__second"))
+    sizes = rankings.where(F.col("variant").isNotNull()).groupBy(group).agg(F.countDistinct(key).alias("candidates"))
+    seen = known.select(group).distinct().withColumn("__known", F.lit(True))
+    out = wide.join(sizes, group).join(seen, group, "left")
+    return out.select(group, "rankings", "confidence", (F.col("confidence") - F.col("__second")).alias("margin"), "candidates", F.coalesce("__known", F.lit(False)).alias("known"))
+
+
 def candidate_window(centers: DataFrame, catalog: DataFrame) -> DataFrame:
     """(group, center, key, mass): the catalog's structures in the window of any of a group's centers, each once."""
     return range_join.union_window(centers, catalog.select("key", "mass"), "group", "key")

@@ -70,3 +70,33 @@ class Registry:
 def reused(requests: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Requests that a table of earlier scores answers, and those it doesn't."""
     return requests.join(cache, keys), requests.join(cache.select(*keys).distinct(), keys, "left_anti")
+
+
+def context_identity(**settings: Column) -> Column:
+    """The digest of all settings that a score depends on, by their names' order: equal for equal settings, nulls included."""
+    named = F.struct(*[settings[name].alias(name) for name in sorted(settings)])
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
+
+
+def candidate_identity(key: Column, structure: Column) -> Column:
+    """The digest of a candidate's key and structure."""
+    return F.sha2(F.to_json(F.array(key.cast("string"), structure.cast("string")), {"ignoreNullFields": "false"}), 256)
+
+
+def admitted(results: DataFrame, scores: DataFrame, candidates: DataFrame, context: str = "context", key: str = "key", score: str = "score") -> tuple[DataFrame, DataFrame]:
+    """The scores that may be reused, and each result's outcome (context, outcome).
+
+    A result (context, status) is admitted whole or not at all: it is complete,
+    and all its scores are finite and of its candidates (context, key).  Of
+    several reasons the first holds: ``incomplete``, ``unknown_candidate``,
+    ``invalid_score``.  A context with several results is complete if all of
+    them are; scores without a result are nobody's and not admitted.
+    """
+    known = candidates.select(context, key).distinct().withColumn("__known", F.lit(True))
+    value = F.col(score).cast("double")
+    finite = F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+    flags = scores.join(known, [context, key], "left").groupBy(context).agg(F.bool_or(F.col("__known").isNull()).alias("__foreign"), F.bool_or(~finite).alias("__odd"))
+    done = results.groupBy(context).agg(F.bool_and(F.coalesce(F.col("status") == "complete", F.lit(False))).alias("__done"))
+    outcome = F.when(~F.col("__done"), "incomplete").when(F.col("__foreign"), "unknown_candidate").when(F.col("__odd"), "invalid_score").otherwise("admitted")
+    outcomes = done.join(flags, context, "left").select(context, outcome.alias("outcome"))
+    return scores.join(outcomes.where("outcome = 'admitted'").select(context), context, "left_semi"), outcomes
