@@ -145,6 +145,25 @@ def atom_mass(atom: Column) -> Column:
     return F.try_element_at(table, atom["symbol"]) + atom["hydrogens"] * ATOMIC_MASS["H"]
 
 
+# Masses of isotopes that structures name.
+ISOTOPE_MASS = {
+    "2H": 2.01410177812, "3H": 3.0160492779, "13C": 13.00335483507, "14C": 14.0032419884, "15N": 15.00010889888, "17O": 16.9991317565, "18O": 17.99915961286, "33S": 32.9714589098, "34S": 33.967867004,
+    "37Cl": 36.965902602, "81Br": 80.9162897, "125I": 124.9046294,
+}
+
+
+def token_mass(token: Column) -> Column:
+    """The mass of a SMILES token's atom without its hydrogens, 0 for other tokens and unknown elements; a named isotope counts with its own mass, or its number where that isn't listed.  Summed it bounds a neutral structure's mass from below."""
+    inner = r"^\[([0-9]*)([A-Z][a-z]?|[bcnops]|se)"
+    bracket = token.startswith("[")
+    element = F.initcap(F.when(bracket, F.regexp_extract(token, inner, 2)).when(token.rlike("^(Br|Cl|Si|Se|se|[BCNOPSFI]|[bcnops])$"), token))
+    number = F.when(bracket, F.regexp_extract(token, inner, 1)).otherwise("")
+    table = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    plain = F.try_element_at(table(MASSES), element)
+    isotope = F.coalesce(F.try_element_at(table(ISOTOPE_MASS), F.concat(number, element)), number.try_cast("double"))
+    return F.coalesce(F.when(plain.isNotNull() & (number != ""), isotope).otherwise(plain), F.lit(0.0))
+
+
 def composition(g: Column) -> Column:
     """Struct (formula, mass, charge, parts, carbons, generic, isotopes) of a graph: the Hill formula, the neutral atoms' mass less the charge's electrons, the sum of charges, how many parts dots separate, carbon atoms, whether any atom is a wildcard, whether any isotope is named.  Null for a null graph."""
     from .mass import ELECTRON

@@ -15,6 +15,7 @@ pattern count once.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -149,6 +150,36 @@ class Structure:
             partial += [(*chosen, v) for v in self.near[chosen[m.bonds[k][0][0]]] if v in fine[k] and v not in chosen and all(self._bonded(chosen[u], v, order) for u, order in m.bonds[k])]
         return found
 
+    def sides(self, hydrogens: bool = False) -> set[tuple[tuple[str, int], ...]]:
+        """The compositions of both sides of every single bond that lies on no ring, as rising (element, count); empty for a structure of several parts.  Without hydrogens unless asked for, which stay where they were."""
+        n, found = len(self.atoms), set()
+        if len(self._reached(0)) < n:
+            return found
+        for a in range(n):
+            for b, order in self.near[a].items():
+                if order == 1.0:
+                    side = self._reached(a, b)  # each bond is met from both of its ends
+                    if b not in side:
+                        found.add(self._composition(side, hydrogens))
+        return found
+
+    def _reached(self, start: int, without: int = -1) -> set[int]:
+        """The atoms that bonds lead to from one, but for its own bond to ``without``."""
+        seen, todo = {start}, [start]
+        while todo:
+            u = todo.pop()
+            more = [v for v in self.near[u] if v not in seen and not (u == start and v == without)]
+            seen.update(more)
+            todo += more
+        return seen
+
+    def _composition(self, atoms: set[int], hydrogens: bool) -> tuple[tuple[str, int], ...]:
+        n = Counter(self.atoms[i]["symbol"] for i in atoms)
+        written = n.pop("H", 0)
+        if hydrogens:  # an atom's number counts those that are written as atoms too
+            n["H"] = sum(self.atoms[i]["hydrogens"] for i in atoms if self.atoms[i]["symbol"] != "H") + (written if not n else 0)
+        return tuple(sorted((e, k) for e, k in n.items() if k))
+
     def _bonded(self, u: int, v: int, order: float | None) -> bool:
         has = self.near[u].get(v)
         return has is not None and (order == 0 or has == order or order is None and has in (1.0, 1.5))
@@ -169,3 +200,20 @@ def counts(g: Column, patterns: list[str]) -> Column:
             yield pa.array(rows, pa.list_(pa.int32()))
 
     return counted(g)
+
+
+def connected(g: Column, formulas: list[str | None], hydrogens: bool = False) -> Column:
+    """Whether each formula is what a structure's graph has on one side of a single bond outside rings, by atoms other than hydrogen unless those are asked for: an array in the formulas' order, null for a null graph, false for structures of several parts; no formula (None) asks for nothing and is true."""
+    kinds = [f and tuple(sorted((e, int(n or 1)) for e, n in re.findall("([A-Z][a-z]?)([0-9]*)", f) if hydrogens or e != "H")) for f in formulas]
+
+    @F.arrow_udf("array<boolean>")
+    def has(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for x in batch:
+                g = x.as_py()
+                own = Structure(g["atoms"], g["bonds"]).sides(hydrogens) if g else None
+                rows.append(None if own is None else [k is None or k in own for k in kinds])
+            yield pa.array(rows, pa.list_(pa.bool_()))
+
+    return has(g)

@@ -80,6 +80,24 @@ def imported(rows: DataFrame, origin: str, computed_key: Column | None = None) -
     return out.drop("__declared", "__graph", "__c")
 
 
+def charged_imported(rows: DataFrame, computed_key: Column | None = None, most: int = 8) -> DataFrame:
+    """A catalog's charged structures (inchikey14, normalized_smiles): every row with ``reason``, ``formula``, ``mass`` (less the electrons of the charge) and ``formal_charge``.
+
+    What imported() rejects for its charge is retained here: one part with
+    carbon, a net charge of 1 to ``most`` either way, no wildcard, no isotope.
+    Keys are compared as imported() does; stereo marks stay in the structure.
+    """
+    own = rows.drop("mass", "reason", "formula", "formal_charge").withColumn("__graph", graphs.graph(F.col("normalized_smiles")))
+    own = own.withColumn("__c", graphs.composition(F.col("__graph")))
+    c, key = F.col("__c"), F.coalesce(F.col("inchikey14"), F.lit(""))
+    identical = key.rlike("^[A-Z]{14}$") & (computed_key.eqNullSafe(key) if computed_key is not None else F.lit(True))
+    out = with_reason(own, [
+        ("invalid", c.isNotNull()), ("net_neutral", c["charge"] != 0), ("charge_out_of_supported_range", F.abs(c["charge"]) <= most), ("mixture_or_nonorganic", (c["parts"] == 1) & (c["carbons"] > 0)),
+        ("generic_or_isotopic", ~c["generic"] & ~c["isotopes"]), ("identity_disagreement", identical), ("invalid_mass", c["mass"] > 0),
+    ])
+    return out.withColumns({"formula": c["formula"], "mass": c["mass"], "formal_charge": c["charge"]}).drop("__graph", "__c")
+
+
 def catalog_of(rows: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """imported() tables as one catalog, each key once, of the earliest table that has it; and the rows of each origin by reason.  Read the tables from a checkpoint if both are needed."""
     kept = [r.where("reason = 'retained'").select("inchikey14", "normalized_smiles", "mass", "formula", "origin") for r in rows]

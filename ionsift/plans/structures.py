@@ -134,3 +134,45 @@ def blob_window(t: Tables) -> DataFrame:
     at = new_folder(t.spark, "blobs")
     blobs.write(t.part, at, "p_name", "p_retailprice", block=256)
     return blobs.window(t.spark, at, 905.25, 940.5).select(F.round("mass", 4).alias("mass"), "value")
+
+
+# How every eighth of the parts' structures is charged: what goes before and after them, and what becomes of it.
+CHARGED = [
+    ("", "", "net_neutral"), ("[NH3+]", "", "retained"), ("[NH3+]", ".O", "mixture_or_nonorganic"), ("[15NH3+]", "", "generic_or_isotopic"), ("C(", "", "invalid"), ("[NH2+]" * 9, "", "charge_out_of_supported_range"),
+    ("[NH3+]", "", "identity_disagreement"), ("[O-]", "", "retained"),
+]
+N_MASS, H_MASS, O_MASS, E_MASS = mass.ATOMIC_MASS["N"], mass.ATOMIC_MASS["H"], mass.ATOMIC_MASS["O"], mass.ELECTRON
+
+
+@query(
+    f"""with {STRUCTURES}, ways(w, reason) as (values {', '.join(f"({i}, '{r}')" for i, (_, _, r) in enumerate(CHARGED))})
+    select k, reason, case when reason = 'retained' then round(mass + case w when 1 then {N_MASS + 2 * H_MASS - E_MASS!r}::double else {O_MASS - H_MASS + E_MASS!r}::double end, 6) end as mass, case when reason = 'retained' then case w when 1 then 1 else -1 end end as formal_charge
+    from st join ways on w = k % 8"""
+)
+def charged_catalog(t: Tables) -> DataFrame:
+    """Structures charged in eight ways through the normaliser of charged ones."""
+    way = (F.col("k") % 8).cast("int")
+    piece = lambda i: F.get(F.array(*[F.lit(c[i]) for c in CHARGED]), way)
+    letters = F.translate(F.lpad(F.col("k").cast("string"), 14, "0"), "0123456789", "ABCDEFGHIJ")
+    rows = structures(t).select("k", F.concat(piece(0), F.col("plain"), piece(1)).alias("normalized_smiles"), F.when(piece(2) == "identity_disagreement", F.lower(letters)).otherwise(letters).alias("inchikey14"))
+    out, kept = catalog.charged_imported(rows), F.col("reason") == "retained"
+    return out.select("k", "reason", F.when(kept, F.round("mass", 6)).alias("mass"), F.when(kept, F.col("formal_charge")).alias("formal_charge"))
+
+
+def _heavy(formula: str) -> float:
+    import re
+
+    return _formula_mass("".join(e + n for e, n in re.findall("([A-Z][a-z]?)([0-9]*)", formula) if e != "H"))
+
+
+HEAVY_SQL = ", ".join(f"({i}, {_heavy(f)!r}::double)" for i, (_, f) in enumerate(ENDS))
+
+
+@query(
+    f"""with {STRUCTURES}, heavy(e, h) as (values {HEAVY_SQL})
+    select k, round(h + extra * {mass.ATOMIC_MASS['C']!r}::double + case fault when 5 then {graphs.ISOTOPE_MASS['13C']!r}::double when 7 then {N_MASS!r}::double else 0 end, 6) as lower_bound from st join heavy using (e) where fault in (0, 5, 7, 11)"""
+)
+def token_masses(t: Tables) -> DataFrame:
+    """The lower bound of each structure's mass by its tokens, also with isotopes, charges and wildcards."""
+    masses = F.transform(smiles_tokens(F.col("smiles")), graphs.token_mass)
+    return structures(t).where("fault in (0, 5, 7, 11)").select("k", F.round(F.aggregate(masses, F.lit(0.0), lambda s, x: s + x), 6).alias("lower_bound"))

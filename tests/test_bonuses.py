@@ -172,3 +172,47 @@ def test_ion_table(spark):
         elif r["a"] not in mass.IONS:
             assert r["t"] is None
     assert len(mass.IONS) == 29
+
+
+def test_sides_by_hand():
+    """Rings, double bonds and several parts have no sides there; hydrogens stay where they were."""
+    assert structure("CCO").sides() == {(("C", 1),), (("C", 1), ("O", 1)), (("C", 2),), (("O", 1),)}
+    assert structure("CCO").sides(True) == {(("C", 1), ("H", 3)), (("C", 1), ("H", 3), ("O", 1)), (("C", 2), ("H", 5)), (("H", 1), ("O", 1))}
+    assert structure("C1CC1").sides() == set() and structure("C=O").sides() == set() and structure("CC.O").sides() == set()
+    assert structure("Cc1ccccc1").sides() == {(("C", 1),), (("C", 6),)}
+    assert structure("C=CC#N").sides(True) == {(("C", 2), ("H", 3)), (("C", 1), ("N", 1))}
+
+
+def test_connected_support(spark):
+    """An aromatic acid's phenyl and benzoyl come off by a single bond; a fused ring has no phenyl side, though the motif occurs; several parts have none."""
+    rows = ["c1ccccc1C(=O)O", "c1ccc2ccccc2c1", "CCc1ccccc1", "CCOC", "c1ccccc1.C", "CCC(=O)c1ccccc1"]
+    df = spark.createDataFrame([(s,) for s in [*rows, None]], "s string").withColumn("g", graphs.graph(F.col("s")))
+    rules = list(evidence.ALL_RULES)
+    broad = {r[0] for r in evidence.BROAD}
+    df = df.select("s", evidence.support(F.col("g"), rules).alias("plain"), evidence.connected_support(F.col("g"), rules).alias("c"), evidence.exact_support(F.col("g"), rules).alias("x"))
+    out = {r["s"]: r.asDict() for r in df.collect()}
+    assert out.pop(None) == {"s": None, "plain": None, "c": None, "x": None}
+    named = lambda s, c: {r for r, n in zip(rules, out[s][c], strict=True) if n}
+    for s in rows:
+        assert named(s, "c") <= named(s, "plain") and named(s, "plain") - named(s, "c") <= broad and set(rules) - broad <= named(s, "x")
+    kept = {s: named(s, "c") & broad for s in rows}
+    assert kept == {rows[0]: {"phenyl_ion", "benzoyl_ion"}, rows[1]: set(), rows[2]: {"phenyl_ion", "benzyl_tropylium_ion"}, rows[3]: {"methanol"}, rows[4]: set(), rows[5]: {"phenyl_ion", "benzoyl_ion"}}
+    assert {s: named(s, "x") & broad for s in rows[:3]} == {rows[0]: {"phenyl_ion", "benzoyl_ion"}, rows[1]: set(), rows[2]: {"phenyl_ion", "benzyl_tropylium_ion"}}
+
+
+def test_refined_ions(spark, seen):
+    """An ion of a refined rule counts for exact candidates alone; its losses and other rules' ions are left as they are."""
+    found = spark.createDataFrame([(1, "benzoyl_ion", "ion", 1.0), (1, "phenyl_ion", "ion", 1.0), (1, "water", "peak_loss", 1.0)], "spectrum long, rule string, kind string, strength double")
+    spectra, rules = spark.createDataFrame([(1, 7)], "spectrum long, grp long"), evidence.ALL_RULES
+    rows = [(7, k, 0.0, [1] * 20, [yes or r not in ("benzoyl_ion", "phenyl_ion") for r in rules]) for k, yes in (("a", True), ("b", False))]
+    df = spark.createDataFrame(rows, "grp long, key string, score double, counts array<int>, exact array<boolean>")
+    got = {r["key"]: r["score"] for r in evidence.candidate_bonus(df, found, spectra, "grp", evidence.BONUSES["aromatic"], [2.0 / 60] * 60).collect()}
+    assert got == pytest.approx({"a": 3 * 2.0 / 60, "b": 2 * 2.0 / 60})
+
+
+def test_token_masses(spark):
+    tokens = {"C": 12.0, "c": 12.0, "Cl": mass.ATOMIC_MASS["Cl"], "[nH]": mass.ATOMIC_MASS["N"], "[13CH3]": graphs.ISOTOPE_MASS["13C"], "[2H]": graphs.ISOTOPE_MASS["2H"], "[11CH4]": 11.0, "=": 0.0, "(": 0.0, "1": 0.0, "%10": 0.0, "[*]": 0.0, "*": 0.0, "[Xx]": 0.0, "[Na+]": mass.ATOMIC_MASS["Na"], "[C@@H]": 12.0, "<eos>": 0.0}
+    df = spark.createDataFrame([(t,) for t in [*tokens, None]], "t string")
+    got = {r["t"]: r["m"] for r in df.select("t", graphs.token_mass(F.col("t")).alias("m")).collect()}
+    assert got.pop(None) == 0.0
+    assert got == pytest.approx(tokens)
