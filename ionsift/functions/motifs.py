@@ -129,6 +129,7 @@ class Structure:
         rings = in_rings(len(atoms), [(x["a"], x["b"]) for x in bonds])
         own = lambda i: sum(atoms[j]["symbol"] == "H" for j in self.near[i])  # noqa: E731  hydrogens written as atoms
         self.atoms = [{**a, "hydrogens": a["hydrogens"] + own(i), "ring": i in rings} for i, a in enumerate(atoms)]
+        self._fine: dict[Clauses, set[int]] = {}
 
     def fits(self, clauses: Clauses, i: int) -> bool:
         atom = self.atoms[i]
@@ -136,9 +137,13 @@ class Structure:
 
     def occurrences(self, m: Motif) -> set[frozenset[int]]:
         """The sets of atoms that the motif lies on."""
-        fine = [{i for i in range(len(self.atoms)) if self.fits(c, i)} for c in m.atoms]
-        if not all(fine):
-            return set()
+        fine: list[set[int]] = []
+        for clauses in m.atoms:  # motifs share conditions, and most fail at their first rare atom
+            if clauses not in self._fine:
+                self._fine[clauses] = {i for i in range(len(self.atoms)) if self.fits(clauses, i)}
+            if not self._fine[clauses]:
+                return set()
+            fine.append(self._fine[clauses])
         found: set[frozenset[int]] = set()
         partial = [(i,) for i in fine[0]]
         while partial:  # depth first, so as many are held as the motif has atoms times an atom's neighbours
@@ -187,7 +192,7 @@ class Structure:
 
 def counts(g: Column, patterns: list[str]) -> Column:
     """How often each pattern occurs in a graph of graphs.graph(): an array in the patterns' order, null for a null graph."""
-    motifs = [motif(p) for p in patterns]
+    motifs = {p: motif(p) for p in patterns}  # each once, however often it is asked for
 
     @F.arrow_udf("array<int>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -196,7 +201,8 @@ def counts(g: Column, patterns: list[str]) -> Column:
             for x in batch:
                 g = x.as_py()
                 own = Structure(g["atoms"], g["bonds"]) if g else None
-                rows.append(own and [len(own.occurrences(m)) for m in motifs])
+                found = {p: len(own.occurrences(m)) for p, m in motifs.items()} if own else {}
+                rows.append([found[p] for p in patterns] if own else None)
             yield pa.array(rows, pa.list_(pa.int32()))
 
     return counted(g)
