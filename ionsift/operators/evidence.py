@@ -232,9 +232,8 @@ FORMULAS = {r[0]: r[2] for r in BROAD}
 
 
 def connected_support(g: Column, rules: list[str]) -> Column:
-    """support(), where a broad rule counts only if the atoms of its formula, hydrogen aside, also are one side of a single bond outside rings."""
-    sides = motifs.connected(g, [FORMULAS.get(r) for r in rules])
-    return F.zip_with(support(g, rules), sides, lambda n, fine: F.when(fine, n).otherwise(0))
+    """Whether the atoms of a broad rule's formula, hydrogen aside, are one side of a single bond outside rings; true for other rules."""
+    return motifs.connected(g, [FORMULAS.get(r) for r in rules])
 
 
 def exact_support(g: Column, rules: list[str]) -> Column:
@@ -297,8 +296,8 @@ class Bonus:
 
     ``extra``: "counts" (multiplicity()), "predicted" (channels by the
     candidate's predicted ones, cut to 0..1), "conditional" (conditional()).
-    ``refined`` names rules whose ions count only for candidates that have
-    exact_support() for them.
+    ``refined`` names rules whose ions count only for candidates that also
+    have them by a column ``sides``: connected_support() or exact_support().
     """
 
     rules: tuple[str, ...]
@@ -316,16 +315,17 @@ FIRST_RULES = tuple(r[0] for r in RULES)
 ALL_RULES = (*FIRST_RULES, *(r[0] for r in BROAD))
 BONUSES = {
     "first": Bonus(FIRST_RULES), "extended": Bonus(ALL_RULES), "max": Bonus(ALL_RULES, "max"), "intensity": Bonus(ALL_RULES, "intensity"), "full_gap": Bonus(ALL_RULES, budget=2.0),
-    "connected": Bonus(ALL_RULES, budget=2.0), "count": Bonus(ALL_RULES, budget=2.0, extra="counts"), "forward": Bonus(ALL_RULES, budget=2.0, extra="predicted"), "energy": Bonus(ALL_RULES, budget=2.0, extra="conditional"),
+    "connected": Bonus(ALL_RULES, budget=2.0, refined=tuple(r[0] for r in BROAD if r[1] == "ion")), "count": Bonus(ALL_RULES, budget=2.0, extra="counts"), "forward": Bonus(ALL_RULES, budget=2.0, extra="predicted"), "energy": Bonus(ALL_RULES, budget=2.0, extra="conditional"),
     "aromatic": Bonus(ALL_RULES, budget=2.0, refined=("benzyl_tropylium_ion", "benzoyl_ion", "benzoate_ion")),
 }
 
 
 def candidate_bonus(candidates: DataFrame, found: DataFrame, spectra: DataFrame, group: str, way: Bonus, weights: list[float]) -> DataFrame:
-    """Candidates (group, key, score, counts, and predicted, conditional or exact if the way asks for them) with their scores raised: all their columns.
+    """Candidates (group, key, score, counts, and predicted, conditional or sides if the way asks for them) with their scores raised: all their columns.
 
-    counts are support()'s, or connected_support()'s for the way of that name,
-    in the way's order of rules.  Scores never fall,
+    counts are support()'s, in the way's order of rules; sides are
+    connected_support()'s for the way "connected", exact_support()'s for
+    "aromatic".  Scores never fall,
     and stay as they are for groups without evidence and candidates whose
     structure is unknown (null counts).
     """
@@ -337,7 +337,7 @@ def candidate_bonus(candidates: DataFrame, found: DataFrame, spectra: DataFrame,
     evidence = compatibility(c, has)
     if way.refined:
         ions = [k == "ion" and r in way.refined for r in way.rules for k in KINDS]
-        exact = F.array(*[F.col("exact")[i // len(KINDS)] if ion else F.lit(True) for i, ion in enumerate(ions)])
+        exact = F.array(*[F.col("sides")[i // len(KINDS)] if ion else F.lit(True) for i, ion in enumerate(ions)])
         evidence = F.zip_with(evidence, exact, lambda x, fine: F.when(fine, x).otherwise(0.0))
     if way.extra == "counts":
         evidence = F.concat(evidence, multiplicity(compatibility(c, has), n))

@@ -194,10 +194,10 @@ def test_connected_support(spark):
     assert out.pop(None) == {"s": None, "plain": None, "c": None, "x": None}
     named = lambda s, c: {r for r, n in zip(rules, out[s][c], strict=True) if n}
     for s in rows:
-        assert named(s, "c") <= named(s, "plain") and named(s, "plain") - named(s, "c") <= broad and set(rules) - broad <= named(s, "x")
-    kept = {s: named(s, "c") & broad for s in rows}
+        assert set(rules) - broad <= named(s, "x") <= named(s, "c")
+    kept = {s: named(s, "c") & named(s, "plain") & broad for s in rows}
     assert kept == {rows[0]: {"phenyl_ion", "benzoyl_ion"}, rows[1]: set(), rows[2]: {"phenyl_ion", "benzyl_tropylium_ion"}, rows[3]: {"methanol"}, rows[4]: set(), rows[5]: {"phenyl_ion", "benzoyl_ion"}}
-    assert {s: named(s, "x") & broad for s in rows[:3]} == {rows[0]: {"phenyl_ion", "benzoyl_ion"}, rows[1]: set(), rows[2]: {"phenyl_ion", "benzyl_tropylium_ion"}}
+    assert {s: named(s, "x") & named(s, "plain") & broad for s in rows[:3]} == {rows[0]: {"phenyl_ion", "benzoyl_ion"}, rows[1]: set(), rows[2]: {"phenyl_ion", "benzyl_tropylium_ion"}}
 
 
 def test_refined_ions(spark, seen):
@@ -205,9 +205,11 @@ def test_refined_ions(spark, seen):
     found = spark.createDataFrame([(1, "benzoyl_ion", "ion", 1.0), (1, "phenyl_ion", "ion", 1.0), (1, "water", "peak_loss", 1.0)], "spectrum long, rule string, kind string, strength double")
     spectra, rules = spark.createDataFrame([(1, 7)], "spectrum long, grp long"), evidence.ALL_RULES
     rows = [(7, k, 0.0, [1] * 20, [yes or r not in ("benzoyl_ion", "phenyl_ion") for r in rules]) for k, yes in (("a", True), ("b", False))]
-    df = spark.createDataFrame(rows, "grp long, key string, score double, counts array<int>, exact array<boolean>")
+    df = spark.createDataFrame(rows, "grp long, key string, score double, counts array<int>, sides array<boolean>")
     got = {r["key"]: r["score"] for r in evidence.candidate_bonus(df, found, spectra, "grp", evidence.BONUSES["aromatic"], [2.0 / 60] * 60).collect()}
     assert got == pytest.approx({"a": 3 * 2.0 / 60, "b": 2 * 2.0 / 60})
+    got = {r["key"]: r["score"] for r in evidence.candidate_bonus(df, found, spectra, "grp", evidence.BONUSES["connected"], [2.0 / 60] * 60).collect()}
+    assert got == pytest.approx({"a": 3 * 2.0 / 60, "b": 2.0 / 60})  # all six ions
 
 
 def test_token_masses(spark):
