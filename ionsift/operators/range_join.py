@@ -48,6 +48,22 @@ def mass_window(centers: DataFrame, catalog: DataFrame, center: str = "center",
     return band_join(centers.where(c.isNotNull()), catalog, c - d, c + d, F.col(mass), width)
 
 
+def window_top(centers: DataFrame, catalog: DataFrame, k: int, score: Column, within: list[Column | str] | None = None, key: str = "key", center: str = "center", mass: str = "mass", **tolerance: float) -> DataFrame:
+    """(center, the catalog's columns, score, rank): the k rows of each distinct center's window by falling score, then key.
+
+    ``score`` is of center, mass and the catalog's columns; ``within`` is the
+    order that it gives rows of one mass, whatever the center (by key alone
+    where it depends on the two masses).  Rows of one mass are in the same
+    windows, so only the first k of each mass can be among any window's k, and
+    a center that many queries share is met once.
+    """
+    first = Window.partitionBy(mass).orderBy(*(within or [key]))
+    few = catalog.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
+    hits = mass_window(centers.select(center).distinct(), few, center, mass, **tolerance)
+    order = Window.partitionBy(center).orderBy(F.col("score").desc(), key)
+    return hits.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def near_any(catalog: DataFrame, centers: DataFrame, mass: str = "mass", center: str = "center", ppm: float = 35.0, floor: float = 0.0, width: float = 0.05) -> DataFrame:
     """Catalog rows with any center within a tolerance of the row's own mass (the nearest is within it exactly if any is).
 
