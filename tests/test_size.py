@@ -49,7 +49,7 @@ def test_windows_meet_few_rows_of_a_mass(spark, copies, monkeypatch, name, most)
     assert catalog.groupBy("mass").count().agg(F.max("count")).first()[0] <= most
 
 
-@pytest.mark.parametrize("name", ["supported_keys", "cascade_coarse", "cascade_rank", "consensus_search", "spectrum_axis_aggregates"])
+@pytest.mark.parametrize("name", ["supported_keys", "cascade_coarse", "cascade_rank", "consensus_search", "spectrum_axis_aggregates", "sparse_cosine_search"])
 def test_products_meet_in_blocks(spark, data, monkeypatch, name):
     """Small blocks give the same rows, and no row is made for a pair of a group and a reference."""
 
