@@ -71,3 +71,22 @@ def test_best_of_spectra_over_blocks(spark):
     rows_ = spark.createDataFrame([("g", "k", [0.1, 0.9]), ("g", "k", [0.5, 0.2]), ("g", "k", [0.3, 0.3]), ("g", "l", [0.0, 0.4])], "group string, key string, scores array<double>")
     found = {r["key"]: r["scores"] for r in similarity.best_of_spectra(rows_).collect()}
     assert found == {"k": [0.5, 0.9], "l": [0.0, 0.4]}
+
+
+@pytest.fixture(scope="module")
+def equal_peaks(spark, tmp_path_factory):
+    """Three spectra, each of whose peaks is there four times."""
+    at = str(tmp_path_factory.mktemp("peaks"))
+    n = spark.range(72)
+    events = n.select((F.col("id") % 18 + 50 + F.floor(F.col("id") / 18) * 1000).alias("event_id"), (F.col("id") % 3).alias("user_id"), (10.0 + F.floor(F.col("id") % 18 / 3)).alias("value"))
+    events.coalesce(1).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["nearest_peak_match"])
+def test_equal_peaks_count_once(spark, equal_peaks, name):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{equal_peaks}/events.parquet/*.parquet')")
+    cur = con.execute(ORACLE_SQL[name])
+    df = QUERIES[name](spark, equal_peaks)
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
