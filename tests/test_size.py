@@ -83,7 +83,7 @@ def equal_peaks(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["nearest_peak_match"])
+@pytest.mark.parametrize("name", ["nearest_peak_match", "pair_score"])
 def test_equal_peaks_count_once(spark, equal_peaks, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{equal_peaks}/events.parquet/*.parquet')")
