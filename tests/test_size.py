@@ -96,7 +96,7 @@ def test_equal_network_peaks_go_by_event(spark, equal_peaks):
     """Of equal peaks the first events stay, which the SQL leaves open; peaks are those of the SQL."""
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{equal_peaks}/events.parquet/*.parquet')")
-    peak = "select user_id, value, event_id % 1000 % 100 from events join ({}) x on spectrum = user_id and x.event_id = events.event_id order by all"
+    peak = "select user_id, value, events.event_id % 1000 from events join ({}) x on spectrum = user_id and x.event_id = events.event_id order by all"
     found = QUERIES["network_peaks"](spark, equal_peaks).toPandas()
     assert con.execute(peak.format("select * from found")).fetchall() == con.execute(peak.format(ORACLE_SQL["network_peaks"])).fetchall()
     assert set(found["event_id"] // 1000) == {0, 1, 2}  # three of four equal ones
