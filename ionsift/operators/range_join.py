@@ -168,16 +168,24 @@ def nearest_k(centers: DataFrame, catalog: DataFrame, query: str, k: int, mass:
     rows that tie with the k-th: positions bound the distance, then a window
     join takes all rows up to it.  Its bins are as wide as the window, to the
     next power of four, so that a bin holds few rows more than are asked for.
+    Rows of one mass tie, so that the first k of each mass are enough, and
+    centers that queries share are met once.
     """
-    around = nearest_positions(centers, catalog, query, mass, key, center, k)
+    w = Window.partitionBy(mass).orderBy(key)
+    few = catalog.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
+    own = centers.where(F.col(center).isNotNull()).select(center, F.col(center).alias("__of")).distinct()
+    around = nearest_positions(own, few, "__of", mass, key, center, k)
     d = F.abs(F.col(mass) - F.col(center))
-    far = around.select(query, center, d.alias("__d"), F.row_number().over(Window.partitionBy(query).orderBy(d)).alias("__n"))
-    reach = settled(far.where(F.col("__n") <= k).groupBy(query, center).agg(F.max("__d").alias("__reach")))  # a row per query, read for the levels and for the join
+    far = around.select("__of", center, d.alias("__d"), F.row_number().over(Window.partitionBy("__of").orderBy(d)).alias("__n"))
+    reach = settled(far.where(F.col("__n") <= k).groupBy("__of", center).agg(F.max("__d").alias("__reach")))  # a row per center, read for the levels and for the join
     c, r = F.col(center), F.col("__reach") * (1 + 1e-12) + 1e-12
     level = F.greatest(F.least(F.ceil(F.log(F.greatest(2 * r, F.lit(1e-6))) / F.log(F.lit(4.0))), F.lit(8)), F.lit(-7)).cast("int")
-    found = banded_join(reach, catalog, c - r, c + r, F.col(mass), level, range(-7, 9))
-    w = Window.partitionBy(query).orderBy(F.abs(F.col(mass) - F.col(center)), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__reach")
+    found = banded_join(reach, few, c - r, c + r, F.col(mass), level, range(-7, 9))
+    w = Window.partitionBy("__of").orderBy(F.abs(F.col(mass) - F.col(center)), key)
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    lists = best.groupBy("__of").agg(F.collect_list(F.struct(*catalog.columns, "rank")).alias("__best"))
+    asked = centers.select(query, center)
+    return asked.join(lists, asked[center] == lists["__of"]).select(query, center, F.inline("__best"))
 
 
 def banded_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, level: Column, levels: range) -> DataFrame:

@@ -100,3 +100,15 @@ def test_equal_network_peaks_go_by_event(spark, equal_peaks):
     found = QUERIES["network_peaks"](spark, equal_peaks).toPandas()
     assert con.execute(peak.format("select * from found")).fetchall() == con.execute(peak.format(ORACLE_SQL["network_peaks"])).fetchall()
     assert set(found["event_id"] // 1000) == {0, 1, 2}  # three of four equal ones
+
+
+def test_nearest_meet_few_rows_of_a_mass(spark, monkeypatch):
+    met, join = [], range_join.banded_join
+    monkeypatch.setattr(range_join, "banded_join", lambda left, right, *a: met.append((left, right)) or join(left, right, *a))
+    centers = spark.createDataFrame([(f"q{i}", 5.0 + i % 2) for i in range(20)] + [("none", None)], "grp string, center double")
+    catalog = spark.createDataFrame([(i, float(i % 3) + 4) for i in range(90)], "key long, mass double")
+    found = range_join.nearest_k(centers, catalog, "grp", 4).orderBy("grp", "rank").collect()
+    want = {c: sorted((abs(i % 3 + 4 - c), i) for i in range(90))[:4] for c in (5.0, 6.0)}
+    assert [(r["grp"], r["key"]) for r in found] == [(g, k) for g, c in sorted((f"q{i}", 5.0 + i % 2) for i in range(20)) for _, k in want[c]]
+    ((left, right),) = met
+    assert left.count() == 2 and right.count() == 12
