@@ -48,6 +48,12 @@ def mass_window(centers: DataFrame, catalog: DataFrame, center: str = "center",
     return band_join(centers.where(c.isNotNull()), catalog, c - d, c + d, F.col(mass), width)
 
 
+def mass_window_of(pairs: DataFrame, catalog: DataFrame, key: str = "key", center: str = "center", mass: str = "mass", ppm: float = 35.0, floor: float = 0.006) -> DataFrame:
+    """Those of given pairs of a center and a key whose catalog row mass_window() would find: a join by the key."""
+    near = F.abs(F.col(mass) - F.col(center)) <= mass_tolerance(F.col(center), ppm, floor)
+    return pairs.join(catalog.select(key, mass), key).where(near)
+
+
 def window_top(centers: DataFrame, catalog: DataFrame, k: int, score: Column, within: list[Column | str] | None = None, key: str = "key", center: str = "center", mass: str = "mass", **tolerance: float) -> DataFrame:
     """(center, the catalog's columns, score, rank): the k rows of each distinct center's window by falling score, then key.
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ionsift.operators import range_join, similarity
+from ionsift.operators import pools, range_join, retrieval, similarity
 from ionsift.plans.queries import ORACLE_SQL, QUERIES
 from test_queries import rows
 
@@ -67,6 +67,25 @@ def test_products_meet_in_blocks(spark, data, monkeypatch, name):
     assert found == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["baseline_rank"])
+def test_pools_are_ranked_in_blocks(spark, data, monkeypatch, name):
+    """Small blocks give the same rows, and no row is made for a pair of a molecule and a structure."""
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs as rows")
+
+    for of, what in ((retrieval, "candidate_window"), (retrieval, "neural_rank"), (similarity, "analog_scores"), (similarity, "best_of_spectra")):
+        monkeypatch.setattr(of, what, pairs)
+    monkeypatch.setattr(pools, "BLOCK_GROUPS", 1)
+    monkeypatch.setattr(pools, "TOGETHER", 2)
+    df = QUERIES[name](spark, data)
+    found, con = rows(df.columns, df.collect()), duckdb.connect()
+    for t in ("part", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    cur = con.execute(ORACLE_SQL[name])
+    assert found == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_best_of_spectra_over_blocks(spark):
     rows_ = spark.createDataFrame([("g", "k", [0.1, 0.9]), ("g", "k", [0.5, 0.2]), ("g", "k", [0.3, 0.3]), ("g", "l", [0.0, 0.4])], "group string, key string, scores array<double>")
     found = {r["key"]: r["scores"] for r in similarity.best_of_spectra(rows_).collect()}
