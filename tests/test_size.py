@@ -67,7 +67,7 @@ def test_products_meet_in_blocks(spark, data, monkeypatch, name):
     assert found == rows([c[0] for c in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["baseline_rank", "hypothesis_rank", "expanded_rank"])
+@pytest.mark.parametrize("name", ["baseline_rank", "hypothesis_rank", "expanded_rank", "chemical_rerank", "masked_reports"])
 def test_pools_are_ranked_in_blocks(spark, data, monkeypatch, name):
     """Small blocks give the same rows, and no row is made for a pair of a molecule and a structure."""
 
