@@ -23,6 +23,17 @@ def submission(ranking: DataFrame, molecules: DataFrame, molecule: str = "molecu
     return out.withColumn(value, F.coalesce(value, F.lit(default))) if default is not None else out
 
 
+def shared_submission(ranking: DataFrame, asked: DataFrame, molecules: DataFrame, molecule: str = "molecule_id", by: str = "center", value: str = "smiles", k: int = 25, default: str | None = None) -> DataFrame:
+    """submission() of rankings (by, value, rank) that molecules share: asked (molecule, by) says whose is which, a row for a molecule.
+
+    Values are joined once for each ranking, so that what is exchanged of a
+    molecule is its id and what it asks for.
+    """
+    rows = lists(ranking, [by], value, k).select(by, joined(F.col("ranking")).alias(value))
+    out = molecules.select(molecule).distinct().join(asked.select(molecule, by), molecule, "left").join(rows, by, "left").select(molecule, value)
+    return out.withColumn(value, F.coalesce(value, F.lit(default))) if default is not None else out
+
+
 def violations(frame: DataFrame, molecules: DataFrame, molecule: str = "molecule_id", value: str = "smiles", most: int = 25, identity=None) -> DataFrame:
     """(molecule, problem) of a submission: missing, unexpected, repeated, empty, too_many, invalid (null identity), duplicate.  Empty if it is fine."""
     v = parts(F.coalesce(F.col(value), F.lit("")))

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionsift.operators import pools, range_join, retrieval, similarity
+from ionsift.plans import retrieval as plans
 from ionsift.plans.queries import ORACLE_SQL, QUERIES
+from ionsift.plans.registry import Tables
 from test_queries import rows
 
 
@@ -49,6 +51,23 @@ def test_windows_meet_few_rows_of_a_mass(spark, copies, monkeypatch, name, most)
     assert catalog.groupBy("mass").count().agg(F.max("count")).first()[0] <= most
 
 
+def test_submissions_exchange_lines_once(spark, copies):
+    """Medians are found from one exchange of the lines, and rankings that molecules share aren't exchanged with them."""
+    df = QUERIES["submission_sink"](spark, copies)
+    assert rows(df.columns, df.collect()) == sql_rows(copies, "submission_sink")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 3 and plan.count("ReusedExchange") == 1
+    assert "hashpartitioning(molecule_id" not in plan
+
+
+def test_median_of_lines(spark, tmp_path):
+    """One line, an even and an odd number of them, equal ones, and nulls, which don't count."""
+    lines = [(1, 10.0), (2, 1.5), (2, 9.25), (3, 7.0), (3, 3.0), (3, 99.0), (4, 5.0), (4, 5.0), (4, None), (5, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["grp"]: r["center"] for r in plans.centers(Tables(spark, str(tmp_path))).collect()}
+    assert found == {1: 910.0, 2: 905.375, 3: 907.0, 4: 905.0}
+
+
 @pytest.mark.parametrize("name", ["supported_keys", "cascade_coarse", "cascade_rank", "consensus_search", "spectrum_axis_aggregates", "sparse_cosine_search"])
 def test_products_meet_in_blocks(spark, data, monkeypatch, name):
     """Small blocks give the same rows, and no row is made for a pair of a group and a reference."""
