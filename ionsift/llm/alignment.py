@@ -51,6 +51,8 @@ if sys.byteorder != "little":
 
 #: Parts that a process holds at most, twice (those in use, and those of the time before); longer ones hardly come again.
 ENTRIES, LONGEST = 100_000, 48
+#: Words of a text, not held, from which on they are encoded as one text.
+TOGETHER = 4
 #: Keys that a task holds before they are reduced to distinct ones, and distinct ones before they are passed on.
 KEYS = 2_000_000
 #: Keys of a shard file at most (16 bytes each).
@@ -112,6 +114,12 @@ class Pair:
         across = re.compile(f"[^{WHITE}][{WHITE}]|[{WHITE.replace(' ', '')}].|[^{OTHER}][{OTHER}]", re.DOTALL)
         self.across = [p for p in own if across.search(p)]
         self.splits = self._splits(own)
+        # sizes by id, and each id in decimals with what follows it: a comma, a bar or a semicolon
+        size = 1 + max(max(self.a_bytes, default=0), len(pieces))
+        self.a_sizes, self.b_sizes = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(s) for s in self.a_bytes.values()]
+        self.b_sizes[: len(pieces)] = [len(s) for s in self.b_bytes]
+        self.decimals = [b"%d%s" % (i, mark) for i in range(size) for mark in (b",", b"|", b";")]
         self.held: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
 
@@ -145,29 +153,70 @@ class Pair:
         b = self.b.encode(word) if word and word is not part else self.b.encode(f"\n{part}")[2:]
         return self._aligned(a, b, data)
 
-    def _held(self, parts: list[str], make: Callable[[str], Aligned | None]) -> list[Aligned | None]:
-        out = []
-        held = self.held
-        for p in parts:
-            found = held.get(p)
-            if found is None:
-                found = self.old.get(p) or make(p)
-                if len(p) <= LONGEST:
-                    if len(held) >= ENTRIES:
-                        self.old, self.held = held, {}
-                        held = self.held
-                    held[p] = found
-            out.append(found)
+    def _parts(self, parts: list[str]) -> list[Aligned | None]:
+        """Of distinct parts: those that are a space and letters are one text for both tokenizers, which cut it at the spaces anyway; others one by one."""
+        words = [p for p in parts if p[:1] == " " and p[1:].isalpha()]
+        made = self._joined(words) if len(words) >= TOGETHER else None
+        if made is None:
+            return [self._part(p) for p in parts]
+        if len(words) == len(parts):
+            return made
+        found = dict(zip(words, made, strict=True))
+        return [found[p] if p in found else self._part(p) for p in parts]
+
+    def _joined(self, words: list[str]) -> list[Aligned] | None:
+        """_aligned() of many words, each with the space before it, from their one text; None if a token goes beyond a word."""
+        text = "".join(words)
+        want = text.encode()
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        of_a, of_b = self.a_sizes[a], self.b_sizes[b]
+        ends = np.cumsum([len(w) for w in words] if len(want) == len(text) else [len(w.encode()) for w in words])
+        end_a, end_b = np.cumsum(of_a), np.cumsum(of_b)
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        if not (of_a.all() and of_b.all()) or not np.array_equal(both[np.minimum(np.searchsorted(both, ends), len(both) - 1)], ends):
+            return None
+        every = np.union1d(end_a, end_b)  # tokens that overlap do so up to one of these
+        keys = (a[np.searchsorted(end_a, every)] << 32 | b[np.searchsorted(end_b, every)]).tobytes()
+        # tokens in the order of the text of groups, each with its mark
+        in_a, in_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        before = np.r_[0, np.searchsorted(end_b, both, "right")]
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + before[in_a]] = 3 * a + (both[in_a] == end_a)
+        order[np.arange(len(b)) + np.searchsorted(end_a, both, "right")[in_b]] = 3 * b + 2 * (both[in_b] == end_b)
+        marked = [self.decimals[i] for i in order.tolist()]
+        count = lambda x: np.searchsorted(x, ends, "right").tolist()
+        out, i, j, k, m = [], 0, 0, 0, 0
+        for to_i, to_j, to_k, to_m in zip(count(end_a), count(end_b), count(both), count(every), strict=True):
+            out.append(Aligned(b"".join(marked[i + j : to_i + to_j])[:-1], keys[8 * m : 8 * to_m], to_i - i, to_j - j, to_k - k))
+            i, j, k, m = to_i, to_j, to_k, to_m
         return out
 
+    def _held(self, parts: list[str], make: Callable[[list[str]], list[Aligned | None]]) -> list[Aligned | None]:
+        out = list(map(self.held.get, parts))
+        missing = dict.fromkeys([p for p, found in zip(parts, out, strict=True) if found is None])
+        if not missing:
+            return out
+        made = {p: self.old.get(p) for p in missing}
+        new = [p for p, found in made.items() if found is None]
+        made.update(zip(new, make(new), strict=True))
+        for p, found in made.items():
+            if len(p) <= LONGEST:
+                if len(self.held) >= ENTRIES:
+                    self.old, self.held = self.held, {}
+                self.held[p] = found
+        return [made[p] if found is None else found for p, found in zip(parts, out, strict=True)]
+
     def of(self, text: str) -> list[Aligned] | None:
         """The alignments of the text's parts in order; None if it has no tokens."""
         if not text:
             return None
         if self.splits and not RUN.search(spaced := f" {text}") and not any(p in spaced for p in self.across):
-            out = self._held(BYTE_PARTS.findall(spaced), self._part)
+            out = self._held(BYTE_PARTS.findall(spaced), self._parts)
         elif self.splits:
-            out = self._held(CUT.split(f" {text}"), lambda p: self._whole(p[1:]))
+            out = self._held(CUT.split(f" {text}"), lambda parts: [self._whole(p[1:]) for p in parts])
         else:
             out = [None]
         if None in out:  # the bytes of whole texts decide
@@ -208,10 +257,10 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Da
                 if found is None:
                     rows.append({"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "sha": "", "keys": b"", "times": b""})
                     continue
-                keys, times = np.unique(np.frombuffer(b"".join([x.keys for x in found]), dtype=np.int64), return_counts=True)
-                n_a, n_b, n_groups = (sum([x[c] for x in found]) for c in (2, 3, 4))
-                sha = hashlib.sha256(b";".join([x.groups for x in found])).hexdigest()
-                rows.append({"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": int(times.sum()), "sha": sha, "keys": _planes(keys), "times": _planes(times.astype(np.int64))})
+                groups, links, n_a, n_b, n_groups = zip(*found, strict=True)
+                keys, times = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)
+                sha = hashlib.sha256(b";".join(groups)).hexdigest()
+                rows.append({"n_a": sum(n_a), "n_b": sum(n_b), "n_groups": sum(n_groups), "n_links": int(times.sum()), "sha": sha, "keys": _planes(keys), "times": _planes(times.astype(np.int64))})
             yield pa.array(rows, kind)
         own.rest()
 

@@ -199,6 +199,18 @@ def test_op12_turnover(library, monkeypatch):
     assert len(own.held) <= 5 and len(own.old) <= 5
 
 
+def test_op12_words_are_encoded_together(monkeypatch):
+    """Words that aren't held are one text for both tokenizers, with the results of one by one; few of them, and what isn't a word, are taken alone."""
+    own = alignment.Pair(default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"))
+    words = [f" {w}" for w in ("alignment", "ñandúes", "Überraschungsei", "a", "хлеб", "ciónquedo", "日本語", "thbletiou", "e\u0301", "ﬁne")]
+    assert own._parts([*words, ",", " 12", "end", "\n"]) == [own._part(p) for p in [*words, ",", " 12", "end", "\n"]]
+    calls, one = [], own._part
+    monkeypatch.setattr(own, "_part", lambda p: calls.append(p) or one(p))
+    own.of("".join(f"{w}," for w in ("many", " new", " words", " of", " one", " text")))
+    assert {*calls} == {","}
+    assert own._parts(words[:2]) == [one(p) for p in words[:2]] and calls[-2:] == words[:2]
+
+
 def test_op12_other_tokenizers_get_whole_texts(monkeypatch):
     own = alignment.Pair(default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"))
     own.splits = False
