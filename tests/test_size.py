@@ -222,3 +222,20 @@ def test_nearest_meet_few_rows_of_a_mass(spark, monkeypatch):
     assert [(r["grp"], r["key"]) for r in found] == [(g, k) for g, c in sorted((f"q{i}", 5.0 + i % 2) for i in range(20)) for _, k in want[c]]
     ((left, right),) = met
     assert left.count() == 2 and right.count() == 12
+
+
+def test_union_of_windows_gathers_no_centers(spark):
+    """Windows that touch, overlap, hold one another's masses or are there twice: each key once, from its lowest center; centers are rows, and what is found isn't exchanged."""
+    centers = [("a", 100.0), ("a", 100.004), ("a", 100.004), ("a", 100.012), ("a", 101.0), ("a", None), ("b", 100.02), ("c", None), (None, 100.0)]
+    masses = [round(99.98 + i / 1000, 3) for i in range(60)] + [100.993999, 100.994, 101.0, 101.006, None, float("nan")]
+    tol = lambda c: max(c * 35e-6, 0.006)
+    found = range_join.union_window(spark.createDataFrame(centers, "grp string, center double"), spark.createDataFrame(list(enumerate(masses)), "key int, mass double"), "grp", "key")
+    want = {}
+    for g, c in sorted((x for x in centers if x[1]), key=lambda x: x[1]):
+        for k, m in enumerate(masses):
+            if m and c - tol(c) <= m <= c + tol(c):
+                want.setdefault((g, k), c)
+    got = found.collect()
+    assert {(r["grp"], r["key"]): r["center"] for r in got} == want and len(got) == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "collect_" not in plan and "lambda" not in plan and "Aggregate" not in plan
