@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import new_folder
+
+#: Levels of a feature, with one for missing values (trees tell 32 apart), and rows from which their bounds are taken, about.
+LEVELS, EDGES = 32, 200_000
+
 #: What candidate_features() asks for, a number each for a candidate; null counts as 0.
 SOURCES = {
     "library": "score of the best library spectrum of the structure itself", "analog": "best Tanimoto with an analog, weighed by the cube of its score", "analog_plain": "the same, weighed by the score",
@@ -15,15 +22,15 @@ SOURCES = {
 }
 
 
-def candidate_features(rows: DataFrame, group: str = "group", key: str = "key") -> DataFrame:
-    """(group, key, and the columns of ``names()``).
+def candidate_features(rows: DataFrame, group: str = "group", key: str = "key", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(group, key, the columns of ``names()``, and the rows' own that are to be kept).
 
     All windows are by group, so that rows are exchanged once; what is
     relative is a value less the group's largest, its place from the largest
     (0) to the smallest (1), ties by key, and its standard score.
     """
     whole = Window.partitionBy(group)
-    own = rows.select(group, key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SOURCES])
+    own = rows.select(group, key, *kept, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SOURCES])
     per = lambda f: f.over(whole)
     n = per(F.count("*"))
     place = lambda c: (F.row_number().over(whole.orderBy(F.col(c).desc(), key)) - 1) / F.greatest(n - 1, F.lit(1))
@@ -58,7 +65,7 @@ def candidate_features(rows: DataFrame, group: str = "group", key: str = "key")
         "fragments_adduct": F.col("fragments_adduct"), "fragments_adduct_place": F.col("fragments_adduct_place"), "fragments_adduct_below": below("fragments_adduct"), "fragments_mean": F.col("fragments_mean"),
         "fragments_mean_place": F.col("fragments_mean_place"), "fragments_mean_below": below("fragments_mean"), "fragments_modes": F.col("fragments_modes"),
     }
-    return named.select(group, key, *[c.cast("double").alias(f"f_{name}") for name, c in out.items()])
+    return named.select(group, key, *[c.cast("double").alias(f"f_{name}") for name, c in out.items()], *kept)
 
 
 def names(features: DataFrame) -> list[str]:
@@ -66,21 +73,47 @@ def names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c.startswith("f_")]
 
 
-def out_of_fold(features: DataFrame, labels: DataFrame, group: str = "group", key: str = "key", folds: int = 2, trees: int = 20, depth: int = 3) -> DataFrame:
+def _levels(rows: DataFrame, group: str) -> DataFrame:
+    """Rows whose features are numbers of levels, at most as many as trees tell apart; the levels' bounds are quantiles of about EDGES rows of whole groups, as trees would take them of a sample, and every row is kept."""
+    from pyspark.ml.feature import Bucketizer
+
+    share = min(1.0, EDGES / max(rows.count(), 1))
+    some = rows.where(F.pmod(F.xxhash64(F.col(group).cast("string"), F.lit("edges")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    columns = names(rows)
+    found = some.approxQuantile(columns, [i / (LEVELS - 1) for i in range(1, LEVELS - 1)], 1e-3)
+    bounds = [[-float("inf"), *(sorted(set(b)) or [0.0]), float("inf")] for b in found]
+    cut = Bucketizer(inputCols=columns, outputCols=[f"__{c}" for c in columns], splitsArray=bounds, handleInvalid="keep").transform(rows)
+    return cut.select(*[c for c in rows.columns if c not in columns], *[F.col(f"__{c}").cast("byte").alias(c) for c in columns])
+
+
+def _by_group(rows: DataFrame, group: str) -> DataFrame:
+    """The rows written once to the shared folder, in buckets of their group, so that whatever needs groups together reads them without an exchange."""
+    spark, name = rows.sparkSession, f"ionsift_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(n, group).option("path", new_folder(spark, "ranker")).saveAsTable(name)
+    return spark.table(name)
+
+
+def out_of_fold(features: DataFrame, labels: DataFrame | None = None, group: str = "group", key: str = "key", folds: int = 2, trees: int = 20, depth: int = 3) -> DataFrame:
     """(group, key, score, rank): each group ranked by trees that were grown on other groups alone.
 
-    labels is (group, key, label): 1 for right candidates.  Groups go to folds
-    whole, by a hash; a fold whose other groups have one class alone scores 0.5.
+    labels is (group, key, label): 1 for right candidates; without it they are
+    a column of the features.  Groups go to folds whole, by a hash; a fold
+    whose other groups have one class alone scores 0.5.
+
+    Features are worked out once: a table of their levels, a byte each, is
+    what trees are grown on and what they score, and what keeps groups together.
     """
     from .learning import weighted_trees
     from .ranking import ranked
 
-    rows = features.join(labels, [group, key]).withColumn("__fold", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)))
-    out = None
+    rows = features.join(labels, [group, key]) if labels is not None else features.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    scored = table = _by_group(_levels(rows, group), group)
+    fold = F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds))
+    score = F.lit(0.5)
     for k in range(folds):
-        train, test = rows.where(F.col("__fold") != k), rows.where(F.col("__fold") == k)
-        both = train.select("label").distinct().limit(2).count() == 2
-        scored = weighted_trees(train, test, names(features), "label", trees, depth) if both else test.withColumn("probability", F.lit(0.5))
-        part = scored.select(group, key, F.round("probability", 9).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return ranked(out, [group], "score", key)
+        train = table.where(fold != k)
+        if train.select("label").distinct().limit(2).count() == 2:
+            scored = weighted_trees(train, scored, names(table), "label", trees, depth).withColumnRenamed("probability", f"__p{k}")
+            score = F.when(fold == k, F.col(f"__p{k}")).otherwise(score)
+    return ranked(scored.select(group, key, F.round(score, 9).alias("score")), [group], "score", key)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ionsift.operators import pools, range_join, retrieval, similarity
+from ionsift.operators import pools, range_join, ranker, retrieval, similarity
 from ionsift.plans import composed
 from ionsift.plans import retrieval as plans
 from ionsift.plans.queries import ORACLE_SQL, QUERIES
@@ -239,3 +239,29 @@ def test_union_of_windows_gathers_no_centers(spark):
     assert {(r["grp"], r["key"]): r["center"] for r in got} == want and len(got) == len(want)
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert "collect_" not in plan and "lambda" not in plan and "Aggregate" not in plan
+
+
+def test_ranker_works_features_out_once(spark, data):
+    """Lines are exchanged once, before features are worked out; what is ranked lies by group already, and every line is there once."""
+    df = QUERIES["feature_ranker"](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    lines, of = Tables(spark, data).lineitem, {}
+    for r in df.collect():
+        of.setdefault(r["grp"], []).append(r)
+    assert sum(map(len, of.values())) == lines.count() and len(of) == lines.select("l_orderkey").distinct().count()
+    for own in of.values():
+        assert [r["rank"] for r in sorted(own, key=lambda r: (-r["score"], r["key"]))] == list(range(1, len(own) + 1))
+    assert len({r["score"] for own in of.values() for r in own}) > 2
+
+
+def test_levels_keep_order(spark):
+    """Levels rise with values, few of them stay apart, and missing ones have their own; no row goes."""
+    rows_ = [(i, f"k{i}", float(i * 37 % 1000), float(i % 3), None if i % 4 else 1.5, float("nan")) for i in range(1000)]
+    df = spark.createDataFrame(rows_, "group int, key string, f_a double, f_b double, f_c double, f_d double")
+    found = {r["key"]: r for r in ranker._levels(df, "group").collect()}
+    assert len(found) == 1000
+    in_order = [found[k]["f_a"] for _, k, *_ in sorted(rows_, key=lambda r: r[2])]
+    assert in_order == sorted(in_order) and 25 <= len(set(in_order)) <= 31
+    assert len({(found[k]["f_b"], b) for _, k, _, b, *_ in rows_}) == 3 == len({found[k]["f_b"] for k in found})
+    assert len({(found[k]["f_c"], c) for _, k, _, _, c, _ in rows_}) == 2 and len({r["f_d"] for r in found.values()}) == 1
