@@ -11,6 +11,8 @@ from ..lineage import new_folder
 
 #: Levels of a feature, with one for missing values (trees tell 32 apart), and rows from which their bounds are taken, about.
 LEVELS, EDGES = 32, 200_000
+#: Rows of a task that works features out, about: some 30 MB, which are sorted for each place without a spill.
+TASK = 50_000
 
 #: What candidate_features() asks for, a number each for a candidate; null counts as 0.
 SOURCES = {
@@ -86,10 +88,19 @@ def _levels(rows: DataFrame, group: str) -> DataFrame:
     return cut.select(*[c for c in rows.columns if c not in columns], *[F.col(f"__{c}").cast("byte").alias(c) for c in columns])
 
 
+def _tasks(rows: DataFrame) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK))
+
+
+def spread(rows: DataFrame, group: str) -> DataFrame:
+    """The rows exchanged by group to as many tasks as their number asks for, from which candidate_features() and out_of_fold() go on without another exchange."""
+    return rows.repartition(_tasks(rows), group)
+
+
 def _by_group(rows: DataFrame, group: str) -> DataFrame:
-    """The rows written once to the shared folder, in buckets of their group, so that whatever needs groups together reads them without an exchange."""
+    """The rows of spread() written once to the shared folder, in buckets of their group, so that whatever needs groups together reads them without an exchange."""
     spark, name = rows.sparkSession, f"ionsift_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _tasks(rows)
     rows.write.bucketBy(n, group).option("path", new_folder(spark, "ranker")).saveAsTable(name)
     return spark.table(name)
 
@@ -98,7 +109,8 @@ def out_of_fold(features: DataFrame, labels: DataFrame | None = None, group: str
     """(group, key, score, rank): each group ranked by trees that were grown on other groups alone.
 
     labels is (group, key, label): 1 for right candidates; without it they are
-    a column of the features.  Groups go to folds whole, by a hash; a fold
+    a column of the features, which come from spread() rows.  Groups go to
+    folds whole, by a hash; a fold
     whose other groups have one class alone scores 0.5.
 
     Features are worked out once: a table of their levels, a byte each, is
@@ -107,7 +119,7 @@ def out_of_fold(features: DataFrame, labels: DataFrame | None = None, group: str
     from .learning import weighted_trees
     from .ranking import ranked
 
-    rows = features.join(labels, [group, key]) if labels is not None else features.where(F.col(group).isNotNull() & F.col(key).isNotNull())
+    rows = spread(features.join(labels, [group, key]), group) if labels is not None else features.where(F.col(group).isNotNull() & F.col(key).isNotNull())
     scored = table = _by_group(_levels(rows, group), group)
     fold = F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds))
     score = F.lit(0.5)
