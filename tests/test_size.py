@@ -265,3 +265,29 @@ def test_levels_keep_order(spark):
     assert in_order == sorted(in_order) and 25 <= len(set(in_order)) <= 31
     assert len({(found[k]["f_b"], b) for _, k, _, b, *_ in rows_}) == 3 == len({found[k]["f_b"] for k in found})
     assert len({(found[k]["f_c"], c) for _, k, _, _, c, _ in rows_}) == 2 and len({r["f_d"] for r in found.values()}) == 1
+
+
+def test_pairs_match_all_their_peaks(spark, tmp_path):
+    """Spectra of 60 peaks each, none of which is left out; the plain version and the SQL agree."""
+    n = spark.range(240)
+    events = n.select((F.col("id") + 10 * F.floor(F.col("id") / 60)).alias("event_id"), F.floor(F.col("id") / 60).alias("user_id"), (F.col("id") % 60 * 4 + F.col("id") % 3 / 100).alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    df = QUERIES["pair_score"](spark, str(tmp_path))
+    found = rows(df.columns, df.collect())
+    assert found == rows(["spectrum", "score"], con.execute(ORACLE_SQL["pair_score"]).fetchall())
+    spectra = {}
+    for spectrum, mz, i in con.execute("select user_id, value + 40, (event_id % 100) / 100 from events").fetchall():
+        if i >= 0.01 and mz <= 402:
+            spectra.setdefault(spectrum, []).append((mz, (i * mz / 100) ** 0.5))
+    assert min(map(len, spectra.values())) > 50
+    unit = {s: [(m, w / sum(x * x for _, x in p) ** 0.5) for m, w in p] for s, p in spectra.items()}
+
+    def match(a, b):
+        near = [(m, w, min((abs(m - x), x, y) for x, y in b)) for m, w in a]
+        return sum(w * y for m, w, (d, _, y) in near if d <= max(0.025, m * 15e-6))
+
+    lost = {s: [(400 + s % 3 - m, w) for m, w in p] for s, p in unit.items()}
+    want = {s: 0.7 * match(unit[s], unit[s + 1]) * (1 if s % 2 == 0 else 0.7) + 0.3 * match(lost[s], lost[s + 1]) for s in range(3)}
+    assert {r["spectrum"]: r["score"] for r in df.collect()} == pytest.approx(want, abs=1e-7)
