@@ -212,6 +212,20 @@ def test_equal_network_peaks_go_by_event(spark, equal_peaks):
     assert set(found["event_id"] // 1000) == {0, 1, 2}  # three of four equal ones
 
 
+def test_network_peaks_of_odd_masses(spark, tmp_path):
+    """Peaks without a mass come last among equals, and masses that are no numbers or as large as longs have their own windows, as in the SQL; no two are equal."""
+    odd = [None, 10.0, float("nan"), -30.0, float("inf"), 1e22, -1e22, float("-inf"), 3e23, 20.0, -20.0, 5e24]
+    events = [(100 * n + 50 + n // 40 % 2, n % 5, None if (v := odd[n // 5 % 12]) is None else v + (n // 60 if abs(v) < 100 else 0.0)) for n in range(60)]
+    events += [(100 * n + 90, n, None) for n in range(60, 65)] + [(100 * n + 90, n - 5, 500.0) for n in range(65, 70)]  # equal but for the mass, where five are kept
+    events += [(100 * n + 95, 60 + n % 5, 100.0 * (n // 5)) for n in range(75, 95)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    cur = con.execute(ORACLE_SQL["network_peaks"])
+    df = QUERIES["network_peaks"](spark, str(tmp_path))
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_nearest_meet_few_rows_of_a_mass(spark, monkeypatch):
     met, join = [], range_join.banded_join
     monkeypatch.setattr(range_join, "banded_join", lambda left, right, *a: met.append((left, right)) or join(left, right, *a))
